@@ -1,10 +1,11 @@
 """Queries of the llm operators, and SQL for those that SQL can express."""
 
-from . import decontaminate, quality_rules, sharding
+from . import decontaminate, pii, quality_rules, sharding
 
 QUERIES = {
     "op2_decontaminate": decontaminate.query,
     "op3_quality_rules": quality_rules.query,
+    "op8_surrogates": pii.query,
     "op9_sharding": sharding.query,
 }
 SQL = {
