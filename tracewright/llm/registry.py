@@ -1,12 +1,13 @@
 """Queries of the llm operators, and SQL for those that SQL can express."""
 
-from . import decontaminate, pii, quality_rules, sharding
+from . import decontaminate, near_dup, pii, quality_rules, sharding
 
 QUERIES = {
     "op2_decontaminate": decontaminate.query,
     "op3_quality_rules": quality_rules.query,
     "op8_surrogates": pii.query,
     "op9_sharding": sharding.query,
+    "op10_near_dup": near_dup.query,
 }
 SQL = {
     "op2_decontaminate": decontaminate.SQL,
