@@ -7,16 +7,22 @@
    alone are dropped: a document that keeps fewer than T posts has no partner.
 3. Prefix filter: two signatures that agree in T of M coordinates agree in one
    of the M - T + 1 rarest of either. Only those posts are joined.
-4. Long post lists are never expanded into pairs. In each round every list
-   names a leader, the members are verified against it, and links merge their
-   components; lists whose members are one component are skipped from then on.
-   The last round joins, list by list, the members of different components.
-   A component needs links, not all pairs, so nothing is lost by the skips.
-5. Candidates must agree in T coordinates; the survivors are confirmed by the
-   Jaccard similarity of their full shingle sets.
-
-With M = 64 and T = 32, a pair at similarity 0.8 fails step 2 or 3 with
-probability 1e-8 (binomial tail); more similar pairs with less.
+4. Post lists are never expanded into all pairs. In each round a list names
+   the most central member outside its earlier leaders' components; its
+   members are checked against it, and links merge components. A component
+   needs links, not all pairs, so lists of one component are done.
+5. What is left are lists around a leader L with members not linked to it. Let
+   D(x) be the symmetric difference of the sets x and L, and q = (1-t)/(1+t) for
+   the similarity t. x and y are linked if |D(x) ^ D(y)| <= q(|x|+|y|). Where x
+   is not linked to L this needs |D(x) & D(y)| > (1-q)/2 |D(y)|, as follows from
+   |D(x)| > q(|x|+|L|) and |y| <= |L|+|D(y)|. So such pairs are found exactly by
+   a prefix join over the rare members of D, with a bound by position: edited
+   copies that share nothing but L meet nobody, however many they are.
+6. Candidates of leaders must agree in T coordinates; all survivors are
+   confirmed by the Jaccard similarity of their full shingle sets.
+
+With M = 64 and T = 36, a pair at similarity 0.8 fails the signature steps with
+probability 3e-6 (binomial tail); more similar pairs with far less.
 """
 
 from __future__ import annotations
@@ -33,8 +39,8 @@ from pyspark.sql import functions as F
 
 from .common import read_table, scratch, stored
 
-COORDINATES, MATCHES = 64, 32
-#: Rounds of one leader a list before the members of different components are joined.
+COORDINATES, MATCHES = 64, 36
+#: Rounds of one leader a list before the remaining members are joined by their differences.
 LEADER_ROUNDS = 2
 _MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -111,6 +117,22 @@ def _verifier(k: int, percent: int):
     return verify
 
 
+def _differ(k: int, percent: int):
+    """(l, y, n, linked, delta): the symmetric difference of y's set and its leader's."""
+
+    def differ(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for l, tl, y, ty in zip(pdf["x"], pdf["tx"], pdf["y"], pdf["ty"], strict=True):
+                lead, mine = shingle_set(tl, k), shingle_set(ty, k)
+                delta = np.setxor1d(lead, mine, assume_unique=True)
+                both = (len(lead) + len(mine) - len(delta)) // 2
+                out.append((l, y, len(mine), 100 * both >= percent * (both + len(delta)), delta.view(np.int64)))
+            yield pd.DataFrame(out, columns=["l", "y", "n", "linked", "delta"])
+
+    return differ
+
+
 def components(links: DataFrame, base: str) -> DataFrame:
     """(id, component): the least id reachable over links (x, y), by alternating large and small stars.
 
@@ -157,62 +179,102 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     mine = W.partitionBy("id")
     prefix = (
         posts.join(shared, "key")
-        .withColumns({"n": F.count("*").over(mine), "r": F.row_number().over(mine.orderBy("df", "key"))})
+        .withColumns({"n": F.count("*").over(mine), "weight": F.sum("df").over(mine), "r": F.row_number().over(mine.orderBy("df", "key"))})
         # matches - 1 posts are outside the prefix; the ones that stood alone were the rarest
         .where(F.col("r") <= F.col("n") - (matches - 1))
-        .select("key", "id")
+        .select("key", "id", "weight")
     )
     prefix = stored(prefix, f"{base}/prefix")
 
-    label = None
-    links = None
-    done = None
-    for r in range(rounds + 1):
-        lists = prefix if label is None else prefix.join(label, "id", "left").select("key", "id", F.coalesce("component", "id").alias("comp"))
-        if label is not None:
-            torn = lists.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("key")
-            lists = stored(lists.join(torn, "key", "left_semi"), f"{base}/lists{r}")
-        else:
-            lists = lists.withColumn("comp", F.col("id"))
-        if r < rounds:
-            order = F.xxhash64("id", F.lit(r))
-            leader = lists.groupBy("key").agg(F.min_by(F.struct("id", "comp"), order).alias("l")).select("key", F.col("l.id").alias("x"), F.col("l.comp").alias("cx"))
-            pairs = lists.join(leader, "key").where("id <> x AND comp <> cx").select("x", F.col("id").alias("y"))
-        else:
-            other = lists.select("key", F.col("id").alias("x"), F.col("comp").alias("cx"))
-            pairs = lists.join(other, "key").where("id > x AND comp <> cx").select("x", F.col("id").alias("y"))
-        pairs = pairs.select(F.least("x", "y").alias("p"), F.greatest("x", "y").alias("q")).distinct() if r == rounds else pairs.distinct().select(F.col("x").alias("p"), F.col("y").alias("q"))
-        # count the collisions of the whole signatures
-        sig = reps.select("id", "sig")
-        met = pairs.join(sig.select(F.col("id").alias("p"), F.col("sig").alias("sp")), "p").join(sig.select(F.col("id").alias("q"), F.col("sig").alias("sq")), "q")
-        agree = F.aggregate(F.zip_with("sp", "sq", lambda a, b: (a == b).cast("int")), F.lit(0), lambda a, b: a + b)
-        cand = met.where(agree >= matches).select("p", "q").distinct()
-        if done is not None:
-            cand = cand.join(done, ["p", "q"], "left_anti")
-        cand = stored(cand, f"{base}/cand{r}")
-        if cand.isEmpty():
-            break
-        done = cand.union(cand.select(F.col("q").alias("p"), F.col("p").alias("q"))) if done is None else done.union(cand).union(cand.select(F.col("q").alias("p"), F.col("p").alias("q")))
+    lists = prefix.withColumn("comp", F.col("id"))
+    links = label = first = None
+    led = prefix.select("key", F.col("id").alias("comp")).limit(0)  # components of the leaders a list has had
+    for r in range(rounds):
+        # an original shares more of its posts, with more documents, than its edited copies do
+        free = lists.join(led, ["key", "comp"], "left_anti")
+        leader = free.groupBy("key").agg(F.max_by(F.struct("id", "comp"), F.struct("weight", "id")).alias("l")).select("key", F.col("l.id").alias("x"), F.col("l.comp").alias("cx"))
+        leader = stored(leader, f"{base}/leader{r}")
+        first = leader if r == 0 else first
+        pairs = lists.join(leader, "key").where("comp <> cx").select(F.col("x").alias("p"), F.col("id").alias("q")).distinct()
+        cand = stored(_agreeing(pairs, reps, matches), f"{base}/cand{r}")
         found = stored(_confirm(cand, texts, k, percent), f"{base}/links{r}")
         links = found if links is None else links.union(found)
         label = stored(components(links, f"{base}/cc{r}"), f"{base}/label{r}")
+        lists = stored(_torn(prefix, label), f"{base}/lists{r}")
+        led = leader.select("key", F.col("x").alias("id")) if r == 0 else led.select("key", "id").union(leader.select("key", F.col("x").alias("id")))
+        led = led.join(label, "id", "left").select("key", "id", F.coalesce("component", "id").alias("comp"))
+        if lists.isEmpty():
+            break
+    else:
+        around = lists.join(first.select("key", F.col("x").alias("l")), "key").where("id <> l").select(F.col("l").alias("p"), F.col("id").alias("q")).distinct()
+        delta = stored(_with_texts(around, texts).mapInPandas(_differ(k, percent), "l long, y long, n long, linked boolean, delta array<long>"), f"{base}/delta")
+        cand = stored(_by_difference(delta, label, percent), f"{base}/cand")
+        links = links.union(stored(_confirm(cand, texts, k, percent), f"{base}/links"))
+        label = stored(components(links, f"{base}/cc"), f"{base}/label")
 
     rep = reps.select("digest", F.col("id").alias("rep"))
     out = signed.join(rep, "digest", "left")
-    if label is not None:
-        out = out.join(label.select(F.col("id").alias("rep"), "component"), "rep", "left")
-    else:
-        out = out.withColumn("component", F.lit(None).cast("long"))
+    out = out.join(label.select(F.col("id").alias("rep"), "component"), "rep", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "rep", "id")).alias("component_id"))
 
 
-def _confirm(cand: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links (x, y) among candidates (p, q), by their full sets; only candidates' texts travel."""
-    wanted = cand.select(F.col("p").alias("id")).union(cand.select(F.col("q").alias("id"))).distinct()
+def _torn(prefix: DataFrame, label: DataFrame) -> DataFrame:
+    """Posts of the lists whose members are of more than one component."""
+    posts = prefix.join(label, "id", "left").select("key", "id", "weight", F.coalesce("component", "id").alias("comp"))
+    torn = posts.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("key")
+    return posts.join(torn, "key", "left_semi")
+
+
+def _agreeing(pairs: DataFrame, reps: DataFrame, matches: int) -> DataFrame:
+    """Pairs whose whole signatures collide in enough coordinates."""
+    sig = reps.select("id", "sig")
+    met = pairs.join(sig.select(F.col("id").alias("p"), F.col("sig").alias("sp")), "p").join(sig.select(F.col("id").alias("q"), F.col("sig").alias("sq")), "q")
+    agree = F.aggregate(F.zip_with("sp", "sq", lambda a, b: (a == b).cast("int")), F.lit(0), lambda a, b: a + b)
+    return met.where(agree >= matches).select("p", "q").distinct()
+
+
+def _by_difference(delta: DataFrame, label: DataFrame, percent: int) -> DataFrame:
+    """Pairs (p, q) of different components of which one is not linked to the leader, by a prefix join over their differences."""
+    t = percent / 100
+    q = (1 - t) / (1 + t)
+    d = delta.join(label.select(F.col("id").alias("y"), "component"), "y", "left").withColumns({"comp": F.coalesce("component", "y"), "size": F.size("delta")})
+    each = d.select("l", "y", "n", "linked", "comp", "size", F.explode("delta").alias("e"))
+    shared = each.groupBy("l", "e").agg(F.count("*").alias("c"), F.count_if(~F.col("linked")).alias("f")).where("c > 1 AND f > 0").select("l", "e", "c")
+    mine = W.partitionBy("l", "y")
+    posts = (
+        each.join(shared, ["l", "e"])
+        .withColumns({"k": F.count("*").over(mine), "r": F.row_number().over(mine.orderBy("c", "e"))})
+        # members of D that no pair can share come first in the order
+        .withColumn("i", F.col("size") - F.col("k") + F.col("r") - 1)
+        .select("l", "e", "y", "n", "linked", "comp", "size", "i")
+    )
+    near = F.floor(F.lit((1 - q) / 2 - 1e-9) * F.col("size"))  # an overlap exceeds this
+    far = F.ceil(F.col("size") - F.lit(q * (1 + 1 / t) + 1e-9) * F.col("n"))
+    short = posts.where(F.col("i") < F.col("size") - near)
+    long = posts.where(~F.col("linked") & (F.col("i") < F.col("size") - F.greatest(far, F.lit(1)) + 1))
+
+    def met(a: DataFrame, b: DataFrame) -> DataFrame:
+        b = b.select("l", "e", *[F.col(c).alias(f"{c}2") for c in ("y", "n", "comp", "size", "i")])
+        room = F.least(F.col("size") - F.col("i"), F.col("size2") - F.col("i2"))
+        need = (F.col("size") + F.col("size2") - F.lit(q + 1e-9) * (F.col("n") + F.col("n2"))) / 2
+        on = (F.col("comp") != F.col("comp2")) & (room >= need)
+        return a.join(b, ["l", "e"]).where(on).select(F.least("y", "y2").alias("p"), F.greatest("y", "y2").alias("q"))
+
+    apart = short.where("NOT linked")
+    return met(apart.alias("a"), apart.alias("b")).union(met(long, short.where("linked"))).distinct()
+
+
+def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(x, tx, y, ty) of pairs (p, q); only the texts of their members travel."""
+    wanted = pairs.select(F.col("p").alias("id")).union(pairs.select(F.col("q").alias("id"))).distinct()
     held = texts.join(wanted, "id", "left_semi").withColumn("h", F.xxhash64("text")).dropDuplicates(["id", "h"]).drop("h")
-    pairs = cand.join(held.select(F.col("id").alias("p"), F.col("text").alias("tp")), "p").join(held.select(F.col("id").alias("q"), F.col("text").alias("tq")), "q")
-    rows = pairs.select(F.col("p").alias("x"), F.col("tp").alias("tx"), F.col("q").alias("y"), F.col("tq").alias("ty"))
-    return rows.mapInPandas(_verifier(k, percent), "x long, y long").distinct()
+    both = pairs.join(held.select(F.col("id").alias("p"), F.col("text").alias("tp")), "p").join(held.select(F.col("id").alias("q"), F.col("text").alias("tq")), "q")
+    return both.select(F.col("p").alias("x"), F.col("tp").alias("tx"), F.col("q").alias("y"), F.col("tq").alias("ty"))
+
+
+def _confirm(cand: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (x, y) among candidates (p, q), by their full sets."""
+    return _with_texts(cand, texts).mapInPandas(_verifier(k, percent), "x long, y long").distinct()
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
