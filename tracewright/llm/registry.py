@@ -1,12 +1,13 @@
 """Queries of the llm operators, and SQL for those that SQL can express."""
 
-from . import decontaminate, near_dup, packing, pii, quality_classifier, quality_rules, sharding
+from . import decontaminate, near_dup, packing, pii, quality_classifier, quality_rules, sharding, warc
 
 QUERIES = {
     "op1_packing": packing.query,
     "op2_decontaminate": decontaminate.query,
     "op3_quality_rules": quality_rules.query,
     "op6_quality_classifier": quality_classifier.query,
+    "op7_warc": warc.query,
     "op8_surrogates": pii.query,
     "op9_sharding": sharding.query,
     "op10_near_dup": near_dup.query,
