@@ -1,11 +1,13 @@
 """Queries of the llm operators, and SQL for those that SQL can express."""
 
-from . import decontaminate, near_dup, packing, pii, quality_classifier, quality_rules, sharding, warc
+from . import decontaminate, html_extract, near_dup, packing, pii, quality_classifier, quality_rules, sharding, url_filter, warc
 
 QUERIES = {
     "op1_packing": packing.query,
     "op2_decontaminate": decontaminate.query,
     "op3_quality_rules": quality_rules.query,
+    "op4_html_extract": html_extract.query,
+    "op5_url_filter": url_filter.query,
     "op6_quality_classifier": quality_classifier.query,
     "op7_warc": warc.query,
     "op8_surrogates": pii.query,
