@@ -20,7 +20,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import UPPER, alnum_words, read_table, scratch, stored
+from .common import alnum_words, let, read_table, scratch, stored
 from .quality_rules import measures
 
 TARGETS = ("junk", "toxic")
@@ -33,7 +33,6 @@ CUTS = {
     "stop_word_ratio": (0.01, 0.02, 0.05, 0.1, 0.15),
     "repeat_word_ratio": (0.05, 0.1, 0.2, 0.5),
     "mean_word_length": (2.0, 3.0, 4.0, 7.0, 9.0, 12.0),
-    "upper_ratio": (0.05, 0.1, 0.3, 0.6),
     "dup_line_ratio": (0.1, 0.3, 0.6),
     "bang_ratio": (0.02, 0.05, 0.2, 0.5),
     "lexicon_words": (0.5, 1.5, 2.5),
@@ -50,18 +49,18 @@ def _bins(text: Column, lexicon: list[str]) -> Column:
     m = F.col("__m")
     n = m["w"]["n_words"]
     per = lambda a, b: F.when((b > 0) & (n >= MIN_WORDS), a / b)
-    gone = lambda chars: F.length(t) - F.length(F.translate(t, chars, ""))
     value = {
         "symbol_ratio": per(m["n_symbols"], n),
         "stop_word_ratio": per(m["w"]["n_stop"], n),
         "repeat_word_ratio": per(m["w"]["n_repeat"], n),
         "mean_word_length": per(m["word_chars"], n),
-        "upper_ratio": per(gone(UPPER), F.length(t)),
         "dup_line_ratio": per(m["l"]["dup"], m["l"]["n"]),
-        "bang_ratio": per(gone("!"), n),
+        "bang_ratio": per(F.length(t) - F.length(F.replace(t, F.lit("!"), F.lit(""))), n),
         "lexicon_words": F.size(F.array_distinct(F.filter(alnum_words(text), lambda w: w.isin(lexicon)))) if lexicon else F.lit(0),
     }
-    return F.array(*[F.when(v.isNotNull(), sum(((v > c).cast("int") for c in CUTS[k]), F.lit(0))) for k, v in value.items()])
+    # bound first: a value that cuts compare again and again would be computed as often
+    cut = lambda k: lambda v: F.when(v.isNotNull(), sum(((v > c).cast("int") for c in CUTS[k]), F.lit(0)))
+    return F.array(*[let(v, cut(k)) for k, v in value.items()])
 
 
 def _lexicon(labelled: DataFrame, words: int) -> list[str]:
