@@ -186,6 +186,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     prefix = stored(prefix, f"{base}/prefix")
 
+    # texts of documents with a post, once: all later joins read these
+    held = texts.join(prefix.select("id").distinct(), "id", "left_semi").withColumn("h", F.xxhash64("text")).dropDuplicates(["id", "h"]).drop("h")
+    held = stored(held, f"{base}/held")
     lists = prefix.withColumn("comp", F.col("id"))
     links = label = first = None
     led = prefix.select("key", F.col("id").alias("comp")).limit(0)  # components of the leaders a list has had
@@ -197,7 +200,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         first = leader if r == 0 else first
         pairs = lists.join(leader, "key").where("comp <> cx").select(F.col("x").alias("p"), F.col("id").alias("q")).distinct()
         cand = stored(_agreeing(pairs, reps, matches), f"{base}/cand{r}")
-        found = stored(_confirm(cand, texts, k, percent), f"{base}/links{r}")
+        found = stored(_confirm(cand, held, k, percent), f"{base}/links{r}")
         links = found if links is None else links.union(found)
         label = stored(components(links, f"{base}/cc{r}"), f"{base}/label{r}")
         lists = stored(_torn(prefix, label), f"{base}/lists{r}")
@@ -207,9 +210,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             break
     else:
         around = lists.join(first.select("key", F.col("x").alias("l")), "key").where("id <> l").select(F.col("l").alias("p"), F.col("id").alias("q")).distinct()
-        delta = stored(_with_texts(around, texts).mapInPandas(_differ(k, percent), "l long, y long, n long, linked boolean, delta array<long>"), f"{base}/delta")
+        delta = stored(_with_texts(around, held).mapInPandas(_differ(k, percent), "l long, y long, n long, linked boolean, delta array<long>"), f"{base}/delta")
         cand = stored(_by_difference(delta, label, percent), f"{base}/cand")
-        links = links.union(stored(_confirm(cand, texts, k, percent), f"{base}/links"))
+        links = links.union(stored(_confirm(cand, held, k, percent), f"{base}/links"))
         label = stored(components(links, f"{base}/cc"), f"{base}/label")
 
     rep = reps.select("digest", F.col("id").alias("rep"))
@@ -264,17 +267,15 @@ def _by_difference(delta: DataFrame, label: DataFrame, percent: int) -> DataFram
     return met(apart.alias("a"), apart.alias("b")).union(met(long, short.where("linked"))).distinct()
 
 
-def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(x, tx, y, ty) of pairs (p, q); only the texts of their members travel."""
-    wanted = pairs.select(F.col("p").alias("id")).union(pairs.select(F.col("q").alias("id"))).distinct()
-    held = texts.join(wanted, "id", "left_semi").withColumn("h", F.xxhash64("text")).dropDuplicates(["id", "h"]).drop("h")
+def _with_texts(pairs: DataFrame, held: DataFrame) -> DataFrame:
+    """(x, tx, y, ty) of pairs (p, q)."""
     both = pairs.join(held.select(F.col("id").alias("p"), F.col("text").alias("tp")), "p").join(held.select(F.col("id").alias("q"), F.col("text").alias("tq")), "q")
     return both.select(F.col("p").alias("x"), F.col("tp").alias("tx"), F.col("q").alias("y"), F.col("tq").alias("ty"))
 
 
-def _confirm(cand: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+def _confirm(cand: DataFrame, held: DataFrame, k: int, percent: int) -> DataFrame:
     """Links (x, y) among candidates (p, q), by their full sets."""
-    return _with_texts(cand, texts).mapInPandas(_verifier(k, percent), "x long, y long").distinct()
+    return _with_texts(cand, held).mapInPandas(_verifier(k, percent), "x long, y long").distinct()
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
