@@ -9,7 +9,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import ms_to_iso, tokens_of
+from ..functions.scalars import ms_to_iso, tokens, tokens_of
 
 K1, B = 1.2, 0.75
 MAX_PAGE, MAX_DEPTH, MAX_KEYWORDS, KEYWORD_BYTES = 200, 1000, 8, 64
@@ -121,6 +121,27 @@ def bm25(docs: DataFrame, posts: DataFrame, terms: list[str], n: int, average: f
     return hit.select(key, score.alias("bm25"))
 
 
+def scan_scores(docs: DataFrame, terms: list[str], text: str = "text", keep: Column | None = None) -> DataFrame:
+    """docs and bm25 of those that hold every term, without an index: two narrow passes over the texts.
+
+    Term counts are taken inside the row. The first pass aggregates the corpus
+    statistics of all docs to one row, the second scores; ``keep`` narrows the
+    second alone.
+    """
+    words = docs.withColumn("__w", tokens(F.col(text)))
+    counts = [F.size(F.filter("__w", _is(t))).cast("long").alias(f"__tf{i}") for i, t in enumerate(terms)]
+    d = words.select(*docs.columns, F.size("__w").cast("long").alias("__len"), *counts)
+    s = d.agg(F.count("*").alias("n"), F.coalesce(F.avg("__len"), F.lit(1.0)).alias("avg"), *[F.count_if(F.col(f"__tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))]).first()
+    for i in range(len(terms)):
+        d = d.where(F.col(f"__tf{i}") > 0)
+    score = sum((term_score(F.col(f"__tf{i}"), F.col("__len"), idf(s["n"], s[f"df{i}"]), s["avg"] or 1.0) for i in range(len(terms))), F.lit(0.0))
+    return (d if keep is None else d.where(keep)).select(*docs.columns, score.alias("bm25"))
+
+
+def _is(term: str):
+    return lambda t: t == term
+
+
 @dataclass
 class Page:
     snapshot_version: int

@@ -31,13 +31,10 @@ def entry(sql: str | None = None):
 TERMS = ["of", "the"]
 
 
-def _scored(spark: SparkSession, sf: str, docs: DataFrame | None = None, terms: list[str] | None = None) -> DataFrame:
+def _scored(spark: SparkSession, sf: str, keep=None, terms: list[str] | None = None) -> DataFrame:
     """doc_id and bm25 of the documents with all terms; statistics come from the whole table."""
-    d, terms = texts(spark, sf), sorted(terms or TERMS)
-    posts = index.postings(d)
-    s = index.corpus_stats(d).first()
-    df = {r["term"]: r["df"] for r in posts.where(F.col("term").isin(*terms)).groupBy("term").agg(F.count("*").alias("df")).collect()}
-    return search.bm25(d if docs is None else docs, posts, terms, s["documents"], s["average_length"], df)
+    docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
+    return search.scan_scores(docs, sorted(terms or TERMS), keep=keep).select("doc_id", "bm25")
 
 
 def _bm25_sql(terms: list[str] = TERMS, where: str = "true") -> str:
@@ -65,7 +62,7 @@ def bm25_page2(spark, sf):
 @entry(f"SELECT doc_id, round(bm25, 8) AS score FROM {_bm25_sql(where=chr(34) + 'lang' + chr(34) + ' = ' + chr(39) + 'en' + chr(39))}")
 def bm25_filtered(spark, sf):
     """A filter narrows the documents, never the statistics."""
-    return _scored(spark, sf, texts(spark, sf).where("lang = 'en'")).select("doc_id", F.round("bm25", 8).alias("score"))
+    return _scored(spark, sf, F.col("lang") == "en").select("doc_id", F.round("bm25", 8).alias("score"))
 
 
 @entry(f"SELECT doc_id, round(bm25 + CASE WHEN quality = 0 THEN 2.0 ELSE 0.0 END + CASE WHEN source = 'src1' THEN 1.5 ELSE 0.0 END, 8) AS score FROM {_bm25_sql()} JOIN documents USING (doc_id) LEFT JOIN labels USING (doc_id)")
@@ -76,6 +73,16 @@ def weighted_search(spark, sf):
     return _scored(spark, sf).join(d, "doc_id").select("doc_id", F.round(F.col("bm25") + w, 8).alias("score"))
 
 
+@entry(f"SELECT doc_id, round(bm25, 8) AS score FROM {_bm25_sql(['of', 'that', 'the'])}")
+def bm25_index(spark, sf):
+    """The same by the inverted index: postings, dictionary and statistics."""
+    d, terms = texts(spark, sf), ["of", "that", "the"]
+    posts = index.postings(d).where(F.col("term").isin(*terms))
+    s = index.corpus_stats(d).first()
+    df = {r["term"]: r["df"] for r in posts.groupBy("term").agg(F.count("*").alias("df")).collect()}
+    return search.bm25(d, posts, terms, s["documents"], s["average_length"], df).select("doc_id", F.round("bm25", 8).alias("score"))
+
+
 @entry(f"SELECT count(*) AS total_hits FROM {_bm25_sql()}")
 def total_hits(spark, sf):
     return _scored(spark, sf).agg(F.count("*").alias("total_hits"))

@@ -43,8 +43,12 @@ def online_devices(beats: DataFrame, ttl_s: int = 90) -> DataFrame:
     return beats.withWatermark("ts", f"{ttl_s} seconds").groupBy("device_id", F.session_window("ts", f"{ttl_s} seconds")).agg(F.count("*").alias("beats"), F.max("ts").alias("last_seen"))
 
 
-def sessions(events: DataFrame, ttl_ms: int = 86_400_000) -> DataFrame:
-    """Outcome codes of upload events (session, seq, kind, number, digest), with keyed state that expires."""
+def sessions(events: DataFrame, ttl_ms: int | None = None) -> DataFrame:
+    """Outcome codes of upload events (session, seq, kind, number, digest), with keyed state that expires after ttl_ms.
+
+    Expiry by the clock keeps a query busy with empty batches, so it suits
+    polling triggers; without ttl_ms an availableNow query ends.
+    """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -58,10 +62,11 @@ def sessions(events: DataFrame, ttl_ms: int = 86_400_000) -> DataFrame:
         s, codes = fold_session(rows.to_dict("records"), s)
         if s:
             state.update((json.dumps({"n": s.chunk_count, "state": s.state, "digests": s.digests, "done": sorted(s.done), "failure": s.failure}),))
-            state.setTimeoutDuration(ttl_ms)
+            if ttl_ms is not None:
+                state.setTimeoutDuration(ttl_ms)
         yield pd.DataFrame({"session": key[0], "seq": rows["seq"], "code": codes, "state": s.state if s else None})
 
-    return events.groupBy("session").applyInPandasWithState(step, "session string, seq long, code int, state string", "json string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return events.groupBy("session").applyInPandasWithState(step, "session string, seq long, code int, state string", "json string", "append", GroupStateTimeout.NoTimeout if ttl_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def run_once(source: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str) -> None:
