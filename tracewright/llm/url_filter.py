@@ -67,6 +67,8 @@ def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confid
     A rule is dropped if a part of it is as confident. At most max_rules are
     kept, the most confident first: a bound on the model, not on the rows.
     """
+    if max_tokens > 3:
+        raise ValueError("rules have three tokens at most")
     n = labelled.count()
     bad = labelled.where("bad")
     if not n or bad.isEmpty():
@@ -86,7 +88,20 @@ def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confid
 
 
 def _matches_all(rows: DataFrame, combos: list[tuple[str, ...]]) -> dict[int, int]:
-    return {r["m"]: r["count"] for r in rows.select(F.explode(matching(F.col("items"), combos)).alias("m")).groupBy("m").count().collect()}
+    """How many rows contain each combination of up to three tokens: the subsets of each row's few known tokens are counted, not each combination tried."""
+    known = sorted({t for c in combos for t in c})
+    rest = lambda a, at: F.slice(a, at, F.size(a))
+
+    def subsets(a: Column) -> Column:
+        two = F.flatten(F.transform(a, lambda x, i: F.transform(rest(a, i + 2), lambda y: F.array(x, y))))
+        three = F.flatten(F.transform(a, lambda x, i: F.flatten(F.transform(rest(a, i + 2), lambda y, j: F.transform(rest(a, i + j + 3), lambda z: F.array(x, y, z))))))
+        return F.concat(F.transform(a, lambda x: F.array(x)), two, three)
+
+    mine = F.array_sort(F.array_distinct(F.filter("items", lambda x: x.isin(known))))
+    counts = rows.select(F.explode(let(mine, subsets)).alias("c")).groupBy("c").count()
+    wanted = {c: i for i, c in enumerate(combos)}
+    held = rows.sparkSession.createDataFrame([(list(c),) for c in combos], "c array<string>")
+    return {wanted[tuple(r["c"])]: r["count"] for r in counts.join(F.broadcast(held), "c").collect()}
 
 
 def matching(tokens: Column, combos: list[tuple[str, ...]]) -> Column:
