@@ -5,7 +5,6 @@ import pytest
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
-SF = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
@@ -24,24 +23,3 @@ def spark(tmp_path_factory):
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()
-
-
-def oracle(sql, sf=SF):
-    """Rows of DuckDB SQL over the driver's tables, by column."""
-    import duckdb
-
-    con = duckdb.connect()
-    for f in os.listdir(sf):
-        con.execute(f"create view {f.removesuffix('.parquet')} as select * from '{sf}/{f}'")
-    return con.execute(sql).df()
-
-
-def same(a, b):
-    """Equal pandas frames as bags of rows, whatever the order of columns and rows."""
-
-    def norm(df):
-        df = df[sorted(df.columns)].astype(object)
-        return sorted(map(tuple, df.where(df.notna(), None).values.tolist()), key=repr)
-
-    assert sorted(a.columns) == sorted(b.columns)
-    assert norm(a) == norm(b)

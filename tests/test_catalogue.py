@@ -1,5 +1,5 @@
 import pytest
-from conftest import SF, oracle, same
+from helpers import SF, oracle, same
 
 from tracewright.plans import catalogue
 
