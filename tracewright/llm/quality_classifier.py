@@ -37,7 +37,7 @@ CUTS = {
     "bang_ratio": (0.02, 0.05, 0.2, 0.5),
     "lexicon_words": (0.5, 1.5, 2.5),
 }
-#: Ratios of shorter texts are noise and count as null.
+#: Ratios of shorter texts are noise and count as null, but for symbols, which are telling in any text.
 MIN_WORDS = 50
 #: Pseudo-rows with which a bin is shrunk, weight of an unlabelled row, bounds of a prior's strength.
 BIN_SHRINK, SOFT, STRENGTH = 5.0, 0.5, (1.0, 1e4)
@@ -48,14 +48,14 @@ def _bins(text: Column, lexicon: list[str]) -> Column:
     t = F.coalesce(text, F.lit(""))
     m = F.col("__m")
     n = m["w"]["n_words"]
-    per = lambda a, b: F.when((b > 0) & (n >= MIN_WORDS), a / b)
+    per = lambda a, b, least=MIN_WORDS: F.when((b > 0) & (n >= least), a / b)
     value = {
-        "symbol_ratio": per(m["n_symbols"], n),
+        "symbol_ratio": per(m["n_symbols"], n, 1),
         "stop_word_ratio": per(m["w"]["n_stop"], n),
         "repeat_word_ratio": per(m["w"]["n_repeat"], n),
         "mean_word_length": per(m["word_chars"], n),
         "dup_line_ratio": per(m["l"]["dup"], m["l"]["n"]),
-        "bang_ratio": per(F.length(t) - F.length(F.replace(t, F.lit("!"), F.lit(""))), n),
+        "bang_ratio": per(F.length(t) - F.length(F.replace(t, F.lit("!"), F.lit(""))), n, 1),
         "lexicon_words": F.size(F.array_distinct(F.filter(alnum_words(text), lambda w: w.isin(lexicon)))) if lexicon else F.lit(0),
     }
     # bound first: a value that cuts compare again and again would be computed as often

@@ -17,4 +17,6 @@ QUERIES = {
 SQL = {
     "op2_decontaminate": decontaminate.SQL,
     "op3_quality_rules": quality_rules.SQL,
+    "op7_warc": warc.SQL,
+    "op10_near_dup": near_dup.SQL,
 }

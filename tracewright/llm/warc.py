@@ -164,3 +164,13 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = stored(read_records(spark, f"{base}/warc").drop("payload"), f"{base}/records").withColumn("payload", F.lit(None).cast("binary"))
     out = assemble(records)
     return out.select(F.col("capture_id").cast("long").alias("page_id"), F.col("response.payload_bytes").alias("payload_bytes"), F.col("response.payload_digest").alias("payload_digest"), F.col("kind").alias("record_type"), "refers_to")
+
+
+SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+h AS (SELECT page_id, strlen(body)::BIGINT AS payload_bytes, sha1(body) AS hex, max(page_id) OVER (PARTITION BY sha1(body)) AS first FROM p),
+b AS (SELECT *, list_transform(range(8), lambda i: ('0x' || substr(hex, i * 5 + 1, 5))::BIGINT) AS v FROM h)
+SELECT page_id, payload_bytes,
+  array_to_string(list_transform(v, lambda n: array_to_string(list_transform([15, 10, 5, 0], lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((n >> s) & 31) + 1)::BIGINT, 1)), '')), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+FROM b"""
