@@ -171,3 +171,24 @@ def test_state_machine(spark, archive):
     r = spark.createDataFrame([(1, "PARSING", None), (2, "BUILDING", None), (3, "BUILDING", None), (4, "BUILDING", None), (5, "READY", None)], "batch_id long, state string, failure_code string")
     got = {x["batch_id"]: (x["state"], x["failure_code"]) for x in state.recover(r, [3, 4], [3]).collect()}
     assert got == {1: ("FAILED", "BATCH_INTERRUPTED"), 2: ("PARSED", None), 3: ("READY", None), 4: ("FAILED", "SEGMENT_RECOVERY_CORRUPTED"), 5: ("READY", None)}
+
+
+def test_log_index(spark, archive, tmp_path):
+    """Scan, build, search, rebuild and build again, as a service would."""
+    from tracewright.plans.log_index import LogIndex
+
+    table, profiles, files, _, _ = archive
+    x = LogIndex(spark, f"file://{tmp_path}")
+    s = x.scan_once(table, files, profiles)
+    assert s == {"source_files": 5, "parsed_files": 3, "failed_files": 2, "documents": 7, "batch_id": 1}
+    assert x.scan_once(table, files, profiles)["batch_id"] is None
+    assert x.build_next(files) == 1 and x.build_next(files) is None
+    assert x.engine().search(search.SearchQuery(["inspection", "ng"], device_id="AOI-VT-01")).total_hits == 1 and x.orphans() == []
+    assert x.rebuild(1) and not x.rebuild(99)
+    assert x.scan_once(table, files, profiles)["batch_id"] == 2 and x.build_next(files) == 2
+    batches, archives = x.tables()
+    got = {r["batch_id"]: (r["state"], r["failure_code"]) for r in batches.collect()}
+    assert got == {1: ("FAILED", "REBUILD_REQUESTED"), 2: ("READY", None)}
+    assert {r["state"]: r["count"] for r in state.state_counts(archives).collect()} == {"INDEXED": 3, "FAILED": 2}
+    x.recover()
+    assert x.engine().version == 2 and x.engine().documents == 7

@@ -141,6 +141,12 @@ def extension_allowed(name: Column, kind: Column) -> Column:
     return F.coalesce(ok, F.lit(False))
 
 
+def is_complete(kind: Column, product_sn: Column, result: Column) -> Column:
+    """Results and reports need a serial number and a result, images also the result NG."""
+    both = (F.coalesce(product_sn, F.lit("")) != "") & result.isin("PASS", "NG")
+    return F.coalesce(F.when(kind.isin("DETECTION_RESULT", "TEST_REPORT"), both).when(kind == "NG_IMAGE", both & (result == "NG")).otherwise(True), F.lit(False))
+
+
 def is_text(text: Column, most: int) -> Column:
     """Not empty, at most so many bytes, no control byte."""
     return F.octet_length(text).between(1, most) & ~text.rlike(r"[\x00-\x1f\x7f]")
