@@ -192,3 +192,8 @@ def test_log_index(spark, archive, tmp_path):
     assert {r["state"]: r["count"] for r in state.state_counts(archives).collect()} == {"INDEXED": 3, "FAILED": 2}
     x.recover()
     assert x.engine().version == 2 and x.engine().documents == 7
+
+
+@pytest.mark.parametrize("line,fields", [("a,b", ["a", "b"]), ("", [""]), (",", ["", ""]), ('"a,""b""",c', ['a,"b"', "c"]), ('""', [""]), ('a"b,c', None), ('"a"b', None), ('"a', None), ('"a"",b', None), ('"' + '""' * 20000 + '"', ['"' * 20000]), ("x," * 20000, ["x"] * 20000 + [""])])
+def test_csv_fields(spark, line, fields):
+    assert spark.createDataFrame([(line,)], "s string").select(parsers.csv_fields(F.col("s")).alias("f")).first()["f"] == fields

@@ -20,11 +20,17 @@ TABLES = ("documents", "files", "postings", "terms", "stats")
 def assign_ids(docs: DataFrame, batch_id: int) -> DataFrame:
     """local_id from 0 in archive and line order, and doc_id.
 
-    Positions are a count by archive plus the rank inside the archive, so no
-    task sorts the whole batch.
+    Positions are a sum over earlier archives plus the rank inside the archive,
+    so no task sorts the whole batch.
     """
     counts = docs.groupBy("archive_id").agg(F.count("*").alias("__n"))
-    before = counts.withColumn("__before", F.sum("__n").over(W.orderBy("archive_id").rowsBetween(W.unboundedPreceding, -1))).select("archive_id", F.coalesce("__before", F.lit(0)).alias("__before"))
+    # prefix sums in two levels: at most 4096 ranges of ids, then inside each range
+    ends = counts.agg(F.min("archive_id").alias("a"), F.max("archive_id").alias("b")).first()
+    width = max(1, -(-((ends["b"] or 0) - (ends["a"] or 0) + 1) // 4096))
+    counts = counts.withColumn("__r", F.floor(F.col("archive_id") / width))
+    heads = counts.groupBy("__r").agg(F.sum("__n").alias("__s")).withColumn("__head", F.coalesce(F.sum("__s").over(W.orderBy("__r").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("__r", "__head")
+    local = F.coalesce(F.sum("__n").over(W.partitionBy("__r").orderBy("archive_id").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    before = counts.withColumn("__in", local).join(F.broadcast(heads), "__r").select("archive_id", (F.col("__head") + F.col("__in")).alias("__before"))
     inside = F.row_number().over(W.partitionBy("archive_id").orderBy("line_no")) - 1
     out = docs.join(before, "archive_id").withColumns({"batch_id": F.lit(batch_id).cast("long"), "local_id": (F.col("__before") + inside).cast("long")}).drop("__before")
     return out.withColumn("doc_id", doc_id(F.col("batch_id"), F.col("local_id")))
