@@ -1,7 +1,9 @@
+import re
+
 import corpus_pipeline
 from helpers import SF
-
-from tracewright.llm import near_dup as nd
+from test_near_dup import brute as all_pairs
+from test_text_rules import brute as windows
 
 
 def test_stages(spark):
@@ -17,9 +19,17 @@ def test_stages(spark):
         base = docs
         docs = spark.createDataFrame(out.toPandas(), out.schema)
         kept[name] = set(r["doc_id"] for r in docs.select("doc_id").collect())
+        before = [(r["doc_id"], r["text"]) for r in base.collect()]
         if name == "near_dup":
-            comp = {r["doc_id"]: r["component_id"] for r in nd.near_duplicates(base).collect()}
-            assert kept[name] == {i for i, c in comp.items() if i == c}
+            assert kept[name] == {i for i, (_, c) in all_pairs(before, 5).items() if i == c}
+        if name == "decontamination":
+            items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+            assert kept[name] == {i for i, (_, hit, *_) in windows(before, items).items() if not hit}
+        if name == "pii":
+            after = {r["doc_id"]: r["text"] for r in docs.collect()}
+            for i, t in before:
+                private = re.findall(r"[\w.]+@[\w.]+|\b\d{1,3}(?:\.\d{1,3}){3}\b|\b\d{16}\b|\+1 \(\d{3}\) \d{3}-\d{4}|AKIA\w{16}|\b[0-9a-f]{40}\b", t)
+                assert not any(x in after[i] for x in private) and (private or "password" in t or after[i] == t)
     labels = spark.read.parquet(f"{SF}/labels.parquet").toPandas()
     clean = set(labels[(labels.quality == 1) & (labels.toxic == 0)].doc_id)
     assert len(clean & kept["quality_classifier"]) >= 0.95 * len(clean)

@@ -43,3 +43,13 @@ def test_edges(edge, empty):
     rows = [(r["doc_id"], r["text"]) for r in edge.collect()]
     check(rows, sh.shard_rows(edge, 4).collect(), 4)
     assert sh.shard_rows(empty).count() == 0
+
+
+def test_rejection_has_the_same_law():
+    for good, bad, draws in ((40, 60, 30), (60, 40, 30), (30, 70, 80), (500, 200, 600), (5, 1000, 10)):
+        a, b = np.random.default_rng(1), np.random.default_rng(2)
+        x = np.array([sh._by_rejection(a, good, bad, draws) for _ in range(6000)])
+        y = b.hypergeometric(good, bad, draws, 6000)
+        assert x.min() >= max(0, draws - bad) and x.max() <= min(good, draws)
+        assert abs(x.mean() - y.mean()) < 0.1 * y.std() + 0.02 and abs(x.std() - y.std()) < 0.06 * y.std() + 0.02
+    assert sh._by_rejection(np.random.default_rng(1), 7, 0, 3) == 3 and sh._by_rejection(np.random.default_rng(1), 0, 7, 3) == 0 and sh._by_rejection(np.random.default_rng(1), 4, 3, 7) == 4

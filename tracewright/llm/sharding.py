@@ -11,6 +11,7 @@ exact: they differ by one at most. Only ids, sizes and checksums travel.
 from __future__ import annotations
 
 import json
+from math import e, lgamma, log
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -52,13 +53,31 @@ def communication_matrix(rows: list[int], shards: int, seed: int) -> np.ndarray:
 
 
 def _hypergeometric(rng: np.random.Generator, good: int, bad: int, draws: int) -> int:
-    """Exact below the sampler's limit of 1e9; beyond it by the normal law of the same mean and variance, whose error is far below one row in such draws; row and column sums stay exact."""
-    if good + bad < 1_000_000_000:
-        return int(rng.hypergeometric(good, bad, draws))
-    n = good + bad
-    mean, sd = draws * good / n, (draws * (good / n) * (bad / n) * (n - draws) / (n - 1)) ** 0.5
-    low, high = max(0, draws - bad), min(good, draws)
-    return min(high, max(low, round(rng.normal(mean, sd))))
+    """Exact; totals beyond the sampler's limit of 1e9 go through ratio-of-uniforms rejection, up to the rounding of lgamma."""
+    return int(rng.hypergeometric(good, bad, draws)) if good + bad < 1_000_000_000 else _by_rejection(rng, good, bad, draws)
+
+
+def _by_rejection(rng: np.random.Generator, good: int, bad: int, draws: int) -> int:
+    """Hypergeometric draw by ratio of uniforms under a table mountain hat (Stadlober 1990)."""
+    few, many, total = min(good, bad), max(good, bad), good + bad
+    n = min(draws, total - draws)
+    if not n or not few:
+        return good if draws == total else (min(draws, good) if not bad else 0)
+    log_p = lambda k: -(lgamma(k + 1) + lgamma(few - k + 1) + lgamma(n - k + 1) + lgamma(many - n + k + 1))
+    p = few / total
+    center, width = n * p + 0.5, (n * p * (1 - p) * (total - n) / (total - 1) + 0.5) ** 0.5
+    hat = 2 * (2 / e) ** 0.5 * width + 3 - 2 * (3 / e) ** 0.5
+    top = log_p((n + 1) * (few + 1) // (total + 2))
+    end = min(min(n, few) + 1, int(center + 16 * width))
+    while True:
+        u, v = rng.random(), rng.random()
+        x = center + hat * (v - 0.5) / u if u else -1.0
+        if 0 <= x < end and 2 * log(u) <= log_p(int(x)) - top:
+            k = int(x)
+            break
+    # undo the two reflections
+    k = n - k if good > bad else k
+    return k if n == draws else good - k
 
 
 def _small(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
