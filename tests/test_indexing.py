@@ -5,6 +5,7 @@ import hashlib
 import pytest
 from pyspark.sql import functions as F
 
+from tracewright.functions import schemas
 from tracewright.operators import index, parsers, search, state
 from tracewright.sources import files as source
 from tracewright.sources.archives import decode_guard
@@ -197,3 +198,18 @@ def test_log_index(spark, archive, tmp_path):
 @pytest.mark.parametrize("line,fields", [("a,b", ["a", "b"]), ("", [""]), (",", ["", ""]), ('"a,""b""",c', ['a,"b"', "c"]), ('""', [""]), ('a"b,c', None), ('"a"b', None), ('"a', None), ('"a"",b', None), ('"' + '""' * 20000 + '"', ['"' * 20000]), ("x," * 20000, ["x"] * 20000 + [""])])
 def test_csv_fields(spark, line, fields):
     assert spark.createDataFrame([(line,)], "s string").select(parsers.csv_fields(F.col("s")).alias("f")).first()["f"] == fields
+
+
+def test_artifacts(spark, archive, tmp_path):
+    from tracewright.operators import artifacts
+
+    table, _, _, docs, outcomes = archive
+    d = index.assign_ids(docs, 1).select(*[c.split()[0] for c in schemas.DOCUMENT.split(", ")])
+    a = outcomes.where("failure_code IS NULL").select("archive_id", "file_size", "file_sha256", "relative_path", "document_count").join(table.select("archive_id", *artifacts.INHERITED), "archive_id")
+    path = f"file://{tmp_path}/b1"
+    artifacts.write(a, d, 1, path)
+    assert artifacts.read(spark, path, 1)[1].count() == 7
+    with pytest.raises(ValueError):
+        artifacts.read(spark, path, 2)
+    bad = {r["rule"] for r in artifacts.violations(a.union(a.limit(1)), d.where("local_id <> 2").withColumn("line_id", F.lit("X"))).collect()}
+    assert bad == {"repeated_archive", "local_id_not_contiguous", "document_count_differs", "metadata_differs"}

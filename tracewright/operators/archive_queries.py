@@ -96,6 +96,19 @@ def integrity_audit(archives: DataFrame, on_disk: DataFrame, full: bool = True)
     return j.withColumn("problem", code).where("problem IS NOT NULL").select("archive_id", "problem")
 
 
+def integrity_summary(archives: DataFrame, problems: DataFrame) -> DataFrame:
+    """Archives checked, and problems by kind."""
+    kinds = ("missing", "size", "sha256")
+    n = archives.agg(F.count("*").alias("checked"))
+    return n.crossJoin(problems.agg(*[F.count_if(F.col("problem") == k).alias(k) for k in kinds]))  # one row each
+
+
+def archive_record(sessions: DataFrame) -> DataFrame:
+    """Archive rows of finished sessions: the session's metadata, its path and the time it was archived."""
+    done = sessions.where("state IN ('VERIFYING', 'ARCHIVED') AND relative_path IS NOT NULL")
+    return done.select("upload_id", "line_id", "station_id", "device_id", "collector_id", "work_order", "product_sn", "file_type", "result", "original_filename", "relative_path", "file_size", "file_sha256", "produced_at", "archived_at")
+
+
 def orphans(on_disk: DataFrame, known: DataFrame, key: str) -> DataFrame:
     return on_disk.join(known.select(key), key, "left_anti")
 
