@@ -64,7 +64,7 @@ def test_boilerplate():
     passage = " ".join(f"p{i}" for i in range(60))
     assert he.extract_chunk(["main"] * 12, [[f"own {i}", passage] if i < 3 else [f"own {i}"] for i in range(12)])[0] == f"own 0 {passage}"
     assert he.extract_chunk(["main"] * 12, [[f"own {i}", menu] for i in range(12)]) == [f"own {i}" for i in range(12)]
-    assert he.extract_chunk(["open"] * 2, [[passage], [passage]]) == [passage] * 2 and he.extract_chunk(["open"], [[]]) == [""]
+    assert he.extract_chunk(["open"] * 4, [[passage]] * 4) == [passage] * 4 and he.extract_chunk(["open"] * 2, [["own a", passage], ["own b", passage]]) == [f"own a {passage}", f"own b {passage}"] and he.extract_chunk(["open"], [[]]) == [""]
 
 
 def test_extract_against_the_tables_markup(spark):
