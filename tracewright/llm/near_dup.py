@@ -212,7 +212,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         around = lists.join(first.select("key", F.col("x").alias("l")), "key").where("id <> l").select(F.col("l").alias("p"), F.col("id").alias("q")).distinct()
         delta = stored(_with_texts(around, held).mapInPandas(_differ(k, percent), "l long, y long, n long, linked boolean, delta array<long>"), f"{base}/delta")
         cand = stored(_by_difference(delta, label, percent), f"{base}/cand")
-        links = links.union(stored(_confirm(cand, held, k, percent), f"{base}/links"))
+        # the exact comparisons with leaders count too, where signatures had differed by chance
+        links = links.union(stored(_confirm(cand, held, k, percent), f"{base}/links")).union(delta.where("linked").select(F.col("l").alias("x"), "y"))
         label = stored(components(links, f"{base}/cc"), f"{base}/label")
 
     rep = reps.select("digest", F.col("id").alias("rep"))
