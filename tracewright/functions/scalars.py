@@ -26,8 +26,12 @@ EXTENSIONS = {
 
 
 def tokens(text: Column) -> Column:
-    """Runs of ASCII letters, digits, _ and -, or of any non-ASCII character; A-Z lower-cased, repeats kept."""
-    return F.filter(F.split(F.translate(text, UPPER, LOWER), r"[^a-z0-9_\-\x{80}-\x{10FFFF}]+"), lambda t: t != "")
+    """Runs of ASCII letters, digits, _ and -, or of any non-ASCII character; A-Z lower-cased, repeats kept.
+
+    ``lower`` does the same on pure ASCII, and faster.
+    """
+    low = F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
+    return F.filter(F.split(low, r"[^a-z0-9_\-\x{80}-\x{10FFFF}]+"), lambda t: t != "")
 
 
 def tokens_of(text: str) -> list[str]:
