@@ -157,6 +157,30 @@ def test_batch_limits(spark):
     assert got == [(1, 5, None), (2, 0, "DOCUMENT_LIMIT_EXCEEDED"), (3, 4, None)]
 
 
+def test_batch_cutoff_by_ranges(spark):
+    """The same cut as a running sum over all rows, without a window; ids are sparse, and counts may be 0 at the cut."""
+    for step, most in ((1, 50), (9973, 777), (10**12, 10**9), (10**12, 0), (7, 3)):
+        rows = [(i * step + 5, i % 5) for i in range(2000)]
+        o = spark.createDataFrame(rows, "archive_id long, document_count long").withColumn("failure_code", F.lit(None).cast("string"))
+        want, spent = [], 0
+        for i, n in rows:
+            n = 0 if n > most else n
+            spent += n
+            if spent <= most:
+                want.append((i, n))
+        got = parsers.cut_batch(o, most)
+        assert sorted((r["archive_id"], r["document_count"]) for r in got.collect()) == want
+        assert "Window" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_batch_cutoff_reads_all_orders(spark):
+    from helpers import SF
+
+    from tracewright.plans import catalogue
+
+    assert "<= 1000" not in catalogue.batch_cutoff(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_state_machine(spark, archive):
     batches = spark.createDataFrame([(1, "PARSING", None)], "batch_id long, state string, failure_code string")
     indexed = state.attach(spark.createDataFrame([], "archive_id long, batch_id long, state string, document_count long, failure_code string"), archive[0], 1)

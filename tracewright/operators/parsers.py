@@ -10,7 +10,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import finite_number, iso_to_ms, tokens
@@ -153,12 +152,29 @@ def parse_archives(archives: DataFrame, files: DataFrame, profiles: DataFrame, m
 def cut_batch(outcomes: DataFrame, max_documents: int) -> DataFrame:
     """Outcomes of one batch: a file beyond the limit alone fails, and the batch ends before the file that would exceed it.
 
-    Batches are bounded (100 files by default), so the single window is too.
+    The first archive left out is found from sums by range of the key, at most
+    4096 of them, narrowed down to one key; no task sorts the whole table. Each
+    step evaluates outcomes again, so an expensive one is persisted before.
     """
     alone = F.col("document_count") > max_documents
     o = outcomes.withColumns({"failure_code": F.when(alone, "DOCUMENT_LIMIT_EXCEEDED").otherwise(F.col("failure_code")), "document_count": F.when(alone, 0).otherwise(F.col("document_count"))})
-    order = W.orderBy("archive_id").rowsBetween(W.unboundedPreceding, 0)
-    return o.withColumn("__sum", F.sum("document_count").over(order)).where(F.col("__sum") <= max_documents).drop("__sum")
+    low, high = o.agg(F.min("archive_id"), F.max("archive_id")).first()
+    spent = 0
+    while low is not None:
+        width = -(-(high - low + 1) // 4096)
+        part = F.expr(f"(archive_id - {low}L) div {width}L")
+        sums = o.where(F.col("archive_id").between(low, high)).groupBy(part.alias("r")).agg(F.sum("document_count").alias("s")).collect()
+        for r, s in sorted(sums):
+            if spent + (s or 0) > max_documents:
+                break
+            spent += s or 0
+        else:
+            return o
+        low += r * width
+        if width == 1:
+            return o.where(F.col("archive_id") < low)
+        high = low + width - 1
+    return o
 
 
 def batch_summary(outcomes: DataFrame) -> DataFrame:

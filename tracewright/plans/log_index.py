@@ -68,8 +68,9 @@ class LogIndex:
         batch = (batches.agg(F.max("batch_id")).first()[0] or 0) + 1
         docs, outcomes = parsers.parse_archives(rows, files, profiles)
         # stored before anything depends on them: the batch is cut and counted on what was parsed
-        outcomes = parsers.cut_batch(outcomes, max_documents)
-        outcomes.write.mode("overwrite").parquet(f"{self.root}/outcomes/batch_id={batch}")
+        parsed = outcomes.persist()
+        parsers.cut_batch(parsed, max_documents).write.mode("overwrite").parquet(f"{self.root}/outcomes/batch_id={batch}")
+        parsed.unpersist()
         outcomes = self.spark.read.parquet(f"{self.root}/outcomes/batch_id={batch}")
         docs.join(outcomes.where("failure_code IS NULL").select("archive_id"), "archive_id", "left_semi").write.mode("overwrite").parquet(f"{self.root}/parsed/batch_id={batch}")
         s = parsers.batch_summary(outcomes).first().asDict()
