@@ -8,10 +8,13 @@ address is replaced alike everywhere without a dictionary or a join.
 
 Numbers (cards, phones, social security numbers, IP addresses) go through a
 keyed Feistel network over their digits: a bijection of each format, distinct
-by construction, with Luhn check digits made valid again. Other types take
+by construction, with Luhn check digits made valid again. Secrets, AWS keys and
+IBANs go through one over their characters, a bijection of the values with the
+same kinds of characters in the same places. Hex keys, emails and names take
 60 bits or more of a keyed hash, shaped like the original (case, digits,
-script, gender of a titled name). A collision check over all distinct entities
-confirms distinctness and coreference; a collision re-keys the run.
+script, gender of a titled name). A check over all distinct entities confirms
+distinctness and coreference; of entities that share a surrogate all but one
+get another by a counter, and the rest of the run stays as it is.
 """
 
 from __future__ import annotations
@@ -70,6 +73,34 @@ def _reshape(value: Column, key: Column, hex_only: bool = False) -> Column:
     return let(_stream(key, F.length(value)), chars)
 
 
+def _turned(half: Column, key: Column) -> Column:
+    """half with each ASCII letter and digit moved on inside its kind."""
+
+    def one(s: Column):
+        on = lambda c, i, chars: _pick(chars, F.ascii(c) - ord(chars[0]) + _byte(s, i))
+        return lambda c, i: F.when(c.between("0", "9"), on(c, i, "0123456789")).when(c.between("a", "z"), on(c, i, LOWER)).when(c.between("A", "Z"), on(c, i, UPPER)).otherwise(c)
+
+    return let(_stream(key, F.length(half)), lambda s: F.array_join(F.transform(F.split(half, ""), one(s)), ""))
+
+
+def _permute(value: Column, key: Column) -> Column:
+    """A keyed bijection of the strings with the same kinds of characters in the same places: a Feistel network over the two halves."""
+    cut = F.floor(F.length(value) / 2).cast("int")
+    state = F.struct(F.substring(value, F.lit(1), cut).alias("a"), F.substring(value, cut + 1, F.length(value)).alias("b"))
+    for r in range(0, 6, 2):
+        state = let(state, _turn_a(key, r))
+        state = let(state, _turn_b(key, r + 1))
+    return let(state, lambda s: F.concat(s["a"], s["b"]))
+
+
+def _turn_a(key: Column, r: int):
+    return lambda s: F.struct(_turned(s["a"], F.concat_ws("|", key, F.lit(str(r)), s["b"])).alias("a"), s["b"].alias("b"))
+
+
+def _turn_b(key: Column, r: int):
+    return lambda s: F.struct(s["a"].alias("a"), _turned(s["b"], F.concat_ws("|", key, F.lit(str(r)), s["a"])).alias("b"))
+
+
 def _power(n: Column) -> Column:
     return F.rpad(F.lit("1"), (n + 1).cast("int"), F.lit("0")).cast("bigint")
 
@@ -108,10 +139,12 @@ def _luhn_sum(digits: Column, doubled_from: int) -> Column:
 
 
 def _card(digits: Column, key: Column) -> Column:
+    """A bijection that keeps the first digit and how far the last one is from the valid check digit."""
     n = F.length(digits)
+    check = lambda b: (10 - _luhn_sum(b, 0) % 10) % 10
+    off = F.substring(digits, n, F.lit(1)).cast("int") - check(F.substring(digits, F.lit(1), n - 1)) + 10
     body = F.concat(F.substring(digits, 1, 1), _feistel(F.substring(digits, F.lit(2), n - 2), key))
-    valid = let(body, lambda b: F.concat(b, ((10 - _luhn_sum(b, 0) % 10) % 10).cast("string")))
-    return F.when(_luhn_sum(digits, 1) % 10 == 0, valid).otherwise(F.concat(F.substring(digits, 1, 1), _feistel(F.substring(digits, F.lit(2), n - 1), F.concat(key, F.lit("|plain")))))
+    return let(body, lambda b: F.concat(b, ((check(b) + off) % 10).cast("string")))
 
 
 def _ip(value: Column, key: Column) -> Column:
@@ -133,16 +166,17 @@ def _ip_b(f, r: int):
     return lambda s: F.struct(s["a"].alias("a"), ((s["b"] + f(s["a"], r)) % 65536).alias("b"))
 
 
-def _refill(value: Column, digits: Column) -> Column:
-    """value with its digits replaced in turn, its punctuation as it was."""
-    at = lambda i: F.length(F.regexp_replace(F.substring(value, F.lit(1), i + 1), r"\D", ""))
-    return let(digits, lambda d: F.array_join(F.transform(F.split(value, ""), lambda c, i: F.when(c.rlike(r"\d"), F.substring(d, at(i), F.lit(1))).otherwise(c)), ""))
+def _refill(value: Column, given: Column, kind: str = r"\d") -> Column:
+    """value with its characters of a kind (digits) replaced in turn, the others as they were."""
+    at = lambda i: F.length(F.regexp_replace(F.substring(value, F.lit(1), i + 1), f"(?!{kind}).", ""))
+    return let(given, lambda d: F.array_join(F.transform(F.split(value, ""), lambda c, i: F.when(c.rlike(kind), F.substring(d, at(i), F.lit(1))).otherwise(c)), ""))
 
 
 def _email(value: Column, key: Column) -> Column:
     def parts(p: Column) -> Column:
         local, domain = F.get(p, 0), F.get(p, 1)
-        padded = F.concat(local, F.substring(F.lit("mnopqrstuvwx"), F.lit(1), F.greatest(F.lit(0), 12 - F.length(F.regexp_replace(local, "[^a-z0-9]", "")))))
+        # 13 letters have 61 bits
+        padded = F.concat(local, F.substring(F.lit("mnopqrstuvwxy"), F.lit(1), F.greatest(F.lit(0), 13 - F.length(F.regexp_replace(local, "[^a-z]", "")))))
         label = _reshape(F.lit("abcdefgh"), F.concat_ws("|", key, F.lit("domain"), domain))
         top = F.element_at(F.array(F.lit("com"), F.lit("net"), F.lit("org")), F.pmod(F.xxhash64(key, domain), F.lit(3)).cast("int") + 1)
         return F.concat(_reshape(padded, F.concat_ws("|", key, local, domain)), F.lit("@"), label, F.lit(".example."), top)
@@ -151,7 +185,7 @@ def _email(value: Column, key: Column) -> Column:
 
 
 def _name(value: Column, key: Column) -> Column:
-    """Titled names: the title stays; each part gets syllables in its script, a given name with the title's gender in its ending."""
+    """Titled names: the title stays; each part gets ten syllables (61 bits) in its script, a given name with the title's gender in its ending."""
     title = F.regexp_extract(value, rf"^(?:{_MALE}|{_FEMALE})\.? ", 0)
     female = value.rlike(rf"^(?:{_FEMALE})\.? ")
 
@@ -159,8 +193,8 @@ def _name(value: Column, key: Column) -> Column:
         def word(s: Column) -> Column:
             cyr = p.rlike(r"\p{IsCyrillic}")
             syll = lambda j, c, v: F.concat(_pick(c, _byte(s, F.lit(2 * j))), _pick(v, _byte(s, F.lit(2 * j + 1))))
-            latin = F.concat(*[syll(j, "bdfgklmnprstvz", "aeiou") for j in range(5)])
-            cyril = F.concat(*[syll(j, "бвгдзклмнпрстф", "аеиоу") for j in range(5)])
+            latin = F.concat(*[syll(j, "bdfgklmnprstvz", "aeiou") for j in range(10)])
+            cyril = F.concat(*[syll(j, "бвгдзклмнпрстф", "аеиоу") for j in range(10)])
             given = (i == 0) & (n > 1)
             body = F.initcap(F.when(cyr, cyril).otherwise(latin))
             return F.concat(body, F.when(given & female, F.when(cyr, "на").otherwise("na")).when(given, F.when(cyr, "н").otherwise("n")).otherwise(F.when(cyr, "р").otherwise("r")))
@@ -171,36 +205,46 @@ def _name(value: Column, key: Column) -> Column:
     return F.concat(title, let(F.split(rest, r"(?<=[ \-])|(?=[ \-])"), lambda w: F.array_join(F.transform(w, lambda p, i: F.when(p.rlike(r"^[ \-]$"), p).otherwise(part(p, i, F.size(w)))), "")))
 
 
-def entity(e: Column, key: str) -> Column:
-    """(type, canon, surrogate) of one match; canon is what coreference goes by."""
+def _id(kind: Column, canon: Column) -> Column:
+    return F.xxhash64(kind, canon)
+
+
+def entity(e: Column, key: str, turns: dict[int, int] | None = None) -> Column:
+    """(type, canon, surrogate) of one match; canon is what coreference goes by. turns counts further surrogates by ``_id`` of an entity."""
     digits = F.regexp_replace(e, r"\D", "")
-    k = lambda name: F.lit(f"{key}|{name}")
+    further = F.create_map(*[F.lit(x) for pair in (turns or {}).items() for x in pair])
+
+    def k(name: str, canon: Column) -> Column:
+        own = F.lit(f"{key}|{name}")
+        return F.concat_ws("|", own, F.try_element_at(further, _id(F.lit(name), canon)).cast("string")) if turns else own
+
     tail = lambda d: F.substring(d, F.greatest(F.lit(1), F.length(d) - 9), F.lit(10))
     head = lambda d: F.substring(d, F.lit(1), F.greatest(F.lit(0), F.length(d) - 10))
     lead = F.regexp_extract(e, "^" + _SECRET_WORD, 0)
     value = F.substring(e, F.length(lead) + 1, F.length(e))
     bare = F.regexp_replace(e, " ", "")
+    called = F.regexp_replace(F.lower(e), r"^([^. ]+)\. ", "$1 ")
     made = {
-        "email": (F.lower(e), _email(e, k("email"))),
-        "secret": (value, F.concat(lead, _reshape(value, F.concat_ws("|", k("secret"), value)))),
-        "aws_key": (e, F.concat(F.substring(e, 1, 4), _reshape(F.substring(e, 5, 16), F.concat_ws("|", k("aws"), e)))),
-        "hex_key": (e, _reshape(e, F.concat_ws("|", k("hex"), e), hex_only=True)),
-        "iban": (bare, F.concat(F.substring(e, 1, 2), _reshape(F.substring(e, F.lit(3), F.length(e)), F.concat_ws("|", k("iban"), bare)))),
-        "phone": (tail(digits), _refill(e, F.concat(head(digits), _feistel(tail(digits), k("phone"))))),
-        "ssn": (digits, _refill(e, _feistel(digits, k("ssn")))),
-        "card": (digits, _refill(e, _card(digits, k("card")))),
-        "ip": (e, _ip(e, k("ip"))),
-        "name": (F.lower(e), _name(e, k("name"))),
+        "email": (F.lower(e), lambda k: _email(e, k)),
+        "secret": (value, lambda k: F.concat(lead, _permute(value, k))),
+        "aws_key": (e, lambda k: F.concat(F.substring(e, 1, 4), _permute(F.substring(e, 5, 16), F.concat_ws("|", k, F.substring(e, 1, 4))))),
+        "hex_key": (e, lambda k: _reshape(e, F.concat_ws("|", k, e), hex_only=True)),
+        "iban": (bare, lambda k: _refill(e, F.concat(F.substring(e, 1, 2), _permute(F.substring(bare, F.lit(3), F.length(bare)), F.concat_ws("|", k, F.substring(e, 1, 2)))), "[A-Z0-9]")),
+        "phone": (tail(digits), lambda k: _refill(e, F.concat(head(digits), _feistel(tail(digits), k)))),
+        "ssn": (digits, lambda k: _refill(e, _feistel(digits, k))),
+        "card": (digits, lambda k: _refill(e, _card(digits, k))),
+        "ip": (e, lambda k: _ip(e, k)),
+        "name": (called, lambda k: _name(e, k)),
     }
     pick = None
     for name, (canon, sur) in made.items():
-        s = F.struct(F.lit(name).alias("type"), canon.alias("canon"), sur.alias("surrogate"))
+        s = F.struct(F.lit(name).alias("type"), canon.alias("canon"), sur(k(name, canon)).alias("surrogate"))
         test = e.rlike(f"^(?:{PATTERNS[name]})$")
         pick = F.when(test, s) if pick is None else pick.when(test, s)
     return pick
 
 
-def redact(docs: DataFrame, key: str = "surrogate-key-1", text_col: str = "text") -> DataFrame:
+def redact(docs: DataFrame, key: str = "surrogate-key-1", text_col: str = "text", turns: dict[int, int] | None = None) -> DataFrame:
     """docs with the text replaced, and a column ``entities`` of (type, canon, surrogate) in text order. One narrow projection.
 
     Null texts stay null and, like empty ones, have no entities. An existing
@@ -210,32 +254,51 @@ def redact(docs: DataFrame, key: str = "surrogate-key-1", text_col: str = "text"
 
     def found(x: Column) -> Column:
         rebuilt = lambda e: F.struct(e.alias("e"), F.array_join(F.zip_with(F.split(x, ANY, -1), e, lambda s, y: F.concat(s, F.coalesce(y["surrogate"], F.lit("")))), "").alias("t"))
-        return let(F.transform(F.regexp_extract_all(x, F.lit(ANY), F.lit(0)), lambda m: entity(m, key)), rebuilt)
+        return let(F.transform(F.regexp_extract_all(x, F.lit(ANY), F.lit(0)), lambda m: entity(m, key, turns)), rebuilt)
 
     may = t.rlike(r"[0-9@=:]") | t.contains("AKIA") | t.contains("ASIA") | t.rlike(rf"(?:{_MALE}|{_FEMALE})\.? \p{{Lu}}")
     none = F.array().cast("array<struct<type:string,canon:string,surrogate:string>>")
     return docs.withColumn("__r", F.when(may, let(t, found)).otherwise(F.struct(none.alias("e"), t.alias("t")))).withColumns({text_col: F.col("__r.t"), "entities": F.coalesce(F.col("__r.e"), none)}).drop("__r")
 
 
+def _pairs(redacted: DataFrame) -> DataFrame:
+    """Distinct (type, canon, s) as hashes; s is the surrogate without its format, which must not make two of them equal."""
+    bare = lambda c: F.regexp_replace(c, r"[^\p{L}\p{N}@]", "")
+    kind, sur = F.col("e.type"), F.col("e.surrogate")
+    s = F.when(kind == "phone", F.substring(bare(sur), -10, 10)).when(kind == "secret", F.regexp_replace(sur, "^" + _SECRET_WORD, "")).when(kind.isin("ip", "email"), sur).when(kind == "name", F.regexp_replace(sur, r"\. ", " ")).otherwise(bare(sur))
+    return redacted.select(F.explode("entities").alias("e")).select("e.type", _id(kind, F.col("e.canon")).alias("canon"), F.xxhash64(s).alias("s")).distinct()
+
+
 def collisions(redacted: DataFrame) -> DataFrame:
     """Surrogates given to two entities of a type, or entities with two surrogates; both sides compared without their format. Empty if all is well."""
-    bare = lambda c: F.regexp_replace(c, r"[^\p{L}\p{N}@]", "")
-    e = redacted.select(F.explode("entities").alias("e")).select("e.type", F.xxhash64("e.canon").alias("canon"), F.when(F.col("e.type") == "phone", F.substring(bare(F.col("e.surrogate")), -10, 10)).when(F.col("e.type") == "secret", F.regexp_replace("e.surrogate", "^" + _SECRET_WORD, "")).otherwise(bare(F.col("e.surrogate"))).alias("s"))
-    pairs = e.select("type", "canon", F.xxhash64("s").alias("s")).distinct()
+    pairs = _pairs(redacted)
     merged = pairs.groupBy("type", "s").agg(F.count("*").alias("n")).where("n > 1").select("type", F.lit("merged").alias("what"))
     torn = pairs.groupBy("type", "canon").agg(F.count("*").alias("n")).where("n > 1").select("type", F.lit("torn").alias("what"))
     return merged.union(torn)
 
 
-def surrogates(docs: DataFrame, key: str = "surrogate-key-1", text_col: str = "text", attempts: int = 3) -> DataFrame:
-    """``redact`` stored once in the shared folder and checked for collisions; a collision tries a derived key."""
-    base = scratch(docs.sparkSession)
-    for i in range(attempts):
-        out = stored(redact(docs, key if i == 0 else f"{key}/{i}", text_col), f"{base}/redacted{i}")
-        bad = collisions(out).limit(1).collect()
+def _losers(redacted: DataFrame) -> DataFrame:
+    """``_id`` of the entities that share a surrogate, without the least of each such group."""
+    pairs = _pairs(redacted)
+    shared = pairs.groupBy("type", "s").agg(F.min("canon").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    return pairs.join(shared, ["type", "s"]).where("canon <> first").select("canon").distinct()
+
+
+def surrogates(docs: DataFrame, key: str = "surrogate-key-1", text_col: str = "text") -> DataFrame:
+    """``redact`` stored once in the shared folder and checked for collisions; an entity that shares its surrogate gets another by a counter.
+
+    Hashes of 60 bits share one about once in 10^9 entities, so the counters are few.
+    """
+    base, turns = scratch(docs.sparkSession), {}
+    while True:
+        out = stored(redact(docs, key, text_col, turns), f"{base}/redacted{sum(turns.values())}")
+        bad = collisions(out).distinct().collect()
+        if any(r["what"] == "torn" for r in bad):
+            raise ValueError(f"entities of one canonical form got two surrogates: {sorted(r['type'] for r in bad if r['what'] == 'torn')}")
         if not bad:
             return out
-    raise ValueError(f"surrogates of type {bad[0]['type']} were {bad[0]['what']} under {attempts} keys")
+        for r in _losers(out).collect():
+            turns[r["canon"]] = turns.get(r["canon"], 0) + 1
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
