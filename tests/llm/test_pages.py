@@ -67,6 +67,19 @@ def test_boilerplate():
     assert he.extract_chunk(["open"] * 4, [[passage]] * 4) == [passage] * 4 and he.extract_chunk(["open"] * 2, [["own a", passage], ["own b", passage]]) == [f"own a {passage}", f"own b {passage}"] and he.extract_chunk(["open"], [[]]) == [""]
 
 
+def test_copies_of_an_article_keep_it():
+    menu = "home products about us contact jobs press legal imprint"
+    paragraphs = [" ".join(f"{c}{i}" for i in range(40)) for c in "abc"]
+    assert he.extract_chunk(["main"] * 12, [paragraphs] * 12) == [" ".join(paragraphs)] * 12
+    near = [[*paragraphs, f"read {i} times by now"] for i in range(20)]
+    own = [[" ".join(f"o{i}w{j}" for j in range(30)), menu] for i in range(12)]
+    assert he.extract_chunk(["main"] * 20, near) == [" ".join(p) for p in near]
+    longer = [*paragraphs, " ".join(f"z{i}" for i in range(400))]
+    got = he.extract_chunk(["main"] * 33, [*near, longer, *own])
+    assert got == [" ".join(p) for p in [*near, longer]] + [p[0] for p in own]
+    assert he.extract_chunk([], []) == [] and he.extract_chunk(["main"] * 2, [[], ["a"]]) == ["", "a"]
+
+
 def test_extract_against_the_tables_markup(spark):
     rows = he.query(spark, SF).join(spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "html"), "page_id").collect()
     for r in rows:
