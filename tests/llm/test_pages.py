@@ -80,6 +80,17 @@ def test_copies_of_an_article_keep_it():
     assert he.extract_chunk([], []) == [] and he.extract_chunk(["main"] * 2, [[], ["a"]]) == ["", "a"]
 
 
+def test_frames_of_open_pages_beside_articles():
+    menu = "home products about us contact jobs press legal imprint"
+    text = lambda c, n: " ".join(f"{c}{j}" for j in range(n))
+    own = [[text(f"o{i}w", 30), menu] for i in range(4)]
+    got = he.extract_chunk(["main"] * 20 + ["open"] * 4, [[text(f"m{i}w", 20)] for i in range(20)] + own)
+    assert got[20:] == [p[0] for p in own]
+    assert he.extract_chunk(["open"] * 5, [*own, ["short", menu]]) == [p[0] for p in own] + ["short"]
+    near = [[text("p", 60), f"seen {i} times"] for i in range(4)]
+    assert he.extract_chunk(["open"] * 8, [*near, *own])[:4] == [" ".join(p) for p in near]
+
+
 def test_extract_against_the_tables_markup(spark):
     rows = he.query(spark, SF).join(spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "html"), "page_id").collect()
     for r in rows:
