@@ -35,6 +35,12 @@ def test_blocks():
     assert he.blocks_of("a < b <c") == [("open", "a < b")] or he.blocks_of("a < b <c")[0][1].startswith("a < b")
 
 
+def test_many_unclosed_elements():
+    page = "<div><article>" + "<p>one" * 5000 + "<div>two</div>three</article></div>tail" + "<li>x" * 100_000 + "</dl>" * 100_000
+    kind, texts = he.main_blocks(he.blocks_of(page))
+    assert (kind, texts) == ("main", ["one"] * 5000 + ["two", "three"])
+
+
 def brute_runs(tokens, page, run):
     n = len(tokens)
     where = {}
