@@ -1,3 +1,4 @@
+import random
 import re
 
 from pyspark.sql import functions as F
@@ -73,3 +74,49 @@ def test_collisions_are_settled_by_entity(spark, monkeypatch):
     got = {r["doc_id"]: [e["surrogate"] for e in r["entities"]] for r in pii.surrogates(docs).collect()}
     assert len({f[0] for f in first.values()}) < 60 == len({g[0] for g in got.values()})
     assert all(first[i][1] == got[i][1] for i in first) and sum(first[i][0] == got[i][0] for i in first) >= 30
+
+
+def test_untitled_mentions_and_possessives(spark):
+    text = "Mrs. Anna Smith came. Anna Smith left, and so did Smith's dog and Annabel Smithson. Mr. O'Neil's hat, O'Neil."
+    r = pii.redact(spark.createDataFrame([(1, text), (2, "Anna Smith has no title here.")], "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [e["canon"] for e in r[0]["entities"]] == ["mrs anna smith", "mr o'neil"] and r[1]["text"] == "Anna Smith has no title here."
+    first, last = r[0]["entities"][0]["surrogate"].split()[1:]
+    neil = r[0]["entities"][1]["surrogate"].split()[1]
+    assert r[0]["text"] == f"Mrs. {first} {last} came. {first} {last} left, and so did {last}'s dog and Annabel Smithson. Mr. {neil}'s hat, {neil}."
+
+
+def test_against_brute_force(spark):
+    """Entities in all their formats over many rows: one surrogate each, none shared, nothing left in clear."""
+    rng, rows, said = random.Random(4), [], {}
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    word = lambda: "".join(rng.choice("abcdefghiklmnoprstuvw") for _ in range(6)).title()
+    for i in range(300):
+        kind = i % 6
+        if kind == 0:
+            d = "4" + digits(15)
+            forms = [d, " ".join(d[j : j + 4] for j in range(0, 16, 4)), "-".join(d[j : j + 4] for j in range(0, 16, 4))]
+        elif kind == 1:
+            d = "2" + digits(9)
+            forms = [f"({d[:3]}) {d[3:6]}-{d[6:]}", f"{d[:3]}-{d[3:6]}-{d[6:]}", f"+1 {d[:3]} {d[3:6]} {d[6:]}"]
+        elif kind == 2:
+            a, b = word(), word()
+            forms = [f"Mr. {a} {b}", f"Mr {a}-{b}", f"Mr. {a}-{b}"]
+        elif kind == 3:
+            x = f"{word()}.{digits(3)}@{word()}.org"
+            forms = [x, x.lower(), x.upper()]
+        elif kind == 4:
+            d = "DE" + digits(20)
+            forms = [d, " ".join(d[j : j + 4] for j in range(0, 22, 4))]
+        else:
+            forms = [f"token={digits(6)}"]
+        said[i] = forms
+        rows += [(len(rows), i, f"see {f} , then") for f in forms for _ in range(2)]
+    rng.shuffle(rows)
+    out = pii.surrogates(spark.createDataFrame(rows, "row long, doc_id long, text string").repartition(5)).collect()
+    made = {}
+    for r in out:
+        (e,) = r["entities"]
+        bare = re.sub(r"[^a-z0-9@]", "", e["surrogate"].lower())
+        made.setdefault(r["doc_id"], set()).add(bare[-10:] if e["type"] == "phone" else bare)
+        assert not any(f in r["text"] for f in said[r["doc_id"]])
+    assert len(made) == 300 and all(len(v) == 1 for v in made.values()) and len({min(v) for v in made.values()}) == 300

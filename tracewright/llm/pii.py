@@ -27,6 +27,8 @@ from .common import LOWER, UPPER, let, read_table, scratch, stored
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _MALE, _FEMALE = "Mr|Herr|Señor|Monsieur|господин", "Mrs|Ms|Miss|Frau|Señora|Madame|Mme|госпожа"
 _SECRET_WORD = r"(?i:(?<![\p{L}\p{N}])[a-z_]{0,24}(?:password|passwd|pwd|secret|token|api[_\-]?key|secret[_\-]key)\s{0,3}[=:]\s{0,3}[\"']?)"
+#: A capitalised word, with apostrophes inside but no possessive one.
+_PART = r"\p{Lu}(?:\p{L}|'(?!s?(?!\p{L})))+"
 #: Types in order of precedence; look-behinds and possessive runs keep every pattern linear in the text.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,24}",
@@ -38,7 +40,7 @@ PATTERNS = {
     "ssn": r"(?<![\w\-])\d{3}-\d{2}-\d{4}(?![\w\-])",
     "card": r"(?<![\w\-])(?:[3-6]\d{12,18}|[3-6]\d{3} \d{4} \d{4} \d{4}|[3-6]\d{3}-\d{4}-\d{4}-\d{4})(?![\w\-])",
     "ip": rf"(?<![\w.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\w|\.\d)",
-    "name": rf"(?<![\p{{L}}])(?:{_MALE}|{_FEMALE})\.? \p{{Lu}}[\p{{L}}']+(?:[ \-]\p{{Lu}}[\p{{L}}']+){{0,2}}",
+    "name": rf"(?<![\p{{L}}])(?:{_MALE}|{_FEMALE})\.? {_PART}(?:[ \-]{_PART}){{0,2}}",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 _HEX = "0123456789abcdef"
@@ -205,6 +207,23 @@ def _name(value: Column, key: Column) -> Column:
     return F.concat(title, let(F.split(rest, r"(?<=[ \-])|(?=[ \-])"), lambda w: F.array_join(F.transform(w, lambda p, i: F.when(p.rlike(r"^[ \-]$"), p).otherwise(part(p, i, F.size(w)))), "")))
 
 
+def _called(name: Column) -> Column:
+    """A titled name without its format: lower case, no dot after the title, a space for a hyphen."""
+    return F.replace(F.regexp_replace(F.lower(name), r"^([^. ]+)\. ", "$1 "), F.lit("-"), F.lit(" "))
+
+
+def _name_parts(match: Column, surrogate: Column) -> Column:
+    """(old, new) of each part of a titled name."""
+    bare = lambda n: F.split(F.regexp_replace(n, rf"^(?:{_MALE}|{_FEMALE})\.? ", ""), r"[ \-]")
+    return F.zip_with(bare(match), bare(surrogate), lambda a, b: F.struct(a.alias("old"), b.alias("new")))
+
+
+def _untitled(piece: Column, parts: Column) -> Column:
+    """piece with the parts of the document's titled names replaced where they stand as words of their own; they are letters and apostrophes only."""
+    swap = lambda t, p: F.regexp_replace(t, F.concat(F.lit(r"(?<![\p{L}\p{N}'])"), p["old"], F.lit(r"(?![\p{L}\p{N}])")), p["new"])
+    return F.aggregate(parts, piece, swap)
+
+
 def _id(kind: Column, canon: Column) -> Column:
     return F.xxhash64(kind, canon)
 
@@ -223,7 +242,7 @@ def entity(e: Column, key: str, turns: dict[int, int] | None = None) -> Column:
     lead = F.regexp_extract(e, "^" + _SECRET_WORD, 0)
     value = F.substring(e, F.length(lead) + 1, F.length(e))
     bare = F.regexp_replace(e, " ", "")
-    called = F.regexp_replace(F.lower(e), r"^([^. ]+)\. ", "$1 ")
+    called = _called(e)
     made = {
         "email": (F.lower(e), lambda k: _email(e, k)),
         "secret": (value, lambda k: F.concat(lead, _permute(value, k))),
@@ -249,12 +268,27 @@ def redact(docs: DataFrame, key: str = "surrogate-key-1", text_col: str = "text"
 
     Null texts stay null and, like empty ones, have no entities. An existing
     column ``entities`` is replaced; ties and repeated rows are treated alike.
+    Where a document has a titled name, its parts are replaced in the rest of
+    that document too, with or without the title; entities lists titled ones.
     """
     t = F.col(text_col)
 
+    def rebuilt(x: Column, m: Column) -> Column:
+        def joined(e: Column) -> Column:
+            named = F.filter(F.zip_with(m, e, lambda a, y: F.when(y["type"] == "name", _name_parts(a, y["surrogate"]))), lambda p: p.isNotNull())
+
+            def text(parts: Column) -> Column:
+                # the first of a name's surrogates counts: a given name has another ending than a family name
+                known = F.filter(parts, lambda p, i: F.array_position(parts["old"], p["old"]) == i + 1)
+                plain = F.when(F.size(parts) > 0, let(known, lambda k: F.transform(F.split(x, ANY, -1), lambda s: _untitled(s, k)))).otherwise(F.split(x, ANY, -1))
+                return F.array_join(F.zip_with(plain, e, lambda s, y: F.concat(s, F.coalesce(y["surrogate"], F.lit("")))), "")
+
+            return F.struct(e.alias("e"), let(F.flatten(named), text).alias("t"))
+
+        return let(F.transform(m, lambda v: entity(v, key, turns)), joined)
+
     def found(x: Column) -> Column:
-        rebuilt = lambda e: F.struct(e.alias("e"), F.array_join(F.zip_with(F.split(x, ANY, -1), e, lambda s, y: F.concat(s, F.coalesce(y["surrogate"], F.lit("")))), "").alias("t"))
-        return let(F.transform(F.regexp_extract_all(x, F.lit(ANY), F.lit(0)), lambda m: entity(m, key, turns)), rebuilt)
+        return let(F.regexp_extract_all(x, F.lit(ANY), F.lit(0)), lambda m: rebuilt(x, m))
 
     may = t.rlike(r"[0-9@=:]") | t.contains("AKIA") | t.contains("ASIA") | t.rlike(rf"(?:{_MALE}|{_FEMALE})\.? \p{{Lu}}")
     none = F.array().cast("array<struct<type:string,canon:string,surrogate:string>>")
@@ -265,7 +299,7 @@ def _pairs(redacted: DataFrame) -> DataFrame:
     """Distinct (type, canon, s) as hashes; s is the surrogate without its format, which must not make two of them equal."""
     bare = lambda c: F.regexp_replace(c, r"[^\p{L}\p{N}@]", "")
     kind, sur = F.col("e.type"), F.col("e.surrogate")
-    s = F.when(kind == "phone", F.substring(bare(sur), -10, 10)).when(kind == "secret", F.regexp_replace(sur, "^" + _SECRET_WORD, "")).when(kind.isin("ip", "email"), sur).when(kind == "name", F.regexp_replace(sur, r"\. ", " ")).otherwise(bare(sur))
+    s = F.when(kind == "phone", F.substring(bare(sur), -10, 10)).when(kind == "secret", F.regexp_replace(sur, "^" + _SECRET_WORD, "")).when(kind.isin("ip", "email"), sur).when(kind == "name", _called(sur)).otherwise(bare(sur))
     return redacted.select(F.explode("entities").alias("e")).select("e.type", _id(kind, F.col("e.canon")).alias("canon"), F.xxhash64(s).alias("s")).distinct()
 
 
