@@ -47,11 +47,39 @@ def test_pack_is_sound():
             assert caps[b] == min(c for c in packing.CAPACITIES if c >= fills[b])
 
 
-def test_joint_sizes_beat_each_alone():
+def total(lengths, capacities=packing.CAPACITIES):
+    return sum(packing.cost(int(c)) for c in packing.pack(lengths, capacities)[2])
+
+
+def test_joint_sizes_beat_smaller_menus():
     rng = np.random.default_rng(1)
-    lengths = rng.integers(300, 2000, 400)
-    cost = lambda caps: float(sum(packing.pack(lengths, caps)[2] + packing.BIN_COST))
-    assert cost(packing.CAPACITIES) <= min(cost((c, 2048)) for c in (512, 1024, 4096)) + 1e-9
+    for lengths in (rng.integers(300, 2000, 400), rng.integers(1, 4097, 400), np.minimum(4096, rng.lognormal(5.5, 1, 600).astype(int) + 1)):
+        joint = total(lengths)
+        assert joint <= min(total(lengths, (c, 4096)) for c in (512, 1024, 2048, 4096)) + 1e-9
+        assert len(set(packing.pack(lengths)[2].tolist())) > 1
+
+
+def least_cost(lengths):
+    """The cheapest of all ways to share out the pieces."""
+    sizes = sorted(packing.CAPACITIES)
+
+    def go(i, fills):
+        if i == len(lengths):
+            return sum(packing.cost(next(s for s in sizes if s >= f)) for f in fills)
+        ways = [go(i + 1, [*fills, lengths[i]])]
+        ways += [go(i + 1, [*fills[:j], f + lengths[i], *fills[j + 1 :]]) for j, f in enumerate(fills) if f + lengths[i] <= sizes[-1]]
+        return min(ways)
+
+    return go(0, [])
+
+
+def test_near_the_least_cost():
+    rng = np.random.default_rng(5)
+    found = []
+    for i in range(100):
+        lengths = rng.integers(50, 4000, rng.integers(2, 8)) if i % 2 else rng.integers(20, 1200, 7)
+        found.append(total(lengths) / least_cost(lengths.tolist()))
+    assert min(found) > 1 - 1e-9 and max(found) < 1.25 and np.mean(found) < 1.02
 
 
 def test_packing_edges(spark, edge, empty):

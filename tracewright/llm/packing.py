@@ -1,18 +1,20 @@
 """Variable-capacity best-fit packing of token counts into sequences.
 
 Texts longer than the largest permitted length are cut into pieces. Pieces are
-dealt into groups of bounded size, and each group is packed on its own: pieces
-in falling order go to the open bin with the least room that holds them; where
-none does, the permitted size with the least cost per token it can still be
-filled with is opened. The same is tried with each single size, the cheapest
-plan wins, and every bin is finally cut down to the least permitted size that
-holds its contents. What a group wastes is its last open bins, whatever the
-input's size. Only ids and counts travel.
+dealt into groups of bounded size, and each group is packed on its own, over
+all permitted sizes at once. A sequence costs a constant, its length, and its
+length squared for attention: small sequences cost less per token, large ones
+waste less on a last gap. Pieces in falling order go to the open bin with the
+least room that holds them. Where none does, every size that holds the piece is
+filled in thought with the largest remaining pieces that fit; the size with
+the least cost per token so held is opened. At the end each bin is cut down to
+the least permitted size that holds its contents. What a group wastes is its
+last open bins, whatever the input's size. Only ids and counts travel.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 
 import numpy as np
 import pandas as pd
@@ -22,34 +24,50 @@ from pyspark.sql import functions as F
 from .common import let, read_table, scratch, stored, white_words
 
 CAPACITIES = (512, 1024, 2048, 4096)
-#: Cost of a bin besides its length, in tokens.
-BIN_COST = 8.0
+#: Cost of a sequence: a constant, in tokens, and the length at which attention costs as much as all else.
+BIN_COST, ATTENTION = 8.0, 6144.0
 GROUP_PIECES = 20_000
 
 
-def pack(lengths: np.ndarray, capacities: tuple[int, ...] = CAPACITIES, bin_cost: float = BIN_COST) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(bin, offset) of each piece, and (capacity, fill) of each bin; lengths are 1 to the largest capacity."""
-    sizes = sorted(capacities)
-    order = np.argsort(-lengths, kind="stable")
-    best = None
-    for only in (None, *sizes):
-        plan = _fit(lengths, order, sizes, bin_cost, only)
-        cost = sum(sizes[bisect_left(sizes, f)] + bin_cost for f in plan[2])
-        if best is None or cost < best[0]:
-            best = cost, plan
-    bins, offsets, fills = best[1]
-    return bins, offsets, np.array([sizes[bisect_left(sizes, f)] for f in fills], dtype=np.int64), np.array(fills, dtype=np.int64)
+def cost(size: int, bin_cost: float = BIN_COST, attention: float = ATTENTION) -> float:
+    """Cost of one sequence of so many tokens, padding included."""
+    return bin_cost + size + size * size / attention
 
 
-def _fit(lengths, order, sizes, bin_cost, only):
+def pack(lengths: np.ndarray, capacities: tuple[int, ...] = CAPACITIES, bin_cost: float = BIN_COST, attention: float = ATTENTION) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bin, offset) of each piece, and (capacity, fill) of each bin; lengths are 1 to the largest capacity."""
+    sizes = sorted(capacities)
+    price = {s: cost(s, bin_cost, attention) for s in sizes}
     bins, offsets = np.zeros(len(lengths), dtype=np.int64), np.zeros(len(lengths), dtype=np.int64)
+    kinds, counts = (x.tolist() for x in np.unique(lengths, return_counts=True))  # remaining pieces by length, rising
     fills: list[int] = []
     rooms: list[int] = []  # distinct rooms of open bins, rising
     open_at: dict[int, list[int]] = {}
-    left = int(lengths.sum())
-    for i in order:
+
+    def held(n: int, size: int) -> int:
+        """Tokens of a bin of this size opened for a piece of n, filled with the largest remaining pieces that fit."""
+        room, at = size - n, len(kinds)
+        while room and (at := bisect_right(kinds, room, 0, at)):
+            at -= 1
+            room -= min(counts[at], room // kinds[at]) * kinds[at]
+        return size - room
+
+    def opened(n: int) -> int:
+        best = None
+        for s in sizes:
+            if s >= n:
+                tokens = held(n, s)
+                final = sizes[bisect_left(sizes, tokens)]
+                if best is None or price[final] / tokens < best[0]:
+                    best = price[final] / tokens, s
+        return best[1]
+
+    for i in np.argsort(-lengths, kind="stable").tolist():
         n = int(lengths[i])
-        left -= n
+        counts[-1] -= 1
+        if not counts[-1]:
+            kinds.pop()
+            counts.pop()
         at = bisect_left(rooms, n)
         if at < len(rooms):
             room = rooms[at]
@@ -58,8 +76,7 @@ def _fit(lengths, order, sizes, bin_cost, only):
                 del open_at[room]
                 rooms.pop(at)
         else:
-            fit = [s for s in sizes if s >= n]
-            room = max(only, fit[0]) if only else min(fit, key=lambda s: ((s + bin_cost) / (n + min(s - n, left)), s))
+            room = opened(n)
             b = len(fills)
             fills.append(0)
         bins[i], offsets[i] = b, fills[b]
@@ -69,10 +86,10 @@ def _fit(lengths, order, sizes, bin_cost, only):
                 insort(rooms, room - n)
                 open_at[room - n] = []
             open_at[room - n].append(b)
-    return bins, offsets, fills
+    return bins, offsets, np.array([sizes[bisect_left(sizes, f)] for f in fills], dtype=np.int64), np.array(fills, dtype=np.int64)
 
 
-def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokens: Column | None = None, capacities: tuple[int, ...] = CAPACITIES, bin_cost: float = BIN_COST, group_pieces: int = GROUP_PIECES) -> DataFrame:
+def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokens: Column | None = None, capacities: tuple[int, ...] = CAPACITIES, bin_cost: float = BIN_COST, attention: float = ATTENTION, group_pieces: int = GROUP_PIECES) -> DataFrame:
     """One row per piece: id, piece, start, n_tokens, bin_id, bin_offset, bin_capacity, bin_fill.
 
     tokens is the count of a row's tokens, by default its words. Rows without
@@ -92,7 +109,7 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["n_tokens", "id", "piece"], kind="stable")
-        bins, offsets, caps, fills = pack(pdf["n_tokens"].to_numpy(), capacities, bin_cost)
+        bins, offsets, caps, fills = pack(pdf["n_tokens"].to_numpy(), capacities, bin_cost, attention)
         return pd.DataFrame({"id": pdf["id"], "piece": pdf["piece"], "start": pdf["start"], "n_tokens": pdf["n_tokens"], "bin_id": pdf["g"].to_numpy() * (1 << 32) + bins, "bin_offset": offsets, "bin_capacity": caps[bins], "bin_fill": fills[bins]})
 
     schema = "id long, piece long, start long, n_tokens long, bin_id long, bin_offset long, bin_capacity long, bin_fill long"
