@@ -7,7 +7,8 @@ length squared for attention: small sequences cost less per token, large ones
 waste less on a last gap. Pieces in falling order go to the open bin with the
 least room that holds them. Where none does, every size that holds the piece is
 filled in thought with the largest remaining pieces that fit; the size with
-the least cost per token so held is opened. At the end each bin is cut down to
+the least cost per token so held is opened. The cheapest plan over all menus
+of permitted sizes counts. At the end each bin is cut down to
 the least permitted size that holds its contents. What a group wastes is its
 last open bins, whatever the input's size. Only ids and counts travel.
 """
@@ -15,6 +16,7 @@ last open bins, whatever the input's size. Only ids and counts travel.
 from __future__ import annotations
 
 from bisect import bisect_left, bisect_right, insort
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -35,9 +37,26 @@ def cost(size: int, bin_cost: float = BIN_COST, attention: float = ATTENTION) ->
 
 
 def pack(lengths: np.ndarray, capacities: tuple[int, ...] = CAPACITIES, bin_cost: float = BIN_COST, attention: float = ATTENTION) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(bin, offset) of each piece, and (capacity, fill) of each bin; lengths are 1 to the largest capacity."""
+    """(bin, offset) of each piece, and (capacity, fill) of each bin; lengths are 1 to the largest capacity.
+
+    The rule sees one bin ahead, so now and then it fares better with a size
+    less: it runs with every menu of sizes, and the cheapest plan counts.
+    """
     sizes = sorted(capacities)
     price = {s: cost(s, bin_cost, attention) for s in sizes}
+    longest = int(lengths.max()) if len(lengths) else 0
+    best = None
+    for menu in (m for n in range(len(sizes), 0, -1) for m in combinations(sizes, n) if m[-1] >= longest):
+        bins, offsets, fills = _fit(lengths, menu, price)
+        caps = [sizes[bisect_left(sizes, f)] for f in fills]
+        total = sum(price[c] for c in caps)
+        if best is None or total < best[0]:
+            best = total, bins, offsets, np.array(caps, dtype=np.int64), np.array(fills, dtype=np.int64)
+    return best[1:]
+
+
+def _fit(lengths: np.ndarray, sizes: tuple[int, ...], price: dict[int, float]) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """Best fit over these sizes: bin and offset of each piece, and the fill of each bin."""
     bins, offsets = np.zeros(len(lengths), dtype=np.int64), np.zeros(len(lengths), dtype=np.int64)
     kinds, counts = (x.tolist() for x in np.unique(lengths, return_counts=True))  # remaining pieces by length, rising
     fills: list[int] = []
@@ -86,7 +105,7 @@ def pack(lengths: np.ndarray, capacities: tuple[int, ...] = CAPACITIES, bin_cost
                 insort(rooms, room - n)
                 open_at[room - n] = []
             open_at[room - n].append(b)
-    return bins, offsets, np.array([sizes[bisect_left(sizes, f)] for f in fills], dtype=np.int64), np.array(fills, dtype=np.int64)
+    return bins, offsets, fills
 
 
 def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokens: Column | None = None, capacities: tuple[int, ...] = CAPACITIES, bin_cost: float = BIN_COST, attention: float = ATTENTION, group_pieces: int = GROUP_PIECES) -> DataFrame:
