@@ -1,14 +1,24 @@
 """Benchmark decontamination by winnowing, with built-in functions only.
 
-The fingerprint of a window of 10 words is the least of its 5-gram hashes
-(k = 5, 6 hashes to a window), so any passage of 10 words shared with the
-benchmark has equal fingerprints on both sides. Inside each document row the
-fingerprints are tested against a bitmap of the benchmark's, a literal of
-bounded size; the few windows that pass are exploded and joined with the
-benchmark's windows by their words, which makes the result exact. Texts never
-travel: the plan is one scan, a join on the surviving windows and one
-aggregation of slim rows. Items shorter than a window are one window of their
-own length and have a bitmap by that length.
+Both sides are winnowed: of the 5-gram hashes in each window of 10 words (6 of
+them) the least is selected, the last one on ties, so any passage of 10 words
+that a document shares with the benchmark has a selected gram in common at the
+same place. In steps:
+
+1. Each document becomes one slim row of its selected grams (place, hash), in
+   one pass that needs no exchange. While the benchmark is small enough, a
+   bitmap of its fingerprints, a literal of bounded size, drops those in the row
+   that cannot meet; beyond that size there is none, and nothing else changes.
+2. The fingerprints are joined with the benchmark's distinct ones. Spark
+   broadcasts those if they are small, and exchanges slim rows else.
+3. Each hit is extended: the windows around it are compared by their words with
+   the benchmark's distinct windows, which makes the result exact. Only
+   documents with a hit are read again for that.
+4. Windows give spans and items by document; those are joined with the rows of
+   step 1, which count the words.
+
+Items shorter than a window are one window of their own length, with grams of
+that length where it is below 5; documents are winnowed by those lengths too.
 """
 
 from __future__ import annotations
@@ -16,20 +26,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import alnum_words, let, read_table, window_hashes
+from .common import alnum_words, let, read_table, scratch, stored, window_hashes
 
 WINDOW, GRAM = 10, 5
-#: 64-bit words of a bitmap, least and most: 8 KB to 512 KB, whatever the benchmark's size.
+#: 64-bit words of a bitmap, least and most: 8 KB to 512 KB. A benchmark with more fingerprints than an eighth of the bits has no bitmap.
 BITMAP_LOW, BITMAP_HIGH = 1 << 10, 1 << 16
 
 
-def _fingerprints(words: Column, length: int, gram: int) -> Column:
-    """One fingerprint for each window of ``length`` words, in order of position."""
-    if length < gram:
-        return window_hashes(words, length)
+def winnow(words: Column, length: int, gram: int) -> Column:
+    """(at, fp) of the grams selected from windows of ``length`` words, in order; ``words`` must be bound."""
+    gram = min(gram, length)
     span = length - gram + 1
-    least = lambda h: F.transform(F.sequence(F.lit(0), F.size(h) - span), lambda i: F.least(*[F.get(h, i + j) for j in range(span)]) if span > 1 else F.get(h, i))
-    return F.when(F.size(words) >= length, let(window_hashes(words, gram), least)).otherwise(F.array().cast("array<bigint>"))
+
+    def selected(h: Column) -> Column:
+        def place(i: Column) -> Column:
+            own = [F.get(h, i + j) for j in range(span)]
+            return let(F.least(*own), lambda m: i + F.coalesce(*[F.when(own[j] == m, F.lit(j)) for j in reversed(range(span))])) if span > 1 else i
+
+        places = F.transform(F.sequence(F.lit(0), F.size(h) - span), place)
+        # places never fall, so equal ones are neighbours
+        fresh = let(places, lambda p: F.filter(p, lambda x, i: (i == 0) | (x != F.get(p, i - 1))))
+        return F.transform(fresh, lambda x: F.struct(x.alias("at"), F.get(h, x).alias("fp")))
+
+    return F.when(F.size(words) >= length, let(window_hashes(words, gram), selected)).otherwise(F.array().cast("array<struct<at:int,fp:bigint>>"))
 
 
 def _windows_of(items: DataFrame, window: int) -> DataFrame:
@@ -43,24 +62,25 @@ def _windows_of(items: DataFrame, window: int) -> DataFrame:
     )
 
 
-def _bitmaps(windows: DataFrame, gram: int) -> dict[int, tuple[int, list[int]]]:
-    """By window length the number of words and the words of the bitmap; aggregated on the executors, bounded on the driver."""
-    n = windows.count()
-    size = BITMAP_LOW
-    while size < BITMAP_HIGH and size < n:
-        size *= 2
-    lengths = sorted(r[0] for r in windows.select("length").distinct().collect())
-    out = {}
+def _fingerprints(windows: DataFrame, lengths: list[int], gram: int) -> DataFrame:
+    """(length, fp): the selected gram of each distinct window of the benchmark."""
+    out = None
     for length in lengths:
-        fp = windows.where(F.col("length") == length).select(F.get(let(F.split("win", " "), lambda w: _fingerprints(w, length, gram)), F.lit(0)).alias("fp"))
-        rows = fp.groupBy(_slot(F.col("fp"), size).alias("i")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), _bit(F.col("fp")))).alias("b")).collect()
-        bits = [0] * size
-        for r in rows:
-            bits[r["i"]] = r["b"]
-        out[length] = (size, bits)
+        fp = windows.where(F.col("length") == length).select("length", F.get(let(F.split("win", " "), lambda w: winnow(w, length, gram)), F.lit(0))["fp"].alias("fp")).distinct()
+        out = fp if out is None else out.union(fp)
     return out
 
 
+def _bitmap(fps: DataFrame, length: int, size: int) -> list[int]:
+    """Words of the bitmap of one length, aggregated on the executors; at most ``size`` rows come to the driver."""
+    mine = fps.where(F.col("length") == length)
+    rows = mine.groupBy(_slot(F.col("fp"), size).alias("i")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), _bit(F.col("fp")))).alias("b")).collect()
+    bits = [0] * size
+    for r in rows:
+        bits[r["i"]] = r["b"]
+    return bits
+
+
 def _slot(fp: Column, size: int) -> Column:
     return F.shiftrightunsigned(fp, 6).bitwiseAND(F.lit(size - 1)).cast("int")
 
@@ -69,61 +89,89 @@ def _bit(fp: Column) -> Column:
     return fp.bitwiseAND(F.lit(63)).cast("int")
 
 
-def hit_windows(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
-    """(rows, windows): docs with ``n_words`` and one row for each occurrence of a benchmark window (start, length, win; nulls if none).
+def _seen(selected: Column, size: int, bits: list[int]) -> Column:
+    table = F.expr(f"array({', '.join(f'{b}L' if b > -(1 << 63) else 'bigint(-9223372036854775808)' for b in bits)})")
+    return F.filter(selected, lambda x: F.getbit(F.get(table, _slot(x["fp"], size)), _bit(x["fp"])) == 1)
+
 
-    ``docs`` must have a column ``key``, unique by row, and ``w``, its words.
+def hit_windows(docs: DataFrame, items: DataFrame, base: str, window: int = WINDOW, gram: int = GRAM, bitmap_words: int = BITMAP_HIGH) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows, hits, windows): every row of docs with ``n_words``; each occurrence (start, length, win) of a benchmark window; (item_id, length, win) of the benchmark.
+
+    ``docs`` must have a column ``key`` and ``w``, its words; equal keys must
+    have equal words. bitmap_words bounds the bitmap, 0 leaves it out.
     """
-    windows = _windows_of(items, window)
-    maps = _bitmaps(windows, gram)
+    windows = stored(_windows_of(items, window), f"{base}/windows")
+    lengths = sorted(r[0] for r in windows.select("length").distinct().collect())
+    if not lengths:
+        rows = docs.select("key", F.size("w").alias("n_words"))
+        return rows, rows.limit(0).select("key", F.lit(0).alias("start"), F.lit(0).alias("length"), F.lit("").alias("win")), windows
+    fps = stored(_fingerprints(windows, lengths, gram), f"{base}/prints")
+    n, size = fps.count(), BITMAP_LOW
+    while size < bitmap_words and size < n:
+        size *= 2
+    maps = {length: _bitmap(fps, length, size) for length in lengths} if 8 * n <= 64 * size <= 64 * bitmap_words else {}
+
+    def chosen(w: Column) -> Column:
+        def of(length: int) -> Column:
+            own = winnow(w, length, gram)
+            return F.transform(_seen(own, size, maps[length]) if maps else own, lambda x: F.struct(F.lit(length).alias("length"), x["at"].alias("at"), x["fp"].alias("fp")))
 
-    def of_length(w: Column, length: int, size: int, bits: list[int]) -> Column:
-        table = F.expr(f"array({', '.join(f'{b}L' if b > -(1 << 63) else 'bigint(-9223372036854775808)' for b in bits)})")
-        test = lambda fp, i: F.when(F.getbit(F.get(table, _slot(fp, size)), _bit(fp)) == 1, i)
-        starts = let(_fingerprints(w, length, gram), lambda f: F.array_compact(F.transform(f, test)))
-        return F.transform(starts, lambda i: F.struct(i.alias("start"), F.lit(length).alias("length"), F.array_join(F.slice(w, i + 1, length), " ").alias("win")))
+        return F.struct(F.size(w).alias("n"), F.concat(*[of(length) for length in lengths]).alias("g"))
 
-    def candidates(w: Column) -> Column:
-        found = [of_length(w, length, *table) for length, table in maps.items()]
-        return F.concat(*found) if found else F.array().cast("array<struct<start:int,length:int,win:string>>")
+    rows = docs.select("key", let(F.col("w"), chosen).alias("c")).select("key", F.col("c.n").alias("n_words"), F.col("c.g").alias("grams"))
+    rows = stored(rows, f"{base}/rows")
+    met = rows.where(F.size("grams") > 0).select("key", F.explode("grams").alias("g")).select("key", "g.length", "g.at", "g.fp").join(fps, ["length", "fp"], "left_semi")
+    # a document's own grams: at most as many as it has words
+    met = stored(met.groupBy("key").agg(F.collect_set(F.struct("length", "at")).alias("grams")), f"{base}/met")
 
-    seen = docs.withColumn("c", let(F.col("w"), lambda w: F.struct(F.size(w).alias("n"), candidates(w).alias("hits"))))
-    rows = seen.select("key", F.col("c")["n"].alias("n_words"), F.explode_outer(F.col("c")["hits"]).alias("h")).select("key", "n_words", "h.*")
-    return rows, windows
+    def around(x: Column) -> Column:
+        """Windows that hold the gram, as length << 32 | start: numbers are told apart by hash, structs by comparing all with all."""
+        own = F.least(F.lit(gram), x["length"])
+        low = F.greatest(F.lit(0), x["at"] + own - x["length"])
+        high = F.least(x["at"], F.size("w") - x["length"])
+        return F.transform(F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>")), lambda s: F.shiftleft(x["length"].cast("bigint"), 32) + s)
 
+    def with_words(x: Column) -> Column:
+        start, length = x.bitwiseAND(F.lit(0xFFFFFFFF)).cast("int"), F.shiftright(x, 32).cast("int")
+        return F.struct(start.alias("start"), length.alias("length"), F.array_join(F.slice("w", start + 1, length), " ").alias("win"))
 
-def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    # repeated rows of a key have equal words, so one of them is enough; words are cut inside the row, which explodes without them
+    near = docs.join(met, "key").dropDuplicates(["key"]).select("key", F.transform(F.array_distinct(F.flatten(F.transform("grams", around))), with_words).alias("x"))
+    near = near.select("key", F.explode("x").alias("x")).select("key", "x.*")
+    hits = near.join(windows.select("length", "win").distinct(), ["length", "win"], "left_semi")
+    return rows.select("key", "n_words"), stored(hits.select("key", "start", "length", "win"), f"{base}/hits"), windows
+
+
+def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, gram: int = GRAM, bitmap_words: int = BITMAP_HIGH) -> DataFrame:
     """One row per document: id, n_words, n_hit, n_items, items_sha256, spans (start, length of hit windows) and contaminated.
 
     Null, empty and wordless texts have no words and no hits; wordless items
     occur nowhere. Repeated item rows count once by their id; a null item id
-    never counts as an item, though its words are hit. Rows that repeat a
-    document id with equal words give one row; with different texts, one row
-    for each. An empty benchmark leaves every document clean.
+    never counts as an item, though its words are hit. Repeated rows of docs
+    each keep their row, also where an id has several texts. An empty
+    benchmark leaves every document clean. Other columns are left out.
     """
     t, it = F.col(text_col), F.col(item_text_col)
     # a document is its id and its text: repeated ids stay apart without any stored row number
     keyed = docs.select(F.struct(F.col(id_col).alias("id"), F.xxhash64(t).alias("h"), F.length(t).alias("n")).alias("key"), alnum_words(t).alias("w"))
     bench = items.select(F.col(item_col).alias("item_id"), alnum_words(it).alias("w"))
-    rows, windows = hit_windows(keyed, bench, window, gram)
-    known = windows.groupBy("length", "win").agg(F.collect_set("item_id").alias("items"))
-    joined = rows.join(known, ["length", "win"], "left")
-    hit = F.col("items").isNotNull()
-    got = joined.groupBy("key").agg(
-        F.max("n_words").alias("n_words"),
-        F.array_sort(F.collect_set(F.when(hit, F.struct("start", "length")))).alias("spans"),
-        F.collect_set(F.when(hit, F.array_sort(F.transform("items", lambda x: x.cast("string"))))).alias("items"),
-    )
+    rows, hits, windows = hit_windows(keyed, bench, scratch(docs.sparkSession), window, gram, bitmap_words)
+    spans = hits.groupBy("key").agg(F.sort_array(F.collect_set(F.struct("start", "length"))).alias("spans"))
+    met = hits.join(windows, ["length", "win"]).where("item_id IS NOT NULL").select("key", F.col("item_id").cast("string").alias("item")).distinct()
+    # the digest names every item, so a document's row must hold them all
+    met = met.groupBy("key").agg(F.array_sort(F.collect_set("item")).alias("ids"))
+    got = rows.join(spans.join(met, "key", "left"), "key", "left")
 
     def covered(s: Column) -> Column:
         ends = F.transform(s, lambda x: x["start"] + x["length"])
         step = F.aggregate(F.arrays_zip(s.alias("s"), ends.alias("e")), F.struct(F.lit(0).alias("n"), F.lit(0).alias("to")), lambda a, x: F.struct((a["n"] + F.greatest(F.lit(0), x["e"] - F.greatest(a["to"], x["s"]["start"]))).alias("n"), F.greatest(a["to"], x["e"]).alias("to")))
         return step["n"]
 
-    ids = F.array_sort(F.array_distinct(F.flatten("items")))
+    none = F.array().cast("array<string>")
+    ids, at = F.coalesce("ids", none), F.coalesce("spans", F.array().cast("array<struct<start:int,length:int>>"))
     return got.select(
-        F.col("key.id").alias(id_col), F.col("n_words").cast("long").alias("n_words"), let(F.col("spans"), covered).cast("long").alias("n_hit"),
-        F.size(ids).cast("long").alias("n_items"), F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), "spans", (F.size("spans") > 0).alias("contaminated"),
+        F.col("key.id").alias(id_col), F.col("n_words").cast("long").alias("n_words"), let(at, covered).cast("long").alias("n_hit"),
+        F.size(ids).cast("long").alias("n_items"), F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), at.alias("spans"), (F.size(at) > 0).alias("contaminated"),
     )
 
 
