@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import html as h
+import random
 import re
 
 import numpy as np
@@ -57,44 +58,88 @@ def brute_runs(tokens, page, run):
 @pytest.mark.parametrize("run", [1, 2, 3, 5, 8])
 def test_suffix_array(run):
     rng = np.random.default_rng(run)
-    for n, kinds in ((0, 2), (1, 2), (60, 2), (300, 3), (300, 40)):
+    for n, kinds in ((0, 2), (1, 2), (60, 2), (60, 1), (300, 3), (300, 40)):
         tokens, page = rng.integers(0, kinds, n), np.sort(rng.integers(0, 6, n))
-        counts, order = he.repeated_runs(tokens, page, run)
-        assert counts.tolist() == brute_runs(tokens.tolist(), page.tolist(), run) and sorted(order.tolist()) == list(range(n))
-
-
-def test_boilerplate():
+        assert he.repeated_runs(tokens, page, run).tolist() == brute_runs(tokens.tolist(), page.tolist(), run)
+        order, common = he.suffix_array(tokens)
+        suffixes = sorted((tokens[i:].tolist(), i) for i in range(n))
+        assert order.tolist() == [i for _, i in suffixes]
+        for k in range(1, n):
+            a, b = suffixes[k - 1][0], suffixes[k][0]
+            assert common[k] == next((j for j in range(min(len(a), len(b))) if a[j] != b[j]), min(len(a), len(b)))
+
+
+def test_class_names_of_the_article():
+    text = lambda p: he.main_blocks(he.blocks_of(p))
+    assert text('<main class="has-sidebar"><p>hello</p></main>') == ("main", ["hello"])
+    assert text('<article id="related" class="share widget"><p>a</p><div class="related-work">b</div><div class="related">c</div><div class="share-buttons">d</div></article>') == ("main", ["a", "b"])
+    assert text('<div class="content has-sidebar"><article>x</article></div>') == ("main", ["x"])
+    assert text('<div class="widget"><main>x<aside>y</aside></main></div><div class="main-nav">z</div>') == ("main", ["x"])
+    assert text('<article>x<section class="comments"><article class="comment">y</article></section></article><article class="comment">z</article>') == ("main", ["x"])
+
+
+def test_articles_are_never_trimmed(spark):
+    """Twelve equal pages, or any share of near copies, keep every block of their article."""
     menu = "home products about us contact jobs press legal imprint"
-    got = he.extract_chunk(["open"] * 3, [[f"page {i} says its own thing number {i}", menu] for i in range(3)])
-    assert got == [f"page {i} says its own thing number {i}" for i in range(3)]
-    passage = " ".join(f"p{i}" for i in range(60))
-    assert he.extract_chunk(["main"] * 12, [[f"own {i}", passage] if i < 3 else [f"own {i}"] for i in range(12)])[0] == f"own 0 {passage}"
-    assert he.extract_chunk(["main"] * 12, [[f"own {i}", menu] for i in range(12)]) == [f"own {i}" for i in range(12)]
-    assert he.extract_chunk(["open"] * 4, [[passage]] * 4) == [passage] * 4 and he.extract_chunk(["open"] * 2, [["own a", passage], ["own b", passage]]) == [f"own a {passage}", f"own b {passage}"] and he.extract_chunk(["open"], [[]]) == [""]
+    page = lambda i: f"<nav>{menu}</nav><article><h1>t</h1><p>{'same words again ' * 20}</p><p>read {i} times</p><p>{menu}</p></article><footer>{menu}</footer>"
+    rows = [(i, "http://h/x", page(7 if i < 12 else i)) for i in range(40)]
+    for r in he.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect():
+        assert r["text"] == " ".join(["t", *("same words again".split() * 20), f"read {7 if r['page_id'] < 12 else r['page_id']} times", menu])
+
+
+def brute_open(pages, run=8):
+    """Text of each page (host, blocks) by counting runs over all distinct pages of its host."""
+    out = {}
+    for host in {h for h, _ in pages}:
+        distinct = {tuple(b) for h, b in pages if h == host}
+        words = {p: " ".join(p).split() for p in distinct}
+        grams = lambda p: [tuple(words[p][i : i + run]) for i in range(len(words[p]) - run + 1)]
+
+        def gone(counted):
+            n = {}
+            for p in counted:
+                for g in set(grams(p)):
+                    n[g] = n.get(g, 0) + 1
+            least = max(3, -(-len(counted) // 5))
+            return {p: {i + j for i, g in enumerate(grams(p)) if n.get(g, 0) >= least for j in range(run)} for p in distinct}
+
+        cut = gone(distinct)
+        near = {p for p in distinct if len(cut[p]) > 0.8 * len(words[p])}
+        if near:
+            cut = gone(distinct - near)
+        for p in distinct:
+            kept = [w for i, w in enumerate(words[p]) if i not in cut[p]]
+            out[host, p] = " ".join(kept or words[p])
+    return out
 
 
-def test_copies_of_an_article_keep_it():
-    menu = "home products about us contact jobs press legal imprint"
-    paragraphs = [" ".join(f"{c}{i}" for i in range(40)) for c in "abc"]
-    assert he.extract_chunk(["main"] * 12, [paragraphs] * 12) == [" ".join(paragraphs)] * 12
-    near = [[*paragraphs, f"read {i} times by now"] for i in range(20)]
-    own = [[" ".join(f"o{i}w{j}" for j in range(30)), menu] for i in range(12)]
-    assert he.extract_chunk(["main"] * 20, near) == [" ".join(p) for p in near]
-    longer = [*paragraphs, " ".join(f"z{i}" for i in range(400))]
-    got = he.extract_chunk(["main"] * 33, [*near, longer, *own])
-    assert got == [" ".join(p) for p in [*near, longer]] + [p[0] for p in own]
-    assert he.extract_chunk([], []) == [] and he.extract_chunk(["main"] * 2, [[], ["a"]]) == ["", "a"]
-
-
-def test_frames_of_open_pages_beside_articles():
-    menu = "home products about us contact jobs press legal imprint"
-    text = lambda c, n: " ".join(f"{c}{j}" for j in range(n))
-    own = [[text(f"o{i}w", 30), menu] for i in range(4)]
-    got = he.extract_chunk(["main"] * 20 + ["open"] * 4, [[text(f"m{i}w", 20)] for i in range(20)] + own)
-    assert got[20:] == [p[0] for p in own]
-    assert he.extract_chunk(["open"] * 5, [*own, ["short", menu]]) == [p[0] for p in own] + ["short"]
-    near = [[text("p", 60), f"seen {i} times"] for i in range(4)]
-    assert he.extract_chunk(["open"] * 8, [*near, *own])[:4] == [" ".join(p) for p in near]
+def test_frames_of_open_pages(spark):
+    """Pages without article tags, where the array decides: the result is brute force's, however pages are dealt into chunks."""
+    rng = random.Random(2)
+    word = lambda: f"w{rng.randrange(5000)}"
+    pages = []
+    for host, n in (("big.org", 60), ("small.org", 4), ("two.org", 2), ("mixed.org", 25)):
+        menu, foot = [" ".join(word() for _ in range(k)) for k in (12, 20)]
+        shared = " ".join(word() for _ in range(60))
+        near = [" ".join(word() for _ in range(70)) for _ in range(2)]
+        for i in range(n):
+            own = [" ".join(word() for _ in range(rng.randrange(5, 60))) for _ in range(rng.randrange(1, 4))]
+            if host == "mixed.org" and i % 3 == 0:
+                own = [*near, f"seen {i} times"]
+            if i in (1, 2):
+                own.append(shared)
+            pages.append((host, [menu, *own, f"{foot} {i % 4}"]))
+    pages += [pages[0]] * 5 + [("big.org", [pages[0][1][0]])]
+    rows = [(i, f"http://{h}/{i}", "".join(f"<p>{b}</p>" for b in p)) for i, (h, p) in enumerate(pages)]
+    rows += [(1000 + i, f"http://big.org/a{i}", f"<article>{pages[0][1][0]} {i}</article>") for i in range(30)]
+    want = brute_open(pages)
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    for chunk in (300, 10_000, 10**9):
+        got = {r["page_id"]: r["text"] for r in he.extract(df, chunk_bytes=chunk).collect()}
+        assert len(got) == len(rows)
+        for i, (h, p) in enumerate(pages):
+            assert got[i] == want[h, tuple(p)]
+    assert sum(len(want[h, tuple(p)].split()) < len(" ".join(p).split()) for h, p in pages) > 70
 
 
 def test_extract_against_the_tables_markup(spark):
