@@ -5,6 +5,7 @@ import hashlib
 import html as h
 import random
 import re
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -179,30 +180,67 @@ def test_urls_against_brute_force(spark, nothing):
     assert all((r["host"], r["path"], r["rule"]) == (listed(r["url"])[0], listed(r["url"])[1], listed(r["url"])[2] and listed(r["url"])[2].rule) for r in tables)
 
 
+def brute_rules(rows, support, confidence):
+    """All rules of up to three tokens by counting every combination."""
+    every = {}
+    for n in (1, 2, 3):
+        for c in combinations(sorted({t for r in rows for t in r[0]}), n):
+            inside = [b for items, b in rows if set(c) <= set(items)]
+            if sum(inside) >= support * len(rows) and sum(inside) / max(1, len(inside)) >= confidence:
+                every[c] = sum(inside) / len(inside)
+    return {c: x for c, x in every.items() if not any(set(o) < set(c) and y >= x for o, y in every.items())}
+
+
 def test_rules_against_brute_force(spark):
     rng = np.random.default_rng(3)
     rows = []
     for _ in range(300):
         items = sorted({f"t{x}" for x in rng.integers(0, 6, 4)})
         rows.append((items, bool({"t1", "t2"} <= set(items)) or rng.random() < 0.05))
+    # tokens of one template, some of which good rows have too
+    rows += [([f"c{i}" for i in range(5)], True)] * 20 + [(["c0", "c1"], False)] * 3 + [(["c0", "c2"], False)] * 9
     df = spark.createDataFrame(rows, "items array<string>, bad boolean")
-    got = dict(uf.mine_rules(df, 0.02, 0.8))
-    from itertools import combinations
-
-    every = {}
-    for n in (1, 2, 3):
-        for c in combinations(sorted({t for r in rows for t in r[0]}), n):
-            inside = [b for items, b in rows if set(c) <= set(items)]
-            if sum(inside) >= 0.02 * len(rows) and sum(inside) / len(inside) >= 0.8:
-                every[c] = sum(inside) / len(inside)
-    want = {c: x for c, x in every.items() if not any(set(o) < set(c) and y >= x for o, y in every.items())}
-    assert got == pytest.approx(want)
+    got = uf.mine_rules(df, 0.02, 0.8)
+    assert dict(got) == pytest.approx(brute_rules(rows, 0.02, 0.8)) and ("t1", "t2") in dict(got) and [c for _, c in got] == sorted((c for _, c in got), reverse=True)
     combos = [("t1", "t2"), ("t3",), ("t0", "t9")]
     for r in df.select("items", uf.matching(df["items"], combos).alias("m")).collect():
         assert sorted(r["m"]) == [i for i, c in enumerate(combos) if set(c) <= set(r["items"])]
     assert uf.mine_rules(df.limit(0)) == [] and uf.mine_rules(df.where("NOT bad")) == []
 
 
+def test_a_template_of_many_tokens_is_mined_in_time(spark):
+    """Forty tokens in all bad rows: one set for FP-growth, not 2^40."""
+    rows = [([f"c{i:02d}" for i in range(40)], True)] * 50 + [([f"c{i:02d}" for i in range(0, 40, 2)], False)] * 50
+    got = uf.mine_rules(spark.createDataFrame(rows, "items array<string>, bad boolean"), 0.02, 0.8)
+    assert {k for k, _ in got} == {(f"c{i:02d}",) for i in range(1, 40, 2)}
+
+
+def test_planted_rules_and_the_tables_hosts(spark):
+    """Hosts that seed words point at are blocked where no listed rule fits, and no others; rules as a table judge alike."""
+    pages = spark.read.parquet(f"{SF.replace('0.001', '0.01')}/pages.parquet").select("page_id", "url")
+    extra = spark.createDataFrame([(10**6 + i, f"https://x{i}.shop.example.com/{'deal' if i % 2 else 'help'}/{i}") for i in range(60)] + [(None, "https://free-bets.example.com/x"), (5, None)], pages.schema)
+    pages = pages.union(extra)
+    labels = uf.seeded(pages).where("page_id < 1000000").union(extra.where("page_id >= 1000000").selectExpr("page_id", "url LIKE '%/deal/%' AS bad"))
+    rules = uf.mine_rules(uf.labelled_urls(pages, labels))
+    out = uf.judge(pages, rules).collect()
+    assert ("p:deal",) in dict(rules) and sum(r["mined"] is not None for r in out) > 35
+    for r in out:
+        bad = bool(re.search(r"casino|pills|bets|spam|ads-|adult", r["host"])) or "/deal/" in r["path"]
+        assert r["mined"] is None or bad or r["rule"]
+        assert r["verdict"] == ("block" if r["mined"] else "allow") or r["rule"]
+    again = uf.judge(pages, rules, literal_rules=0).collect()
+    key = lambda r: (str(r["page_id"]), str(r["url"]), r["verdict"], str(r["mined"]), str(r["rule"]))
+    assert sorted(map(key, out)) == sorted(map(key, again))
+
+
+@pytest.mark.parametrize("sf", ["0.001", "0.01"])
+def test_url_query_equals_sql(spark, sf):
+    at = SF.replace("0.001", sf)
+    got = uf.query(spark, at).toPandas()
+    same(got, oracle(uf.SQL, at))
+    assert sf == "0.001" or got.mined.notna().sum() > 5
+
+
 def test_warc_round_trip(spark, pages, nothing, tmp_path):
     path = f"file://{tmp_path}/w"
     warc.write_archives(pages, path, captures_per_file=2)

@@ -17,6 +17,7 @@ QUERIES = {
 SQL = {
     "op2_decontaminate": decontaminate.SQL,
     "op3_quality_rules": quality_rules.SQL,
+    "op5_url_filter": url_filter.SQL,
     "op7_warc": warc.SQL,
     "op10_near_dup": near_dup.SQL,
 }

@@ -4,16 +4,24 @@ Listed rules fit a host with its subdomains and a path prefix; the longest
 wins. URLs that no listed rule fits go to association rules: FP-growth mines
 token combinations that imply a bad label from labelled URLs, rules are pruned
 by support, confidence and redundancy, and an inverted index from token to
-rules finds the rules whose tokens a URL has in full. Both rule sets are
-literals of bounded size inside one projection, so no row is exchanged.
+rules finds the rules whose tokens a URL has in full. A few rules are literals
+inside one projection, so no row is exchanged; many are a table that is joined
+with the distinct URLs' tokens.
+
+Labels may come from anywhere; ``query`` makes them from words of ill repute in
+the host's labels. Tokens are whole labels and path words, so rules name hosts
+and paths that such words point at, not the words.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import combinations, product
+from math import ceil
 
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import LOWER, UPPER, let, read_table, scratch, stored
@@ -34,10 +42,14 @@ class ListRule:
 
 
 LIST = (ListRule("block", "net/"), ListRule("allow", "example.net/en/"), ListRule("block", "example.com/de/"), ListRule("allow", "org/fr/"))
+#: Words between the hyphens of a host's labels that make a labelled URL a bad one.
+SEED_WORDS = ("adult", "ads", "bet", "bets", "betting", "casino", "escort", "loans", "pills", "poker", "porn", "replica", "sex", "slots", "spam", "tracker", "viagra", "warez", "xxx")
 #: Labelled URLs that rules are mined from, about.
 SAMPLE_ROWS = 50_000
-MIN_SUPPORT, MIN_CONFIDENCE, MAX_TOKENS, MAX_RULES = 0.005, 0.8, 3, 500
-BAD = "label=bad"
+MIN_SUPPORT, MIN_CONFIDENCE, MAX_TOKENS = 0.005, 0.8, 3
+#: Up to so many rules are literals of the projection.
+LITERAL_RULES = 1000
+Rules = list[tuple[tuple[str, ...], float]]
 
 
 def host_of(url: Column) -> Column:
@@ -52,56 +64,69 @@ def path_of(url: Column) -> Column:
 
 
 def tokens_of(host: Column, path: Column, url: Column) -> Column:
-    """Distinct tokens with their place: host labels and suffixes, path words (digits as 0), extension and query keys."""
+    """Distinct tokens with their place: host labels and suffixes, path words (digits as 0), extension and query keys; long ones by their digest."""
     labels = F.filter(F.split(host, r"\."), lambda x: x != "")
-    tag = lambda prefix, a: F.transform(a, lambda x: F.concat(F.lit(prefix), x))
-    words = F.filter(F.split(F.regexp_replace(F.lower(path), r"\d+", "0"), r"[/._\-]+"), lambda x: (x != "") & (F.length(x) <= 40))
-    keys = F.regexp_extract_all(F.coalesce(url, F.lit("")), F.lit(r"[?&]([^=&#]{1,40})="), 1)
+    short = lambda x: F.when(F.length(x) > 40, F.md5(x)).otherwise(x)
+    tag = lambda prefix, a: F.transform(a, lambda x: F.concat(F.lit(prefix), short(x)))
+    words = F.filter(F.split(F.regexp_replace(F.lower(path), r"[0-9]+", "0"), r"[/._\-]+"), lambda x: x != "")
+    keys = F.regexp_extract_all(F.coalesce(url, F.lit("")), F.lit(r"[?&]([^=&#]+)="), 1)
     top = F.filter(F.array(F.substring_index(host, ".", -2)), lambda x: x != "")
     return F.array_distinct(F.concat(tag("h:", labels), tag("d:", top), tag("p:", words), tag("q:", keys)))
 
 
-def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, max_tokens: int = MAX_TOKENS, max_rules: int = MAX_RULES) -> list[tuple[tuple[str, ...], float]]:
-    """(tokens, confidence) of the rules that imply a bad label, from rows (items, bad).
+def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, max_tokens: int = MAX_TOKENS) -> Rules:
+    """(tokens, confidence) of all rules of up to three tokens that imply a bad label, from rows (items, bad), the most confident first.
 
-    A rule is dropped if a part of it is as confident. At most max_rules are
-    kept, the most confident first: a bound on the model, not on the rows.
+    Support is the share of all rows that are bad and have the tokens. A rule
+    is dropped if a part of it is as confident. Tokens that stand in the same
+    bad rows are one item to FP-growth, so that a template of many words has
+    one set and not all their subsets; its sets are spelt out again afterwards.
     """
     if max_tokens > 3:
         raise ValueError("rules have three tokens at most")
-    n = labelled.count()
-    bad = labelled.where("bad")
-    if not n or bad.isEmpty():
+    base = scratch(labelled.sparkSession)
+    rows = stored(labelled.where("bad IS NOT NULL AND size(items) > 0").select("items", "bad", F.expr("uuid()").alias("r")).withColumn("r", F.xxhash64("r")), f"{base}/rows")
+    n, n_bad = rows.agg(F.count("*"), F.count_if("bad")).first()
+    if not n_bad:
         return []
-    # combinations must be frequent among bad rows to reach the support; their share among all rows is then counted exactly
-    share = min(1.0, min_support * n / bad.count())
-    sets = FPGrowth(itemsCol="items", minSupport=share, numPartitions=8).fit(bad.select("items")).freqItemsets
-    sets = sets.where(F.size("items") <= max_tokens).select(F.array_sort("items").alias("items"), F.col("freq").alias("hit"))
-    sets = sets.orderBy(F.desc("hit"), "items").limit(20 * max_rules).collect()
-    if not sets:
+    least = max(1, ceil(min_support * n - 1e-9))
+    each = rows.select("r", "bad", F.explode(F.array_distinct("items")).alias("t"))
+    # frequent tokens by the bad rows that they stand in: count and sum of the rows' hashes
+    kinds = each.where("bad").groupBy("t").agg(F.count("*").alias("hit"), F.sum(F.col("r").cast("decimal(38,0)")).alias("sum")).where(F.col("hit") >= least)
+    kinds = stored(kinds.select("t", F.min("t").over(W.partitionBy("hit", "sum")).alias("kind")), f"{base}/kinds")
+    kept = stored(each.join(kinds, "t").groupBy("r", "bad").agg(F.array_sort(F.collect_list("t")).alias("ts"), F.array_sort(F.collect_set("kind")).alias("items")), f"{base}/kept")
+    if kept.isEmpty():
         return []
-    found = {tuple(r["items"]): r["hit"] for r in sets}
-    seen = _matches_all(labelled.where("NOT bad"), list(found))
-    rules = {items: hit / (hit + seen.get(i, 0)) for i, (items, hit) in enumerate(found.items()) if hit / (hit + seen.get(i, 0)) >= min_confidence}
-    kept = [(k, c) for k, c in rules.items() if not any(set(o) < set(k) and oc >= c for o, oc in rules.items())]
-    return sorted(kept, key=lambda x: (-x[1], x[0]))[:max_rules]
-
-
-def _matches_all(rows: DataFrame, combos: list[tuple[str, ...]]) -> dict[int, int]:
-    """How many rows contain each combination of up to three tokens: the subsets of each row's few known tokens are counted, not each combination tried."""
-    known = sorted({t for c in combos for t in c})
-    rest = lambda a, at: F.slice(a, at, F.size(a))
-
-    def subsets(a: Column) -> Column:
-        two = F.flatten(F.transform(a, lambda x, i: F.transform(rest(a, i + 2), lambda y: F.array(x, y))))
-        three = F.flatten(F.transform(a, lambda x, i: F.flatten(F.transform(rest(a, i + 2), lambda y, j: F.transform(rest(a, i + j + 3), lambda z: F.array(x, y, z))))))
-        return F.concat(F.transform(a, lambda x: F.array(x)), two, three)
-
-    mine = F.array_sort(F.array_distinct(F.filter("items", lambda x: x.isin(known))))
-    counts = rows.select(F.explode(let(mine, subsets)).alias("c")).groupBy("c").count()
-    wanted = {c: i for i, c in enumerate(combos)}
-    held = rows.sparkSession.createDataFrame([(list(c),) for c in combos], "c array<string>")
-    return {wanted[tuple(r["c"])]: r["count"] for r in counts.join(F.broadcast(held), "c").collect()}
+    baskets = kept.where("bad").select("items")
+    fit = FPGrowth(itemsCol="items", minSupport=(least - 0.5) / baskets.count(), numPartitions=8).fit(baskets)
+    sets = fit.freqItemsets.where(F.size("items") <= max_tokens).select("items", "freq").collect()
+    members: dict[str, list[str]] = {}
+    for r in kinds.collect():
+        members.setdefault(r["kind"], []).append(r["t"])
+    hits = {tuple(sorted(c)): r["freq"] for r in sets for c in _spelt([members[k] for k in r["items"]], max_tokens)}
+    combos = stored(labelled.sparkSession.createDataFrame([(list(c), h) for c, h in hits.items()], "c array<string>, hit long"), f"{base}/combos")
+    seen = kept.where("NOT bad").select(F.explode(let(F.col("ts"), _subsets)).alias("c")).groupBy("c").agg(F.count("*").alias("seen"))
+    found = combos.join(seen, "c", "left").withColumn("confidence", F.col("hit") / (F.col("hit") + F.coalesce("seen", F.lit(0)))).where(F.col("confidence") >= min_confidence)
+    rules = {tuple(r["c"]): r["confidence"] for r in found.collect()}
+    parts = lambda k: (c for size in range(1, len(k)) for c in combinations(k, size))
+    return sorted(((k, c) for k, c in rules.items() if not any(rules.get(o, -1.0) >= c for o in parts(k))), key=lambda x: (-x[1], x[0]))
+
+
+def _spelt(kinds: list[list[str]], most: int) -> list[tuple[str, ...]]:
+    """Sets of up to so many tokens with at least one of each kind and none of others."""
+    out = []
+    for sizes in product(range(1, most + 1), repeat=len(kinds)):
+        if sum(sizes) <= most:
+            out += [sum(pick, ()) for pick in product(*[combinations(k, size) for k, size in zip(kinds, sizes, strict=True)])]
+    return out
+
+
+def _subsets(a: Column) -> Column:
+    """All parts of one, two and three members of a sorted array."""
+    rest = lambda at: F.slice(a, at, F.size(a))
+    two = F.flatten(F.transform(a, lambda x, i: F.transform(rest(i + 2), lambda y: F.array(x, y))))
+    three = F.flatten(F.transform(a, lambda x, i: F.flatten(F.transform(rest(i + 2), lambda y, j: F.transform(rest(i + j + 3), lambda z: F.array(x, y, z))))))
+    return F.concat(F.transform(a, lambda x: F.array(x)), two, three)
 
 
 def matching(tokens: Column, combos: list[tuple[str, ...]]) -> Column:
@@ -118,35 +143,84 @@ def matching(tokens: Column, combos: list[tuple[str, ...]]) -> Column:
     return let(hits, lambda h: F.filter(F.array_distinct(h), lambda i: F.size(F.filter(h, lambda j: j == i)) == F.get(need, i)))
 
 
-def judge(pages: DataFrame, rules: list[tuple[tuple[str, ...], float]], listed: tuple[ListRule, ...] = LIST, url_col: str = "url") -> DataFrame:
+def _joined(pages: DataFrame, rules: Rules, url_col: str) -> DataFrame:
+    """(url, __m): the first rule met by each distinct url that meets one, by a join with the inverted index."""
+    spark = pages.sparkSession
+    posts = spark.createDataFrame([(t, i, len(k)) for i, (k, _) in enumerate(rules) for t in k], "t string, i int, need int")
+    urls = pages.select(F.col(url_col).alias("url")).distinct()
+    each = urls.select("url", F.explode(tokens_of(host_of(F.col("url")), path_of(F.col("url")), F.col("url"))).alias("t"))
+    return each.join(posts, "t").groupBy("url", "i", "need").agg(F.count("*").alias("n")).where("n = need").groupBy("url").agg(F.min("i").alias("__m"))
+
+
+def judge(pages: DataFrame, rules: Rules, listed: tuple[ListRule, ...] = LIST, url_col: str = "url", literal_rules: int = LITERAL_RULES) -> DataFrame:
     """pages and columns host, path, rule (the listed one, else null), mined (tokens of the most confident rule met, else null) and verdict.
 
     Null urls and urls without :// have empty hosts and paths, which no listed
-    rule fits. Columns of pages with these names are replaced.
+    rule fits. Columns of pages with these names are replaced. Repeated rows are
+    judged alike.
     """
     url = F.col(url_col)
-    out = pages.withColumns({"host": host_of(url), "path": path_of(url)})
+    out = pages.drop("host", "path", "rule", "mined", "verdict").withColumns({"host": host_of(url), "path": path_of(url)})
     pick = None
     for r in sorted(listed, key=lambda r: -len(r.rule)):
         fits = ((F.col("host") == r.host) | F.col("host").endswith("." + r.host)) & F.col("path").startswith(r.path)
         value = F.struct(F.lit(r.rule).alias("rule"), F.lit(r.verdict).alias("verdict"))
         pick = F.when(fits, value) if pick is None else pick.when(fits, value)
-    met = matching(tokens_of(F.col("host"), F.col("path"), url), [k for k, _ in rules])
-    names = F.array(*[F.lit(" ".join(k)) for k, _ in rules]) if rules else F.array().cast("array<string>")
-    out = out.withColumns({"__l": pick if pick is not None else F.lit(None).cast("struct<rule:string,verdict:string>"), "__m": F.array_min(met)})
-    return out.withColumns({"rule": F.col("__l.rule"), "mined": F.get(names, F.col("__m")), "verdict": F.coalesce("__l.verdict", F.when(F.col("__m").isNotNull(), "block").otherwise("allow"))}).drop("__l", "__m")
+    out = out.withColumn("__l", pick if pick is not None else F.lit(None).cast("struct<rule:string,verdict:string>"))
+    if len(rules) <= literal_rules:
+        names = F.array(*[F.lit(" ".join(k)) for k, _ in rules]) if rules else F.array().cast("array<string>")
+        out = out.withColumn("mined", F.get(names, F.array_min(matching(tokens_of(F.col("host"), F.col("path"), url), [k for k, _ in rules]))))
+    else:
+        names = pages.sparkSession.createDataFrame([(i, " ".join(k)) for i, (k, _) in enumerate(rules)], "__m int, mined string")
+        met = _joined(pages, rules, url_col).join(names, "__m").select(F.col("url").alias("__u"), "mined")
+        out = out.join(met, out[url_col] == met["__u"], "left").drop("__u")
+    return out.withColumns({"rule": F.col("__l.rule"), "verdict": F.coalesce("__l.verdict", F.when(F.col("mined").isNotNull(), "block").otherwise("allow"))}).drop("__l")
 
 
 def labelled_urls(pages: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """(items, bad) of pages whose id is labelled; bad is quality 0 or toxic 1. About sample_rows rows by a hash of the id."""
-    lab = labels.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("page_id")).agg(F.max((F.coalesce(F.col("quality"), F.lit(1)) == 0) | (F.coalesce(F.col("toxic"), F.lit(0)) == 1)).alias("bad"))
+    """(items, bad) of pages by their labels (page_id, bad); null labels are none, repeated ones count as bad if one is. About sample_rows rows by a hash of the id."""
+    lab = labels.where("page_id IS NOT NULL AND bad IS NOT NULL").groupBy("page_id").agg(F.max("bad").alias("bad"))
     step = max(1, -(-lab.count() // sample_rows))
     lab = lab.where(F.pmod(F.xxhash64("page_id"), F.lit(step)) == 0)
     url = F.col("url")
     return pages.select("page_id", tokens_of(host_of(url), path_of(url), url).alias("items")).join(lab, "page_id").where(F.size("items") > 0).select("items", "bad")
 
 
+def seeded(pages: DataFrame, words: tuple[str, ...] = SEED_WORDS) -> DataFrame:
+    """Labels (page_id, bad) from the words of the host's labels; a page without a host has none."""
+    host = host_of(F.col("url"))
+    return pages.where(host != "").select("page_id", F.arrays_overlap(F.split(host, r"[.\-]"), F.array(*[F.lit(w) for w in words])).alias("bad"))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read_table(spark, sf_dir, "pages").select("page_id", "url")
-    labelled = stored(labelled_urls(pages, read_table(spark, sf_dir, "labels")), f"{scratch(spark)}/labelled")
-    return judge(pages, mine_rules(labelled)).select("page_id", "host", "path", "rule", "verdict", "mined")
+    return judge(pages, mine_rules(labelled_urls(pages, seeded(pages)))).select("page_id", "host", "path", "rule", "verdict", "mined")
+
+
+#: All parts of up to three frequent tokens are counted; for tables of up to SAMPLE_ROWS labelled pages, beyond which the query mines a sample.
+SQL = rf"""
+WITH u AS (SELECT page_id, url, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT page_id, url, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+l AS (SELECT *, list_filter(string_split(host, '.'), lambda x: x <> '') AS labels, string_split(host, '.') AS raw,
+  list_filter(regexp_split_to_array(regexp_replace(lower(path), '[0-9]+', '0', 'g'), '[/._\-]+'), lambda x: x <> '') AS words, regexp_extract_all(coalesce(url, ''), '[?&]([^=&#]+)=', 1) AS keys FROM p),
+t AS (SELECT page_id, url, host, path, list_distinct(list_concat(list_transform(labels, lambda x: 'h:' || {(short := "CASE WHEN length(x) > 40 THEN md5(x) ELSE x END")}),
+  list_transform(list_filter([array_to_string(raw[greatest(len(raw) - 1, 1) :], '.')], lambda x: x <> ''), lambda x: 'd:' || {short}), list_transform(words, lambda x: 'p:' || {short}), list_transform(keys, lambda x: 'q:' || {short}))) AS items,
+  CASE WHEN host <> '' THEN len(list_intersect(regexp_split_to_array(host, '[.\-]'), [{", ".join(f"'{w}'" for w in SEED_WORDS)}])) > 0 END AS bad FROM l),
+lab AS (SELECT page_id, bool_or(bad) AS bad FROM t WHERE page_id IS NOT NULL AND bad IS NOT NULL GROUP BY page_id),
+r AS (SELECT row_number() OVER () AS r, t.items, lab.bad FROM t JOIN lab USING (page_id) WHERE len(t.items) > 0),
+n AS (SELECT greatest(1, ceil({MIN_SUPPORT} * count(*))) AS least FROM r),
+e AS (SELECT r, bad, unnest(items) AS t FROM r),
+f AS (SELECT t FROM e, n WHERE bad GROUP BY t, least HAVING count(*) >= least),
+k AS (SELECT e.* FROM e JOIN f USING (t)),
+c AS (SELECT bad, [t] AS c FROM k UNION ALL SELECT a.bad, [a.t, b.t] FROM k a JOIN k b ON a.r = b.r AND a.t < b.t
+  UNION ALL SELECT a.bad, [a.t, b.t, d.t] FROM k a JOIN k b ON a.r = b.r AND a.t < b.t JOIN k d ON d.r = b.r AND b.t < d.t),
+s AS (SELECT c, count(*) FILTER (bad) AS hit, count(*) AS n FROM c GROUP BY c),
+rules AS (SELECT c, hit / n AS confidence FROM s, n WHERE hit >= least AND hit / s.n >= {MIN_CONFIDENCE}),
+best AS (SELECT c, row_number() OVER (ORDER BY confidence DESC, c) AS i FROM rules a
+  WHERE NOT EXISTS (SELECT 1 FROM rules o WHERE len(o.c) < len(a.c) AND list_has_all(a.c, o.c) AND o.confidence >= a.confidence)),
+m AS (SELECT t.url, t.page_id, min(i) AS i FROM t JOIN best ON list_has_all(t.items, best.c) GROUP BY ALL),
+o AS (SELECT t.page_id, t.host, t.path, array_to_string(best.c, ' ') AS mined,
+  CASE {" ".join(f"WHEN (host = '{x.host}' OR suffix(host, '.{x.host}')) AND starts_with(path, '{x.path}') THEN '{x.rule}'" for x in sorted(LIST, key=lambda x: -len(x.rule)))} END AS rule
+  FROM t LEFT JOIN m ON m.page_id IS NOT DISTINCT FROM t.page_id AND m.url IS NOT DISTINCT FROM t.url LEFT JOIN best ON best.i = m.i)
+SELECT page_id, host, path, rule, mined,
+  CASE {" ".join(f"WHEN rule = '{x.rule}' THEN '{x.verdict}'" for x in LIST)} WHEN mined IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict FROM o"""
