@@ -5,6 +5,7 @@ import random
 import re
 
 from helpers import SF, oracle, same
+from pyspark.sql import functions as F
 
 from tracewright.llm import decontaminate as dc
 from tracewright.llm import quality_rules as qr
@@ -32,6 +33,9 @@ def test_rules_on_edges(spark, edge, empty):
         assert n >= 50 or (r["quality"]["base_failed"] and not r["quality"]["kept"])
     assert rows[4]["quality"]["n_repeat_words"] == 27000
     assert qr.apply_rules(empty).count() == 0
+    cased = "THE CAT (AND) THE DOG, OF COURSE: 'IS' IT? ".split() * 1
+    docs = spark.createDataFrame([(" ".join(f"{w}{i}" if j == 1 else w for i in range(9) for j, w in enumerate(cased)),)], "text string")
+    assert docs.select(qr.measures(F.col("text")).alias("m")).first()["m"]["w"]["n_stop"] == 9 * 6
     assert "Exchange" not in qr.apply_rules(edge)._jdf.queryExecution().executedPlan().toString()
 
 
@@ -63,8 +67,6 @@ def brute(docs, items):
 
 def test_winnowing_selects_in_every_window(spark):
     """Each window holds a selected gram, namely its least, the last on ties; short lengths have grams of their own."""
-    from pyspark.sql import functions as F
-
     rng = random.Random(3)
     texts = [[rng.choice("abcdefgh"[:kinds]) for _ in range(n)] for kinds in (1, 2, 8) for n in (0, 4, 9, 10, 11, 60)]
     df = spark.createDataFrame([(t,) for t in texts], "w array<string>")

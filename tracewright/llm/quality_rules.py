@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from .common import WHITE, let, read_table, white_words
 
 SYMBOLS = "#*$%&|<>"
+#: Marks that a stop word may touch.
+MARKS = ".,;:!?\"'()[]"
 #: Frequent function words of the four languages of the corpus.
 STOP_WORDS = (
     "the of and to in is it that was for on are as with they at be this have from or by not but what all were when we there an your which their if will each about how "
@@ -72,7 +74,7 @@ def repeated_window_words(words: Column, k: int = 3) -> Column:
 
 
 def measures(text: Column) -> Column:
-    """A struct of the counts of one text; null counts as empty."""
+    """A struct of the counts of one text; null counts as empty. Stop words count in any case and beside marks."""
     t = F.coalesce(text, F.lit(""))
     gone = lambda s, chars: F.length(s) - F.length(F.translate(s, chars, ""))
 
@@ -82,7 +84,7 @@ def measures(text: Column) -> Column:
     with_word = F.filter(F.split(t, "\n"), lambda x: F.btrim(x, F.lit(WHITE)) != "")
     parts = lambda w: F.struct(
         F.size(w).alias("n_words"),
-        F.size(F.filter(w, lambda x: x.isin(*STOP_WORDS))).alias("n_stop"),
+        F.size(F.filter(w, lambda x: F.lower(F.btrim(x, F.lit(MARKS))).isin(*STOP_WORDS))).alias("n_stop"),
         repeated_window_words(w).alias("n_repeat"),
     )
     return F.struct(let(white_words(t), parts).alias("w"), (F.length(t) - gone(t, WHITE)).alias("word_chars"), gone(t, SYMBOLS).alias("n_symbols"), let(with_word, lines).alias("l"))
@@ -149,7 +151,7 @@ m AS (
   SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
          length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
          (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words,
-         len(list_filter(w, lambda x: x IN ({stop}))) AS n_stop, len(l) AS n_lines
+         len(list_filter(w, lambda x: lower(trim(x, '{MARKS.replace("'", "''")}')) IN ({stop}))) AS n_stop, len(l) AS n_lines
   FROM d LEFT JOIN c USING (rid)),
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
