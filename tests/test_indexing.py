@@ -1,53 +1,69 @@
-"""Five archives from bytes to pages: parsing, failures, index, search and rebuild."""
+"""Five archives from bytes to pages: parsing, failures, index, search and rebuild, against a plain model of the same files."""
 
 import hashlib
+import math
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from tracewright.functions import schemas
 from tracewright.operators import index, parsers, search, state
+from tracewright.plans.log_index import LogIndex, WriterBusy
 from tracewright.sources import files as source
 from tracewright.sources.archives import decode_guard
 
 RUN, REPORT = "RUNTIME_LOG", "TEST_REPORT"
-SN = {1: "CTRLMBA1-260713-000001", 2: "POWERDRVB2-260713-000002", 3: "CTRLMBA1-260713-000003"}
-
-
-def run_line(second, level, module, device, station, sn, code, result):
-    return f"2026-07-13T08:{second}.000+08:00 level={level} module={module} device={device} station={station}{f' sn={sn}' if sn else ''} code={code}{f' result={result}' if result else ''}"
-
-
-BODIES = {
-    1: [run_line("00:00", "INFO", "inspection", "AOI-VT-01", "ST-AOI-01", SN[1], "-", "PASS"), run_line("00:01", "ERROR", "inspection", "AOI-VT-01", "ST-AOI-01", SN[1], "INSPECTION_NG", "NG")],
-    2: [run_line("01:00", "INFO", "printer", "SPI-ZM-02", "ST-SPI-02", SN[2], "-", "PASS"), run_line("01:01", "WARN", "printer", "SPI-ZM-02", "ST-SPI-02", SN[2], "PASTE_HEIGHT_WARN", "NG")],
-    3: ["﻿ReportVersion,1.2", "DeviceId,ICT-TRI-03", "WorkOrder,WO-20260713-003", f"ProductSN,{SN[3]}", "TestedAt,2026-07-13T08:02:00.000+08:00", "OverallResult,NG", "TestPoint,TestName,LowerLimit,UpperLimit,Measured,Unit,Result", "TP01-TP02,RESISTANCE,9000,11000,10020,ohm,PASS", 'TP08-GND,"VOLTAGE,CORE",3.15,3.45,3.80,V,NG', "F1,CONTINUITY,0,0.5,0.2,ohm,PASS"],
-    4: [run_line("03:00", "ERROR", "inspection", "UNKNOWN-01", "ST-AOI-02", "", "UNKNOWN_DEVICE", "")],
-    5: [run_line("04:00", "ERROR", "inspection", "AOI-VT-03", "ST-AOI-03", "", "CAMERA_TIMEOUT", "")],
-}
-ROWS = [(1, "ST-AOI-01", "AOI-VT-01", RUN), (2, "ST-SPI-02", "SPI-ZM-02", RUN), (3, "ST-ICT-03", "ICT-TRI-03", REPORT), (4, "ST-AOI-02", "UNKNOWN-01", RUN), (5, "ST-AOI-03", "AOI-VT-03", RUN)]
-
-
-def data(i):
-    end = "\n" if i in (1, 4, 5) else "\r\n"
-    return "".join(x + end for x in BODIES[i]).encode()
+REPORT_HEAD = "TestPoint,TestName,LowerLimit,UpperLimit,Measured,Unit,Result"
+#: archive, device, kind, bytes; the last but one has no profile, the last a wrong hash.
+FILES = [
+    (11, "PRESS-7", RUN, b"2031-02-03T04:05:06.007Z level=INFO module=hydraulics device=PRESS-7 code=- note=idle\n2031-02-03T04:05:09.250Z level=ERROR module=hydraulics device=PRESS-7 code=OIL_HOT note=idle note2=stop\n"),
+    (12, "OVEN-2", RUN, b"2031-02-03T05:00:00.000Z level=WARN module=zone3 device=OVEN-2 code=DRIFT event=ramp\r\n2031-02-03T05:10:00.000Z level=INFO module=zone3 device=OVEN-2 code=- event=idle\r\n2031-02-03T05:20:00.000Z level=INFO module=zone1 device=OVEN-2 event=idle\r\n"),
+    (13, "SCALE-9", REPORT, ("\ufeffReportVersion,1.2\nDeviceId,SCALE-9\nWorkOrder,JOB-5\nProductSN,KX-77\nTestedAt,2031-02-03T06:30:00.000Z\nOverallResult,NG\n" + REPORT_HEAD + "\nW1,tare,-1,1,0.25,gram,PASS\nW2,\"full, shaken\",99,101,104.5,gram,NG\n").encode()),
+    (14, "LOST-1", RUN, b"2031-02-03T07:00:00.000Z level=ERROR module=none code=X\n"),
+    (15, "OVEN-2", RUN, b"2031-02-03T08:00:00.000Z level=ERROR module=zone2 code=Y\n"),
+]
+PROFILES = [("PRESS-7", RUN, "kv_runtime_v1"), ("OVEN-2", RUN, "kv_runtime_v1"), ("SCALE-9", REPORT, "fct_csv_v1")]
+
+
+def model():
+    """(archive, line, offset, length, tokens) of the documents, in order."""
+    out = []
+    for i, _, kind, data in FILES[:3]:
+        at = 0
+        for n, line in enumerate(data.split(b"\n")[:-1], 1):
+            bare = line.removesuffix(b"\r")
+            if kind == RUN or n > 7:
+                text = bare.decode().translate({c: c + 32 for c in range(65, 91)})
+                out.append((i, n, at, len(bare), [w for w in re.split(r"[^a-z0-9_\-\x80-\U0010ffff]+", text) if w]))
+            at += len(line) + 1
+    return out
+
+
+def scores(terms):
+    """Local id to BM25 of the documents with all terms."""
+    docs = [d[4] for d in model()]
+    mean = sum(map(len, docs)) / len(docs)
+    df = {t: sum(t in d for d in docs) for t in terms}
+    part = lambda d, t: math.log(1 + (len(docs) - df[t] + 0.5) / (df[t] + 0.5)) * d.count(t) * 2.2 / (d.count(t) + 1.2 * (0.25 + 0.75 * len(d) / mean))
+    return {i: sum(part(d, t) for t in terms) for i, d in enumerate(docs) if all(t in d for t in terms)}
 
 
 @pytest.fixture(scope="module")
 def archive(spark, tmp_path_factory):
     root = tmp_path_factory.mktemp("archive")
     rows = []
-    for i, station, device, kind in ROWS:
-        path = f"2026/07/13/{device}/{i}.{'csv' if kind == REPORT else 'log'}"
-        (root / path).parent.mkdir(parents=True)
-        (root / path).write_bytes(data(i))
-        sha = "0" * 64 if i == 5 else hashlib.sha256(data(i)).hexdigest()
-        rows.append((i, f"L{i}", station, device, "IPC-1", f"WO-20260713-00{i}" if i < 4 else None, SN.get(i), kind, "f", path, len(data(i)), sha, "2026-07-13 00:00:00", "2026-07-13 00:01:00"))
+    for i, device, kind, data in FILES:
+        path = f"2031/02/03/{device}/{i}.{'csv' if kind == REPORT else 'log'}"
+        (root / path).parent.mkdir(parents=True, exist_ok=True)
+        (root / path).write_bytes(data)
+        sha = "0" * 64 if i == 15 else hashlib.sha256(data).hexdigest()
+        rows.append((i, "HALL-1", f"CELL-{i}", device, "BOX-1", "JOB-5" if i == 13 else None, None, kind, "f", path, len(data), sha, "2031-02-03 09:00:00", "2031-02-03 09:01:00"))
     table = spark.createDataFrame(rows, "archive_id long, line_id string, station_id string, device_id string, collector_id string, work_order string, product_sn string, file_type string, original_filename string, relative_path string, file_size long, file_sha256 string, produced_at string, archived_at string")
     table = table.withColumns({"archived_at": F.to_timestamp("archived_at"), "produced_at": F.to_timestamp("produced_at")})
-    profiles = spark.createDataFrame([("AOI-VT-01", RUN, "kv_runtime_v1"), ("AOI-VT-03", RUN, "kv_runtime_v1"), ("SPI-ZM-02", RUN, "kv_runtime_v1"), ("ICT-TRI-03", REPORT, "fct_csv_v1")], "device_id string, file_type string, profile_name string")
-    files = source.read_files(spark, f"file://{root}")
-    docs, outcomes = parsers.parse_archives(decode_guard(table), files, profiles)
+    profiles = spark.createDataFrame(PROFILES, "device_id string, file_type string, profile_name string")
+    files = source.Archive(spark, f"file://{root}")
+    docs, outcomes = parsers.parse_archives(decode_guard(table), source.read_files(spark, f"file://{root}"), profiles)
     return table, profiles, files, docs.cache(), outcomes.cache()
 
 
@@ -62,49 +78,65 @@ def engine(spark, archive, tmp_path_factory):
 
 def test_outcomes(archive):
     got = {r["archive_id"]: (r["failure_code"], r["document_count"]) for r in archive[4].collect()}
-    assert got == {1: (None, 2), 2: (None, 2), 3: (None, 3), 4: ("PARSER_PROFILE_NOT_FOUND", 0), 5: ("ARCHIVE_SHA256_MISMATCH", 0)}
+    assert got == {11: (None, 2), 12: (None, 3), 13: (None, 2), 14: ("PARSER_PROFILE_NOT_FOUND", 0), 15: ("ARCHIVE_SHA256_MISMATCH", 0)}
     assert parsers.batch_summary(archive[4]).first().asDict() == {"source_files": 5, "parsed_files": 3, "failed_files": 2, "documents": 7}
-    assert [len(data(i)) for i in (1, 2, 3)] == [289, 292, 352]
 
 
 def test_documents(engine):
     rows = engine[1]["documents"].orderBy("local_id").collect()
-    got = [(r["local_id"], r["archive_id"], r["line_no"], r["byte_offset"], r["byte_length"], r["term_count"]) for r in rows]
-    assert got == [(0, 1, 1, 0, 138, 20), (1, 1, 2, 139, 149, 20), (2, 2, 1, 0, 137, 20), (3, 2, 2, 139, 151, 20), (4, 3, 8, 225, 46, 7), (5, 3, 9, 273, 43, 11), (6, 3, 10, 318, 32, 9)]
-    assert all(r["doc_id"] == (1 << 32) + r["local_id"] for r in rows)
-    assert rows[5]["event_name"] == "TP08-GND:VOLTAGE,CORE" and rows[5]["error_code"] == "FCT_LIMIT_FAIL" and rows[0]["error_code"] == ""
+    got = [(r["archive_id"], r["line_no"], r["byte_offset"], r["byte_length"], r["term_count"]) for r in rows]
+    assert got == [(*d[:4], len(d[4])) for d in model()]
+    assert all(r["doc_id"] == (1 << 32) + i == (1 << 32) + r["local_id"] for i, r in enumerate(rows))
+    assert rows[6]["event_name"] == "W2:full, shaken" and rows[6]["error_code"] == "FCT_LIMIT_FAIL" and rows[6]["product_sn"] == "KX-77" and rows[0]["error_code"] == ""
 
 
 def test_index(engine):
     t = engine[1]
-    assert (t["terms"].count(), t["postings"].count()) == (47, 98)
-    assert index.violations(t["documents"], t["files"], t["postings"], t["terms"]).count() == 0
-    broken = t["postings"].withColumn("tf", F.col("tf") - 1)
-    assert {r["rule"] for r in index.violations(t["documents"], t["files"], broken, t["terms"]).collect()} == {"term_frequency", "length_differs"}
+    docs = [d[4] for d in model()]
+    assert t["terms"].count() == len({w for d in docs for w in d}) and t["postings"].count() == sum(len(set(d)) for d in docs)
+    check = lambda posts, terms=t["terms"], stats=t["stats"]: {r["rule"] for r in index.violations(t["documents"], t["files"], posts, terms, stats).collect()}
+    assert check(t["postings"]) == set()
+    assert check(t["postings"].withColumn("tf", F.col("tf") - 1)) == {"term_frequency", "length_differs"}
+    assert check(t["postings"], t["terms"].withColumn("posting_begin", F.lit(0).cast("long"))) == {"postings_not_contiguous", "repeated_begin"}
+    assert check(t["postings"], stats=t["stats"].withColumn("average_length", F.lit(3.0))) == {"statistics_differ"}
 
 
-@pytest.mark.parametrize("words,scores", [(["inspection", "ng"], {1: 1.7669024396676014}), (["ng"], {1: 0.7340631313754198, 3: 0.7340631313754198, 5: 0.9337818432227628}), (["ohm", "pass"], {4: 2.233877840275959, 6: 2.090124720830213}), (["nothing"], {})])
-def test_bm25(engine, words, scores):
+@pytest.mark.parametrize("words", [["oil_hot"], ["idle"], ["idle", "zone3"], ["gram", "pass"], ["absent"], ["idle", "absent"]])
+def test_bm25(engine, words):
     got = {r["doc_id"] & 0xFFFFFFFF: r["bm25"] for r in engine[0].hits(search.SearchQuery(words)).collect()}
-    assert got.keys() == scores.keys() and all(abs(got[k] - v) < 1e-12 for k, v in scores.items())
+    assert got == pytest.approx(scores(words), abs=1e-12)
 
 
-def test_search_and_detail(engine, archive):
+def test_search_and_detail(engine, archive, spark):
     e, t = engine
-    page = e.search(search.SearchQuery(["NG", "inspection"], device_id="AOI-VT-01", page_size=10))
+    page = e.search(search.SearchQuery(["IDLE", "hydraulics"], device_id="PRESS-7", page_size=10))
     rows = search.summary(page.items).collect()
-    assert page.total_hits == 1 and page.snapshot_version == 1 and rows[0]["error_code"] == "INSPECTION_NG" and rows[0]["occurred_at"] == "2026-07-13T00:00:01.000Z"
-    assert e.anomalies(search.SearchQuery(device_id="AOI-VT-01")).total_hits == 1
-    ranked = [r["local_id"] for r in e.search(search.SearchQuery(["ng"]), guarded=False).items.collect()]
-    assert ranked == [5, 1, 3]
-    d = e.detail((1 << 32) + 1, t["files"]).first()
-    raw = source.read_record(archive[2], d["relative_path"], d["file_size"], d["byte_offset"], d["byte_length"]).first()["raw"]
-    assert bytes(raw).decode() == BODIES[1][1]
-    assert e.detail(99, t["files"]).count() == 0
-    assert source.read_record(archive[2], d["relative_path"], d["file_size"] + 1, 0, 1).first()["failure"] == "STORAGE_IO_ERROR"
+    assert page.total_hits == 2 and page.snapshot_version == 1 and rows[0]["error_code"] == "OIL_HOT" and rows[0]["occurred_at"] == "2031-02-03T04:05:09.250Z" and rows[1]["error_code"] is None
+    assert e.anomalies(search.SearchQuery(device_id="PRESS-7")).total_hits == 1
+    weight = {1: 2.0, 2: 1.0, 6: 2.0}
+    ranked = [(r["local_id"], r["score"]) for r in e.search(search.SearchQuery(["idle"]), guarded=False).items.collect()]
+    want = sorted(((s + weight.get(i, 0.0), i) for i, s in scores(["idle"]).items()), reverse=True)
+    assert [i for i, _ in ranked] == [i for _, i in want] and [s for _, s in ranked] == pytest.approx([s for s, _ in want])
+    d = e.detail((1 << 32) + 1, t["files"], archive[2])
+    shown = search.detail_fields(d).first()
+    assert shown["raw"] == FILES[0][3].decode().split("\n")[1] and shown["score"] == 0.0 and shown["archive_id"] == 11 and d.first()["failure"] is None
+    assert e.detail(99, t["files"], archive[2]).count() == 0
+    assert source.read_record(archive[2], d.first()["relative_path"], 1, 0, 1).first()["failure"] == "STORAGE_IO_ERROR"
     assert [r["local_id"] for r in e.restore(1, [(1 << 32) + 3, (1 << 32) + 1]).collect()] == [3, 1]
     with pytest.raises(search.InvalidQuery):
         e.restore(2, [])
+    catalog = spark.createDataFrame([("OIL_HOT", True), ("OFF", False)], "error_code string, enabled boolean")
+    row, best = e.error_code("OIL_HOT", catalog)
+    assert row.count() == 1 and best.items.first()["score"] == 5.0
+    for code in ("OFF", "NEW"):
+        with pytest.raises(LookupError):
+            e.error_code(code, catalog)
+
+
+def test_only_the_wanted_file_is_opened(archive):
+    path = archive[0].where("archive_id = 12").first()["relative_path"]
+    rows = archive[2].files([path, "../x", "no/such"])
+    assert rows.count() == 1 and len(rows.inputFiles()) == 1 and archive[2].files([]).count() == 0
 
 
 def parse(spark, body, kind=RUN, **archive):
@@ -118,7 +150,7 @@ def parse(spark, body, kind=RUN, **archive):
     return r["failure_code"], r["failure_line"]
 
 
-T = b"2026-07-13T08:00:00.000Z "
+T = b"2031-02-03T08:00:00.000Z "
 
 
 @pytest.mark.parametrize("body,expected", [
@@ -140,7 +172,7 @@ def test_file_failures(spark):
     assert parse(spark, good, device_id="D3")[0] == "PARSER_PROFILE_NOT_FOUND"
 
 
-HEAD = b"ReportVersion,1.2\nDeviceId,D1\nWorkOrder,W\nProductSN,P\nTestedAt,2026-07-13T08:00:00.000Z\nOverallResult,PASS\nTestPoint,TestName,LowerLimit,UpperLimit,Measured,Unit,Result\n"
+HEAD = b"ReportVersion,1.2\nDeviceId,D1\nWorkOrder,W\nProductSN,P\nTestedAt,2031-02-03T08:00:00.000Z\nOverallResult,PASS\nTestPoint,TestName,LowerLimit,UpperLimit,Measured,Unit,Result\n"
 
 
 @pytest.mark.parametrize("body,expected", [
@@ -191,7 +223,7 @@ def test_state_machine(spark, archive):
     assert not state.move_batch(batches, 1, "PARSED", "BUILDING")[1]
     batches, indexed = state.publish_ready(batches, indexed, 1)
     assert {r["state"]: r["count"] for r in state.state_counts(indexed).collect()} == {"INDEXED": 3, "FAILED": 2} and state.ready_list(batches) == [1]
-    b2, i2 = state.request_rebuild(batches, indexed, 1)
+    b2, i2 = state.request_rebuild(batches, indexed, 11)
     assert b2.first()["failure_code"] == "REBUILD_REQUESTED" and {r["state"] for r in i2.collect()} == {"PENDING"}
     r = spark.createDataFrame([(1, "PARSING", None), (2, "BUILDING", None), (3, "BUILDING", None), (4, "BUILDING", None), (5, "READY", None)], "batch_id long, state string, failure_code string")
     got = {x["batch_id"]: (x["state"], x["failure_code"]) for x in state.recover(r, [3, 4], [3]).collect()}
@@ -200,25 +232,96 @@ def test_state_machine(spark, archive):
 
 def test_log_index(spark, archive, tmp_path):
     """Scan, build, search, rebuild and build again, as a service would."""
-    from tracewright.plans.log_index import LogIndex
-
     table, profiles, files, _, _ = archive
     x = LogIndex(spark, f"file://{tmp_path}")
+    nothing = x.engine().search(search.SearchQuery(["idle"]), guarded=False)
+    assert (nothing.total_hits, nothing.items.count(), x.engine().average) == (0, 0, 1.0)
     s = x.scan_once(table, files, profiles)
     assert s == {"source_files": 5, "parsed_files": 3, "failed_files": 2, "documents": 7, "batch_id": 1}
     assert x.scan_once(table, files, profiles)["batch_id"] is None
-    assert x.build_next(files) == 1 and x.build_next(files) is None
-    assert x.engine().search(search.SearchQuery(["inspection", "ng"], device_id="AOI-VT-01")).total_hits == 1 and x.orphans() == []
-    assert x.rebuild(1) and not x.rebuild(99)
-    assert x.scan_once(table, files, profiles)["batch_id"] == 2 and x.build_next(files) == 2
+    assert x.build_next(files) == 1 and x.build_next(files) is None and x.verify(1) and not x.verify(2)
+    assert x.engine().search(search.SearchQuery(["idle", "hydraulics"], device_id="PRESS-7")).total_hits == 2 and x.orphans() == []
+    held = {r["archive_id"]: r for r in x.tables()[1].collect()}
+    assert held[11]["indexed_at"] and held[11]["parser_profile"] == "kv_runtime_v1" and held[14]["indexed_at"] is None and held[14]["parser_profile"] is None
+    assert x.rebuild(11) and not x.rebuild(99)
+    assert x.engine().search(search.SearchQuery(["idle"]), guarded=False).total_hits == 0
+    assert x.run(lambda: table, files, lambda: profiles, cycles=1) == 1
     batches, archives = x.tables()
-    got = {r["batch_id"]: (r["state"], r["failure_code"]) for r in batches.collect()}
-    assert got == {1: ("FAILED", "REBUILD_REQUESTED"), 2: ("READY", None)}
+    got = {r["batch_id"]: (r["state"], r["failure_code"], r["published_at"] is not None) for r in batches.collect()}
+    assert got == {1: ("FAILED", "REBUILD_REQUESTED", True), 2: ("READY", None, True)}
     assert {r["state"]: r["count"] for r in state.state_counts(archives).collect()} == {"INDEXED": 3, "FAILED": 2}
-    x.recover()
     assert x.engine().version == 2 and x.engine().documents == 7
 
 
+def test_recovery_and_lock(spark, archive, tmp_path, monkeypatch):
+    """A crash in each step leaves a state that recover brings back; a second writer is turned away; old versions go."""
+    from tracewright.plans import log_index
+
+    monkeypatch.setattr(log_index, "COMPACT_AFTER", 3)
+    table, profiles, files, _, _ = archive
+    x = LogIndex(spark, f"file://{tmp_path}")
+    states = lambda: {r["batch_id"]: (r["state"], r["failure_code"]) for r in x.tables()[0].collect()}
+
+    def broken(*_):
+        raise RuntimeError("power")
+
+    with monkeypatch.context() as m:
+        m.setattr(parsers, "parse_archives", broken)
+        with pytest.raises(RuntimeError):
+            x.scan_once(table, files, profiles)
+    assert states() == {1: ("PARSING", None)}
+    x.recover()
+    assert states() == {1: ("FAILED", "BATCH_INTERRUPTED")} and x.scan_once(table, files, profiles)["batch_id"] == 2
+    with monkeypatch.context() as m:
+        m.setattr(index, "term_dictionary", broken)
+        with pytest.raises(RuntimeError):
+            x.build_next(files)
+    assert states()[2][0] == "BUILDING"
+    x.recover()
+    assert states()[2] == ("PARSED", None)
+    with monkeypatch.context() as m:
+        m.setattr(LogIndex, "_publish", broken)
+        with pytest.raises(RuntimeError):
+            x.build_next(files)
+    assert states()[2][0] == "BUILDING" and x.engine().documents == 0
+    x.recover()
+    assert states()[2] == ("READY", None) and x.engine().documents == 7 and x.verify(2)
+    assert len(x._versions()) <= 10 and 1 <= sum(x._versions().values()) <= 3 and min(x._versions()) > 1
+    (tmp_path / ".writer.lock").write_text("")
+    with pytest.raises(WriterBusy):
+        x.rebuild(11)
+    assert LogIndex(spark, x.root, lease_s=-60).rebuild(11) and x.engine().documents == 0
+    (tmp_path / "parsed/batch_id=2").exists() or x.scan_once(table, files, profiles)
+    b = max(states())
+    spark.range(1).write.mode("overwrite").parquet(f"{x.root}/parsed/batch_id={b}")
+    assert x.build_next(files) is None and states()[b] == ("FAILED", "SEGMENT_BUILD_FAILED")
+
+
+def test_admin(spark, archive, tmp_path):
+    from tracewright import admin
+
+    table, profiles, files, _, _ = archive
+    table.write.parquet(f"{tmp_path}/archives")
+    profiles.write.parquet(f"{tmp_path}/profiles")
+    root = f"file://{tmp_path}/index"
+    scan = [root, "scan-once", "--archives", f"{tmp_path}/archives", "--files", files.root, "--profiles", f"{tmp_path}/profiles"]
+    assert [admin.main(scan, spark), admin.main(scan, spark)] == [0, 1]
+    assert [admin.main([root, "build-once", "--files", files.root], spark) for _ in range(2)] == [0, 1]
+    assert [admin.main([root, *a], spark) for a in (["verify", "1"], ["recover"], ["rebuild", "11"], ["rebuild", "99"])] == [0, 0, 0, 1]
+    with pytest.raises(SystemExit):
+        admin.main([root, "rebuild"], spark)
+
+
+def test_lines_of_a_long_file(spark):
+    body = b"".join(b"%d\r\n" % i if i % 3 else b"\n" for i in range(30_000)) + b"end\r\r"
+    got = source.lines(spark.createDataFrame([(bytearray(body),), (bytearray(b""),)], "content binary")).orderBy("line_no").collect()
+    at, want = 0, []
+    for i, line in enumerate(body.split(b"\n"), 1):
+        want.append((i, at, len(line.removesuffix(b"\r"))))
+        at += len(line) + 1
+    assert [(r["line_no"], r["byte_offset"], r["byte_length"]) for r in got] == want
+
+
 @pytest.mark.parametrize("line,fields", [("a,b", ["a", "b"]), ("", [""]), (",", ["", ""]), ('"a,""b""",c', ['a,"b"', "c"]), ('""', [""]), ('a"b,c', None), ('"a"b', None), ('"a', None), ('"a"",b', None), ('"' + '""' * 20000 + '"', ['"' * 20000]), ("x," * 20000, ["x"] * 20000 + [""])])
 def test_csv_fields(spark, line, fields):
     assert spark.createDataFrame([(line,)], "s string").select(parsers.csv_fields(F.col("s")).alias("f")).first()["f"] == fields

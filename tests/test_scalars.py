@@ -1,5 +1,7 @@
+import base64
 import hashlib
 import hmac
+import struct
 
 import pytest
 from pyspark.sql import functions as F
@@ -29,15 +31,17 @@ def test_iso_format(spark):
 
 
 def test_cursor(spark):
-    assert value(spark, S.cursor_encode(F.lit(1783814592456), F.lit(1024))) == "AAABn1Oil8gAAAAAAAAEAA"
-    assert tuple(text(spark, "AAABn1Oil8gAAAAAAAAEAA", S.cursor_decode)) == (1783814592456, 1024)
-    for bad in ("short", "!" * 22, "AAAAAAAAAAAAAAAAAAAEAA", "AAABn1Oil8gAAAAAAAAAAA", None):
+    made = lambda ms, i: base64.urlsafe_b64encode(struct.pack(">qq", ms, i)).decode().rstrip("=")
+    for ms, i in ((1, 1), (1_927_000_000_123, 77), (2**63 - 1, 2**62 + 5)):
+        assert value(spark, S.cursor_encode(F.lit(ms), F.lit(i))) == made(ms, i)
+        assert tuple(text(spark, made(ms, i), S.cursor_decode)) == (ms, i)
+    for bad in ("abc", "?" * 22, made(0, 9), made(9, 0), made(-1, 9), made(7, 7)[:-1] + "B", made(7, 7) + "\n", None):
         assert text(spark, bad, S.cursor_decode) is None
 
 
 def test_tokens(spark):
-    assert text(spark, "Camera TIMEOUT code=INSPECTION_NG device=AOI-VT-01 detail=相机超时", S.tokens) == ["camera", "timeout", "code", "inspection_ng", "device", "aoi-vt-01", "detail", "相机超时"]
-    assert text(spark, "alarm alarm ALARM", S.tokens) == ["alarm"] * 3 == S.tokens_of("alarm alarm ALARM")
+    said = "Pump_3 STOPPED: axis=Z-09, 温度 too-High; stopped"
+    assert text(spark, said, S.tokens) == S.tokens_of(said) == ["pump_3", "stopped", "axis", "z-09", "温度", "too-high", "stopped"]
     assert text(spark, "É a.b", S.tokens) == S.tokens_of("É a.b") == ["É", "a", "b"]
     assert text(spark, "", S.tokens) == []
 
@@ -59,7 +63,7 @@ def test_doc_id(spark):
     assert value(spark, S.batch_of(F.lit(30064771073))) == 7 and value(spark, S.local_of(F.lit(30064771073))) == 1
 
 
-@pytest.mark.parametrize("s,x", [("1.5", 1.5), (" 2", 2.0), ("-3e2", -300.0), ("1d", None), ("NaN", None), ("inf", None), ("1e999", None), ("1 ", None), ("1e-400", None), ("0.0", 0.0), (".5", 0.5), ("", None)])
+@pytest.mark.parametrize("s,x", [("1.5", 1.5), (" 2", 2.0), ("-3e2", -300.0), ("1d", None), ("NaN", None), ("inf", None), ("1e999", None), ("1 ", None), ("1e-400", None), ("0.0", 0.0), (".5", 0.5), ("", None), ("1.5\n", None), ("0x10", 16.0), ("-0X1.8", -1.5), ("0x1p-2", 0.25), ("0x0", 0.0), ("0x", None)])
 def test_finite_number(spark, s, x):
     assert text(spark, s, S.finite_number) == x
 
@@ -80,7 +84,7 @@ def test_names(spark):
     assert text(spark, "a.TXT", S.extension) == "txt"
     assert [text(spark, s, S.extension) for s in (".txt", "a.", "a")] == [None] * 3
     assert [text(spark, s, S.is_file_name) for s in ("a", "a/b", "", "x" * 256)] == [True, False, False, False]
-    assert [text(spark, s, S.is_identifier) for s in ("A1", "a1", "A", "A" * 65)] == [True, False, False, False]
+    assert [text(spark, s, S.is_identifier) for s in ("A1", "a1", "A", "A" * 65, "AB\n")] == [True, False, False, False, False]
     assert text(spark, "a b~*é", S.percent_encode) == "a%20b~%2A%C3%A9"
     assert value(spark, S.backoff(F.lit(5), F.lit(500), F.lit(6000))) == 6000
 
@@ -88,3 +92,17 @@ def test_names(spark):
 def test_utf8(spark):
     rows = spark.createDataFrame([(bytearray(b"\xc0\xaf"),), (bytearray("é".encode()),)], "b binary")
     assert [r[0] for r in rows.select(S.is_utf8(F.col("b").cast("string"))).collect()] == [False, True]
+
+
+def test_ends_are_ends(spark):
+    uuid = value(spark, S.new_uuid())
+    assert text(spark, uuid, S.is_uuid) and not text(spark, uuid + "\n", S.is_uuid)
+    assert not text(spark, "AB\n", lambda c: S.is_printable(c, 9)) and text(spark, "12\n", S.unsigned) is None and text(spark, "2031-02-03 04:05:06.007\n", S.datetime_to_iso) is None
+    assert text(spark, "2031-02-03T04:05:06.007Z\n", S.iso_to_ms) is None
+
+
+def test_request_ids_and_parameters(spark):
+    assert value(spark, S.sequenced_request_id(F.lit(1_927_000_000_123_456), F.lit(255))) == f"srv-{1_927_000_000_123_456:016x}-000000ff"
+    assert len(value(spark, S.random_request_id())) == 32
+    q = "a=1&keyword=x%20y+z&b=&keyword=second&bad=%zz"
+    assert [text(spark, q, lambda c, n=n: S.query_value(c, n)) for n in ("keyword", "a", "b", "c", "bad")] == ["x y z", "1", "", None, None]

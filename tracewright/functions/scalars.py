@@ -6,15 +6,16 @@ Nulls give nulls unless a docstring says otherwise. Sizes and limits are bytes.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Whole-string shape of a timestamp: three fractional digits, Z or an offset of at most 14:00.
-ISO_SHAPE = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}\.\d{3}(?:Z|[+-](?:0\d|1[0-3]):[0-5]\d|[+-]14:00)$"
-IDENTIFIER = r"^[A-Z0-9_-]{2,64}$"
-UUID = r"^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
+ISO_SHAPE = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}\.\d{3}(?:Z|[+-](?:0\d|1[0-3]):[0-5]\d|[+-]14:00)\z"
+IDENTIFIER = r"^[A-Z0-9_-]{2,64}\z"
+UUID = r"^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\z"
 #: The file extensions that each file type allows.
 EXTENSIONS = {
     "DETECTION_RESULT": ("json", "csv"),
@@ -25,6 +26,11 @@ EXTENSIONS = {
 }
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once per row, even where a lambda uses it often."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def tokens(text: Column) -> Column:
     """Runs of ASCII letters, digits, _ and -, or of any non-ASCII character; A-Z lower-cased, repeats kept.
 
@@ -56,7 +62,7 @@ def ms_to_datetime(ms: Column) -> Column:
 
 def datetime_to_iso(text: Column) -> Column:
     """ISO form of a database datetime of exactly three fractional digits; null otherwise."""
-    return F.when(text.rlike(r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}\.\d{3}$"), F.concat(F.replace(text, F.lit(" "), F.lit("T")), F.lit("Z")))
+    return F.when(text.rlike(r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}\.\d{3}\z"), F.concat(F.replace(text, F.lit(" "), F.lit("T")), F.lit("Z")))
 
 
 def cursor_encode(ms: Column, row_id: Column) -> Column:
@@ -67,7 +73,7 @@ def cursor_encode(ms: Column, row_id: Column) -> Column:
 
 def cursor_decode(cursor: Column) -> Column:
     """(ms, id), null for a wrong length or alphabet, unused bits, zero or a number beyond 63 bits."""
-    raw = F.hex(F.unbase64(F.concat(F.translate(F.when(cursor.rlike(r"^[A-Za-z0-9_-]{21}[AQgw]$"), cursor), "-_", "+/"), F.lit("=="))))
+    raw = F.hex(F.unbase64(F.concat(F.translate(F.when(cursor.rlike(r"^[A-Za-z0-9_-]{21}[AQgw]\z"), cursor), "-_", "+/"), F.lit("=="))))
     half = lambda at: F.when(F.substring(raw, at, 1) < "8", F.conv(F.substring(raw, at, 16), 16, 10).cast("long"))
     ms, row_id = half(1), half(17)
     return F.when((ms > 0) & (row_id > 0), F.struct(ms.alias("ms"), row_id.alias("id")))
@@ -135,7 +141,7 @@ def is_file_name(text: Column) -> Column:
 
 def extension(name: Column) -> Column:
     """Lower-cased extension; null for none, a leading dot only, or a trailing dot."""
-    return F.nullif(F.lower(F.regexp_extract(name, r"(?s)^.+\.([^.]+)$", 1)), F.lit(""))
+    return F.nullif(F.lower(F.regexp_extract(name, r"(?s)^.+\.([^.]+)\z", 1)), F.lit(""))
 
 
 def extension_allowed(name: Column, kind: Column) -> Column:
@@ -157,23 +163,25 @@ def is_text(text: Column, most: int) -> Column:
 
 
 def is_printable(text: Column, most: int) -> Column:
-    return F.octet_length(text).between(1, most) & text.rlike(r"^[\x20-\x7e]+$")
+    return F.octet_length(text).between(1, most) & text.rlike(r"^[\x20-\x7e]+\z")
 
 
 def unsigned(text: Column) -> Column:
     """A decimal of at most 64 unsigned bits, as decimal(20); null for signs, spaces or overflow."""
-    value = F.when(text.rlike(r"^[0-9]+$"), F.expr("1") * 0 + F.try_to_number(F.lpad(F.regexp_replace(text, "^0+(?=.)", ""), 20, "0"), F.lit("0" * 20)))
+    value = F.when(text.rlike(r"^[0-9]+\z"), F.expr("1") * 0 + F.try_to_number(F.lpad(F.regexp_replace(text, "^0+(?=.)", ""), 20, "0"), F.lit("0" * 20)))
     return F.when(F.length(F.regexp_replace(text, "^0+(?=.)", "")) <= 20, F.when(value <= F.lit("18446744073709551615").cast("decimal(20,0)"), value.cast("decimal(20,0)")))
 
 
-_NUMBER = r"^[ \t\n\x0B\f\r]*[+-]?(?:\d+\.?\d*(?:[eE][+-]?\d+)?|\.\d+(?:[eE][+-]?\d+)?|0[xX](?:[0-9a-fA-F]+\.?[0-9a-fA-F]*|\.[0-9a-fA-F]+)[pP][+-]?\d+)$"
+_HEX_DIGITS = r"0[xX](?:[0-9a-fA-F]+\.?[0-9a-fA-F]*|\.[0-9a-fA-F]+)"
+_NUMBER = rf"^[ \t\n\x0B\f\r]*[+-]?(?:\d+\.?\d*(?:[eE][+-]?\d+)?|\.\d+(?:[eE][+-]?\d+)?|{_HEX_DIGITS}(?:[pP][+-]?\d+)?)\z"
+_ZERO = r"^[ \t\n\x0B\f\r]*[+-]?(?:(?:0+\.?0*|\.0+)(?:[eE][+-]?\d+)?|0[xX](?:0+\.?0*|\.0+)(?:[pP][+-]?\d+)?)\z"
 
 
 def finite_number(text: Column) -> Column:
-    """A double that takes the whole text; null for infinities, NaN, over- and underflow and trailing characters."""
-    value = F.when(text.rlike(_NUMBER), text.try_cast("double"))
-    zero = text.rlike(r"^[ \t\n\x0B\f\r]*[+-]?(?:0+\.?0*|\.0+)(?:[eE][+-]?\d+)?$")
-    return F.when((F.abs(value) < float("inf")) & ((F.abs(value) >= 2.2250738585072014e-308) | zero), value)
+    """A double that takes the whole text, hexadecimal with or without an exponent too; null for infinities, NaN, over- and underflow and trailing characters."""
+    bare = text.rlike(rf"{_HEX_DIGITS}\z")
+    value = F.when(text.rlike(_NUMBER), F.when(bare, F.concat(text, F.lit("p0"))).otherwise(text).try_cast("double"))
+    return F.when((F.abs(value) < float("inf")) & ((F.abs(value) >= 2.2250738585072014e-308) | text.rlike(_ZERO)), value)
 
 
 def percent_encode(text: Column) -> Column:
@@ -210,3 +218,25 @@ def is_utf8(data: Column) -> Column:
 def levels_split(text: Column) -> Column:
     """Comma split that keeps empty parts, which later checks reject."""
     return F.split(text, ",")
+
+
+def new_uuid() -> Column:
+    """A fresh lower-case version 4 UUID in each row."""
+    return F.expr("uuid()")
+
+
+def sequenced_request_id(us: Column, number: Column) -> Column:
+    """``srv-``, 16 hex digits of the microseconds, and 8 or more of a running number."""
+    at_least = lambda c, n: F.when(F.length(F.hex(c)) < n, F.lpad(F.hex(c), n, "0")).otherwise(F.hex(c))
+    return F.concat(F.lit("srv-"), F.lower(at_least(us.cast("long"), 16)), F.lit("-"), F.lower(at_least(number.cast("long"), 8)))
+
+
+def random_request_id() -> Column:
+    """128 random bits as 32 hex digits."""
+    return F.md5(F.concat(F.expr("uuid()"), F.expr("uuid()")))
+
+
+def query_value(query: Column, name: str) -> Column:
+    """Decoded value of the first parameter of a name in a query string; null where it is missing or not decodable."""
+    part = F.get(F.filter(F.split(query, "&"), lambda x: x.startswith(name + "=")), F.lit(0))
+    return F.try_url_decode(F.substring(part, F.lit(len(name) + 2), F.length(part)))

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import schemas
 from ..functions.scalars import doc_id, tokens
 from ..sources.files import utf8
 
@@ -83,12 +84,21 @@ def build_segment(docs: DataFrame, outcomes: DataFrame, batch_id: int, root: str
     segment_stats(spark.read.parquet(where("documents")).withColumn("batch_id", F.lit(batch_id).cast("long"))).drop("batch_id").write.mode("error").parquet(where("stats"))
 
 
+SCHEMAS = {
+    "documents": "doc_id long, batch_id long, local_id long, archive_id long, line_no long, byte_offset long, byte_length long, occurred_at_ms long, archived_at_ms long, term_count long, line_id string, station_id string, device_id string, collector_id string, work_order string, product_sn string, source_type string, level string, module_name string, error_code string, event_name string",
+    "files": schemas.FILE, "postings": schemas.POSTING, "terms": schemas.TERM,
+    "stats": "batch_id long, documents long, total_terms long, average_length double, min_occurred_at_ms long, max_occurred_at_ms long",
+}
+
+
 def load(spark: SparkSession, root: str, table: str, ready: list[int]) -> DataFrame:
-    """A table of the READY batches, pruned by partition; batch_id is a long."""
+    """A table of the READY batches, pruned by partition; batch_id is a long. No batch gives no rows."""
+    if not ready:
+        return spark.createDataFrame([], SCHEMAS[table])
     return spark.read.option("basePath", f"{root}/{table}").parquet(*[f"{root}/{table}/batch_id={b}" for b in ready]).withColumn("batch_id", F.col("batch_id").cast("long"))
 
 
-def violations(docs: DataFrame, files: DataFrame, posts: DataFrame, terms: DataFrame) -> DataFrame:
+def violations(docs: DataFrame, files: DataFrame, posts: DataFrame, terms: DataFrame, stats: DataFrame | None = None) -> DataFrame:
     """(rule, n) of the broken invariants of one batch; empty for a sound one."""
     checks = [
         ("local_id_not_contiguous", docs.agg(((F.count("*") != F.count_distinct("local_id")) | (F.min("local_id") != 0) | (F.max("local_id") != F.count("*") - 1)).cast("long").alias("n"))),
@@ -101,7 +111,14 @@ def violations(docs: DataFrame, files: DataFrame, posts: DataFrame, terms: DataF
         ("posting_without_document", posts.join(docs, "doc_id", "left_anti").agg(F.count("*").alias("n"))),
         ("df_differs", posts.groupBy("term").agg(F.count("*").alias("c")).join(terms, "term", "full").agg(F.count_if(~F.col("c").eqNullSafe(F.col("df")) | ~F.col("df").eqNullSafe(F.col("posting_count"))).alias("n"))),
         ("length_differs", posts.groupBy("doc_id").agg(F.sum("tf").alias("s")).join(docs, "doc_id", "right").agg(F.count_if(F.coalesce("s", F.lit(0)) != F.col("term_count")).alias("n"))),
+        ("postings_not_contiguous", terms.agg((F.coalesce(F.sum("posting_count"), F.lit(0)) != F.coalesce(F.max(F.col("posting_begin") + F.col("posting_count")), F.lit(0))).cast("long").alias("n"))),
+        ("repeated_begin", terms.groupBy("posting_begin").count().agg(F.count_if(F.col("count") > 1).alias("n"))),
     ]
+    if stats is not None:
+        real = docs.agg(F.count("*").alias("c"), F.coalesce(F.sum("term_count"), F.lit(0)).alias("t"), F.min("occurred_at_ms").alias("a"), F.max("occurred_at_ms").alias("b")).withColumn("j", F.lit(1))
+        said = stats.agg(F.coalesce(F.sum("documents"), F.lit(0)).alias("documents"), F.coalesce(F.sum("total_terms"), F.lit(0)).alias("total"), F.max("average_length").alias("avg"), F.min("min_occurred_at_ms").alias("low"), F.max("max_occurred_at_ms").alias("high")).withColumn("j", F.lit(1))
+        equal = (F.col("c") == F.col("documents")) & (F.col("t") == F.col("total")) & F.col("a").eqNullSafe(F.col("low")) & F.col("b").eqNullSafe(F.col("high")) & ((F.col("c") == 0) | (F.abs(F.col("avg") - F.col("t") / F.col("c")) <= 1e-9))
+        checks.append(("statistics_differ", real.join(said, "j").agg(F.count_if(~F.coalesce(equal, F.lit(False))).alias("n"))))
     out = None
     for rule, q in checks:
         row = q.select(F.lit(rule).alias("rule"), F.coalesce("n", F.lit(0)).cast("long").alias("n"))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import ms_to_iso, tokens, tokens_of
+from ..sources.files import Archive, read_record
 
 K1, B = 1.2, 0.75
 MAX_PAGE, MAX_DEPTH, MAX_KEYWORDS, KEYWORD_BYTES = 200, 1000, 8, 64
@@ -180,13 +181,24 @@ class SearchEngine:
         q.keywords, q.anomaly_only = [], True
         return self.search(q)
 
-    def detail(self, doc: int, files: DataFrame) -> DataFrame:
-        """The document and its file, found through the batch in the id's high bits; no row if unknown."""
-        return self.docs.where((F.col("batch_id") == doc >> 32) & (F.col("doc_id") == doc)).join(files, ["batch_id", "archive_id"])
+    def detail(self, doc: int, files: DataFrame, archive: Archive | DataFrame | None = None) -> DataFrame:
+        """The document and its file, found through the batch in the id's high bits; no row if unknown. With the archive also score 0.0, the record's bytes as ``raw``, and ``failure``."""
+        row = self.docs.where((F.col("batch_id") == doc >> 32) & (F.col("doc_id") == doc)).join(files, ["batch_id", "archive_id"])
+        if archive is None:
+            return row
+        r = row.first()
+        if r is None:
+            return row.select("*", F.lit(0.0).alias("score"), F.lit(None).cast("binary").alias("raw"), F.lit(None).cast("string").alias("failure"))
+        raw = read_record(archive, r["relative_path"], r["file_size"], r["byte_offset"], r["byte_length"]).first()
+        raw = raw or {"raw": None, "failure": "STORAGE_IO_ERROR"}
+        return row.select("*", F.lit(0.0).alias("score"), F.lit(raw["raw"]).cast("binary").alias("raw"), F.lit(raw["failure"]).cast("string").alias("failure"))
 
     def error_code(self, code: str, catalog: DataFrame) -> tuple[DataFrame, Page]:
-        """The enabled catalogue row and the five best documents of a code; the internal query needs no selective filter."""
-        return catalog.where((F.col("error_code") == code) & F.col("enabled")), self.search(SearchQuery(error_code=code, page_size=5), guarded=False)
+        """The enabled catalogue row and the five best documents of a code; the internal query needs no selective filter. LookupError for a code that is not in the catalogue."""
+        row = catalog.where((F.col("error_code") == code) & F.col("enabled"))
+        if row.isEmpty():
+            raise LookupError("ERROR_CODE_NOT_FOUND")
+        return row, self.search(SearchQuery(error_code=code, page_size=5), guarded=False)
 
     def restore(self, version: int, ids: list[int]) -> DataFrame:
         """Documents of a cached page in its order; a stale version or a missing id raises, and the caller recomputes."""
@@ -194,7 +206,8 @@ class SearchEngine:
             raise InvalidQuery("stale snapshot")
         spark = self.docs.sparkSession
         wanted = spark.createDataFrame(list(enumerate(ids)), "pos int, doc_id long")
-        rows = self.docs.join(F.broadcast(wanted), "doc_id").orderBy("pos")
+        check_page(0, max(1, len(ids)))
+        rows = self.docs.join(F.broadcast(wanted), "doc_id").orderBy("pos")  # a page at most
         if rows.count() != len(ids):
             raise InvalidQuery("unknown document")
         return rows
@@ -204,3 +217,8 @@ def summary(hits: DataFrame) -> DataFrame:
     """The public fields of a hit: ISO times, and nulls for three fields that are empty."""
     null = lambda c: F.nullif(F.col(c), F.lit("")).alias(c)
     return hits.select(F.col("doc_id").cast("string").alias("doc_id"), ms_to_iso(F.col("occurred_at_ms")).alias("occurred_at"), ms_to_iso(F.col("archived_at_ms")).alias("archived_at"), "line_id", "station_id", "device_id", "collector_id", null("work_order"), null("product_sn"), "source_type", "level", "module_name", null("error_code"), F.coalesce("event_name", F.lit("")).alias("event_name"), "score")
+
+
+def detail_fields(details: DataFrame) -> DataFrame:
+    """The public fields of a detail: those of a hit, its archive and range, and the record as text."""
+    return summary(details).join(details.select(F.col("doc_id").cast("string").alias("doc_id"), "archive_id", "byte_offset", "byte_length", F.col("raw").cast("string").alias("raw")), "doc_id")

@@ -6,7 +6,7 @@ and streaming state share them; set-wise forms are columns.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -157,13 +157,26 @@ def first_requests(requests: DataFrame, ttl: int = REPLAY_TTL_S) -> DataFrame:
     """Requests with replayed: true within ttl seconds of the last accepted one of the same device and id.
 
     A key expires from its first use, not the last, so acceptance is a fold over
-    the key's times; a key's requests are few.
+    the key's times. Rows stream through in order, and only the last accepted
+    time of the current key is held, so a hot key needs no memory of its own.
     """
-    times = requests.groupBy("device_id", "request_id").agg(F.array_sort(F.collect_list(F.struct("ts_s", "event_id"))).alias("t"))
-    fresh = f"(a.from IS NULL OR x.ts_s - a.from >= {ttl})"
-    step = f"named_struct('from', if({fresh}, x.ts_s, a.from), 'out', concat(a.out, array(named_struct('event_id', x.event_id, 'replayed', NOT {fresh}))))"
-    fold = F.expr(f"aggregate(t, named_struct('from', cast(null as bigint), 'out', cast(array() as array<struct<event_id:bigint,replayed:boolean>>)), (a, x) -> {step}, a -> a.out)")
-    return times.select("device_id", "request_id", F.explode(fold).alias("r")).select("device_id", "request_id", "r.*")
+    keys = ["device_id", "request_id"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, since = None, 0
+        for pdf in batches:
+            out = []
+            for k, ts in zip(zip(pdf["device_id"], pdf["request_id"], strict=True), pdf["ts_s"], strict=True):
+                fresh = k != key or ts - since >= ttl
+                if fresh:
+                    key, since = k, ts
+                out.append(not fresh)
+            yield pdf.assign(replayed=out)[[*keys, "event_id", "replayed"]]
+
+    rows = requests.select(*keys, "event_id", "ts_s")
+    dealt = rows.repartition(*keys).sortWithinPartitions(*keys, "ts_s", "event_id")
+    types = {f.name: f.dataType.simpleString() for f in rows.schema}
+    return dealt.mapInPandas(run, ", ".join(f"{c} {types[c]}" for c in [*keys, "event_id"]) + ", replayed boolean")
 
 
 def sealed(scans: DataFrame, mode: str, stable: int = 2) -> DataFrame:
@@ -203,6 +216,6 @@ def next_task_state(state: str, outcome: str) -> str:
 
 def cleanup(files: DataFrame, sessions: DataFrame, cutoff_s: int) -> DataFrame:
     """Unfinished files older than the cutoff whose session is gone or at its end."""
-    old = files.where(F.col("name").rlike(r"^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}\.part$") & (F.col("mtime_s") < cutoff_s))
+    old = files.where(F.col("name").rlike(r"^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}\.part\z") & (F.col("mtime_s") < cutoff_s))
     s = sessions.select(F.concat("session", F.lit(".part")).alias("name"), F.col("state").alias("__state"))
     return old.join(s, "name", "left").where(F.col("__state").isNull() | F.col("__state").isin(*TERMINAL)).drop("__state")

@@ -23,11 +23,17 @@ def attach(indexed: DataFrame, archives: DataFrame, batch_id: int) -> DataFrame:
 
 
 def apply_outcomes(indexed: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """PENDING rows become PARSED or FAILED by their outcome."""
-    o = outcomes.select("archive_id", F.col("failure_code").alias("__f"), F.col("document_count").alias("__n"), F.lit(True).alias("__o"))
+    """PENDING rows become PARSED or FAILED by their outcome, with its count, code, line and profile where the tables have these columns."""
+    given = [c for c in ("failure_code", "document_count", "failure_line", "profile_name") if c in outcomes.columns]
+    o = outcomes.select("archive_id", *[F.col(c).alias(f"__{c}") for c in given], F.lit(True).alias("__o"))
     j = indexed.join(o, "archive_id", "left")
     now = F.col("__o") & (F.col("state") == "PENDING")
-    return j.withColumns({"state": F.when(now, F.when(F.col("__f").isNull(), "PARSED").otherwise("FAILED")).otherwise(F.col("state")), "document_count": F.when(now, F.col("__n")).otherwise(F.col("document_count")), "failure_code": F.when(now, F.col("__f")).otherwise(F.col("failure_code"))}).drop("__f", "__n", "__o")
+    new = {"state": F.when(F.col("__failure_code").isNull(), "PARSED").otherwise("FAILED"), "document_count": F.col("__document_count"), "failure_code": F.col("__failure_code")}
+    if "failure_line" in indexed.columns and "failure_line" in given:
+        new["failure_line"] = F.col("__failure_line")
+    if "parser_profile" in indexed.columns and "profile_name" in given:
+        new |= {"parser_profile": F.col("__profile_name"), "parser_version": F.when(F.col("__profile_name").isNotNull(), 1)}
+    return j.withColumns({k: F.when(now, v).otherwise(F.col(k)) for k, v in new.items()}).select(indexed.columns)
 
 
 def move_batch(batches: DataFrame, batch_id: int, source: str, target: str, failure: str | None = None) -> tuple[DataFrame, bool]:

@@ -1,138 +1,262 @@
 """The index as a whole: scan, build, publish, recover and rebuild over one root folder.
 
-Control tables (batches, archives) are small Parquet folders with a rising
-version; the newest complete one counts. A version holds both tables, so a
-batch and its archives change state together. One writer at a time, any number
-of readers: an engine keeps the READY list that it was opened with.
+Control tables (batches, archives) are kept as changes: each commit writes the
+rows that it changes under the next version, and the newest row of a key
+counts. After some versions one holds all rows again; those before the last
+such version go. A
+version holds both tables, so a batch and its archives change state together.
+One writer at a time holds the lock file; readers are many: an engine keeps
+the READY list that it was opened with. States are committed before the work
+that they name, so that ``recover`` finds what a crash left behind.
 """
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import schemas
 from ..operators import index, parsers, search, state
 from ..sources.archives import INDEXED_TYPES, decode_guard, undiscovered
+from ..sources.files import Archive
+from ..sources.storage import digest
 
 MAX_FILES, MAX_DOCUMENTS = 100, 100_000
+#: Versions of changes before one holds all rows; seconds after which a lock is held to be left behind.
+COMPACT_AFTER, LEASE_S = 32, 3600
+
+
+class WriterBusy(RuntimeError):
+    """Another writer holds the lock."""
 
 
 class LogIndex:
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, lease_s: int = LEASE_S):
+        self.spark, self.root, self.lease_s = spark, root.rstrip("/"), lease_s
+        self._held = False
 
     # control tables
     def _fs(self, path: str):
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return p, p.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
-    def _version(self) -> int:
+    @contextmanager
+    def _writer(self):
+        """The lock file, made if there is none; one older than the lease is taken over."""
+        if self._held:
+            yield
+            return
+        p, fs = self._fs(f"{self.root}/.writer.lock")
+        fs.mkdirs(p.getParent())
+        if fs.exists(p) and fs.getFileStatus(p).getModificationTime() < (time.time() - self.lease_s) * 1000:
+            fs.delete(p, False)
+        if not fs.createNewFile(p):
+            raise WriterBusy(self.root)
+        self._held = True
+        try:
+            yield
+        finally:
+            self._held = False
+            fs.delete(p, False)
+
+    def _versions(self) -> dict[int, bool]:
+        """Complete versions, and whether each holds all rows."""
         p, fs = self._fs(f"{self.root}/state")
         if not fs.exists(p):
-            return 0
-        done = [s.getPath().getName() for s in fs.listStatus(p) if fs.exists(self._fs(f"{s.getPath()}/archives/_SUCCESS")[0])]
-        return max((int(n.removeprefix("v")) for n in done), default=0)
+            return {}
+        names = [s.getPath().getName() for s in fs.listStatus(p)]
+        return {int(n.strip("vf")): n.endswith("f") for n in names if fs.exists(self._fs(f"{self.root}/state/{n}/archives/_SUCCESS")[0])}
 
     def tables(self) -> tuple[DataFrame, DataFrame]:
-        """(batches, archives) of the newest version."""
-        v = self._version()
-        if not v:
-            return self.spark.createDataFrame([], schemas.BATCH), self.spark.createDataFrame([], schemas.INDEXED)
-        at = f"{self.root}/state/v{v}"
-        return self.spark.read.schema(schemas.BATCH).parquet(f"{at}/batches"), self.spark.read.schema(schemas.INDEXED).parquet(f"{at}/archives")
+        """(batches, archives): the newest row of each key."""
+        versions = self._versions()
+        first = max((v for v, full in versions.items() if full), default=0)
+        used = [f"v{v}{'f' * versions[v]}" for v in sorted(versions) if v >= first]
+        return self._newest(used, "batches", schemas.BATCH, "batch_id"), self._newest(used, "archives", schemas.INDEXED, "archive_id")
+
+    def _newest(self, versions: list[str], name: str, schema: str, key: str) -> DataFrame:
+        if not versions:
+            return self.spark.createDataFrame([], schema)
+        rows = self.spark.read.schema(schema).parquet(*[f"{self.root}/state/{v}/{name}" for v in versions])
+        if len(versions) == 1:
+            return rows
+        version = F.regexp_extract(F.col("_metadata.file_path"), rf"/state/v(\d+)f?/{name}/", 1).cast("long")
+        columns = [c.split()[0] for c in schema.split(", ")]
+        return rows.select("*", version.alias("__v")).groupBy(key).agg(F.max_by(F.struct(*columns), "__v").alias("r")).select("r.*")
 
     def _commit(self, batches: DataFrame, archives: DataFrame) -> None:
-        """batches first: a version counts once its archives are complete."""
-        at = f"{self.root}/state/v{self._version() + 1}"
+        """Writes changed rows as the next version, batches first: a version counts once its archives are complete."""
+        versions = self._versions()
+        self._write(max(versions, default=0) + 1, batches, archives, False)
+        last = max((v for v, full in versions.items() if full), default=0)
+        if sum(v > last for v in versions) + 1 > COMPACT_AFTER:
+            self._write(max(versions) + 2, *self.tables(), True)
+            # what the last full version began stays for those who still read it
+            for v, full in versions.items():
+                if v < last:
+                    p, fs = self._fs(f"{self.root}/state/v{v}{'f' * full}")
+                    fs.delete(p, True)
+
+    def _write(self, version: int, batches: DataFrame, archives: DataFrame, full: bool) -> None:
+        at = f"{self.root}/state/v{version}{'f' * full}"
         batches.select([c.split()[0] for c in schemas.BATCH.split(", ")]).coalesce(1).write.mode("overwrite").parquet(f"{at}/batches")
-        archives.select([c.split()[0] for c in schemas.INDEXED.split(", ")]).coalesce(1).write.mode("overwrite").parquet(f"{at}/archives")
+        archives.select([c.split()[0] for c in schemas.INDEXED.split(", ")]).write.mode("overwrite").parquet(f"{at}/archives")
+
+    def _commit_batches(self, ids: list[int], batches: DataFrame, archives: DataFrame) -> None:
+        """Commits what belongs to some batches."""
+        mine = F.col("batch_id").isin(ids)
+        self._commit(batches.where(mine), archives.where(mine))
+
+    def _none(self) -> DataFrame:
+        return self.spark.createDataFrame([], schemas.INDEXED)
+
+    def _files(self, files: Archive | DataFrame, rows: DataFrame) -> DataFrame:
+        """The files of some archives: at most a batch's paths come to the driver, and only those files are opened."""
+        return files.files([r["relative_path"] for r in rows.select("relative_path").collect()]) if isinstance(files, Archive) else files
 
-    def _drop(self, batch_id: int) -> None:
-        for t in (*index.TABLES, "parsed", "outcomes"):
+    def _drop(self, batch_id: int, tables: tuple[str, ...] = (*index.TABLES, "parsed", "outcomes")) -> None:
+        for t in tables:
             p, fs = self._fs(f"{self.root}/{t}/batch_id={batch_id}")
             fs.delete(p, True)
 
     # operations
-    def scan_once(self, source: DataFrame, files: DataFrame, profiles: DataFrame, max_files: int = MAX_FILES, max_documents: int = MAX_DOCUMENTS) -> dict:
+    def scan_once(self, source: DataFrame, files: Archive | DataFrame, profiles: DataFrame, max_files: int = MAX_FILES, max_documents: int = MAX_DOCUMENTS) -> dict:
         """Parses the next archives into one batch: those pending first, else new ones found by anti-join. Returns its summary."""
-        batches, archives = self.tables()
-        waiting = archives.where("state = 'PENDING'").select("archive_id")
-        if waiting.isEmpty():
-            rows = undiscovered(source, archives, max_files)
-        else:
-            rows = source.where(F.col("file_type").isin(*INDEXED_TYPES)).join(waiting, "archive_id", "left_semi").orderBy("archive_id").limit(max_files)
-        rows = decode_guard(rows)
-        if rows.isEmpty():
-            return {"source_files": 0, "parsed_files": 0, "failed_files": 0, "documents": 0, "batch_id": None}
-        batch = (batches.agg(F.max("batch_id")).first()[0] or 0) + 1
-        docs, outcomes = parsers.parse_archives(rows, files, profiles)
-        # stored before anything depends on them: the batch is cut and counted on what was parsed
-        parsed = outcomes.persist()
-        parsers.cut_batch(parsed, max_documents).write.mode("overwrite").parquet(f"{self.root}/outcomes/batch_id={batch}")
-        parsed.unpersist()
-        outcomes = self.spark.read.parquet(f"{self.root}/outcomes/batch_id={batch}")
-        docs.join(outcomes.where("failure_code IS NULL").select("archive_id"), "archive_id", "left_semi").write.mode("overwrite").parquet(f"{self.root}/parsed/batch_id={batch}")
-        s = parsers.batch_summary(outcomes).first().asDict()
-        ids = outcomes.agg(F.min("archive_id").alias("a"), F.max("archive_id").alias("b")).first()
-        code = None if s["parsed_files"] else "NO_ARCHIVE_PARSED"
-        row = self.spark.range(1).select(
-            F.lit(batch).cast("long").alias("batch_id"), F.lit(ids["a"]).alias("first_archive_id"), F.lit(ids["b"]).alias("last_archive_id"), F.lit("FAILED" if code else "PARSED").alias("state"), F.lit(code).cast("string").alias("failure_code"),
-            F.lit(s["source_files"]).cast("long").alias("source_file_count"), F.lit(s["documents"]).cast("long").alias("document_count"), F.current_timestamp().alias("created_at"),
-        )
-        held = state.apply_outcomes(state.attach(archives, outcomes, batch), outcomes)
-        self._commit(batches.unionByName(row, allowMissingColumns=True), held)
-        return s | {"batch_id": batch}
-
-    def build_next(self, on_disk: DataFrame) -> int | None:
-        """Builds the oldest PARSED batch into the index and publishes it; originals are verified again first. None if there is none."""
-        batches, archives = self.tables()
-        first = batches.where("state = 'PARSED'").orderBy("batch_id").first()
-        if first is None:
-            return None
-        b = first["batch_id"]
-        batches, _ = state.move_batch(batches, b, "PARSED", "BUILDING")
-        docs, outcomes = (self.spark.read.parquet(f"{self.root}/{t}/batch_id={b}") for t in ("parsed", "outcomes"))
-        sound = index.verify_originals(outcomes.where("failure_code IS NULL"), on_disk).isEmpty()
-        if sound:
-            for t in index.TABLES:
-                p, fs = self._fs(f"{self.root}/{t}/batch_id={b}")
-                fs.delete(p, True)
-            index.build_segment(docs, outcomes, b, self.root)
-            t = {n: index.load(self.spark, self.root, n, [b]) for n in index.TABLES}
-            sound = index.violations(t["documents"], t["files"], t["postings"], t["terms"]).isEmpty()
-        if not sound:
-            self._commit(state.move_batch(batches, b, "BUILDING", "FAILED", "SEGMENT_BUILD_FAILED")[0], archives)
-            return None
-        self._commit(*state.publish_ready(batches, archives, b))
-        return b
+        with self._writer():
+            batches, archives = self.tables()
+            waiting = archives.where("state = 'PENDING'").select("archive_id")
+            if waiting.isEmpty():
+                rows = undiscovered(source, archives, max_files)
+            else:
+                rows = source.where(F.col("file_type").isin(*INDEXED_TYPES)).join(waiting, "archive_id", "left_semi").orderBy("archive_id").limit(max_files)
+            rows = decode_guard(rows)
+            ends = rows.agg(F.min("archive_id").alias("a"), F.max("archive_id").alias("b"), F.count("*").alias("n")).first()
+            if not ends["n"]:
+                return {"source_files": 0, "parsed_files": 0, "failed_files": 0, "documents": 0, "batch_id": None}
+            batch = (batches.agg(F.max("batch_id")).first()[0] or 0) + 1
+            at = {t: f"{self.root}/{t}/batch_id={batch}" for t in ("outcomes", "parsed")}
+            row = self.spark.range(1).select(F.lit(batch).cast("long").alias("batch_id"), F.lit(ends["a"]).alias("first_archive_id"), F.lit(ends["b"]).alias("last_archive_id"), F.lit("PARSING").alias("state"), F.lit(ends["n"]).alias("source_file_count"), F.current_timestamp().alias("created_at"))
+            row = self.spark.createDataFrame([], schemas.BATCH).unionByName(row, allowMissingColumns=True)
+            self._commit(row, self._none())
+
+            docs, outcomes = parsers.parse_archives(rows, self._files(files, rows), profiles)
+            # stored before anything depends on them: the batch is cut and counted on what was parsed
+            parsed = outcomes.persist()
+            try:
+                parsers.cut_batch(parsed, max_documents).write.mode("overwrite").parquet(at["outcomes"])
+            finally:
+                parsed.unpersist()
+            outcomes = self.spark.read.parquet(at["outcomes"])
+            docs.join(outcomes.where("failure_code IS NULL").select("archive_id"), "archive_id", "left_semi").write.mode("overwrite").parquet(at["parsed"])
+            s = parsers.batch_summary(outcomes).first().asDict()
+            ids = outcomes.agg(F.min("archive_id").alias("a"), F.max("archive_id").alias("b")).first()
+            code = None if s["parsed_files"] else "NO_ARCHIVE_PARSED"
+            row = row.withColumns({
+                "state": F.lit("FAILED" if code else "PARSED"), "failure_code": F.lit(code).cast("string"), "first_archive_id": F.lit(ids["a"]), "last_archive_id": F.lit(ids["b"]), "source_file_count": F.lit(s["source_files"]).cast("long"),
+                "document_count": F.lit(s["documents"]).cast("long"), "parsed_path": F.lit(at["parsed"]), "parsed_sha256": F.lit(str(digest(self.spark.read.parquet(at["parsed"])))),
+            })
+            held = state.apply_outcomes(state.attach(archives, outcomes, batch), outcomes)
+            self._commit(row, held.where(F.col("batch_id") == batch))
+            return s | {"batch_id": batch}
+
+    def build_next(self, on_disk: Archive | DataFrame) -> int | None:
+        """Builds the oldest PARSED batch into the index and publishes it; what was parsed and the originals are verified again first. None if there is none or it fails."""
+        with self._writer():
+            batches, archives = self.tables()
+            first = batches.where("state = 'PARSED'").orderBy("batch_id").first()
+            if first is None:
+                return None
+            b = first["batch_id"]
+            self._commit(state.move_batch(batches.where(F.col("batch_id") == b), b, "PARSED", "BUILDING")[0], self._none())
+            batches, archives = self.tables()
+            docs, outcomes = (self.spark.read.parquet(f"{self.root}/{t}/batch_id={b}") for t in ("parsed", "outcomes"))
+            good = outcomes.where("failure_code IS NULL")
+            sound = str(digest(docs)) == first["parsed_sha256"] and index.verify_originals(good, self._files(on_disk, good)).isEmpty()
+            if sound:
+                self._drop(b, index.TABLES)
+                index.build_segment(docs, outcomes, b, self.root)
+                sound = self._sound(b)
+            if not sound:
+                self._commit(state.move_batch(batches.where(F.col("batch_id") == b), b, "BUILDING", "FAILED", "SEGMENT_BUILD_FAILED")[0], self._none())
+                return None
+            self._publish(b, batches, archives)
+            return b
+
+    def _publish(self, b: int, batches: DataFrame, archives: DataFrame) -> None:
+        mine = F.col("batch_id") == b
+        ready, indexed = state.publish_ready(batches.where(mine), archives.where(mine), b)
+        now = F.current_timestamp()
+        ready = ready.withColumns({"published_at": now, "segment_name": F.lit(f"batch_id={b}"), "segment_sha256": F.lit(self.segment_digest(b))})
+        self._commit(ready, indexed.withColumn("indexed_at", F.when(F.col("state") == "INDEXED", now).otherwise(F.col("indexed_at"))))
+
+    def segment_digest(self, b: int) -> str:
+        """Digest of all tables of a batch, free of order and files."""
+        return str({t: digest(index.load(self.spark, self.root, t, [b])) for t in index.TABLES})
+
+    def verify(self, b: int) -> bool:
+        """Whether a READY batch still holds what was published."""
+        row = self.tables()[0].where(F.col("batch_id") == b).first()
+        return row is not None and row["state"] == "READY" and self.segment_digest(b) == row["segment_sha256"]
+
+    def _sound(self, b: int) -> bool:
+        t = {n: index.load(self.spark, self.root, n, [b]) for n in index.TABLES}
+        return index.violations(t["documents"], t["files"], t["postings"], t["terms"], t["stats"]).isEmpty()
 
     def recover(self) -> None:
-        """Reconciles batches that a crash left half done."""
-        batches, archives = self.tables()
-        open_ = [r["batch_id"] for r in batches.where("state = 'BUILDING'").select("batch_id").collect()]
-        built = [b for b in open_ if all(self._fs("x")[1].exists(self._fs(f"{self.root}/{t}/batch_id={b}/_SUCCESS")[0]) for t in index.TABLES)]
-        sound = []
-        for b in built:
-            t = {n: index.load(self.spark, self.root, n, [b]) for n in index.TABLES}
-            sound += [b] if index.violations(t["documents"], t["files"], t["postings"], t["terms"]).isEmpty() else []
-        self._commit(state.recover(batches, built, sound), archives)
+        """Reconciles batches that a crash left half done: what was parsed in part goes, what was built whole is published, the rest is built again."""
+        with self._writer():
+            batches, archives = self.tables()
+            open_ = {r["batch_id"]: r["state"] for r in batches.where("state IN ('PARSING', 'BUILDING')").collect()}
+            built = [b for b, s in open_.items() if s == "BUILDING" and all(self._fs("x")[1].exists(self._fs(f"{self.root}/{t}/batch_id={b}/_SUCCESS")[0]) for t in index.TABLES)]
+            sound = [b for b in built if self._sound(b)]
+            for b in sound:
+                self._publish(b, batches, archives)
+            rest = [b for b in open_ if b not in sound]
+            if rest:
+                self._commit(state.recover(batches, built, sound).where(F.col("batch_id").isin(rest)), self._none())
+            for b in rest:
+                self._drop(b, index.TABLES if open_[b] == "BUILDING" else ("parsed", "outcomes"))
 
     def rebuild(self, archive_id: int) -> bool:
         """Invalidates the batch of an archive and removes its partitions; False for an unknown archive."""
-        batches, archives = self.tables()
-        hit = archives.where(F.col("archive_id") == archive_id).first()
-        if hit is None:
-            return False
-        self._commit(*state.request_rebuild(batches, archives, archive_id))
-        self._drop(hit["batch_id"])
-        return True
+        with self._writer():
+            batches, archives = self.tables()
+            hit = archives.where(F.col("archive_id") == archive_id).first()
+            if hit is None:
+                return False
+            self._commit_batches([hit["batch_id"]], *state.request_rebuild(batches, archives, archive_id))
+            self._drop(hit["batch_id"])
+            return True
+
+    def run(self, source: Callable[[], DataFrame], files: Archive | DataFrame, profiles: Callable[[], DataFrame], cycles: int | None = None, poll_s: float = 1.0) -> int:
+        """The polling loop: each cycle scans once and builds what is parsed, then waits if there was nothing. Returns the batches built."""
+        self.recover()
+        done = 0
+        while cycles is None or cycles > 0:
+            scanned = self.scan_once(source(), files, profiles())["batch_id"]
+            built = 0
+            while self.build_next(files) is not None:
+                built += 1
+            done += built
+            cycles = None if cycles is None else cycles - 1
+            if not built and scanned is None and (cycles is None or cycles > 0):
+                time.sleep(poll_s)
+        return done
 
     def engine(self) -> search.SearchEngine:
+        """The READY batches as they are now; without one, an engine that finds nothing."""
         ready = state.ready_list(self.tables()[0])
         t = {n: index.load(self.spark, self.root, n, ready) for n in ("documents", "postings", "stats", "terms")}
         return search.SearchEngine(t["documents"], t["postings"], t["stats"], t["terms"], ready)
 
+    def files(self) -> DataFrame:
+        """Files of the READY batches, for details."""
+        return index.load(self.spark, self.root, "files", state.ready_list(self.tables()[0]))
+
     def orphans(self) -> list[int]:
         """Batches on disk that no READY row names."""
         p, fs = self._fs(f"{self.root}/documents")

@@ -31,7 +31,7 @@ def find_by_ids(archives: DataFrame, ids: list[int]) -> DataFrame:
 
 def decode_guard(archives: DataFrame) -> DataFrame:
     """Fails the query on a row with a missing required value, id or size 0, or a hash that is not 64 hex digits."""
-    ok = (F.col("archive_id") > 0) & (F.col("file_size") > 0) & F.col("file_sha256").rlike("^[0-9a-f]{64}$")
+    ok = (F.col("archive_id") > 0) & (F.col("file_size") > 0) & F.col("file_sha256").rlike(r"^[0-9a-f]{64}\z")
     for c in ARCHIVE_REQUIRED:
         ok = ok & F.col(c).isNotNull()
     # the check is part of a column that is kept, so it cannot be pruned away

@@ -3,22 +3,55 @@
 from __future__ import annotations
 
 import posixpath
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import schemas
-from ..functions.scalars import chunk_count, iso_to_ms
+from ..functions.scalars import chunk_count, iso_to_ms, let
 
-IGNORED = r"(^\.|\.meta\.json$|\.done$|\.tmp$|\.part$)"
+FILES = "relative_path string, length long, sha256 string, content binary"
+IGNORED = r"(^\.|\.meta\.json\z|\.done\z|\.tmp\z|\.part\z)"
+#: Lines whose offsets are summed in one go; a sum copies what it has so far.
+BLOCK_LINES = 256
 
 
-def read_files(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
-    """(relative_path, length, sha256, content) of all files under root; content is read only where a query needs it."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root)
-    base = root.removeprefix("file://").rstrip("/") + "/"
-    return files.select(F.element_at(F.split("path", _quoted(base)), -1).alias("relative_path"), "length", F.sha2("content", 256).alias("sha256"), "content")
+def read_files(spark: SparkSession, root: str, glob: str = "*", paths: list[str] | None = None) -> DataFrame:
+    """(relative_path, length, sha256, content) of files under root; content is read only where a query needs it.
+
+    With ``paths`` only these files are opened and nothing is listed; missing
+    ones and paths that leave the root are left out. A file is one row, so it
+    must fit in a task.
+    """
+    base = root.rstrip("/")
+    reader = spark.read.format("binaryFile")
+    if paths is None:
+        files = reader.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root)
+    else:
+        found = [f"{base}/{p}" for p in sorted(set(paths)) if safe_path(p) and _is_file(spark, f"{base}/{p}")]
+        if not found:
+            return spark.createDataFrame([], FILES)
+        files = reader.load(found)
+    prefix = re.sub(r"^file:/+", "/", base) + "/"
+    return files.select(F.element_at(F.split("path", _quoted(prefix)), -1).alias("relative_path"), "length", F.sha2("content", 256).alias("sha256"), "content")
+
+
+class Archive:
+    """The archived files under a root, opened by their paths."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root
+
+    def files(self, paths: list[str]) -> DataFrame:
+        return read_files(self.spark, self.root, paths=paths)
+
+
+def _is_file(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    return fs.exists(p) and fs.getFileStatus(p).isFile()
 
 
 def _quoted(text: str) -> str:
@@ -36,22 +69,33 @@ def lines(files: DataFrame, content: str = "content") -> DataFrame:
     parts = F.split(text, "\n", -1)
     whole = F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
     out = files.withColumn("__p", whole)
-    # offsets inside the row: the running sum of length + 1 needs no window over an exploded file
-    ends = F.expr("aggregate(__p, named_struct('at', 0L, 'o', cast(array() as array<bigint>)), (a, x) -> named_struct('at', a.at + length(x) + 1, 'o', concat(a.o, array(a.at))), a -> a.o)")
-    out = out.withColumn("__o", ends).select(*files.columns, F.posexplode(F.arrays_zip(F.col("__p").alias("p"), F.col("__o").alias("o"))).alias("__i", "__z"))
-    raw = F.regexp_replace(F.col("__z.p"), "\r$", "")
+    zipped = let(F.col("__p"), lambda p: F.arrays_zip(p.alias("p"), _offsets(p).alias("o")))
+    out = out.withColumn("__z", zipped)
+    out = out.select(*files.columns, F.posexplode("__z").alias("__i", "__z"))
+    raw = F.regexp_replace(F.col("__z.p"), r"\r\z", "")
     return out.select(*[c for c in files.columns if c != content], (F.col("__i") + 1).cast("long").alias("line_no"), F.col("__z.o").alias("byte_offset"), F.length(raw).cast("long").alias("byte_length"), raw.alias("raw"))
 
 
+def _offsets(parts: Column) -> Column:
+    """Where each line starts: running sums of length + 1 by blocks, since a sum copies what it has so far, then moved by the sums of the blocks before."""
+    none = F.array().cast("array<bigint>")
+    zero = F.struct(F.lit(0).cast("long").alias("at"), none.alias("o"))
+    add = lambda size: lambda a, x: F.struct((a["at"] + size(x)).alias("at"), F.concat(a["o"], F.array(a["at"])).alias("o"))
+    count = F.ceil(F.size(parts) / BLOCK_LINES).cast("int")
+    blocks = F.transform(F.sequence(F.lit(0), count - 1), lambda b: F.aggregate(F.slice(parts, b * BLOCK_LINES + 1, F.lit(BLOCK_LINES)), zero, add(lambda x: F.length(x) + 1)))
+    moved = lambda b: let(F.aggregate(b, zero, add(lambda x: x["at"]))["o"], lambda s: F.flatten(F.transform(b, lambda x, i: F.transform(x["o"], lambda y: y + F.get(s, i)))))
+    return F.when(F.size(parts) > 0, let(blocks, moved)).otherwise(none)
+
+
 def utf8(raw: Column) -> Column:
     """Text of raw bytes held as ISO-8859-1; null where they are no valid UTF-8."""
     data = F.encode(raw, "ISO-8859-1")
     return F.when(F.is_valid_utf8(data.cast("string")), data.cast("string"))
 
 
-def read_record(files: DataFrame, path: str, size: int, offset: int, length: int) -> DataFrame:
-    """The exact bytes of one record, or a failure where the file's size is not the recorded one or the range is outside."""
-    one = files.where(F.col("relative_path") == path)
+def read_record(files: DataFrame | Archive, path: str, size: int, offset: int, length: int) -> DataFrame:
+    """The exact bytes of one record, or a failure where the file's size is not the recorded one or the range is outside. From an archive only this file is opened."""
+    one = files.files([path]) if isinstance(files, Archive) else files.where(F.col("relative_path") == path)
     good = (F.col("length") == size) & F.lit(0 <= offset and length >= 0 and offset + length <= size)
     return one.select(F.when(good, F.expr(f"substring(content, {offset + 1}, {length})")).alias("raw"), F.when(~good, "STORAGE_IO_ERROR").alias("failure"))
 
@@ -63,7 +107,7 @@ def safe_path(relative: str) -> bool:
 
 def safe(relative: Column) -> Column:
     """The same rule as a column; null is unsafe."""
-    return F.coalesce((F.length(relative) > 0) & ~relative.rlike(r"(^|/)(\.{0,2})(/|$)"), F.lit(False))
+    return F.coalesce((F.length(relative) > 0) & ~relative.rlike(r"(^|/)(\.{0,2})(/|\z)"), F.lit(False))
 
 
 def device_inputs(names: DataFrame, col: str = "name") -> DataFrame:
@@ -91,4 +135,4 @@ def jsonl_ok(text: Column) -> Column:
 def spool_states(spark: SparkSession, root: str, schema: str) -> DataFrame:
     """Task state files named <task_id>.json; others and mismatched names are left out."""
     rows = spark.read.schema(schema).json(root, pathGlobFilter="*.json", multiLine=True).withColumn("__f", F.element_at(F.split(F.input_file_name(), "/"), -1))
-    return rows.where(F.col("__f").rlike(r"^[0-9a-f]{64}\.json$") & (F.col("__f") == F.concat("task_id", F.lit(".json")))).drop("__f")
+    return rows.where(F.col("__f").rlike(r"^[0-9a-f]{64}\.json\z") & (F.col("__f") == F.concat("task_id", F.lit(".json")))).drop("__f")

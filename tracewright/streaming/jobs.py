@@ -24,10 +24,9 @@ def index_stream(docs: DataFrame, root: str, checkpoint: str, text: str = "text"
     """
 
     def write(batch: DataFrame, epoch: int) -> None:
-        batch.persist()
-        postings(batch, text, key).write.mode("overwrite").parquet(f"{root}/postings/batch_id={epoch}")
+        postings(batch, text, key).repartitionByRange("term").sortWithinPartitions("term", key).write.mode("overwrite").option("parquet.bloom.filter.enabled#term", "true").parquet(f"{root}/postings/batch_id={epoch}")
+        # a pass over the keys alone: cheaper than holding the texts
         batch.select(key).write.mode("overwrite").parquet(f"{root}/documents/batch_id={epoch}")
-        batch.unpersist()
 
     writer = docs.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=poll) if poll else writer.trigger(availableNow=True)).start()
