@@ -48,15 +48,20 @@ def after_cursor(ms: Column, row_id: Column, cursor: tuple[int, int]) -> Column:
     return (ms < at) | ((ms == at) & (row_id < last))
 
 
-def list_page(archives: DataFrame, q: ArchiveQuery) -> DataFrame:
-    """page_size + 1 rows of the keyset page, newest first: the extra row tells that there is more."""
-    ms = F.unix_millis("archived_at")
+def matching(archives: DataFrame, q: ArchiveQuery) -> DataFrame:
     for name in FILTERS:
         if getattr(q, name) is not None:
             archives = archives.where(F.col(name) == getattr(q, name))
     if q.time_from is not None:
         # compared as timestamps, so that the range reaches the scan's statistics
         archives = archives.where(F.col("archived_at").between(F.timestamp_millis(F.lit(q.time_from)), F.timestamp_millis(F.lit(q.time_to))))
+    return archives
+
+
+def list_page(archives: DataFrame, q: ArchiveQuery) -> DataFrame:
+    """page_size + 1 rows of the keyset page, newest first: the extra row tells that there is more."""
+    ms = F.unix_millis("archived_at")
+    archives = matching(archives, q)
     if q.cursor is not None:
         archives = archives.where(F.col("archived_at") <= F.timestamp_millis(F.lit(q.cursor[0]))).where(after_cursor(ms, F.col("archive_id"), q.cursor))
     return archives.orderBy(F.desc("archived_at"), F.desc("archive_id")).limit(q.page_size + 1)
@@ -70,6 +75,20 @@ def page(archives: DataFrame, q: ArchiveQuery) -> tuple[list, bool, str | None]:
     return rows, more, rows[-1]["cursor"] if more else None
 
 
+def full(archives: DataFrame) -> DataFrame:
+    """All sixteen columns; a binary digest becomes lower hex."""
+    from ..functions.schemas import ARCHIVE
+
+    columns = [c.split()[0] for c in ARCHIVE.split(", ")]
+    binary = dict(archives.dtypes)["file_sha256"] == "binary"
+    return archives.select(*[F.lower(F.hex(c)).alias(c) if c == "file_sha256" and binary else F.col(c) for c in columns])
+
+
+def source_columns(archives: DataFrame) -> DataFrame:
+    """The fourteen columns that indexing reads: all but upload_id and result."""
+    return full(archives).drop("upload_id", "result")
+
+
 def summary(archives: DataFrame, detail: bool = False) -> DataFrame:
     null = lambda c: F.nullif(F.col(c), F.lit("")).alias(c)
     cols = ["archive_id", "line_id", "station_id", "device_id", null("work_order"), null("product_sn"), "file_type", null("result"), "original_filename", "file_size", "archived_at"]

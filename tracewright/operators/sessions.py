@@ -219,3 +219,35 @@ def cleanup(files: DataFrame, sessions: DataFrame, cutoff_s: int) -> DataFrame:
     old = files.where(F.col("name").rlike(r"^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}\.part\z") & (F.col("mtime_s") < cutoff_s))
     s = sessions.select(F.concat("session", F.lit(".part")).alias("name"), F.col("state").alias("__state"))
     return old.join(s, "name", "left").where(F.col("__state").isNull() | F.col("__state").isin(*TERMINAL)).drop("__state")
+
+
+#: Fields of a stored session: all must be there, these five as numbers.
+SESSION_TEXT = ("upload_id", "state", "device_id", "station_id", "line_id", "collector_id", "work_order", "product_sn", "file_type", "result", "original_filename", "extension", "temp_path", "relative_path", "produced_at", "file_sha256", "failure_code")
+SESSION_NUMBERS = ("file_size", "chunk_size", "chunk_count", "expires_at")
+SESSION_LATER = ("archive_id", "archived_at")
+
+
+def read_sessions(rows: DataFrame, fields: str = "fields") -> DataFrame:
+    """Sessions from a map of strings: typed fields and ``valid``; a missing field or a number that is none makes it false. archive_id and archived_at may be missing."""
+    at = lambda k: F.try_element_at(F.col(fields), F.lit(k))
+    whole = lambda k: F.when(at(k).rlike(r"^[0-9]{1,18}\z"), at(k).cast("long"))
+    later = F.lit(True)
+    for k in SESSION_LATER:
+        later = later & (at(k).isNull() | (at(k) == "") | whole(k).isNotNull())
+    ok = later
+    for k in SESSION_TEXT:
+        ok = ok & at(k).isNotNull()
+    for k in SESSION_NUMBERS:
+        ok = ok & whole(k).isNotNull()
+    return rows.withColumns({k: at(k) for k in SESSION_TEXT} | {k: whole(k) for k in SESSION_NUMBERS + SESSION_LATER} | {"valid": F.coalesce(ok, F.lit(False))})
+
+
+def completeness(chunks: DataFrame, expected: Column) -> DataFrame:
+    """(upload, complete): whether an upload's distinct chunk numbers are as many as expected."""
+    return chunks.groupBy("upload").agg((F.count_distinct("number") == F.max(expected)).alias("complete"))
+
+
+def next_task(state: Column, outcome: Column) -> Column:
+    """``next_task_state`` as a column."""
+    ok = F.when(state == "READY", "UPLOADING").when(state == "UPLOADING", "COMPLETING").when(state == "COMPLETING", "DONE").otherwise(state)
+    return F.when(outcome == "OK", ok).when(outcome == "SESSION_MISSING", "READY").when(outcome == "RETRY", state).otherwise("FAILED")

@@ -115,8 +115,7 @@ def term_dictionary(spark, sf):
 
 @entry(f"SELECT doc_id FROM {POSTINGS_SQL} WHERE term IN ('of', 'the') GROUP BY doc_id HAVING count(*) = 2")
 def keyword_and(spark, sf):
-    p = index.postings(texts(spark, sf)).where(F.col("term").isin(*TERMS))
-    return p.groupBy("doc_id").agg(F.count("*").alias("n")).where(F.col("n") == len(TERMS)).select("doc_id")
+    return _scored(spark, sf).select("doc_id")
 
 
 @entry(f"SELECT doc_id FROM {POSTINGS_SQL} WHERE term = 'of' INTERSECT SELECT doc_id FROM {POSTINGS_SQL} WHERE term = 'and'")
@@ -160,7 +159,9 @@ def error_code_matches(spark, sf):
 
 @entry(f"SELECT doc_id, strftime(make_timestamp(occurred_at_ms * 1000), '%Y-%m-%dT%H:%M:%S.%gZ') AS occurred_at, nullif(error_code, '') AS error_code, module_name FROM {LOG_SQL}")
 def log_summary(spark, sf):
-    return log(spark, sf).select("doc_id", S.ms_to_iso(F.col("occurred_at_ms")).alias("occurred_at"), F.nullif("error_code", F.lit("")).alias("error_code"), "module_name")
+    none = {c: F.lit("") for c in ("line_id", "station_id", "collector_id", "work_order", "product_sn", "source_type", "event_name")}
+    hits = log(spark, sf).withColumns(none | {"archived_at_ms": F.col("occurred_at_ms"), "score": F.lit(0.0)})
+    return search.summary(hits).select(F.col("doc_id").cast("long").alias("doc_id"), "occurred_at", "error_code", "module_name")
 
 
 _FIRST = f"SELECT archive_id, archived_at_ms FROM {ARCHIVES_SQL} WHERE work_order = 'WO-7' ORDER BY archived_at_ms DESC, archive_id DESC LIMIT 21"
@@ -185,8 +186,8 @@ def archive_list_next(spark, sf):
 
 @entry(f"SELECT archive_id, file_type, result FROM {ARCHIVES_SQL} WHERE file_type = 'TEST_REPORT' AND device_id = 'DEV-3' AND archived_at_ms BETWEEN 820454400000 AND 852076800000")
 def archive_filter(spark, sf):
-    a = archives(spark, sf)
-    return a.where((F.col("file_type") == "TEST_REPORT") & (F.col("device_id") == "DEV-3") & F.col("archived_at").between(F.timestamp_millis(F.lit(820454400000)), F.timestamp_millis(F.lit(852076800000)))).select("archive_id", "file_type", "result")
+    q = archive_queries.ArchiveQuery(file_type="TEST_REPORT", device_id="DEV-3", time_from=820454400000, time_to=852076800000)
+    return archive_queries.matching(archives(spark, sf), q).select("archive_id", "file_type", "result")
 
 
 @entry(f"SELECT archive_id, device_id, file_size FROM {ARCHIVES_SQL} WHERE archive_id = 33")
@@ -221,16 +222,18 @@ def iso_parse(spark, sf):
 @entry("SELECT c_custkey AS device_id, n_name AS station_id, r_name AS line_id, c_acctbal > 0 AND n_nationkey <> 3 AND r_regionkey <> 2 AS all_enabled FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
 def device_identity(spark, sf):
     c, n, r = (table(spark, sf, t) for t in ("customer", "nation", "region"))
-    devices = c.select(F.col("c_custkey").alias("device_id"), F.col("c_nationkey").alias("station_key"), (F.col("c_acctbal") > 0).alias("enabled"))
-    stations = n.select(F.col("n_nationkey").alias("station_key"), F.col("n_name").alias("station_id"), F.col("n_regionkey").alias("line_key"), (F.col("n_nationkey") != 3).alias("s"))
-    named = devices.join(stations.select("station_key", "station_id", "line_key", "s"), "station_key").drop("station_key")
-    lines_ = r.select(F.col("r_regionkey").alias("line_key"), F.col("r_name").alias("line_id"), (F.col("r_regionkey") != 2).alias("l"))
-    return named.join(lines_, "line_key").select("device_id", "station_id", "line_id", (F.col("enabled") & F.col("s") & F.col("l")).alias("all_enabled"))
+    devices = c.select(F.col("c_custkey").alias("device_id"), F.col("c_nationkey").alias("station_id"), (F.col("c_acctbal") > 0).alias("enabled"))
+    stations = n.select(F.col("n_nationkey").alias("station_id"), F.col("n_regionkey").alias("line_id"), F.col("n_name").alias("station_type"), (F.col("n_nationkey") != 3).alias("enabled"))
+    lines_ = r.select(F.col("r_regionkey").alias("line_id"), F.col("r_name").alias("line_name"), (F.col("r_regionkey") != 2).alias("enabled"))
+    found = archive_queries.device_identity(devices, stations, lines_).join(lines_.select("line_id", "line_name"), "line_id")
+    return found.select("device_id", F.col("station_type").alias("station_id"), F.col("line_name").alias("line_id"), "all_enabled")
 
 
 @entry("SELECT doc_id, source FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)")
 def binding_semi(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", "source").join(table(spark, sf, "labels").where("quality = 1"), "doc_id", "left_semi")
+    pairs = table(spark, sf, "documents").select("doc_id", "source", F.col("doc_id").alias("device_id"), F.lit("C").alias("collector_id"))
+    bindings = table(spark, sf, "labels").select(F.col("doc_id").alias("device_id"), F.lit("C").alias("collector_id"), (F.col("quality") == 1).alias("enabled"))
+    return archive_queries.authorised(pairs, bindings).select("doc_id", "source")
 
 
 @entry("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
@@ -279,7 +282,7 @@ def batch_summary(spark, sf):
     return parsers.batch_summary(a.select("archive_id", F.when(F.col("result").isNull(), "RUNTIME_LOG_EMPTY").alias("failure_code"), F.when(F.col("result").isNotNull(), n).otherwise(0).alias("document_count")))
 
 
-@entry("WITH o AS (SELECT o_orderkey AS archive_id, count(*) AS n FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderkey <= 1000 GROUP BY 1), s AS (SELECT *, sum(n) OVER (ORDER BY archive_id) AS t FROM o) SELECT archive_id, n AS document_count FROM s WHERE t <= 300")
+@entry("WITH o AS (SELECT o_orderkey AS archive_id, count(*) AS n FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1), s AS (SELECT *, sum(n) OVER (ORDER BY archive_id) AS t FROM o) SELECT archive_id, n AS document_count FROM s WHERE t <= 300")
 def batch_cutoff(spark, sf):
     o = table(spark, sf, "orders").join(table(spark, sf, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey")).groupBy(F.col("o_orderkey").alias("archive_id")).agg(F.count("*").alias("document_count"))
     return parsers.cut_batch(o.withColumn("failure_code", F.lit(None).cast("string")), 300).select("archive_id", "document_count")
@@ -315,7 +318,7 @@ def missing_chunks(spark, sf):
 
 @entry("SELECT l_orderkey AS upload, count(DISTINCT l_linenumber) = 4 AS complete FROM lineitem GROUP BY l_orderkey")
 def chunk_completeness(spark, sf):
-    return table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("upload")).agg((F.count_distinct("l_linenumber") == 4).alias("complete"))
+    return sessions.completeness(table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("upload"), F.col("l_linenumber").alias("number")), F.lit(4))
 
 
 @entry("WITH d AS (SELECT doc_id, strlen(text)::BIGINT AS size, 1000::BIGINT AS c FROM documents), n AS (SELECT *, (size + c - 1) // c AS k FROM d WHERE size > 0) SELECT doc_id, k AS chunks, i AS number, CASE WHEN i < k - 1 THEN c ELSE size - c * (k - 1) END AS length FROM n, LATERAL (SELECT unnest(range(k)) AS i)")
@@ -368,9 +371,9 @@ def identifier_check(spark, sf):
     return table(spark, sf, "customer").select("c_custkey", S.is_identifier(n).alias("plain"), S.is_identifier(F.upper(n)).alias("upper"))
 
 
-@entry("SELECT doc_id, strlen(text) BETWEEN 1 AND 2000 AND NOT regexp_matches(text, '[\\x00-\\x1f\\x7f]') AS text_ok, true AS utf8_ok FROM documents")
+@entry("SELECT doc_id, strlen(text) BETWEEN 1 AND 2000 AND NOT regexp_matches(text, '[\\x00-\\x1f\\x7f]') AS text_ok, strlen(text) <= 1 + doc_id % 40 OR substr(hex(encode(text)), (3 + 2 * (doc_id % 40))::INT, 1) NOT IN ('8', '9', 'A', 'B') AS utf8_ok FROM documents")
 def text_check(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", S.is_text(F.col("text"), 2000).alias("text_ok"), S.is_utf8(F.col("text")).alias("utf8_ok"))
+    return table(spark, sf, "documents").select("doc_id", S.is_text(F.col("text"), 2000).alias("text_ok"), S.is_utf8(F.expr("substring(cast(text AS binary), 1, cast(1 + doc_id % 40 AS int))").cast("string")).alias("utf8_ok"))
 
 
 @entry("SELECT event_type, avg(value) AS mean_value, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95 FROM (SELECT event_type, round(value)::BIGINT AS value FROM events) GROUP BY event_type")
@@ -424,10 +427,11 @@ def number_parse(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", S.finite_number(F.col("o_totalprice").cast("string")).alias("number"))
 
 
-@entry(f"SELECT archive_id, device_id || '.' || lower(substr(file_type, 1, 3)) AS name, lower(substr(file_type, 1, 3)) AS extension, file_type = 'RUNTIME_LOG' AND false AS allowed FROM {ARCHIVES_SQL}")
+@entry(f"SELECT archive_id, device_id || CASE WHEN archive_id % 3 = 0 THEN '.LOG' WHEN archive_id % 3 = 1 THEN '.x.csv' ELSE '.' END AS name, CASE WHEN archive_id % 3 = 0 THEN 'log' WHEN archive_id % 3 = 1 THEN 'csv' END AS extension, (archive_id % 3 = 0 AND file_type = 'RUNTIME_LOG') OR (archive_id % 3 = 1 AND file_type = 'TEST_REPORT') AS allowed FROM {ARCHIVES_SQL}")
 def extension_check(spark, sf):
-    a = archives(spark, sf).withColumn("name", F.concat("device_id", F.lit("."), F.substring("file_type", 1, 3)))
-    return a.select("archive_id", F.concat("device_id", F.lit("."), F.lower(F.substring("file_type", 1, 3))).alias("name"), S.extension(F.col("name")).alias("extension"), S.extension_allowed(F.col("name"), F.col("file_type")).alias("allowed"))
+    k = F.col("archive_id") % 3
+    a = archives(spark, sf).withColumn("name", F.concat("device_id", F.when(k == 0, ".LOG").when(k == 1, ".x.csv").otherwise(".")))
+    return a.select("archive_id", "name", S.extension(F.col("name")).alias("extension"), S.extension_allowed(F.col("name"), F.col("file_type")).alias("allowed"))
 
 
 @entry("SELECT CASE event_type WHEN 'error' THEN 'RETRY' WHEN 'view' THEN 'SESSION_MISSING' WHEN 'click' THEN 'OK' ELSE 'FAIL' END AS action, count(*) AS n FROM events GROUP BY 1")
@@ -438,10 +442,10 @@ def response_classes(spark, sf):
     return table(spark, sf, "events").select(sessions.response_class(status, code).alias("action")).groupBy("action").agg(F.count("*").alias("n"))
 
 
-@entry("SELECT l_orderkey::VARCHAR AS session, l_linenumber::BIGINT + 1 AS seq, (row_number() OVER (PARTITION BY l_orderkey, l_linenumber) > 1)::INT AS code FROM lineitem WHERE l_orderkey <= 200 UNION ALL SELECT DISTINCT l_orderkey::VARCHAR, 0, 1 FROM lineitem WHERE l_orderkey <= 200")
+@entry("SELECT l_orderkey::VARCHAR AS session, l_linenumber::BIGINT + 1 AS seq, (row_number() OVER (PARTITION BY l_orderkey, l_linenumber) > 1)::INT AS code FROM lineitem UNION ALL SELECT DISTINCT l_orderkey::VARCHAR, 0, 1 FROM lineitem")
 def upload_fold(spark, sf):
     """Upload sessions of one create event and a chunk for each line."""
-    li = table(spark, sf, "lineitem").where("l_orderkey <= 200").select(F.col("l_orderkey").cast("string").alias("session"), "l_linenumber")
+    li = table(spark, sf, "lineitem").select(F.col("l_orderkey").cast("string").alias("session"), "l_linenumber")
     create = li.select("session").distinct().select("session", F.lit(0).cast("long").alias("seq"), F.lit("create").alias("kind"), F.lit(7).cast("long").alias("number"), F.lit("").alias("digest"))
     chunk = li.select("session", (F.col("l_linenumber") + 1).cast("long").alias("seq"), F.lit("chunk").alias("kind"), (F.col("l_linenumber") - 1).cast("long").alias("number"), F.concat("session", F.lit("-"), "l_linenumber").alias("digest"))
     return sessions.fold_sessions(create.union(chunk)).select("session", "seq", "code")
@@ -460,13 +464,21 @@ def stream_incremental_index(spark, sf):
 
     from ..streaming.jobs import index_stream
 
-    base = (spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints").rstrip("/") + f"/stream-{uuid.uuid4().hex}"
+    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     schema = table(spark, sf, "documents").schema
     source = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf}/documents.parquet") if _is_dir(spark, f"{sf}/documents.parquet") else spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf)
     index_stream(source, base, f"{base}/checkpoint").awaitTermination()
     return spark.read.option("basePath", f"{base}/postings").parquet(f"{base}/postings").groupBy("term").agg(F.count("*").alias("df"))
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, else one in the warehouse."""
+    return (spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/scratch").rstrip("/")
+
+
 def _is_dir(spark: SparkSession, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()
+
+
+from . import record_queries  # noqa: E402, F401  registers further queries

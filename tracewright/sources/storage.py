@@ -75,13 +75,14 @@ def spool_bytes(spark: SparkSession, spool: str, glob: str = "*") -> DataFrame:
     return files.agg(F.coalesce(F.sum("length"), F.lit(0)).cast("long").alias("bytes"))
 
 
-def spool_has_room(used: int, size: int, most: int, available: int, least_free: int) -> bool:
-    return used + size <= most and available >= size + least_free
+def spool_has_room(used, size, most, available, least_free):
+    """Of numbers or of columns."""
+    return (used + size <= most) & (available >= size + least_free)
 
 
-def above_low_water(available: int, total: int, size: int, least_free: int, least_percent: int) -> bool:
-    """Whether a file may be admitted: the space left after it is enough in bytes and in percent."""
-    return available >= size + least_free and (available - size) * 100 >= total * least_percent
+def above_low_water(available, total, size, least_free, least_percent):
+    """Whether a file may be admitted: the space left after it is enough in bytes and in percent. Of numbers or of columns."""
+    return (available >= size + least_free) & ((available - size) * 100 >= total * least_percent)
 
 
 def capacity(spark: SparkSession, path: str) -> tuple[int, int]:
