@@ -47,10 +47,8 @@ def window_hashes(words: Column, k: int) -> Column:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A fresh folder name in the folder that driver and executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file:///tmp/checkpoints"
+    """A fresh folder name in the folder that driver and executors share: spark.checkpoint.dir, or one in the warehouse where it is unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/scratch"
     return f"{base.rstrip('/')}/tracewright-{uuid.uuid4().hex}"
 
 
