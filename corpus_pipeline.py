@@ -23,7 +23,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the least id of each group of near copies (five-word shingles, similarity 0.8 or more), and one row of a repeated id."""
+    """Keeps the least id of each group of near copies (five-word shingles, similarity 0.8 or more). Of rows that repeat an id, each text stays once, by its least row."""
     base = scratch(spark)
     found = stored(near_duplicates(docs, k=5), f"{base}/found")
     others = stored(found.where("doc_id <> component_id").select("doc_id").distinct(), f"{base}/others")
@@ -31,10 +31,14 @@ def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     again = found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
     if not again.isEmpty():
         again = stored(again, f"{base}/again")
-        kept = kept.join(again, "doc_id", "left_anti").union(kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+        kept = kept.join(again, "doc_id", "left_anti").union(_each_text_once(kept.join(again, "doc_id", "left_semi")))
     return kept.select(docs.columns)
 
 
+def _each_text_once(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("doc_id", F.xxhash64("text"), F.length("text")).agg(F.min(F.struct(*rows.columns)).alias("r")).select("r.*")
+
+
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that share a window of words with the benchmark."""
     hits = decontaminate(docs, read_table(spark, sf_dir, "benchmark"))

@@ -122,15 +122,31 @@ def fold_session(events: Iterable[dict], s: Session | None = None) -> tuple[Sess
 def fold_sessions(events: DataFrame) -> DataFrame:
     """(session, seq, kind, number, digest) → (session, seq, code, state): each session's events in order of seq.
 
-    A session has at most a few chunks by its size limit, so a group is bounded.
+    Sessions stream through their tasks one after another. Only the events of
+    the current one are held, and a session has a few chunks by its size limit.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq")
-        s, codes = fold_session(pdf.to_dict("records"))
-        return pd.DataFrame({"session": pdf["session"], "seq": pdf["seq"], "code": codes, "state": s.state if s else None})
+    def done(held: list[dict]) -> list[tuple]:
+        s, codes = fold_session(held)
+        return [(e["session"], e["seq"], c, s.state if s else None) for e, c in zip(held, codes, strict=True)]
 
-    return events.groupBy("session").applyInPandas(run, "session string, seq long, code int, state string")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[dict] = []
+        frame = lambda rows: pd.DataFrame(rows, columns=["session", "seq", "code", "state"])
+        for pdf in batches:
+            out = []
+            for e in pdf.to_dict("records"):
+                if held and held[0]["session"] != e["session"]:
+                    out += done(held)
+                    held = []
+                held.append(e)
+            if out:
+                yield frame(out)
+        if held:
+            yield frame(done(held))
+
+    dealt = events.select("session", "seq", "kind", "number", "digest").repartition("session").sortWithinPartitions("session", "seq")
+    return dealt.mapInPandas(run, "session string, seq long, code int, state string")
 
 
 def missing_chunks(done: Column, count: Column) -> Column:
