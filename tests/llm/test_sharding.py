@@ -39,6 +39,14 @@ def test_shards_against_the_law(spark):
     assert "Python" not in sh.shard_rows(df, 8)._jdf.queryExecution().executedPlan().toString()
 
 
+def test_fewer_partitions_where_the_matrix_is_full(spark, monkeypatch):
+    monkeypatch.setattr(sh, "MATRIX_CELLS", 24)
+    rows = [(i, f"t{i % 7}") for i in range(1003)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    check(rows, sh.shard_rows(df, 8, partition_rows=5).collect(), 8)
+    check(rows, sh.shard_rows(df, 40, partition_rows=5).collect(), 40)
+
+
 def test_edges(edge, empty):
     rows = [(r["doc_id"], r["text"]) for r in edge.collect()]
     check(rows, sh.shard_rows(edge, 4).collect(), 4)

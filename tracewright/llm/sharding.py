@@ -22,8 +22,8 @@ from .common import read_table
 
 #: Rows of a logical partition, on average: one task sorts that many slim rows.
 PARTITION_ROWS = 20_000
-#: Bound on P and on the pieces of a shard; what the driver holds is this times the shards.
-MAX_PARTITIONS = 4096
+#: Bound on the cells of the matrix, which the driver draws and sends out; P gives way to the number of shards.
+MATRIX_CELLS = 1 << 20
 
 
 def communication_matrix(rows: list[int], shards: int, seed: int) -> np.ndarray:
@@ -96,7 +96,7 @@ def shard_rows(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_c
     t = F.col(text_col)
     slim = docs.select(F.col(id_col).alias("id"), (F.coalesce(F.octet_length(t), F.lit(0)) + 16).cast("long").alias("size"), F.crc32(F.coalesce(t, F.lit("")).cast("binary")).alias("crc"))
     total = docs.count()
-    parts = max(1, min(MAX_PARTITIONS, -(-total // partition_rows)))
+    parts = max(1, min(MATRIX_CELLS // shards, -(-total // partition_rows)))
     # repeated ids differ in their checksum; equal rows stay together, at most what one text repeated under one id amounts to
     slim = slim.withColumn("part", F.pmod(F.xxhash64("id", "crc", F.lit(seed)), F.lit(parts)).cast("int"))
     counts = dict(slim.groupBy("part").count().collect())
@@ -109,7 +109,7 @@ def shard_rows(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_c
     dealt = ranked.join(cuts, "part").withColumn("shard", F.size(F.filter("ends", lambda e: e <= F.col("rank"))))
 
     # the second permutation: pieces by the leading part of a fresh key, then the order inside each piece
-    pieces = max(1, min(MAX_PARTITIONS, -(-total // (shards * partition_rows))))
+    pieces = max(1, -(-total // (shards * partition_rows)))
     dealt = dealt.withColumn("k2", F.xxhash64("id", "crc", F.lit(seed + 2)))
     dealt = dealt.withColumn("piece", F.pmod(F.shiftright("k2", 32), F.lit(pieces)).cast("int")).select("id", "size", "crc", "shard", "piece", "k2")
     if pieces == 1:
