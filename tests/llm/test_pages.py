@@ -262,5 +262,19 @@ def test_warc_round_trip(spark, pages, nothing, tmp_path):
         list(warc.parse_records(b"WARC/1.1\r\nContent-Length: 9\r\n\r\nshort"))
 
 
+def test_warc_files_bound_by_bytes(spark, tmp_path):
+    sizes = [0, 7, 8, 9, 100, 101, 128, 129, 130, 900, 3000] * 3
+    bodies = {i: (f"{i:02d}" + "é" * n)[:n] for i, n in enumerate(sizes)}
+    table = spark.createDataFrame([(i, f"http://h/{i}", b) for i, b in bodies.items()], "page_id long, url string, html string").coalesce(1)
+    path = f"file://{tmp_path}/w"
+    warc.write_archives(table, path, captures_per_file=40, small_bytes=8)
+    records = warc.read_records(spark, path, True)
+    rows = warc.assemble(records).collect()
+    assert {int(r["capture_id"]) for r in rows} == set(bodies) and len(rows) == len(bodies)
+    assert all(r["kind"] == "revisit" or r["response"]["payload"].decode() == bodies[int(r["capture_id"])] for r in rows)
+    files = records.where("kind = 'response'").groupBy("file").agg({"payload_bytes": "sum", "*": "count"}).collect()
+    assert all(f["sum(payload_bytes)"] <= 320 or f["count(1)"] == 1 for f in files) and max(f["count(1)"] for f in files) > 1
+
+
 def test_warc_query_equals_sql(spark):
     same(warc.query(spark, SF).toPandas(), oracle(warc.SQL))

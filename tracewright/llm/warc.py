@@ -4,8 +4,8 @@ A capture is a request, a response (or a revisit of an equal payload) and a
 metadata record, tied by WARC-Concurrent-To. Records are built by column
 expressions and written by Spark's text sink, whose line separator is the two
 CRLFs that end a record, so any store that Spark writes to will do. Archives
-hold a bounded number of captures and are compressed as a whole file. They are
-read back as binary files, parsed by Content-Length in Arrow batches, and the
+hold a bounded number of captures, fewer of them the larger their payloads, and
+are compressed as a whole file. They are read back as binary files, parsed by Content-Length in Arrow batches, and the
 records are joined through their concurrent-to identifiers into one nested row
 per capture.
 """
@@ -25,6 +25,8 @@ from .common import let, read_table, scratch, stored
 
 CRLF = "\r\n"
 CAPTURES_PER_FILE = 2000
+#: Payloads up to this many bytes share a file by CAPTURES_PER_FILE; a class of STEP times the bytes has a STEP-th of the captures.
+SMALL_BYTES, STEP = 65_536, 16
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -52,12 +54,14 @@ def _urn(rid: Column) -> Column:
     return F.concat(F.lit("<urn:uuid:"), rid, F.lit(">"))
 
 
-def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = 0, captures_per_file: int = CAPTURES_PER_FILE) -> None:
+def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = 0, captures_per_file: int = CAPTURES_PER_FILE, small_bytes: int = SMALL_BYTES) -> None:
     """Writes every row of pages as a capture. Among equal payloads of min_bytes or more, the largest id responds and the others revisit it.
 
     Null payloads are empty, null urls empty; a url's line breaks are percent-encoded.
     Repeated rows of the largest id all respond. Rows with a null id respond
     only where no other row has their payload. An empty table writes no capture.
+    Payloads of a file amount to captures_per_file * small_bytes at most, unless
+    it holds a single capture; each size class is a folder under path.
     """
     body = F.coalesce(F.col(payload_col), F.lit(""))
     url = F.regexp_replace(F.regexp_replace(F.coalesce(F.col(url_col), F.lit("")), "\r", "%0D"), "\n", "%0A")
@@ -67,7 +71,7 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     again = stored(again.groupBy("hex").agg(F.count("*").alias("c"), F.max("id").alias("first")).where("c > 1").select("hex", "first"), f"{path}-again")
     rows = rows.withColumn("hex", F.sha1(F.col("body").cast("binary"))).join(again, "hex", "left")
     revisit = F.col("first").isNotNull() & ~F.coalesce(F.col("id") == F.col("first"), F.lit(False))
-    rows = rows.select("id", "url", "body", "digest", "n", revisit.alias("revisit"), *[F.expr("uuid()").alias(c) for c in ("rq", "rs", "md")])
+    rows = rows.select("id", "url", "body", "digest", "n", revisit.alias("revisit"))
 
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.col("n").cast("string"), F.lit(CRLF + CRLF))
     target = ("WARC-Target-URI", F.col("url"))
@@ -78,7 +82,13 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     fields = F.concat(F.lit("captureId: "), F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit(CRLF))
     first = F.when(F.col("revisit"), _record("revisit", F.col("rs"), [target, digest, ("WARC-Profile", F.lit(PROFILE))], http, "application/http; msgtype=response")).otherwise(_record("response", F.col("rs"), [target, digest], F.concat(http, F.col("body")), "application/http; msgtype=response"))
     records = F.concat_ws(CRLF + CRLF, _record("request", F.col("rq"), [target, tied], asked, "application/http; msgtype=request"), first, _record("metadata", F.col("md"), [target, tied], fields, "application/warc-fields"))
-    rows.select(records.alias("value")).write.option("lineSep", CRLF + CRLF).option("compression", "gzip").option("maxRecordsPerFile", captures_per_file).text(path)
+    largest = pages.agg(F.max(F.octet_length(body))).first()[0] or 0
+    low, high = -1, small_bytes
+    while low < largest:
+        # ids are drawn after the filter, which would not get past them to the scan
+        some = rows.where((F.col("n") > low) & (F.col("n") <= high)).withColumns({c: F.expr("uuid()") for c in ("rq", "rs", "md")})
+        some.select(records.alias("value")).write.option("lineSep", CRLF + CRLF).option("compression", "gzip").option("maxRecordsPerFile", max(1, captures_per_file * small_bytes // high)).text(f"{path}/to-{high}")
+        low, high = high, high * STEP
 
 
 def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], int, int]]:
@@ -128,8 +138,8 @@ def _reader(with_payload: bool):
 
 
 def read_records(spark: SparkSession, path: str, with_payload: bool = False) -> DataFrame:
-    """One row per record of the archives under path; payload digests are computed from the bytes read."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
+    """One row per record of the archives under path, at any depth; payload digests are computed from the bytes read."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", True).load(path)
     return files.select("path", "content").mapInPandas(_reader(with_payload), _SCHEMA)
 
 
