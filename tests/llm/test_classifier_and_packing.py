@@ -91,3 +91,26 @@ def test_packing_edges(spark, edge, empty):
     assert (out[out.n_tokens > 0].groupby("bin_id").n_tokens.sum() <= out.groupby("bin_id").bin_capacity.first()).all()
     assert packing.pack_documents(empty).count() == 0
     assert isinstance(out, pd.DataFrame)
+
+
+def test_site_posteriors_against_brute_force(spark):
+    sites = [("a", "x", 400.0, 40.0, 0.0), ("a", "y", 2.0, 2.0, 0.5), ("a", "z", 30.0, 0.0, 0.0), ("b", "x", 1000.0, 900.0, 1.0), ("b", "y", 5.0, 1.0, 4.0), ("c", "x", 1.0, 1.0, 1.0), ("d", "x", 0.5, 0.0, 0.0)]
+    got = {(r["__host"], r["__path"]): r for r in qc._posteriors(spark.createDataFrame(sites, "__host string, __path string, n double, junk double, toxic double")).collect()}
+    assert len(got) == len(sites)
+    total = sum(s[2] for s in sites)
+    for col, name in ((3, "junk"), (4, "toxic")):
+        mean = sum(s[col] for s in sites) / total
+
+        def strength(spread, groups, mean=mean):
+            tau = spread - mean * (1 - mean) * groups / total
+            return 1e4 if tau <= 0 else min(1e4, max(1.0, mean * (1 - mean) / tau - 1))
+
+        hosts = {h: (sum(s[2] for s in sites if s[0] == h), sum(s[col] for s in sites if s[0] == h)) for h in "abcd"}
+        m = strength(sum(n * (b / n - mean) ** 2 for n, b in hosts.values()) / total, len(hosts))
+        host = {h: (b + m * mean) / (n + m) for h, (n, b) in hosts.items()}
+        k = strength(sum(s[2] * (s[col] / s[2] - host[s[0]]) ** 2 for s in sites) / total, len(sites))
+        for s in sites:
+            r = got[s[:2]]
+            assert abs(r[f"host_{name}"] - host[s[0]]) < 1e-9 and abs(r[f"path_{name}"] - (s[col] + k * host[s[0]]) / (s[2] + k)) < 1e-9
+        # a site of one row is drawn to the rate of all, one of many keeps its own
+        assert abs(host["c"] - mean) < abs(1 - mean) and abs(host["b"] - hosts["b"][1] / hosts["b"][0]) < 0.02
