@@ -7,8 +7,9 @@ same place. In steps:
 
 1. Each document becomes one slim row of its selected grams (place, hash), in
    one pass that needs no exchange. While the benchmark is small enough, a
-   bitmap of its fingerprints, a literal of bounded size, drops those in the row
-   that cannot meet; beyond that size there is none, and nothing else changes.
+   bitmap of its fingerprints, a literal of bounded size, drops grams that cannot
+   meet before their windows are compared; beyond that size there is none, and
+   nothing else changes.
 2. The fingerprints are joined with the benchmark's distinct ones. Spark
    broadcasts those if they are small, and exchanges slim rows else.
 3. Each hit is extended: the windows around it are compared by their words with
@@ -23,6 +24,8 @@ that length where it is below 5; documents are winnowed by those lengths too.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,20 +36,28 @@ WINDOW, GRAM = 10, 5
 BITMAP_LOW, BITMAP_HIGH = 1 << 10, 1 << 16
 
 
-def winnow(words: Column, length: int, gram: int) -> Column:
-    """(at, fp) of the grams selected from windows of ``length`` words, in order; ``words`` must be bound."""
+def winnow(words: Column, length: int, gram: int, among: Callable[[Column], Column] | None = None) -> Column:
+    """(at, fp) of the grams selected from windows of ``length`` words, in order; ``words`` must be bound.
+
+    A gram is selected if some window of grams around it holds none that is
+    less, and no equal one behind it. ``among`` narrows the hashes that are
+    looked at, before their windows are compared.
+    """
     gram = min(gram, length)
     span = length - gram + 1
 
     def selected(h: Column) -> Column:
-        def place(i: Column) -> Column:
-            own = [F.get(h, i + j) for j in range(span)]
-            return let(F.least(*own), lambda m: i + F.coalesce(*[F.when(own[j] == m, F.lit(j)) for j in reversed(range(span))])) if span > 1 else i
+        def run(i: Column, way: int) -> Column:
+            """How many grams next to i, span - 1 at most, leave it the least."""
+            own = F.get(h, i)
+            ends = [F.get(h, i + way * d) for d in range(1, span)]
+            return F.coalesce(*[F.when(F.coalesce(x < own if way < 0 else x <= own, F.lit(True)), F.lit(d)) for d, x in enumerate(ends)], F.lit(span - 1))
+
+        def chosen(i: Column) -> Column:
+            least = run(i, -1) + run(i, 1) >= F.lit(span - 1)
+            return among(F.get(h, i)) & least if among else least
 
-        places = F.transform(F.sequence(F.lit(0), F.size(h) - span), place)
-        # places never fall, so equal ones are neighbours
-        fresh = let(places, lambda p: F.filter(p, lambda x, i: (i == 0) | (x != F.get(p, i - 1))))
-        return F.transform(fresh, lambda x: F.struct(x.alias("at"), F.get(h, x).alias("fp")))
+        return F.transform(F.filter(F.sequence(F.lit(0), F.size(h) - 1), chosen), lambda i: F.struct(i.alias("at"), F.get(h, i).alias("fp")))
 
     return F.when(F.size(words) >= length, let(window_hashes(words, gram), selected)).otherwise(F.array().cast("array<struct<at:int,fp:bigint>>"))
 
@@ -89,9 +100,9 @@ def _bit(fp: Column) -> Column:
     return fp.bitwiseAND(F.lit(63)).cast("int")
 
 
-def _seen(selected: Column, size: int, bits: list[int]) -> Column:
+def _seen(fp: Column, size: int, bits: list[int]) -> Column:
     table = F.expr(f"array({', '.join(f'{b}L' if b > -(1 << 63) else 'bigint(-9223372036854775808)' for b in bits)})")
-    return F.filter(selected, lambda x: F.getbit(F.get(table, _slot(x["fp"], size)), _bit(x["fp"])) == 1)
+    return F.getbit(F.get(table, _slot(fp, size)), _bit(fp)) == 1
 
 
 def hit_windows(docs: DataFrame, items: DataFrame, base: str, window: int = WINDOW, gram: int = GRAM, bitmap_words: int = BITMAP_HIGH) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -113,8 +124,8 @@ def hit_windows(docs: DataFrame, items: DataFrame, base: str, window: int = WIND
 
     def chosen(w: Column) -> Column:
         def of(length: int) -> Column:
-            own = winnow(w, length, gram)
-            return F.transform(_seen(own, size, maps[length]) if maps else own, lambda x: F.struct(F.lit(length).alias("length"), x["at"].alias("at"), x["fp"].alias("fp")))
+            own = winnow(w, length, gram, (lambda fp: _seen(fp, size, maps[length])) if maps else None)
+            return F.transform(own, lambda x: F.struct(F.lit(length).alias("length"), x["at"].alias("at"), x["fp"].alias("fp")))
 
         return F.struct(F.size(w).alias("n"), F.concat(*[of(length) for length in lengths]).alias("g"))
 
