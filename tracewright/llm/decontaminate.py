@@ -108,13 +108,13 @@ def _seen(fp: Column, size: int, bits: list[int]) -> Column:
 def hit_windows(docs: DataFrame, items: DataFrame, base: str, window: int = WINDOW, gram: int = GRAM, bitmap_words: int = BITMAP_HIGH) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows, hits, windows): every row of docs with ``n_words``; each occurrence (start, length, win) of a benchmark window; (item_id, length, win) of the benchmark.
 
-    ``docs`` must have a column ``key`` and ``w``, its words; equal keys must
-    have equal words. bitmap_words bounds the bitmap, 0 leaves it out.
+    ``docs`` must have a column ``key`` and ``text``; equal keys must have equal
+    words. bitmap_words bounds the bitmap, 0 leaves it out.
     """
     windows = stored(_windows_of(items, window), f"{base}/windows")
     lengths = sorted(r[0] for r in windows.select("length").distinct().collect())
     if not lengths:
-        rows = docs.select("key", F.size("w").alias("n_words"))
+        rows = docs.select("key", F.size(alnum_words(F.col("text"))).alias("n_words"))
         return rows, rows.limit(0).select("key", F.lit(0).alias("start"), F.lit(0).alias("length"), F.lit("").alias("win")), windows
     fps = stored(_fingerprints(windows, lengths, gram), f"{base}/prints")
     n, size = fps.count(), BITMAP_LOW
@@ -129,25 +129,33 @@ def hit_windows(docs: DataFrame, items: DataFrame, base: str, window: int = WIND
 
         return F.struct(F.size(w).alias("n"), F.concat(*[of(length) for length in lengths]).alias("g"))
 
-    rows = docs.select("key", let(F.col("w"), chosen).alias("c")).select("key", F.col("c.n").alias("n_words"), F.col("c.g").alias("grams"))
+    rows = docs.select("key", let(alnum_words(F.col("text")), chosen).alias("c")).select("key", F.col("c.n").alias("n_words"), F.col("c.g").alias("grams"))
     rows = stored(rows, f"{base}/rows")
     met = rows.where(F.size("grams") > 0).select("key", F.explode("grams").alias("g")).select("key", "g.length", "g.at", "g.fp").join(fps, ["length", "fp"], "left_semi")
     # a document's own grams: at most as many as it has words
     met = stored(met.groupBy("key").agg(F.collect_set(F.struct("length", "at")).alias("grams")), f"{base}/met")
 
-    def around(x: Column) -> Column:
-        """Windows that hold the gram, as length << 32 | start: numbers are told apart by hash, structs by comparing all with all."""
-        own = F.least(F.lit(gram), x["length"])
-        low = F.greatest(F.lit(0), x["at"] + own - x["length"])
-        high = F.least(x["at"], F.size("w") - x["length"])
-        return F.transform(F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>")), lambda s: F.shiftleft(x["length"].cast("bigint"), 32) + s)
+    def around(w: Column) -> Callable[[Column], Column]:
+        """Windows that hold a gram, as length << 32 | start: numbers are told apart by hash, structs by comparing all with all."""
 
-    def with_words(x: Column) -> Column:
-        start, length = x.bitwiseAND(F.lit(0xFFFFFFFF)).cast("int"), F.shiftright(x, 32).cast("int")
-        return F.struct(start.alias("start"), length.alias("length"), F.array_join(F.slice("w", start + 1, length), " ").alias("win"))
+        def starts(x: Column) -> Column:
+            own = F.least(F.lit(gram), x["length"])
+            low = F.greatest(F.lit(0), x["at"] + own - x["length"])
+            high = F.least(x["at"], F.size(w) - x["length"])
+            return F.transform(F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>")), lambda s: F.shiftleft(x["length"].cast("bigint"), 32) + s)
 
-    # repeated rows of a key have equal words, so one of them is enough; words are cut inside the row, which explodes without them
-    near = docs.join(met, "key").dropDuplicates(["key"]).select("key", F.transform(F.array_distinct(F.flatten(F.transform("grams", around))), with_words).alias("x"))
+        return starts
+
+    def with_words(w: Column) -> Callable[[Column], Column]:
+        def cut(x: Column) -> Column:
+            start, length = x.bitwiseAND(F.lit(0xFFFFFFFF)).cast("int"), F.shiftright(x, 32).cast("int")
+            return F.struct(start.alias("start"), length.alias("length"), F.array_join(F.slice(w, start + 1, length), " ").alias("win"))
+
+        return cut
+
+    # only texts with a hit are split again, after the join; repeated rows of a key have equal words, so one of them is enough
+    near = docs.join(met, "key").dropDuplicates(["key"])
+    near = near.select("key", let(alnum_words(F.col("text")), lambda w: F.transform(F.array_distinct(F.flatten(F.transform("grams", around(w)))), with_words(w))).alias("x"))
     near = near.select("key", F.explode("x").alias("x")).select("key", "x.*")
     hits = near.join(windows.select("length", "win").distinct(), ["length", "win"], "left_semi")
     return rows.select("key", "n_words"), stored(hits.select("key", "start", "length", "win"), f"{base}/hits"), windows
@@ -164,7 +172,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     """
     t, it = F.col(text_col), F.col(item_text_col)
     # a document is its id and its text: repeated ids stay apart without any stored row number
-    keyed = docs.select(F.struct(F.col(id_col).alias("id"), F.xxhash64(t).alias("h"), F.length(t).alias("n")).alias("key"), alnum_words(t).alias("w"))
+    keyed = docs.select(F.struct(F.col(id_col).alias("id"), F.xxhash64(t).alias("h"), F.length(t).alias("n")).alias("key"), t.alias("text"))
     bench = items.select(F.col(item_col).alias("item_id"), alnum_words(it).alias("w"))
     rows, hits, windows = hit_windows(keyed, bench, scratch(docs.sparkSession), window, gram, bitmap_words)
     spans = hits.groupBy("key").agg(F.sort_array(F.collect_set(F.struct("start", "length"))).alias("spans"))
