@@ -36,6 +36,52 @@ def test_stages(spark):
     assert kept["pii"] == kept["decontamination"] == kept["packing"] <= kept["near_dup"] <= kept["quality_classifier"] < set(raw.doc_id)
 
 
+def test_stages_on_edges(spark, tmp_path):
+    """Null ids and values, empty and very long texts, repeated ids and rows, and columns with names of the operators' own."""
+    passage = " ".join(f"passage{i}" for i in range(12))
+    plain = lambda n, at=0: " ".join(f"the word{i + at} and" for i in range(n))
+    mail = plain(20, 900) + " write to ann.lee@corp.example.org"
+    texts = [
+        (1, plain(30)), (2, plain(30)), (2, plain(30, 500)), (2, plain(30, 500)), (3, None), (4, ""), (5, " \t\n"),
+        (None, plain(15, 300) + " " + passage), (None, plain(15, 300)), (6, plain(25, 700) + " " + passage), (7, plain(25, 800)), (7, passage + " " + plain(25, 850)), (8, plain(20_000, 10_000)), (9, mail), (None, None),
+    ]
+    names = ("kept", "entities", "p_junk", "w", "key", "id", "n", "h", "x", "component_id", "digest", "sig", "text_crc32", "spans", "a.b", "__m", "__r", "lexicon")
+    rows = [(i, t, None if j % 3 == 0 else "en", None if j % 4 == 0 else "s", None, *[f"{c}{j}" for c in names]) for j, (i, t) in enumerate(texts)]
+    columns = ("doc_id", "text", "lang", "source", "n_chars", *names)
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in names)
+    docs = spark.createDataFrame(rows, schema)
+    sf = f"file://{tmp_path}"
+    spark.createDataFrame([(1, 1, 0), (None, 0, 1), (2, None, None), (2, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+    spark.createDataFrame([("b1", passage), (None, passage), ("b2", None), ("b3", "")], "item_id string, text string").write.parquet(f"{sf}/benchmark.parquet")
+    # one text of id 2 is that of id 1, its other one stays once; of id 7 one text is contaminated, and one of two rows without an id
+    want = {"quality_classifier": [j for j, (_, t) in enumerate(texts) if t and t.strip()], "near_dup": [0, 3, 7, 8, 9, 10, 11, 12, 13], "decontamination": [0, 3, 8, 10, 12, 13]}
+    for name, stage in corpus_pipeline.STAGES:
+        before = [r.asDict() for r in docs.collect()]
+        docs.write.parquet(f"{sf}/{name}.parquet")
+        out = stage(spark, spark.read.parquet(f"{sf}/{name}.parquet"), sf)
+        if name == "packing":
+            assert out.select("doc_id").distinct().count() == len({b["doc_id"] for b in before})
+            break
+        assert out.columns == list(columns) and out.schema.simpleString() == docs.schema.simpleString()
+        after = [r.asDict() for r in out.collect()]
+        numbers = lambda rs: sorted(int(r["kept"].removeprefix("kept")) for r in rs)
+        assert all(r[c] == f"{c}{r['kept'].removeprefix('kept')}" for r in after for c in names)
+        if name == "pii":
+            assert numbers(after) == numbers(before) and all(r["n_chars"] == len(r["text"]) for r in after)
+            assert not any("ann.lee" in r["text"] for r in after) and sum("@" in r["text"] for r in after) == 1
+        else:
+            assert all(r in before for r in after)
+        if name in want:
+            assert numbers(after) == want[name]
+        docs = spark.createDataFrame(out.collect(), out.schema)
+
+
+def test_repeated_ids_keep_each_text_once(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f g"), (1, "a b c d e f g"), (1, "h i j k l m n"), (2, "o p q r s t u"), (None, "v w x y z a b"), (None, "v w x y z a b"), (None, "h i j k l m n")], "doc_id long, text string")
+    out = corpus_pipeline.near_dup_stage(spark, docs, "")
+    assert sorted(map(tuple, out.collect()), key=repr) == [(1, "a b c d e f g"), (1, "h i j k l m n"), (2, "o p q r s t u"), (None, "v w x y z a b")]
+
+
 def test_run_on_empty(spark, tmp_path):
     for t in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{SF}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
