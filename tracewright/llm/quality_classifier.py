@@ -53,7 +53,7 @@ def _bins(text: Column, lexicon: list[str]) -> Column:
         "symbol_ratio": per(m["n_symbols"], n, 1),
         "stop_word_ratio": per(m["w"]["n_stop"], n),
         "repeat_word_ratio": per(m["w"]["n_repeat"], n),
-        "mean_word_length": per(m["word_chars"], n),
+        "mean_word_length": per(m["w"]["word_chars"], n),
         "dup_line_ratio": per(m["l"]["dup"], m["l"]["n"]),
         "bang_ratio": per(F.length(t) - F.length(F.replace(t, F.lit("!"), F.lit(""))), n, 1),
         "lexicon_words": F.size(F.array_distinct(F.filter(alnum_words(text), lambda w: w.isin(lexicon)))) if lexicon else F.lit(0),

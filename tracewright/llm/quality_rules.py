@@ -76,7 +76,6 @@ def repeated_window_words(words: Column, k: int = 3) -> Column:
 def measures(text: Column) -> Column:
     """A struct of the counts of one text; null counts as empty. Stop words count in any case and beside marks."""
     t = F.coalesce(text, F.lit(""))
-    gone = lambda s, chars: F.length(s) - F.length(F.translate(s, chars, ""))
 
     def lines(x: Column) -> Column:
         return F.struct(F.size(x).alias("n"), (F.size(x) - F.size(F.array_distinct(x))).alias("dup"))
@@ -84,10 +83,11 @@ def measures(text: Column) -> Column:
     with_word = F.filter(F.split(t, "\n"), lambda x: F.btrim(x, F.lit(WHITE)) != "")
     parts = lambda w: F.struct(
         F.size(w).alias("n_words"),
+        F.length(F.array_join(w, "")).alias("word_chars"),
         F.size(F.filter(w, lambda x: F.lower(F.btrim(x, F.lit(MARKS))).isin(*STOP_WORDS))).alias("n_stop"),
         repeated_window_words(w).alias("n_repeat"),
     )
-    return F.struct(let(white_words(t), parts).alias("w"), (F.length(t) - gone(t, WHITE)).alias("word_chars"), gone(t, SYMBOLS).alias("n_symbols"), let(with_word, lines).alias("l"))
+    return F.struct(let(white_words(t), parts).alias("w"), F.length(F.regexp_replace(t, f"[^{SYMBOLS}]+", "")).alias("n_symbols"), let(with_word, lines).alias("l"))
 
 
 def apply_rules(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES, min_words: int = 50, max_repeat_percent: int = 50) -> DataFrame:
@@ -101,7 +101,7 @@ def apply_rules(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...]
     long = lambda c: c.cast("long")
     n, rep = long(m["w"]["n_words"]), long(m["w"]["n_repeat"])
     ratios = {
-        "mean_word_length": _ratio(m["word_chars"], n),
+        "mean_word_length": _ratio(m["w"]["word_chars"], n),
         "symbol_ratio": _ratio(m["n_symbols"], n),
         "stop_word_ratio": _ratio(m["w"]["n_stop"], n),
         "dup_line_ratio": _ratio(m["l"]["dup"], m["l"]["n"]),
@@ -120,7 +120,7 @@ def apply_rules(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...]
     failed = F.array_compact(F.array(*[F.when(broken(r), F.lit(r.name)) for r in rules])) if rules else F.array().cast("array<string>")
     passes = ~reduce(lambda a, b: a | b, [broken(r) for r in rules], F.lit(False))
     out = F.struct(
-        n.alias("n_words"), long(m["word_chars"]).alias("word_chars"), long(m["n_symbols"]).alias("n_symbols"),
+        n.alias("n_words"), long(m["w"]["word_chars"]).alias("word_chars"), long(m["n_symbols"]).alias("n_symbols"),
         long(m["l"]["dup"]).alias("n_dup_lines"), rep.alias("n_repeat_words"), *[c.alias(k) for k, c in ratios.items()],
         failed.alias("failed_rules"), base_failed.alias("base_failed"), (~base_failed & passes).alias("kept"),
     )
