@@ -1,6 +1,6 @@
 """Queries of the llm operators, and SQL for those that SQL can express."""
 
-from . import decontaminate, html_extract, near_dup, packing, pii, quality_classifier, quality_rules, sharding, url_filter, warc
+from . import decontaminate, html_extract, line_dedup, near_dup, packing, pii, quality_classifier, quality_rules, sharding, url_filter, warc
 
 QUERIES = {
     "op1_packing": packing.query,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_surrogates": pii.query,
     "op9_sharding": sharding.query,
     "op10_near_dup": near_dup.query,
+    "op13_line_dedup": line_dedup.query,
 }
 SQL = {
     "op2_decontaminate": decontaminate.SQL,
@@ -20,4 +21,5 @@ SQL = {
     "op5_url_filter": url_filter.SQL,
     "op7_warc": warc.SQL,
     "op10_near_dup": near_dup.SQL,
+    "op13_line_dedup": line_dedup.SQL,
 }
