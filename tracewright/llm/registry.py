@@ -1,6 +1,6 @@
 """Queries of the llm operators, and SQL for those that SQL can express."""
 
-from . import decontaminate, delta_lloyd, html_extract, line_dedup, near_dup, packing, pii, quality_classifier, quality_rules, sharding, url_filter, warc
+from . import decontaminate, delta_lloyd, html_extract, line_dedup, near_dup, packing, pii, quality_classifier, quality_rules, sharding, source_divergence, url_filter, warc
 
 QUERIES = {
     "op1_packing": packing.query,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_surrogates": pii.query,
     "op9_sharding": sharding.query,
     "op10_near_dup": near_dup.query,
+    "op11_source_divergence": source_divergence.query,
     "op12_delta_lloyd": delta_lloyd.query,
     "op13_line_dedup": line_dedup.query,
 }
@@ -22,6 +23,7 @@ SQL = {
     "op5_url_filter": url_filter.SQL,
     "op7_warc": warc.SQL,
     "op10_near_dup": near_dup.SQL,
+    "op11_source_divergence": source_divergence.SQL,
     "op12_delta_lloyd": delta_lloyd.SQL,
     "op13_line_dedup": line_dedup.SQL,
 }
