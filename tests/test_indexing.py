@@ -139,6 +139,29 @@ def test_only_the_wanted_file_is_opened(archive):
     assert rows.count() == 1 and len(rows.inputFiles()) == 1 and archive[2].files([]).count() == 0
 
 
+def test_batch_reads_and_parses_once(spark, archive, tmp_path, monkeypatch):
+    """One scan of the files, of bytes alone; what is stored between the steps is read by the next."""
+    plans = []
+    whole = source.Archive.scan
+
+    def kept(self, *args, **kwargs):
+        scan = whole(self, *args, **kwargs)
+        plans.append(scan.source._jdf.queryExecution().executedPlan().toString())
+        return scan
+
+    monkeypatch.setattr(source.Archive, "scan", kept)
+    monkeypatch.setattr(source.Archive, "files", lambda *_: pytest.fail("no file is read as one row"))
+    table, profiles, files, docs, outcomes = archive
+    x = LogIndex(spark, f"file://{tmp_path}")
+    s = x.scan_once(table, files, profiles)
+    assert len(plans) == 1 and plans[0].count("Scan text") == 1 and "binaryFile" not in plans[0]
+    checked, out = (spark.read.parquet(f"{x.root}/{t}/batch_id=1") for t in ("parsed", "outcomes"))
+    assert s == {"source_files": 5, "parsed_files": 3, "failed_files": 2, "documents": 7, "batch_id": 1} and not (tmp_path / "scan/batch_id=1").exists()
+    columns = sorted(docs.columns)
+    assert sorted(map(repr, parsers.documents_of(checked, out).select(columns).collect())) == sorted(map(repr, docs.select(columns).collect()))
+    assert sorted(map(tuple, out.collect()), key=repr) == sorted(map(tuple, outcomes.collect()), key=repr)
+
+
 def parse(spark, body, kind=RUN, **archive):
     """Failure code and line of one file."""
     row = {"archive_id": 1, "line_id": "L", "station_id": "S1", "device_id": "D1", "collector_id": "C", "work_order": None, "product_sn": None, "file_type": kind, "relative_path": "a/b", "file_size": len(body), "file_sha256": hashlib.sha256(body).hexdigest()} | archive
@@ -266,7 +289,7 @@ def test_recovery_and_lock(spark, archive, tmp_path, monkeypatch):
         raise RuntimeError("power")
 
     with monkeypatch.context() as m:
-        m.setattr(parsers, "parse_archives", broken)
+        m.setattr(parsers, "parse_lines", broken)
         with pytest.raises(RuntimeError):
             x.scan_once(table, files, profiles)
     assert states() == {1: ("PARSING", None)}

@@ -16,13 +16,13 @@ import time
 from collections.abc import Callable
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import schemas
 from ..operators import index, parsers, search, state
 from ..sources.archives import INDEXED_TYPES, decode_guard, undiscovered
-from ..sources.files import Archive
+from ..sources.files import Archive, lines
 from ..sources.storage import digest
 
 MAX_FILES, MAX_DOCUMENTS = 100, 100_000
@@ -114,11 +114,13 @@ class LogIndex:
     def _none(self) -> DataFrame:
         return self.spark.createDataFrame([], schemas.INDEXED)
 
-    def _files(self, files: Archive | DataFrame, rows: DataFrame) -> DataFrame:
-        """The files of some archives: at most a batch's paths come to the driver, and only those files are opened."""
-        return files.files([r["relative_path"] for r in rows.select("relative_path").collect()]) if isinstance(files, Archive) else files
+    def _digests(self, files: Archive | DataFrame, rows: DataFrame, batch: int) -> DataFrame:
+        """Lengths and digests of the files of some archives as they are now: at most a batch's paths come to the driver, and only those files are read."""
+        if not isinstance(files, Archive):
+            return files
+        return files.scan([r["relative_path"] for r in rows.select("relative_path").collect()], f"{self.root}/scan/batch_id={batch}", keep_raw=False).digests()
 
-    def _drop(self, batch_id: int, tables: tuple[str, ...] = (*index.TABLES, "parsed", "outcomes")) -> None:
+    def _drop(self, batch_id: int, tables: tuple[str, ...] = (*index.TABLES, "parsed", "outcomes", "scan")) -> None:
         for t in tables:
             p, fs = self._fs(f"{self.root}/{t}/batch_id={batch_id}")
             fs.delete(p, True)
@@ -133,26 +135,20 @@ class LogIndex:
                 rows = undiscovered(source, archives, max_files)
             else:
                 rows = source.where(F.col("file_type").isin(*INDEXED_TYPES)).join(waiting, "archive_id", "left_semi").orderBy("archive_id").limit(max_files)
-            rows = decode_guard(rows)
+            # at most max_files rows, so that nothing upstream runs again
+            rows = self.spark.createDataFrame(decode_guard(rows).collect(), source.schema)
             ends = rows.agg(F.min("archive_id").alias("a"), F.max("archive_id").alias("b"), F.count("*").alias("n")).first()
             if not ends["n"]:
                 return {"source_files": 0, "parsed_files": 0, "failed_files": 0, "documents": 0, "batch_id": None}
             batch = (batches.agg(F.max("batch_id")).first()[0] or 0) + 1
-            at = {t: f"{self.root}/{t}/batch_id={batch}" for t in ("outcomes", "parsed")}
+            at = {t: f"{self.root}/{t}/batch_id={batch}" for t in ("outcomes", "parsed", "scan")}
             row = self.spark.range(1).select(F.lit(batch).cast("long").alias("batch_id"), F.lit(ends["a"]).alias("first_archive_id"), F.lit(ends["b"]).alias("last_archive_id"), F.lit("PARSING").alias("state"), F.lit(ends["n"]).alias("source_file_count"), F.current_timestamp().alias("created_at"))
             row = self.spark.createDataFrame([], schemas.BATCH).unionByName(row, allowMissingColumns=True)
             self._commit(row, self._none())
 
-            docs, outcomes = parsers.parse_archives(rows, self._files(files, rows), profiles)
-            # stored before anything depends on them: the batch is cut and counted on what was parsed
-            parsed = outcomes.persist()
-            try:
-                parsers.cut_batch(parsed, max_documents).write.mode("overwrite").parquet(at["outcomes"])
-            finally:
-                parsed.unpersist()
+            s = self._parse(rows, files, profiles, at, max_documents)
+            self._drop(batch, ("scan",))
             outcomes = self.spark.read.parquet(at["outcomes"])
-            docs.join(outcomes.where("failure_code IS NULL").select("archive_id"), "archive_id", "left_semi").write.mode("overwrite").parquet(at["parsed"])
-            s = parsers.batch_summary(outcomes).first().asDict()
             ids = outcomes.agg(F.min("archive_id").alias("a"), F.max("archive_id").alias("b")).first()
             code = None if s["parsed_files"] else "NO_ARCHIVE_PARSED"
             row = row.withColumns({
@@ -163,6 +159,24 @@ class LogIndex:
             self._commit(row, held.where(F.col("batch_id") == batch))
             return s | {"batch_id": batch}
 
+    def _parse(self, rows: DataFrame, files: Archive | DataFrame, profiles: DataFrame, at: dict[str, str], max_documents: int) -> dict:
+        """Reads the files of a batch once, parses each line once, and stores checked lines and outcomes; the counts come from the write of the outcomes."""
+        if isinstance(files, Archive):
+            scan = files.scan([r["relative_path"] for r in rows.select("relative_path").collect()], at["scan"])
+            physical, digests = scan.lines(), scan.digests()
+        else:
+            physical, digests = lines(files.select("relative_path", "content")), files
+        admitted = self.spark.createDataFrame((a := parsers.admit(rows, digests, profiles)).collect(), a.schema)
+        parsers.parse_lines(admitted, physical).write.mode("overwrite").parquet(at["parsed"])
+        checked = self.spark.read.parquet(at["parsed"])
+        # counted for each file before the batch is cut, which looks at the counts again and again
+        counted = self.spark.createDataFrame((o := parsers.outcomes_of(admitted, checked)).collect(), o.schema)
+        bad = F.col("failure_code").isNotNull()
+        seen = Observation()
+        cut = parsers.cut_batch(counted, max_documents)
+        cut.observe(seen, F.count("*").alias("source_files"), F.count_if(~bad).alias("parsed_files"), F.count_if(bad).alias("failed_files"), F.coalesce(F.sum("document_count"), F.lit(0)).alias("documents")).write.mode("overwrite").parquet(at["outcomes"])
+        return seen.get
+
     def build_next(self, on_disk: Archive | DataFrame) -> int | None:
         """Builds the oldest PARSED batch into the index and publishes it; what was parsed and the originals are verified again first. None if there is none or it fails."""
         with self._writer():
@@ -173,12 +187,13 @@ class LogIndex:
             b = first["batch_id"]
             self._commit(state.move_batch(batches.where(F.col("batch_id") == b), b, "PARSED", "BUILDING")[0], self._none())
             batches, archives = self.tables()
-            docs, outcomes = (self.spark.read.parquet(f"{self.root}/{t}/batch_id={b}") for t in ("parsed", "outcomes"))
+            checked, outcomes = (self.spark.read.parquet(f"{self.root}/{t}/batch_id={b}") for t in ("parsed", "outcomes"))
             good = outcomes.where("failure_code IS NULL")
-            sound = str(digest(docs)) == first["parsed_sha256"] and index.verify_originals(good, self._files(on_disk, good)).isEmpty()
+            sound = str(digest(checked)) == first["parsed_sha256"] and index.verify_originals(good, self._digests(on_disk, good, b)).isEmpty()
+            self._drop(b, ("scan",))
             if sound:
                 self._drop(b, index.TABLES)
-                index.build_segment(docs, outcomes, b, self.root)
+                index.build_segment(parsers.documents_of(checked, outcomes), outcomes, b, self.root)
                 sound = self._sound(b)
             if not sound:
                 self._commit(state.move_batch(batches.where(F.col("batch_id") == b), b, "BUILDING", "FAILED", "SEGMENT_BUILD_FAILED")[0], self._none())
@@ -219,7 +234,7 @@ class LogIndex:
             if rest:
                 self._commit(state.recover(batches, built, sound).where(F.col("batch_id").isin(rest)), self._none())
             for b in rest:
-                self._drop(b, index.TABLES if open_[b] == "BUILDING" else ("parsed", "outcomes"))
+                self._drop(b, index.TABLES if open_[b] == "BUILDING" else ("parsed", "outcomes", "scan"))
 
     def rebuild(self, archive_id: int) -> bool:
         """Invalidates the batch of an archive and removes its partitions; False for an unknown archive."""

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import schemas
 from ..functions.scalars import chunk_count, iso_to_ms, let
+from .ranges import LineScan
 
 FILES = "relative_path string, length long, sha256 string, content binary"
 IGNORED = r"(^\.|\.meta\.json\z|\.done\z|\.tmp\z|\.part\z)"
@@ -47,11 +48,40 @@ class Archive:
     def files(self, paths: list[str]) -> DataFrame:
         return read_files(self.spark, self.root, paths=paths)
 
-
-def _is_file(spark: SparkSession, path: str) -> bool:
+    def listed(self, paths: list[str]) -> dict[str, int]:
+        """Lengths of those paths that are files inside the root."""
+        found = {p: _file_size(self.spark, f"{self.root.rstrip('/')}/{p}") for p in sorted(set(paths)) if safe_path(p)}
+        return {p: n for p, n in found.items() if n is not None}
+
+    def scan(self, paths: list[str], at: str, keep_raw: bool = True) -> LineScan:
+        """Lines and digests of some files, by byte ranges in one pass that is stored in ``at``; missing files and paths that leave the root are left out."""
+        return LineScan(self.spark, self.root, self.listed(paths), at, keep_raw)
+
+    def record(self, path: str, size: int, offset: int, length: int) -> bytes | None:
+        """The bytes of one record, read from their place alone; None where the file's size is not the recorded one or the range is outside."""
+        if self.listed([path]).get(path) != size or not (0 <= offset and 0 <= length and offset + length <= size):
+            return None
+        jvm = self.spark._jvm
+        p = jvm.org.apache.hadoop.fs.Path(f"{self.root.rstrip('/')}/{path}")
+        stream = p.getFileSystem(self.spark._jsc.hadoopConfiguration()).open(p)
+        try:
+            stream.seek(offset)
+            return bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream, length))
+        finally:
+            stream.close()
+
+
+def _file_size(spark: SparkSession, path: str) -> int | None:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
-    return fs.exists(p) and fs.getFileStatus(p).isFile()
+    if not fs.exists(p):
+        return None
+    status = fs.getFileStatus(p)
+    return status.getLen() if status.isFile() else None
+
+
+def _is_file(spark: SparkSession, path: str) -> bool:
+    return _file_size(spark, path) is not None
 
 
 def _quoted(text: str) -> str:
@@ -84,7 +114,8 @@ def _offsets(parts: Column) -> Column:
     count = F.ceil(F.size(parts) / BLOCK_LINES).cast("int")
     blocks = F.transform(F.sequence(F.lit(0), count - 1), lambda b: F.aggregate(F.slice(parts, b * BLOCK_LINES + 1, F.lit(BLOCK_LINES)), zero, add(lambda x: F.length(x) + 1)))
     moved = lambda b: let(F.aggregate(b, zero, add(lambda x: x["at"]))["o"], lambda s: F.flatten(F.transform(b, lambda x, i: F.transform(x["o"], lambda y: y + F.get(s, i)))))
-    return F.when(F.size(parts) > 0, let(blocks, moved)).otherwise(none)
+    short = F.aggregate(parts, zero, add(lambda x: F.length(x) + 1))["o"]
+    return F.when(F.size(parts) <= BLOCK_LINES, short).otherwise(let(blocks, moved))
 
 
 def utf8(raw: Column) -> Column:
@@ -94,8 +125,11 @@ def utf8(raw: Column) -> Column:
 
 
 def read_record(files: DataFrame | Archive, path: str, size: int, offset: int, length: int) -> DataFrame:
-    """The exact bytes of one record, or a failure where the file's size is not the recorded one or the range is outside. From an archive only this file is opened."""
-    one = files.files([path]) if isinstance(files, Archive) else files.where(F.col("relative_path") == path)
+    """The exact bytes of one record, or a failure where the file's size is not the recorded one or the range is outside. From an archive only these bytes are read."""
+    if isinstance(files, Archive):
+        raw = files.record(path, size, offset, length)
+        return files.spark.createDataFrame([(raw, "STORAGE_IO_ERROR" if raw is None else None)], "raw binary, failure string")
+    one = files.where(F.col("relative_path") == path)
     good = (F.col("length") == size) & F.lit(0 <= offset and length >= 0 and offset + length <= size)
     return one.select(F.when(good, F.expr(f"substring(content, {offset + 1}, {length})")).alias("raw"), F.when(~good, "STORAGE_IO_ERROR").alias("failure"))
 
