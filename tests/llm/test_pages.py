@@ -101,7 +101,7 @@ def brute_open(pages, run=8):
             for p in counted:
                 for g in set(grams(p)):
                     n[g] = n.get(g, 0) + 1
-            least = max(3, -(-len(counted) // 5))
+            least = max(2, -(-len(counted) // 2))
             return {p: {i + j for i, g in enumerate(grams(p)) if n.get(g, 0) >= least for j in range(run)} for p in distinct}
 
         cut = gone(distinct)
@@ -109,11 +109,44 @@ def brute_open(pages, run=8):
         if near:
             cut = gone(distinct - near)
         for p in distinct:
-            kept = [w for i, w in enumerate(words[p]) if i not in cut[p]]
-            out[host, p] = " ".join(kept or words[p])
+            at, frame = 0, []
+            for b in p:
+                n = len(b.split())
+                frame.append(sum(i in cut[p] for i in range(at, at + n)) >= 0.8 * n)
+                at += n
+            own = [i for i, f in enumerate(frame) if not f]
+            out[host, p] = " ".join(p[own[0] : own[-1] + 1] if own else p)
     return out
 
 
+def test_inline_elements_break_no_words():
+    text = lambda p: " ".join(he.main_blocks(he.blocks_of(p))[1])
+    assert text("<p>foo<span>bar</span>baz, <span>5</span>. End</p>") == "foobarbaz, 5. End"
+    assert text("<p>a<a href=x>b</a><em>c</em>d<svg><text>no</text></svg>e <button>no</button>f</p>g") == "abcde f g"
+    assert text("<p>a<span class=ad>no<p>no</p></span>b<span hidden>no</p>c") == "ab c"
+    assert text("<article>x<span class='promo'>no<div>no</div></span>y</article>") == "xy"
+
+
+def test_adverts_and_notices_inside_articles():
+    text = lambda p: " ".join(he.main_blocks(he.blocks_of(p))[1])
+    for name in ("ad-slot", "cookie-banner", "newsletter-signup", "promo-text", "related-posts", "inline-ad", "article__ad", "sponsored-content", "share-buttons", "js-cookieNotice"):
+        assert text(f"<article>a<div class='{name}'>no</div>b</article>") == "a b"
+    for name in ("related-work", "has-ads", "no-ads", "admin", "shared-memory", "address-block", "commentary"):
+        assert text(f"<article>a<div class='{name}'>yes</div>b</article>") == "a yes b"
+    assert text("<main>x<article class='teaser card'>no</article>y</main>") == "x y"
+
+
+@pytest.mark.parametrize("n", [2, 3, 5, 10, 14, 16, 30])
+def test_shared_prose_stays_whatever_the_hosts_size(spark, n):
+    menu, quote, foot = "home shop news about jobs press legal imprint terms", "it was a dark night and " * 8, "all rights are reserved by the owners of this site"
+    own = lambda i: " ".join(f"w{i}x{k}" for k in range(60))
+    page = lambda i: f"<div>{menu}</div><p>own beginning {own(i)}</p>{f'<p>{quote}</p>' if i < 3 else ''}<p>own end {i} of this page</p><div>{foot} {i % 7}</div>"
+    rows = spark.createDataFrame([(i, "http://h/x", page(i)) for i in range(n)], "page_id long, url string, html string")
+    for r in he.extract(rows).collect():
+        i = r["page_id"]
+        assert r["text"] == " ".join(f"own beginning {own(i)} {quote if i < 3 else ''} own end {i} of this page".split())
+
+
 def test_frames_of_open_pages(spark):
     """Pages without article tags, where the array decides: the result is brute force's, however pages are dealt into chunks."""
     rng = random.Random(2)
@@ -140,7 +173,7 @@ def test_frames_of_open_pages(spark):
         assert len(got) == len(rows)
         for i, (h, p) in enumerate(pages):
             assert got[i] == want[h, tuple(p)]
-    assert sum(len(want[h, tuple(p)].split()) < len(" ".join(p).split()) for h, p in pages) > 70
+    assert sum(len(want[h, tuple(p)].split()) < len(" ".join(p).split()) for h, p in pages) > 50
 
 
 def test_extract_against_the_tables_markup(spark):
@@ -200,7 +233,7 @@ def test_rules_against_brute_force(spark):
     # tokens of one template, some of which good rows have too
     rows += [([f"c{i}" for i in range(5)], True)] * 20 + [(["c0", "c1"], False)] * 3 + [(["c0", "c2"], False)] * 9
     df = spark.createDataFrame(rows, "items array<string>, bad boolean")
-    got = uf.mine_rules(df, 0.02, 0.8)
+    got = uf.mine_rules(df, 0.02, 0.8, deviations=0)
     assert dict(got) == pytest.approx(brute_rules(rows, 0.02, 0.8)) and ("t1", "t2") in dict(got) and [c for _, c in got] == sorted((c for _, c in got), reverse=True)
     combos = [("t1", "t2"), ("t3",), ("t0", "t9")]
     for r in df.select("items", uf.matching(df["items"], combos).alias("m")).collect():
@@ -215,22 +248,37 @@ def test_a_template_of_many_tokens_is_mined_in_time(spark):
     assert {k for k, _ in got} == {(f"c{i:02d}",) for i in range(1, 40, 2)}
 
 
-def test_planted_rules_and_the_tables_hosts(spark):
-    """Hosts that seed words point at are blocked where no listed rule fits, and no others; rules as a table judge alike."""
-    pages = spark.read.parquet(f"{SF.replace('0.001', '0.01')}/pages.parquet").select("page_id", "url")
-    extra = spark.createDataFrame([(10**6 + i, f"https://x{i}.shop.example.com/{'deal' if i % 2 else 'help'}/{i}") for i in range(60)] + [(None, "https://free-bets.example.com/x"), (5, None)], pages.schema)
-    pages = pages.union(extra)
-    labels = uf.seeded(pages).where("page_id < 1000000").union(extra.where("page_id >= 1000000").selectExpr("page_id", "url LIKE '%/deal/%' AS bad"))
+def planted(spark, n=900):
+    """Pages whose text is junk where two tokens of the URL meet, and never for one of them alone."""
+    good = "the quick report of the day says that there is more to it than they will tell us about this and that is what we all have to see in it " * 3
+    rows = []
+    for i in range(n):
+        shop, deal = i % 3 == 0, i % 2 == 0
+        text = "$$ ** buy ## now || " * 40 if shop and deal else f"{good} {i}"
+        rows.append((i, f"https://{'shop' if shop else 'www'}.h{i % 7}.example.com/{'deal' if deal else 'help'}/{i}", f"<article><p>{text}</p></article>"))
+    return spark.createDataFrame(rows, "page_id long, url string, html string")
+
+
+def test_rules_from_what_pages_say(spark):
+    pages = planted(spark)
+    labels = uf.text_labels(pages)
+    assert labels.count() == 900 and labels.where("bad").count() == 150
     rules = uf.mine_rules(uf.labelled_urls(pages, labels))
-    out = uf.judge(pages, rules).collect()
-    assert ("p:deal",) in dict(rules) and sum(r["mined"] is not None for r in out) > 35
-    for r in out:
-        bad = bool(re.search(r"casino|pills|bets|spam|ads-|adult", r["host"])) or "/deal/" in r["path"]
-        assert r["mined"] is None or bad or r["rule"]
-        assert r["verdict"] == ("block" if r["mined"] else "allow") or r["rule"]
+    assert [k for k, _ in rules] == [("h:shop", "p:deal")]
+    out = uf.judge(pages.drop("html").union(spark.createDataFrame([(None, "https://shop.x/deal"), (5, None)], "page_id long, url string")), rules)
+    for r in out.collect():
+        bad = "shop." in (r["url"] or "") and "/deal" in r["url"]
+        assert (r["mined"] is not None) == bad and r["verdict"] == ("block" if bad else "allow") or r["rule"]
     again = uf.judge(pages, rules, literal_rules=0).collect()
-    key = lambda r: (str(r["page_id"]), str(r["url"]), r["verdict"], str(r["mined"]), str(r["rule"]))
-    assert sorted(map(key, out)) == sorted(map(key, again))
+    assert sorted((r["page_id"], r["verdict"], str(r["mined"])) for r in again) == sorted((r["page_id"], r["verdict"], str(r["mined"])) for r in uf.judge(pages, rules).collect())
+    drawn = uf.text_labels(pages, 100).count()
+    assert 60 < drawn < 140
+
+
+def test_few_pages_prove_no_rule(spark):
+    rows = [(["h:a"], True)] * 3 + [(["h:b"], False)] * 50
+    df = spark.createDataFrame(rows, "items array<string>, bad boolean")
+    assert uf.mine_rules(df) == [] and uf.mine_rules(df, deviations=0) == [(("h:a",), 1.0)]
 
 
 @pytest.mark.parametrize("sf", ["0.001", "0.01"])
@@ -238,7 +286,7 @@ def test_url_query_equals_sql(spark, sf):
     at = SF.replace("0.001", sf)
     got = uf.query(spark, at).toPandas()
     same(got, oracle(uf.SQL, at))
-    assert sf == "0.001" or got.mined.notna().sum() > 5
+    assert got.mined.notna().sum() == 0
 
 
 def test_warc_round_trip(spark, pages, nothing, tmp_path):
