@@ -140,11 +140,11 @@ def test_adverts_and_notices_inside_articles():
 def test_shared_prose_stays_whatever_the_hosts_size(spark, n):
     menu, quote, foot = "home shop news about jobs press legal imprint terms", "it was a dark night and " * 8, "all rights are reserved by the owners of this site"
     own = lambda i: " ".join(f"w{i}x{k}" for k in range(60))
-    page = lambda i: f"<div>{menu}</div><p>own beginning {own(i)}</p>{f'<p>{quote}</p>' if i < 3 else ''}<p>own end {i} of this page</p><div>{foot} {i % 7}</div>"
+    page = lambda i: f"<div>{menu}</div><p>own beginning {own(i)}</p>{f'<p>{quote}</p>' if i < 3 else ''}<p>{own(1000 + i)}</p><div>{foot} {i % 7}</div>"
     rows = spark.createDataFrame([(i, "http://h/x", page(i)) for i in range(n)], "page_id long, url string, html string")
     for r in he.extract(rows).collect():
         i = r["page_id"]
-        assert r["text"] == " ".join(f"own beginning {own(i)} {quote if i < 3 else ''} own end {i} of this page".split())
+        assert r["text"] == " ".join(f"own beginning {own(i)} {quote if i < 3 else ''} {own(1000 + i)}".split())
 
 
 def test_frames_of_open_pages(spark):

@@ -13,7 +13,7 @@ def luhn(s):
 
 
 def test_types_and_formats(spark):
-    r = pii.redact(spark.createDataFrame([(1, TEXT)], "doc_id long, text string")).first()
+    r = pii.redact(spark.createDataFrame([(1, TEXT)], "doc_id long, text string"), "k").first()
     kinds = [e["type"] for e in r["entities"]]
     assert kinds == ["email", "email", "phone", "phone", "card", "card", "ip", "secret", "aws_key", "secret", "ssn", "iban", "name", "name"]
     sur = [e["surrogate"] for e in r["entities"]]
@@ -28,7 +28,7 @@ def test_types_and_formats(spark):
 
 def test_bijections_and_collisions(spark):
     rows = [(i, f"{a}.{b}.0.1 41111111{a:04d}{b:04d} (98{a % 10}) 555-{b:04d} u{a}x{b}@m.org") for i, (a, b) in enumerate((a, b) for a in range(1, 31) for b in range(30))]
-    out = pii.surrogates(spark.createDataFrame(rows, "doc_id long, text string"))
+    out = pii.surrogates(spark.createDataFrame(rows, "doc_id long, text string"), "k")
     assert out.count() == len(rows) and pii.collisions(out).count() == 0
     ips = {e["surrogate"] for r in out.collect() for e in r["entities"] if e["type"] == "ip"}
     assert len(ips) == len(rows)
@@ -37,20 +37,20 @@ def test_bijections_and_collisions(spark):
 
 
 def test_edges(spark, edge, empty):
-    out = pii.redact(edge)
+    out = pii.redact(edge, "k")
     assert {(r["doc_id"], r["text"]) for r in out.collect()} == {(r["doc_id"], r["text"]) for r in edge.collect()}
-    assert pii.redact(empty).count() == 0
+    assert pii.redact(empty, "k").count() == 0
     clean = ["ratio 3.14 at 10:30 on 2024-01-02", "version 2.0.1, pages 12-15", "a = b; key: short", "order 1234567890 of 100000"]
-    got = pii.redact(spark.createDataFrame([(t,) for t in clean], "text string")).collect()
+    got = pii.redact(spark.createDataFrame([(t,) for t in clean], "text string"), "k").collect()
     assert [r["text"] for r in got] == clean
     other = pii.redact(spark.createDataFrame([(1, TEXT)], "doc_id long, text string"), key="other").first()["text"]
-    assert other != pii.redact(spark.createDataFrame([(1, TEXT)], "doc_id long, text string")).first()["text"]
+    assert other != pii.redact(spark.createDataFrame([(1, TEXT)], "doc_id long, text string"), "k").first()["text"]
 
 
 def test_short_secrets_stay_distinct(spark):
     """4,000 six-digit tokens, some IBANs and titles in two formats; a hash of six digits would collide for certain."""
     rows = [(i, f"token={i * 7:06d} pwd: a{i:05d} key DE89370400440532{i:06d} or DE89 3704 0044 0532 {str(i).zfill(6)[:4]} {str(i).zfill(6)[4:]}; Mr Smith, Mr. Smith") for i in range(4000)]
-    out = pii.surrogates(spark.createDataFrame(rows, "doc_id long, text string"))
+    out = pii.surrogates(spark.createDataFrame(rows, "doc_id long, text string"), "k")
     found = [[e["surrogate"] for e in r["entities"]] for r in out.collect()]
     assert len({f[0] for f in found}) == len({f[1] for f in found}) == len({f[2] for f in found}) == len(rows)
     assert all(re.fullmatch(r"token=\d{6}", f[0]) and re.fullmatch(r"pwd: [a-z]\d{5}", f[1]) and f[2] == f[3].replace(" ", "") for f in found)
@@ -61,7 +61,7 @@ def test_formats_do_not_merge(spark):
     rows = [([("ip", "1.1.1.1", "1.23.4.5"), ("ip", "2.2.2.2", "12.3.4.5")],)]
     assert pii.collisions(spark.createDataFrame(rows, "entities array<struct<type:string,canon:string,surrogate:string>>")).count() == 0
     rows = [(1, "4111111111111111"), (2, "4111111111111112"), (3, "4111111111111119")]
-    got = [r["entities"][0]["surrogate"] for r in pii.redact(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    got = [r["entities"][0]["surrogate"] for r in pii.redact(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()]
     assert len({g[:15] for g in got}) == 1 and [luhn(g) for g in got] == [True, False, False] and len(set(got)) == 3
 
 
@@ -70,15 +70,15 @@ def test_collisions_are_settled_by_entity(spark, monkeypatch):
     few = lambda v, k: F.concat(F.lit("Mr X"), F.substring(F.sha2(F.concat_ws("|", k, F.lower(v)).cast("binary"), 256), 1, 2))
     monkeypatch.setattr(pii, "_name", few)
     docs = spark.createDataFrame([(i, f"Mr N{chr(97 + i % 26)}{chr(97 + i // 26)} a{i}@b.org") for i in range(60)], "doc_id long, text string").repartition(3)
-    first = {r["doc_id"]: [e["surrogate"] for e in r["entities"]] for r in pii.redact(docs).collect()}
-    got = {r["doc_id"]: [e["surrogate"] for e in r["entities"]] for r in pii.surrogates(docs).collect()}
+    first = {r["doc_id"]: [e["surrogate"] for e in r["entities"]] for r in pii.redact(docs, "k").collect()}
+    got = {r["doc_id"]: [e["surrogate"] for e in r["entities"]] for r in pii.surrogates(docs, "k").collect()}
     assert len({f[0] for f in first.values()}) < 60 == len({g[0] for g in got.values()})
     assert all(first[i][1] == got[i][1] for i in first) and sum(first[i][0] == got[i][0] for i in first) >= 30
 
 
 def test_untitled_mentions_and_possessives(spark):
     text = "Mrs. Anna Smith came. Anna Smith left, and so did Smith's dog and Annabel Smithson. Mr. O'Neil's hat, O'Neil."
-    r = pii.redact(spark.createDataFrame([(1, text), (2, "Anna Smith has no title here.")], "doc_id long, text string")).orderBy("doc_id").collect()
+    r = pii.redact(spark.createDataFrame([(1, text), (2, "Anna Smith has no title here.")], "doc_id long, text string"), "k").orderBy("doc_id").collect()
     assert [e["canon"] for e in r[0]["entities"]] == ["mrs anna smith", "mr o'neil"] and r[1]["text"] == "Anna Smith has no title here."
     first, last = r[0]["entities"][0]["surrogate"].split()[1:]
     neil = r[0]["entities"][1]["surrogate"].split()[1]
@@ -112,7 +112,7 @@ def test_against_brute_force(spark):
         said[i] = forms
         rows += [(len(rows), i, f"see {f} , then") for f in forms for _ in range(2)]
     rng.shuffle(rows)
-    out = pii.surrogates(spark.createDataFrame(rows, "row long, doc_id long, text string").repartition(5)).collect()
+    out = pii.surrogates(spark.createDataFrame(rows, "row long, doc_id long, text string").repartition(5), "k").collect()
     made = {}
     for r in out:
         (e,) = r["entities"]
@@ -120,3 +120,42 @@ def test_against_brute_force(spark):
         made.setdefault(r["doc_id"], set()).add(bare[-10:] if e["type"] == "phone" else bare)
         assert not any(f in r["text"] for f in said[r["doc_id"]])
     assert len(made) == 300 and all(len(v) == 1 for v in made.values()) and len({min(v) for v in made.values()}) == 300
+
+
+def texts(spark, *given):
+    return [r["text"] for r in pii.redact(spark.createDataFrame(list(enumerate(given)), "doc_id long, text string"), "k").orderBy("doc_id").collect()]
+
+
+def test_names_of_many_parts(spark):
+    shown = "Mrs. Anna de la Cruz / Mr. Ludwig van Beethoven / Mr. J. Smith / Mr. J.R. Tolkien / Dr. Marie Curie / Prof. Dr. Otto von Guericke / Herr von Braun / Madame Du Barry"
+    (out,) = texts(spark, shown)
+    for word in ("Anna", "Cruz", "Ludwig", "Beethoven", "Smith", "Tolkien", "Marie", "Curie", "Otto", "Guericke", "Braun", "Barry"):
+        assert word not in out
+    parts = out.split(" / ")
+    assert re.fullmatch(r"Mrs\. \w+na de la \w+r", parts[0]) and re.fullmatch(r"Mr\. \w+n van \w+r", parts[1]) and re.fullmatch(r"Mr\. [A-Z]\. \w+r", parts[2]) and re.fullmatch(r"Mr\. [A-Z]\.[A-Z]\. \w+r", parts[3])
+    assert re.fullmatch(r"Prof\. Dr\. \w+ von \w+r", parts[5]) and re.fullmatch(r"Herr von \w+r", parts[6])
+    a, b = texts(spark, "Prof. Dr. Otto Hahn", "Prof Dr Otto Hahn")
+    assert a.replace(".", "") == b
+
+
+def test_scripts_are_kept(spark):
+    greek, cyrillic, latin = texts(spark, "Κυρία Μαρία Παπαδοπούλου", "господин Иван Петров", "Frau Müller")
+    assert re.fullmatch(r"Κυρία [\u0370-\u03ff]+να [\u0370-\u03ff]+ρ", greek) and re.fullmatch(r"господин [\u0400-\u04ff]+н [\u0400-\u04ff]+р", cyrillic) and re.fullmatch(r"Frau [A-Za-z]+r", latin)
+
+
+def test_addresses_and_national_numbers(spark):
+    out = texts(spark, "call +49 30 901820 or 030 901820, 0151-23456789, 06 12 34 56 78.", "from 2001:0DB8:0:0:0:0:1428:57ab or 2001:db8::1428:57ab, fe80::1; at 10:30:45, std::vector, a::b", "on 01-2024, 0.5 12345, 2024/01/02 00123, page 007")
+    assert not re.search(r"901820|23456789|34 56", out[0]) and re.fullmatch(r"call \+\d\d \d\d \d{6} or 0\d\d \d{6}, 0\d{3}-\d{8}, 0\d( \d\d){4}\.", out[0])
+    one, two, three = re.findall(r"2001:db8(?::[0-9a-f]{4}){6}", out[1])
+    assert one == two != three and out[1].endswith("; at 10:30:45, std::vector, a::b")
+    assert out[2] == "on 01-2024, 0.5 12345, 2024/01/02 00123, page 007"
+
+
+def test_only_texts_with_a_loser_are_redone(spark, monkeypatch):
+    few = lambda v, k: F.concat(F.lit("Mr X"), F.substring(F.sha2(F.concat_ws("|", k, F.lower(v)).cast("binary"), 256), 1, 2))
+    monkeypatch.setattr(pii, "_name", few)
+    sizes, real = [], pii.redact
+    monkeypatch.setattr(pii, "redact", lambda docs, *a: sizes.append(docs.count()) or real(docs, *a))
+    docs = spark.createDataFrame([(i, f"Mr N{chr(97 + i % 26)}{chr(97 + i // 26)}") for i in range(60)] + [(100 + i, "nobody") for i in range(40)] + [(None, None)], "doc_id long, text string")
+    out = pii.surrogates(docs, "k")
+    assert out.count() == 101 and sizes[0] == 101 and len(sizes) > 1 and max(sizes[1:]) < 40 and pii.collisions(out).count() == 0

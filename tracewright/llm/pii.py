@@ -25,10 +25,16 @@ from pyspark.sql import functions as F
 from .common import LOWER, UPPER, let, read_table, scratch, stored
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
-_MALE, _FEMALE = "Mr|Herr|Señor|Monsieur|господин", "Mrs|Ms|Miss|Frau|Señora|Madame|Mme|госпожа"
+#: Titles by the gender that they tell, and words that stand between the parts of a name.
+_MALE, _FEMALE, _OPEN = "Mr|Herr|Señor|Monsieur|господин|Κύριος", "Mrs|Ms|Miss|Frau|Señora|Madame|Mme|госпожа|Κυρία", "Dr|Prof|Doktor|Doctor|Docteur|Professor|доктор|профессор"
+_TITLE = rf"(?:{_MALE}|{_FEMALE}|{_OPEN})\.? (?:(?:Dr|Prof)\.? )*+"
+_PARTICLES = "de|del|della|der|den|des|la|le|las|los|van|von|vom|zu|zum|zur|bin|ibn|al|el|da|das|do|dos|du|di|ten|ter|af|av"
 _SECRET_WORD = r"(?i:(?<![\p{L}\p{N}])[a-z_]{0,24}(?:password|passwd|pwd|secret|token|api[_\-]?key|secret[_\-]key)\s{0,3}[=:]\s{0,3}[\"']?)"
 #: A capitalised word, with apostrophes inside but no possessive one.
 _PART = r"\p{Lu}(?:\p{L}|'(?!s?(?!\p{L})))+"
+#: What may come before such a word: small words, and an initial.
+_LEAD = rf"(?:(?:{_PARTICLES}) ){{0,3}}+"
+_INITIAL = r"\p{Lu}\.(?= ?\p{Lu})"
 #: Types in order of precedence; look-behinds and possessive runs keep every pattern linear in the text.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,24}",
@@ -36,11 +42,14 @@ PATTERNS = {
     "aws_key": r"(?<![A-Za-z0-9])A(?:KIA|SIA)[A-Z0-9]{16}(?![A-Za-z0-9])",
     "hex_key": r"(?<![A-Za-z0-9])(?:[0-9a-f]{64}|[0-9a-f]{40}|[0-9a-f]{32})(?![A-Za-z0-9])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "phone": r"(?<![\w+])\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .\-]?\d{2,4}){1,4}(?!\d)|(?<![\w(])\(\d{3}\)[ .\-]?\d{3}[.\-]\d{4}(?!\d)|(?<![\w.\-])\d{3}[.\-]\d{3}[.\-]\d{4}(?![\w\-])",
+    "phone": r"(?<![\w+])\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .\-]?\d{2,4}){1,4}(?!\d)|(?<![\w(])\(\d{3}\)[ .\-]?\d{3}[.\-]\d{4}(?!\d)|(?<![\w.\-])\d{3}[.\-]\d{3}[.\-]\d{4}(?![\w\-])"
+    # within a country: a trunk 0, an area and a number, or five pairs
+    r"|(?<![\w.,:/+\-])0\d{1,4}[ /\-]\d{5,10}(?![\w\-]|[.,:/]\d)|(?<![\w.,:/+\-])0\d(?:[ .\-]\d{2}){4}(?![\w\-]|[.,:/]\d)",
     "ssn": r"(?<![\w\-])\d{3}-\d{2}-\d{4}(?![\w\-])",
     "card": r"(?<![\w\-])(?:[3-6]\d{12,18}|[3-6]\d{3} \d{4} \d{4} \d{4}|[3-6]\d{3}-\d{4}-\d{4}-\d{4})(?![\w\-])",
     "ip": rf"(?<![\w.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\w|\.\d)",
-    "name": rf"(?<![\p{{L}}])(?:{_MALE}|{_FEMALE})\.? {_PART}(?:[ \-]{_PART}){{0,2}}",
+    "ip6": r"(?<![\w:.])(?=[A-Fa-f:]*\d)(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5})?::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5})?)(?![\w:])",
+    "name": rf"(?<![\p{{L}}]){_TITLE}{_LEAD}(?:{_INITIAL} ?){{0,3}}{_PART}(?:(?:[ \-]| {_LEAD})(?:{_INITIAL}|{_PART})){{0,3}}",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 _HEX = "0123456789abcdef"
@@ -186,36 +195,73 @@ def _email(value: Column, key: Column) -> Column:
     return let(F.split(F.lower(value), "@"), parts)
 
 
+#: Consonants and vowels of the scripts that have capital letters, Latin where none fits, and the endings of given names (a woman's, a man's) and of others.
+SCRIPTS = {
+    "Cyrillic": ("бвгдзклмнпрстф", "аеиоу", ("на", "н", "р")),
+    "Greek": ("βγδζκλμνπρστφχ", "αειοω", ("να", "ν", "ρ")),
+    "Armenian": ("բգդզկլմնպրստվ", "աեիոէ", ("նա", "ն", "ր")),
+    "Latin": ("bdfgklmnprstvz", "aeiou", ("na", "n", "r")),
+}
+_BETWEEN = r"(?<=[ \-])|(?=[ \-])|(?<=\.)(?=\p{Lu})"
+
+
+def _by_script(p: Column, made: dict[str, Column]) -> Column:
+    pick = made["Latin"]
+    for script, c in made.items():
+        pick = F.when(p.rlike(rf"\p{{Is{script}}}"), c).otherwise(pick) if script != "Latin" else pick
+    return pick
+
+
 def _name(value: Column, key: Column) -> Column:
-    """Titled names: the title stays; each part gets ten syllables (61 bits) in its script, a given name with the title's gender in its ending."""
-    title = F.regexp_extract(value, rf"^(?:{_MALE}|{_FEMALE})\.? ", 0)
-    female = value.rlike(rf"^(?:{_FEMALE})\.? ")
+    """Titled names: title and small words stay; each part gets ten syllables (61 bits) in its script, a given name with the title's gender in its ending, an initial another one."""
+    title = F.regexp_extract(value, rf"^{_TITLE}", 0)
+    female, male = value.rlike(rf"^(?:{_FEMALE})\.? "), value.rlike(rf"^(?:{_MALE})\.? ")
 
     def part(p: Column, i: Column, n: Column) -> Column:
         def word(s: Column) -> Column:
-            cyr = p.rlike(r"\p{IsCyrillic}")
             syll = lambda j, c, v: F.concat(_pick(c, _byte(s, F.lit(2 * j))), _pick(v, _byte(s, F.lit(2 * j + 1))))
-            latin = F.concat(*[syll(j, "bdfgklmnprstvz", "aeiou") for j in range(10)])
-            cyril = F.concat(*[syll(j, "бвгдзклмнпрстф", "аеиоу") for j in range(10)])
             given = (i == 0) & (n > 1)
-            body = F.initcap(F.when(cyr, cyril).otherwise(latin))
-            return F.concat(body, F.when(given & female, F.when(cyr, "на").otherwise("na")).when(given, F.when(cyr, "н").otherwise("n")).otherwise(F.when(cyr, "р").otherwise("r")))
+            body = lambda c, v: F.initcap(F.concat(*[syll(j, c, v) for j in range(10)]))
+            whole = {k: F.concat(body(c, v), F.when(given & female, e[0]).when(given & male, e[1]).otherwise(e[2])) for k, (c, v, e) in SCRIPTS.items()}
+            first = {k: F.concat(F.upper(_pick(c, _byte(s, F.lit(0)))), F.lit(".")) for k, (c, _, _) in SCRIPTS.items()}
+            return F.when(p.endswith("."), _by_script(p, first)).otherwise(_by_script(p, whole))
 
         return let(F.sha2(F.concat_ws("|", key, F.lower(p)).cast("binary"), 256), word)
 
     rest = F.substring(value, F.length(title) + 1, F.length(value))
-    return F.concat(title, let(F.split(rest, r"(?<=[ \-])|(?=[ \-])"), lambda w: F.array_join(F.transform(w, lambda p, i: F.when(p.rlike(r"^[ \-]$"), p).otherwise(part(p, i, F.size(w)))), "")))
+    kept = lambda p: p.rlike(rf"^(?:[ \-]?|{_PARTICLES})$")
+    return F.concat(title, let(F.split(rest, _BETWEEN), lambda w: F.array_join(F.transform(w, lambda p, i: F.when(kept(p), p).otherwise(part(p, i, F.size(w)))), "")))
 
 
 def _called(name: Column) -> Column:
-    """A titled name without its format: lower case, no dot after the title, a space for a hyphen."""
-    return F.replace(F.regexp_replace(F.lower(name), r"^([^. ]+)\. ", "$1 "), F.lit("-"), F.lit(" "))
+    """A titled name without its format: lower case, no dots, a space for a hyphen."""
+    return F.replace(F.replace(F.lower(name), F.lit("."), F.lit("")), F.lit("-"), F.lit(" "))
 
 
 def _name_parts(match: Column, surrogate: Column) -> Column:
-    """(old, new) of each part of a titled name."""
-    bare = lambda n: F.split(F.regexp_replace(n, rf"^(?:{_MALE}|{_FEMALE})\.? ", ""), r"[ \-]")
-    return F.zip_with(bare(match), bare(surrogate), lambda a, b: F.struct(a.alias("old"), b.alias("new")))
+    """(old, new) of each part of a titled name that is a word of its own, neither small nor an initial."""
+    bare = lambda n: F.split(F.regexp_replace(n, rf"^{_TITLE}", ""), r"[ \-]|(?<=\.)(?=\p{Lu})")
+    both = F.zip_with(bare(match), bare(surrogate), lambda a, b: F.struct(a.alias("old"), b.alias("new")))
+    return F.filter(both, lambda p: p["old"].rlike(rf"^{_PART}$"))
+
+
+def _ip6(canon: Column, key: Column) -> Column:
+    """96 bits of a keyed hash under the prefix that is kept for examples."""
+    h = F.sha2(F.concat_ws("|", key, canon).cast("binary"), 256)
+    return let(h, lambda s: F.concat(F.lit("2001:db8"), *[F.concat(F.lit(":"), F.substring(s, 1 + 4 * i, 4)) for i in range(6)]))
+
+
+def _ip6_groups(e: Column) -> Column:
+    """The 32 hex digits of an address, whatever is left out in it."""
+    groups = lambda p: F.filter(F.split(F.coalesce(p, F.lit("")), ":"), lambda g: g != "")
+    halves = F.split(F.lower(e), "::")
+
+    def joined(h: Column) -> Column:
+        left, right = groups(F.get(h, F.lit(0))), groups(F.get(h, F.lit(1)))
+        zeros = F.array_repeat(F.lit("0"), F.greatest(F.lit(0), 8 - F.size(left) - F.size(right)))
+        return F.array_join(F.transform(F.concat(left, zeros, right), lambda g: F.lpad(g, 4, "0")), "")
+
+    return let(halves, joined)
 
 
 def _untitled(piece: Column, parts: Column) -> Column:
@@ -249,10 +295,11 @@ def entity(e: Column, key: str, turns: dict[int, int] | None = None) -> Column:
         "aws_key": (e, lambda k: F.concat(F.substring(e, 1, 4), _permute(F.substring(e, 5, 16), F.concat_ws("|", k, F.substring(e, 1, 4))))),
         "hex_key": (e, lambda k: _reshape(e, F.concat_ws("|", k, e), hex_only=True)),
         "iban": (bare, lambda k: _refill(e, F.concat(F.substring(e, 1, 2), _permute(F.substring(bare, F.lit(3), F.length(bare)), F.concat_ws("|", k, F.substring(e, 1, 2)))), "[A-Z0-9]")),
-        "phone": (tail(digits), lambda k: _refill(e, F.concat(head(digits), _feistel(tail(digits), k)))),
+        "phone": (tail(digits), lambda k: _refill(e, F.when(e.startswith("0"), F.concat(F.lit("0"), _feistel(F.substring(digits, F.lit(2), F.length(digits)), k))).otherwise(F.concat(head(digits), _feistel(tail(digits), k))))),
         "ssn": (digits, lambda k: _refill(e, _feistel(digits, k))),
         "card": (digits, lambda k: _refill(e, _card(digits, k))),
         "ip": (e, lambda k: _ip(e, k)),
+        "ip6": (_ip6_groups(e), lambda k: _ip6(_ip6_groups(e), k)),
         "name": (called, lambda k: _name(e, k)),
     }
     pick = None
@@ -263,13 +310,15 @@ def entity(e: Column, key: str, turns: dict[int, int] | None = None) -> Column:
     return pick
 
 
-def redact(docs: DataFrame, key: str = "surrogate-key-1", text_col: str = "text", turns: dict[int, int] | None = None) -> DataFrame:
+def redact(docs: DataFrame, key: str, text_col: str = "text", turns: dict[int, int] | None = None) -> DataFrame:
     """docs with the text replaced, and a column ``entities`` of (type, canon, surrogate) in text order. One narrow projection.
 
     Null texts stay null and, like empty ones, have no entities. An existing
     column ``entities`` is replaced; ties and repeated rows are treated alike.
     Where a document has a titled name, its parts are replaced in the rest of
     that document too, with or without the title; entities lists titled ones.
+    Who has the key can undo the bijections, so it comes from the caller. A very
+    long text is one row of one task, in time in proportion to its length.
     """
     t = F.col(text_col)
 
@@ -290,7 +339,7 @@ def redact(docs: DataFrame, key: str = "surrogate-key-1", text_col: str = "text"
     def found(x: Column) -> Column:
         return let(F.regexp_extract_all(x, F.lit(ANY), F.lit(0)), lambda m: rebuilt(x, m))
 
-    may = t.rlike(r"[0-9@=:]") | t.contains("AKIA") | t.contains("ASIA") | t.rlike(rf"(?:{_MALE}|{_FEMALE})\.? \p{{Lu}}")
+    may = t.rlike(r"[0-9@=:]") | t.contains("AKIA") | t.contains("ASIA") | t.rlike(rf"{_TITLE}{_LEAD}\p{{Lu}}")
     none = F.array().cast("array<struct<type:string,canon:string,surrogate:string>>")
     return docs.withColumn("__r", F.when(may, let(t, found)).otherwise(F.struct(none.alias("e"), t.alias("t")))).withColumns({text_col: F.col("__r.t"), "entities": F.coalesce(F.col("__r.e"), none)}).drop("__r")
 
@@ -299,7 +348,7 @@ def _pairs(redacted: DataFrame) -> DataFrame:
     """Distinct (type, canon, s) as hashes; s is the surrogate without its format, which must not make two of them equal."""
     bare = lambda c: F.regexp_replace(c, r"[^\p{L}\p{N}@]", "")
     kind, sur = F.col("e.type"), F.col("e.surrogate")
-    s = F.when(kind == "phone", F.substring(bare(sur), -10, 10)).when(kind == "secret", F.regexp_replace(sur, "^" + _SECRET_WORD, "")).when(kind.isin("ip", "email"), sur).when(kind == "name", _called(sur)).otherwise(bare(sur))
+    s = F.when(kind == "phone", F.substring(bare(sur), -10, 10)).when(kind == "secret", F.regexp_replace(sur, "^" + _SECRET_WORD, "")).when(kind.isin("ip", "ip6", "email"), sur).when(kind == "name", _called(sur)).otherwise(bare(sur))
     return redacted.select(F.explode("entities").alias("e")).select("e.type", _id(kind, F.col("e.canon")).alias("canon"), F.xxhash64(s).alias("s")).distinct()
 
 
@@ -318,23 +367,37 @@ def _losers(redacted: DataFrame) -> DataFrame:
     return pairs.join(shared, ["type", "s"]).where("canon <> first").select("canon").distinct()
 
 
-def surrogates(docs: DataFrame, key: str = "surrogate-key-1", text_col: str = "text") -> DataFrame:
+def surrogates(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """``redact`` stored once in the shared folder and checked for collisions; an entity that shares its surrogate gets another by a counter.
 
-    Hashes of 60 bits share one about once in 10^9 entities, so the counters are few.
+    Hashes of 60 bits share one about once in 10^9 entities, so the counters are
+    few; only the texts with such an entity are redacted again, found by their
+    hash, and stored beside the rest.
     """
-    base, turns = scratch(docs.sparkSession), {}
+    base, turns, step = scratch(docs.sparkSession), {}, 0
+    mark = F.struct(F.xxhash64(text_col).alias("h"), F.length(text_col).alias("n"))
+    marked = docs.withColumn("__mark", mark)
+    out = stored(redact(marked, key, text_col), f"{base}/redacted")
     while True:
-        out = stored(redact(docs, key, text_col, turns), f"{base}/redacted{sum(turns.values())}")
         bad = collisions(out).distinct().collect()
         if any(r["what"] == "torn" for r in bad):
             raise ValueError(f"entities of one canonical form got two surrogates: {sorted(r['type'] for r in bad if r['what'] == 'torn')}")
         if not bad:
-            return out
-        for r in _losers(out).collect():
-            turns[r["canon"]] = turns.get(r["canon"], 0) + 1
+            return out.drop("__mark")
+        lost = [r["canon"] for r in _losers(out).collect()]
+        for c in lost:
+            turns[c] = turns.get(c, 0) + 1
+        step += 1
+        held = F.exists("entities", lambda e: _id(e["type"], e["canon"]).isin(lost))
+        again = stored(out.where(held).select("__mark").distinct(), f"{base}/again{step}")
+        redone = stored(redact(marked.join(again, "__mark", "left_semi").select(marked.columns), key, text_col, turns), f"{base}/redacted{step}")
+        out = out.join(again, "__mark", "left_anti").select(redone.columns).union(redone)
+
+
+#: The query's key, no secret.
+TEST_KEY = "test-key"
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = surrogates(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = surrogates(read_table(spark, sf_dir, "documents").select("doc_id", "text"), TEST_KEY)
     return out.select("doc_id", "text", F.size("entities").cast("long").alias("n_entities"), F.array_join(F.transform("entities", lambda e: e["type"]), ",").alias("types"))
