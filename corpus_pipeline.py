@@ -16,7 +16,7 @@ from tracewright.llm.common import read_table, scratch, stored
 from tracewright.llm.decontaminate import decontaminate
 from tracewright.llm.near_dup import near_duplicates
 from tracewright.llm.packing import pack_documents
-from tracewright.llm.pii import surrogates
+from tracewright.llm.pii import TEST_KEY, surrogates
 from tracewright.llm.quality_classifier import classify
 
 
@@ -82,9 +82,9 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces personal data and secrets by surrogates; n_chars follows the text."""
+    """Replaces personal data and secrets by surrogates under the session's tracewright.surrogate.key, a test key where that is unset; n_chars follows the text."""
     held, unpacked = _packed(docs)
-    return unpacked(surrogates(held).withColumn("n_chars", F.length("text").cast("long")))
+    return unpacked(surrogates(held, spark.conf.get("tracewright.surrogate.key", TEST_KEY)).withColumn("n_chars", F.length("text").cast("long")))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
