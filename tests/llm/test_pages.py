@@ -250,7 +250,7 @@ def test_a_template_of_many_tokens_is_mined_in_time(spark):
 
 def planted(spark, n=900):
     """Pages whose text is junk where two tokens of the URL meet, and never for one of them alone."""
-    good = "the quick report of the day says that there is more to it than they will tell us about this and that is what we all have to see in it " * 3
+    good = "the report of the day says that there is more to it than " + " ".join(f"word{chr(97 + k % 26)}{k}" for k in range(60))
     rows = []
     for i in range(n):
         shop, deal = i % 3 == 0, i % 2 == 0

@@ -189,7 +189,8 @@ def text_labels(pages: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     step = max(1, -(-pages.count() // sample_rows))
     drawn = pages.where(F.col("page_id").isNotNull() & (F.pmod(F.xxhash64("page_id"), F.lit(step)) == 0))
     texts = html_extract.extract(drawn.select("page_id", "url", "html"))
-    return apply_rules(texts).select("page_id", (~F.col("quality.kept")).alias("bad"))
+    # stored, since they are counted before they are joined
+    return stored(apply_rules(texts).select("page_id", (~F.col("quality.kept")).alias("bad")), f"{scratch(pages.sparkSession)}/labels")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
