@@ -48,7 +48,7 @@ PATTERNS = {
     "ssn": r"(?<![\w\-])\d{3}-\d{2}-\d{4}(?![\w\-])",
     "card": r"(?<![\w\-])(?:[3-6]\d{12,18}|[3-6]\d{3} \d{4} \d{4} \d{4}|[3-6]\d{3}-\d{4}-\d{4}-\d{4})(?![\w\-])",
     "ip": rf"(?<![\w.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\w|\.\d)",
-    "ip6": r"(?<![\w:.])(?=[A-Fa-f:]*\d)(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5})?::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5})?)(?![\w:])",
+    "ip6": r"(?<![\w:.])(?=[0-9A-Fa-f]{0,4}+:)(?=[A-Fa-f:]*\d)(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5})?::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5})?)(?![\w:])",
     "name": rf"(?<![\p{{L}}]){_TITLE}{_LEAD}(?:{_INITIAL} ?){{0,3}}{_PART}(?:(?:[ \-]| {_LEAD})(?:{_INITIAL}|{_PART})){{0,3}}",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
