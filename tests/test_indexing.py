@@ -310,6 +310,7 @@ def test_recovery_and_lock(spark, archive, tmp_path, monkeypatch):
     x.recover()
     assert states()[2] == ("READY", None) and x.engine().documents == 7 and x.verify(2)
     assert len(x._versions()) <= 10 and 1 <= sum(x._versions().values()) <= 3 and min(x._versions()) > 1
+    assert len(list((tmp_path / "state").iterdir())) == len(x._versions())
     (tmp_path / ".writer.lock").write_text("")
     with pytest.raises(WriterBusy):
         x.rebuild(11)

@@ -91,17 +91,42 @@ SCHEMAS = {
 }
 
 
-def load(spark: SparkSession, root: str, table: str, ready: list[int]) -> DataFrame:
-    """A table of the READY batches, pruned by partition; batch_id is a long. No batch gives no rows."""
-    if not ready:
+def load(spark: SparkSession, root: str, table: str, ready: list[int | str]) -> DataFrame:
+    """A table of the READY batches or named segments, nothing else read; batch_id is a long. None of them give no rows."""
+    names = [n if isinstance(n, str) else f"batch_id={n}" for n in ready]
+    single, merged = [n for n in names if n.startswith("batch_id=")], [n for n in names if not n.startswith("batch_id=")]
+    parts = []
+    if single:
+        parts.append(spark.read.option("basePath", f"{root}/{table}").parquet(*[f"{root}/{table}/{n}" for n in single]).withColumn("batch_id", F.col("batch_id").cast("long")))
+    if merged:
+        parts.append(spark.read.parquet(*[f"{root}/{table}/{n}" for n in merged]))
+    if not parts:
         return spark.createDataFrame([], SCHEMAS[table])
-    return spark.read.option("basePath", f"{root}/{table}").parquet(*[f"{root}/{table}/batch_id={b}" for b in ready]).withColumn("batch_id", F.col("batch_id").cast("long"))
-
-
-def violations(docs: DataFrame, files: DataFrame, posts: DataFrame, terms: DataFrame, stats: DataFrame | None = None) -> DataFrame:
-    """(rule, n) of the broken invariants of one batch; empty for a sound one."""
-    checks = [
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
+def merge_segments(spark: SparkSession, root: str, names: list[str], target: str, without: int | None = None) -> dict[str, int]:
+    """Writes one segment of several, less one batch: documents and postings sorted as in a batch, doc_ids as they are, one row of statistics. Returns the statistics."""
+    t = {n: load(spark, root, n, names) for n in TABLES}
+    if without is not None:
+        t = {n: df.where(F.col("batch_id") != without) if n in ("documents", "files", "postings") else df for n, df in t.items()}
+    where = lambda n: f"{root}/{n}/{target}"
+    t["documents"].repartitionByRange("occurred_at_ms").sortWithinPartitions("occurred_at_ms").write.mode("overwrite").parquet(where("documents"))
+    t["postings"].repartitionByRange("term").sortWithinPartitions("term", "doc_id").write.mode("overwrite").option("parquet.bloom.filter.enabled#term", "true").parquet(where("postings"))
+    docs, posts = (spark.read.parquet(where(n)) for n in ("documents", "postings"))
+    last = F.lit(docs.agg(F.max("batch_id")).first()[0]).cast("long").alias("batch_id")
+    term_dictionary(posts).select("*", last).write.mode("overwrite").parquet(where("terms"))
+    t["files"].write.mode("overwrite").parquet(where("files"))
+    segment_stats(docs.withColumn("batch_id", last)).write.mode("overwrite").parquet(where("stats"))
+    return {"documents": docs.count(), "postings": posts.count()}
+
+
+def violations(docs: DataFrame, files: DataFrame, posts: DataFrame, terms: DataFrame, stats: DataFrame | None = None, merged: bool = False) -> DataFrame:
+    """(rule, n) of the broken invariants of one batch, or of a merged segment, whose local ids are those of several; empty for a sound one."""
+    checks = [] if merged else [
         ("local_id_not_contiguous", docs.agg(((F.count("*") != F.count_distinct("local_id")) | (F.min("local_id") != 0) | (F.max("local_id") != F.count("*") - 1)).cast("long").alias("n"))),
+    ]
+    checks += [
         ("doc_id_formula", docs.agg(F.count_if(~F.col("doc_id").eqNullSafe(doc_id(F.col("batch_id"), F.col("local_id")))).alias("n"))),
         ("unknown_file", docs.join(files, "archive_id", "left_anti").agg(F.count("*").alias("n"))),
         ("range_outside_file", docs.join(files, "archive_id").agg(F.count_if((F.col("byte_offset") < 0) | (F.col("byte_offset") + F.col("byte_length") > F.col("file_size"))).alias("n"))),
