@@ -321,6 +321,7 @@ def redact(docs: DataFrame, key: str, text_col: str = "text", turns: dict[int, i
     long text is one row of one task, in time in proportion to its length.
     """
     t = F.col(text_col)
+    none = F.array().cast("array<struct<type:string,canon:string,surrogate:string>>")
 
     def rebuilt(x: Column, m: Column) -> Column:
         def joined(e: Column) -> Column:
@@ -337,10 +338,10 @@ def redact(docs: DataFrame, key: str, text_col: str = "text", turns: dict[int, i
         return let(F.transform(m, lambda v: entity(v, key, turns)), joined)
 
     def found(x: Column) -> Column:
-        return let(F.regexp_extract_all(x, F.lit(ANY), F.lit(0)), lambda m: rebuilt(x, m))
+        # most texts have no match and need no second pass
+        return let(F.regexp_extract_all(x, F.lit(ANY), F.lit(0)), lambda m: F.when(F.size(m) > 0, rebuilt(x, m)).otherwise(F.struct(none.alias("e"), x.alias("t"))))
 
     may = t.rlike(r"[0-9@=:]") | t.contains("AKIA") | t.contains("ASIA") | t.rlike(rf"{_TITLE}{_LEAD}\p{{Lu}}")
-    none = F.array().cast("array<struct<type:string,canon:string,surrogate:string>>")
     return docs.withColumn("__r", F.when(may, let(t, found)).otherwise(F.struct(none.alias("e"), t.alias("t")))).withColumns({text_col: F.col("__r.t"), "entities": F.coalesce(F.col("__r.e"), none)}).drop("__r")
 
 
