@@ -1,6 +1,6 @@
 """Inverted index: immutable Parquet tables partitioned by batch.
 
-documents, files, postings, terms and stats are folders of one root; a batch is
+documents, files, postings, terms, stats and blocks are folders of one root; a batch is
 one ``batch_id=`` partition of each. A READY list names the batches that
 readers may see, so a batch appears as a whole or not at all.
 """
@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from ..functions import schemas
 from ..functions.scalars import doc_id, tokens
 from ..sources.files import utf8
+from . import blocks
 
-TABLES = ("documents", "files", "postings", "terms", "stats")
+TABLES = ("documents", "files", "postings", "terms", "stats", "blocks")
 
 
 def assign_ids(docs: DataFrame, batch_id: int) -> DataFrame:
@@ -37,8 +38,11 @@ def assign_ids(docs: DataFrame, batch_id: int) -> DataFrame:
     return out.withColumn("doc_id", doc_id(F.col("batch_id"), F.col("local_id")))
 
 
-def postings(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(term, key, tf): counted with a map-side combine, as terms repeat in a document."""
+def postings(docs: DataFrame, text: str = "text", key: str = "doc_id", with_length: bool = False) -> DataFrame:
+    """(term, key, tf), and the document's length if wanted: counted with a map-side combine, as terms repeat in a document."""
+    if with_length:
+        words = docs.select(key, tokens(F.col(text)).alias("w")).select(key, F.size("w").cast("long").alias("length"), F.explode("w").alias("term"))
+        return words.groupBy("term", key, "length").agg(F.count("*").alias("tf")).select("term", key, "tf", "length")
     return docs.select(key, F.explode(tokens(F.col(text))).alias("term")).groupBy("term", key).agg(F.count("*").alias("tf"))
 
 
@@ -76,17 +80,22 @@ def build_segment(docs: DataFrame, outcomes: DataFrame, batch_id: int, root: str
     d = assign_ids(docs, batch_id)
     where = lambda t: f"{root}/{t}/batch_id={batch_id}"
     d.drop("raw", "batch_id").repartitionByRange("occurred_at_ms").sortWithinPartitions("occurred_at_ms").write.mode("error").parquet(where("documents"))
-    posts = postings(d.withColumn("text", utf8(F.col("raw"))))
+    posts = postings(d.withColumn("text", utf8(F.col("raw"))), with_length=True)
     posts.repartitionByRange("term").sortWithinPartitions("term", "doc_id").write.mode("error").option("parquet.bloom.filter.enabled#term", "true").parquet(where("postings"))
     written = spark.read.parquet(where("postings"))
     term_dictionary(written).write.mode("error").parquet(where("terms"))
+    blocks.write(_blocks(written), where("blocks"))
     outcomes.where("failure_code IS NULL").select("archive_id", "file_size", "file_sha256", "relative_path").write.mode("error").parquet(where("files"))
     segment_stats(spark.read.parquet(where("documents")).withColumn("batch_id", F.lit(batch_id).cast("long"))).drop("batch_id").write.mode("error").parquet(where("stats"))
 
 
+def _blocks(posts: DataFrame) -> DataFrame:
+    return blocks.of_postings(posts.select("term", F.col("doc_id").alias("id"), "tf", F.col("length").alias("len")))
+
+
 SCHEMAS = {
     "documents": "doc_id long, batch_id long, local_id long, archive_id long, line_no long, byte_offset long, byte_length long, occurred_at_ms long, archived_at_ms long, term_count long, line_id string, station_id string, device_id string, collector_id string, work_order string, product_sn string, source_type string, level string, module_name string, error_code string, event_name string",
-    "files": schemas.FILE, "postings": schemas.POSTING, "terms": schemas.TERM,
+    "files": schemas.FILE, "postings": f"{schemas.POSTING}, length long", "terms": schemas.TERM, "blocks": "batch_id long, term string, block long, ids array<long>, tfs array<int>, lens array<int>, n int, max_tf int, min_len int",
     "stats": "batch_id long, documents long, total_terms long, average_length double, min_occurred_at_ms long, max_occurred_at_ms long",
 }
 
@@ -115,6 +124,7 @@ def merge_segments(spark: SparkSession, root: str, names: list[str], target: str
     t["postings"].repartitionByRange("term").sortWithinPartitions("term", "doc_id").write.mode("overwrite").option("parquet.bloom.filter.enabled#term", "true").parquet(where("postings"))
     docs, posts = (spark.read.parquet(where(n)) for n in ("documents", "postings"))
     last = F.lit(docs.agg(F.max("batch_id")).first()[0]).cast("long").alias("batch_id")
+    _blocks(posts).select("*", F.shiftright("block", 32 - blocks.BLOCK_BITS).alias("batch_id")).repartitionByRange("term").sortWithinPartitions("term", "block").write.mode("overwrite").option("parquet.bloom.filter.enabled#term", "true").parquet(where("blocks"))
     term_dictionary(posts).select("*", last).write.mode("overwrite").parquet(where("terms"))
     t["files"].write.mode("overwrite").parquet(where("files"))
     segment_stats(docs.withColumn("batch_id", last)).write.mode("overwrite").parquet(where("stats"))

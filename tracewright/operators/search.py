@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 import re
 from dataclasses import dataclass, field
 
@@ -11,8 +10,9 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import ms_to_iso, tokens, tokens_of
 from ..sources.files import Archive, read_record
+from . import blocks as block_max
+from .blocks import idf, term_score
 
-K1, B = 1.2, 0.75
 MAX_PAGE, MAX_DEPTH, MAX_KEYWORDS, KEYWORD_BYTES = 200, 1000, 8, 64
 DAY_MS = 86_400_000
 TIME_BOUNDS = (946_684_800_000, 4_102_444_800_000)
@@ -100,14 +100,6 @@ def business_weight(q: SearchQuery) -> Column:
     return out
 
 
-def idf(n: int, df: int) -> float:
-    return math.log(1 + (n - df + 0.5) / (df + 0.5))
-
-
-def term_score(tf: Column, length: Column, weight: Column | float, average: Column | float) -> Column:
-    return weight * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / average))
-
-
 def bm25(docs: DataFrame, posts: DataFrame, terms: list[str], n: int, average: float, df: dict[str, int], key: str = "doc_id", length: str = "term_count") -> DataFrame:
     """(key, bm25) of the documents that hold every term. Statistics are the corpus's, never the filtered set's.
 
@@ -153,8 +145,8 @@ class Page:
 class SearchEngine:
     """One snapshot of the index: the READY batches as they were when it was opened."""
 
-    def __init__(self, docs: DataFrame, posts: DataFrame, stats: DataFrame, terms: DataFrame, ready: list[int]):
-        self.docs, self.posts, self.terms = docs, posts, terms
+    def __init__(self, docs: DataFrame, posts: DataFrame, stats: DataFrame, terms: DataFrame, ready: list[int], blocks: DataFrame | None = None):
+        self.docs, self.posts, self.terms, self.blocks = docs, posts, terms, blocks
         self.version = max(ready, default=0)
         s = stats.agg(F.coalesce(F.sum("documents"), F.lit(0)).alias("n"), F.coalesce(F.sum("total_terms"), F.lit(0)).alias("t")).first()
         self.documents, self.average = s["n"], (s["t"] / s["n"] if s["n"] and s["t"] else 1.0)
@@ -164,18 +156,37 @@ class SearchEngine:
         found = filters(self.docs, q)
         terms = q.terms
         if terms:
-            df = {r["term"]: r["df"] for r in self.terms.where(F.col("term").isin(*terms)).groupBy("term").agg(F.sum("df").alias("df")).collect()}
-            found = found.join(bm25(self.docs, self.posts, terms, self.documents, self.average, df), "doc_id")
+            found = found.join(bm25(self.docs, self.posts, terms, self.documents, self.average, self._df(terms)), "doc_id")
         else:
             found = found.withColumn("bm25", F.lit(0.0))
         return found.withColumn("score", F.col("bm25") + business_weight(q))
 
+    def _df(self, terms: list[str]) -> dict[str, int]:
+        return {r["term"]: r["df"] for r in self.terms.where(F.col("term").isin(*terms)).groupBy("term").agg(F.sum("df").alias("df")).collect()}
+
     def search(self, q: SearchQuery, guarded: bool = True) -> Page:
-        """Ranked by score (to 10 digits), then time, then id, all falling: a top-K of offset + page rows, then the slice."""
+        """Ranked by score (to 10 digits), then time, then id, all falling: a top-K of offset + page rows, then the slice.
+
+        With blocks only ranges of documents that can reach the page are scored,
+        and hits are counted by their ids.
+        """
         validate(q, guarded)
-        hits = self.hits(q)
+        if q.terms and self.blocks is not None:
+            hits, total = self._by_blocks(q)
+        else:
+            hits = self.hits(q)
+            total = hits.count()
         ranked = hits.orderBy(F.round("score", 10).desc(), F.desc("occurred_at_ms"), F.desc("doc_id")).offset(q.offset).limit(q.page_size)
-        return Page(self.version, hits.count(), ranked)
+        return Page(self.version, total, ranked)
+
+    def _by_blocks(self, q: SearchQuery) -> tuple[DataFrame, int]:
+        """Hits that hold the page, and the number of all."""
+        found, weight = filters(self.docs, q), business_weight(q)
+        most = 2.0 + 3.0 * (q.error_code is not None) + 1.5 * (q.module_name is not None)
+        near = block_max.best(self.blocks, q.terms, self.documents, self.average, q.offset + q.page_size, self._df(q.terms), found.select("doc_id", weight.alias("__w")), F.col("__w"), most)
+        whole = filters(self.docs, q) is self.docs
+        total = block_max.count_hits(self.blocks, q.terms).first()[0] if whole else block_max.documents_with(self.blocks, q.terms).join(found.select("doc_id"), "doc_id").count()
+        return found.join(near, "doc_id").withColumn("score", F.col("bm25") + weight), total
 
     def anomalies(self, q: SearchQuery) -> Page:
         q.keywords, q.anomaly_only = [], True

@@ -169,32 +169,6 @@ def heartbeat_ok(status: Column, work_order: Column) -> Column:
     return F.coalesce(status.isin("RUNNING", "IDLE", "ALARM"), F.lit(False)) & (work_order.isNotNull() | (status == "IDLE"))
 
 
-def first_requests(requests: DataFrame, ttl: int = REPLAY_TTL_S) -> DataFrame:
-    """Requests with replayed: true within ttl seconds of the last accepted one of the same device and id.
-
-    A key expires from its first use, not the last, so acceptance is a fold over
-    the key's times. Rows stream through in order, and only the last accepted
-    time of the current key is held, so a hot key needs no memory of its own.
-    """
-    keys = ["device_id", "request_id"]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, since = None, 0
-        for pdf in batches:
-            out = []
-            for k, ts in zip(zip(pdf["device_id"], pdf["request_id"], strict=True), pdf["ts_s"], strict=True):
-                fresh = k != key or ts - since >= ttl
-                if fresh:
-                    key, since = k, ts
-                out.append(not fresh)
-            yield pdf.assign(replayed=out)[[*keys, "event_id", "replayed"]]
-
-    rows = requests.select(*keys, "event_id", "ts_s")
-    dealt = rows.repartition(*keys).sortWithinPartitions(*keys, "ts_s", "event_id")
-    types = {f.name: f.dataType.simpleString() for f in rows.schema}
-    return dealt.mapInPandas(run, ", ".join(f"{c} {types[c]}" for c in [*keys, "event_id"]) + ", replayed boolean")
-
-
 def sealed(scans: DataFrame, mode: str, stable: int = 2) -> DataFrame:
     """Scans (path, scan_no, size, mtime, has_marker, has_sidecar) with sealed: by rename at once, by equal size and time for so many scans, or by a marker; a sidecar always."""
     order = W.partitionBy("path").orderBy("scan_no")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,10 +10,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import archive_queries, cache, index, parsers, search, sessions, state
+from ..operators import archive_queries, blocks, cache, index, parsers, replay, search, sessions, state
 from ..sources import archives as archive_source
 from ..sources.files import lines
 from .roles import ARCHIVES_SQL, LOG_SQL, POSTINGS_SQL, TEXTS_SQL, archives, log, table, texts
+from .stored import shared_dir, text_index
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -31,12 +33,6 @@ def entry(sql: str | None = None):
 TERMS = ["of", "the"]
 
 
-def _scored(spark: SparkSession, sf: str, keep=None, terms: list[str] | None = None) -> DataFrame:
-    """doc_id and bm25 of the documents with all terms; statistics come from the whole table."""
-    docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
-    return search.scan_scores(docs, sorted(terms or TERMS), keep=keep).select("doc_id", "bm25")
-
-
 def _bm25_sql(terms: list[str] = TERMS, where: str = "true") -> str:
     terms = sorted(terms)
     names = ", ".join(f"'{t}'" for t in terms)
@@ -51,26 +47,30 @@ def _bm25_sql(terms: list[str] = TERMS, where: str = "true") -> str:
 @entry(f"SELECT doc_id, round(bm25, 8) AS score FROM {_bm25_sql()} ORDER BY round(bm25, 10) DESC, doc_id DESC LIMIT 10")
 def bm25_topk(spark, sf):
     """The flagship: the best ten documents that hold every term."""
-    return _scored(spark, sf).orderBy(F.round("bm25", 10).desc(), F.desc("doc_id")).limit(10).select("doc_id", F.round("bm25", 8).alias("score"))
+    best = text_index(spark, sf).best(TERMS, 10)
+    return best.orderBy(F.round("bm25", 10).desc(), F.desc("doc_id")).limit(10).select("doc_id", F.round("bm25", 8).alias("score"))
 
 
 @entry(f"SELECT doc_id, round(bm25, 8) AS score FROM {_bm25_sql()} ORDER BY round(bm25, 10) DESC, doc_id DESC LIMIT 10 OFFSET 10")
 def bm25_page2(spark, sf):
-    return _scored(spark, sf).orderBy(F.round("bm25", 10).desc(), F.desc("doc_id")).offset(10).limit(10).select("doc_id", F.round("bm25", 8).alias("score"))
+    best = text_index(spark, sf).best(TERMS, 20)
+    return best.orderBy(F.round("bm25", 10).desc(), F.desc("doc_id")).offset(10).limit(10).select("doc_id", F.round("bm25", 8).alias("score"))
 
 
 @entry(f"SELECT doc_id, round(bm25, 8) AS score FROM {_bm25_sql(where=chr(34) + 'lang' + chr(34) + ' = ' + chr(39) + 'en' + chr(39))}")
 def bm25_filtered(spark, sf):
     """A filter narrows the documents, never the statistics."""
-    return _scored(spark, sf, F.col("lang") == "en").select("doc_id", F.round("bm25", 8).alias("score"))
+    x = text_index(spark, sf)
+    return x.docs.where("lang = 'en'").select("doc_id").join(x.scores(TERMS), "doc_id").select("doc_id", F.round("bm25", 8).alias("score"))
 
 
 @entry(f"SELECT doc_id, round(bm25 + CASE WHEN quality = 0 THEN 2.0 ELSE 0.0 END + CASE WHEN source = 'src1' THEN 1.5 ELSE 0.0 END, 8) AS score FROM {_bm25_sql()} JOIN documents USING (doc_id) LEFT JOIN labels USING (doc_id)")
 def weighted_search(spark, sf):
     """Scores with business weights: a bad label plays the level, the source the module."""
-    d = texts(spark, sf).join(table(spark, sf, "labels"), "doc_id", "left").select("doc_id", F.when(F.col("quality") == 0, "ERROR").otherwise("INFO").alias("level"), F.col("source").alias("module_name"))
+    x = text_index(spark, sf)
+    d = x.docs.join(table(spark, sf, "labels"), "doc_id", "left").select("doc_id", F.when(F.col("quality") == 0, "ERROR").otherwise("INFO").alias("level"), F.col("source").alias("module_name"))
     w = search.business_weight(search.SearchQuery(module_name="src1"))
-    return _scored(spark, sf).join(d, "doc_id").select("doc_id", F.round(F.col("bm25") + w, 8).alias("score"))
+    return x.scores(TERMS).join(d, "doc_id").select("doc_id", F.round(F.col("bm25") + w, 8).alias("score"))
 
 
 @entry(f"SELECT doc_id, round(bm25, 8) AS score FROM {_bm25_sql(['of', 'that', 'the'])}")
@@ -85,7 +85,7 @@ def bm25_index(spark, sf):
 
 @entry(f"SELECT count(*) AS total_hits FROM {_bm25_sql()}")
 def total_hits(spark, sf):
-    return _scored(spark, sf).agg(F.count("*").alias("total_hits"))
+    return blocks.count_hits(text_index(spark, sf).blocks, TERMS)
 
 
 @entry(f"SELECT doc_id, term_count FROM {TEXTS_SQL}")
@@ -115,13 +115,12 @@ def term_dictionary(spark, sf):
 
 @entry(f"SELECT doc_id FROM {POSTINGS_SQL} WHERE term IN ('of', 'the') GROUP BY doc_id HAVING count(*) = 2")
 def keyword_and(spark, sf):
-    return _scored(spark, sf).select("doc_id")
+    return text_index(spark, sf).with_all(TERMS)
 
 
 @entry(f"SELECT doc_id FROM {POSTINGS_SQL} WHERE term = 'of' INTERSECT SELECT doc_id FROM {POSTINGS_SQL} WHERE term = 'and'")
 def posting_intersection(spark, sf):
-    p = index.postings(texts(spark, sf))
-    return p.where("term = 'of'").select("doc_id").intersect(p.where("term = 'and'").select("doc_id"))
+    return text_index(spark, sf).with_all(["of", "and"])
 
 
 _ANOMALY = "(level IN ('WARN', 'ERROR') OR error_code <> '')"
@@ -135,12 +134,12 @@ def anomaly_list(spark, sf):
     return hits.orderBy(F.desc("score"), F.desc("occurred_at_ms"), F.desc("doc_id")).limit(100).select("doc_id", "level", "error_code", "score")
 
 
-@entry("SELECT i AS doc_id FROM range(0, 1000000, 100) t(i) ORDER BY i DESC LIMIT 100")
-def anomaly_million(spark, sf):
-    """The load test's million documents: every hundredth is an ERROR, the newest hundred come first."""
-    d = spark.range(1_000_000).select(F.col("id").alias("doc_id"), F.col("id").alias("occurred_at_ms"), F.when(F.col("id") % 100 == 0, "ERROR").otherwise("INFO").alias("level"), F.lit("").alias("error_code"))
+@entry("SELECT l_orderkey * 8 + l_linenumber AS doc_id, l_partkey AS module FROM lineitem WHERE l_quantity = 50 ORDER BY l_shipdate DESC, l_orderkey * 8 + l_linenumber DESC, l_partkey DESC LIMIT 100")
+def anomaly_lines(spark, sf):
+    """The load test's list over all order lines: one in fifty is an ERROR, the newest hundred come first."""
+    d = table(spark, sf, "lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("doc_id"), F.unix_millis(F.col("l_shipdate").cast("timestamp")).alias("occurred_at_ms"), F.when(F.col("l_quantity") == 50, "ERROR").otherwise("INFO").alias("level"), F.lit("").alias("error_code"), F.col("l_partkey").alias("module"))
     q = search.SearchQuery(anomaly_only=True, page_size=100)
-    return search.filters(d, q).withColumn("score", search.business_weight(q)).orderBy(F.desc("score"), F.desc("occurred_at_ms"), F.desc("doc_id")).limit(100).select("doc_id")
+    return search.filters(d, q).withColumn("score", search.business_weight(q)).orderBy(F.desc("score"), F.desc("occurred_at_ms"), F.desc("doc_id"), F.desc("module")).limit(100).select("doc_id", "module")
 
 
 @entry(f"SELECT doc_id, level, occurred_at_ms FROM {LOG_SQL} WHERE level IN ('WARN', 'ERROR') AND occurred_at_ms BETWEEN (SELECT min(occurred_at_ms) + 3600000 FROM {LOG_SQL}) AND (SELECT min(occurred_at_ms) + 7200000000 FROM {LOG_SQL})")
@@ -345,7 +344,18 @@ def heartbeat_online(spark, sf):
 def replay_dedup(spark, sf):
     """The window of one day makes request ids; a lifetime beyond it leaves the first of each."""
     e = table(spark, sf, "events").select("event_id", F.col("user_id").cast("string").alias("device_id"), F.concat("event_type", F.date_format("ts", "yyyyMMdd")).alias("request_id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_s"))
-    return sessions.first_requests(e, 86_400_000_000_000).select("event_id", "replayed")
+    return replay.first_requests(e, 86_400_000_000_000, f"{shared_dir(spark)}/replay-{uuid.uuid4().hex}").select("event_id", "replayed")
+
+
+@entry("""WITH RECURSIVE e AS (SELECT event_id, user_id % 20 AS d, event_type AS r, epoch_us(ts) // 1000000 AS t FROM events),
+k AS (SELECT d, r, t, row_number() OVER (PARTITION BY d, r ORDER BY t) AS i FROM (SELECT DISTINCT d, r, t FROM e)),
+c AS (SELECT d, r, min(t) AS t FROM k GROUP BY d, r UNION ALL SELECT c.d, c.r, (SELECT min(k.t) FROM k WHERE k.d = c.d AND k.r = c.r AND k.t >= c.t + 21600) FROM c WHERE c.t IS NOT NULL),
+a AS (SELECT min(event_id) AS event_id FROM e JOIN c USING (d, r, t) GROUP BY d, r, t)
+SELECT event_id, event_id NOT IN (SELECT event_id FROM a) AS replayed FROM e""")
+def replay_chains(spark, sf):
+    """Few keys with long lives: each accepted request opens a window of six hours, and the next begins where that ends."""
+    e = table(spark, sf, "events").select("event_id", (F.col("user_id") % 20).cast("string").alias("device_id"), F.col("event_type").alias("request_id"), F.call_function("div", F.unix_micros(F.col("ts").cast("timestamp")), F.lit(1_000_000).cast("long")).alias("ts_s"))
+    return replay.first_requests(e, 21_600, f"{shared_dir(spark)}/replay-{uuid.uuid4().hex}").select("event_id", "replayed")
 
 
 @entry("WITH e AS (SELECT *, event_type IS DISTINCT FROM lag(event_type) OVER w AS c FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)), g AS (SELECT *, sum(c::INT) OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM e) SELECT event_id, row_number() OVER (PARTITION BY user_id, k ORDER BY event_id)::BIGINT AS stable_count, row_number() OVER (PARTITION BY user_id, k ORDER BY event_id) >= 2 AS sealed FROM g")
@@ -460,8 +470,6 @@ def segment_stats(spark, sf):
 @entry("SELECT term, count(*) AS df FROM (SELECT DISTINCT term, doc_id FROM " + POSTINGS_SQL + ") GROUP BY term")
 def stream_incremental_index(spark, sf):
     """documents as a stream, indexed batch by batch into Parquet, then read back."""
-    import uuid
-
     from ..streaming.jobs import index_stream
 
     base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
@@ -471,14 +479,9 @@ def stream_incremental_index(spark, sf):
     return spark.read.option("basePath", f"{base}/postings").parquet(f"{base}/postings").groupBy("term").agg(F.count("*").alias("df"))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else one in the warehouse."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/scratch").rstrip("/")
-
-
 def _is_dir(spark: SparkSession, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()
 
 
-from . import record_queries  # noqa: E402, F401  registers further queries
+from . import index_queries, record_queries  # noqa: E402, F401  register further queries

@@ -457,8 +457,8 @@ class LogIndex:
             if bad := self.damaged(s, digests):
                 raise DamagedSegment(f"{s['name']}: {', '.join(bad)}")
         names = [s["name"] for s in segments]
-        t = {n: index.load(self.spark, self.root, n, names) for n in ("documents", "postings", "stats", "terms")}
-        return search.SearchEngine(t["documents"], t["postings"], t["stats"], t["terms"], [b for s in segments for _, b in s["batches"]])
+        t = {n: index.load(self.spark, self.root, n, names) for n in ("documents", "postings", "stats", "terms", "blocks")}
+        return search.SearchEngine(t["documents"], t["postings"], t["stats"], t["terms"], [b for s in segments for _, b in s["batches"]], t["blocks"])
 
     def files(self) -> DataFrame:
         """Files of the segments, for details."""

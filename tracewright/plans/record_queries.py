@@ -10,8 +10,9 @@ from ..functions import scalars as S
 from ..operators import archive_queries, artifacts, index, parsers, search, service, sessions, state
 from ..sources import archives as archive_source
 from ..sources import files, storage
-from .catalogue import entry, shared_dir
+from .catalogue import entry
 from .roles import ARCHIVES_SQL, LOG_SQL, POSTINGS_SQL, TEXTS_SQL, archives, log, table, texts
+from .stored import shared_dir
 
 #: What each of ten ways to write a number is worth (k is the key).
 _WORTH = ("k", "k", "k + 0.5", "NULL", "k", "NULL", "NULL", "-5", "NULL", "NULL")

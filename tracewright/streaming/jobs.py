@@ -37,6 +37,35 @@ def without_replays(requests: DataFrame, ttl_s: int = REPLAY_TTL_S) -> DataFrame
     return requests.withWatermark("ts", f"{ttl_s} seconds").dropDuplicatesWithinWatermark(["device_id", "request_id"])
 
 
+def accepted_requests(requests: DataFrame, ttl_s: int = REPLAY_TTL_S, late_s: int = 60) -> DataFrame:
+    """(device_id, request_id, event_id, replayed) of requests with ts, by the rule of ``replay.first_requests``: a key's window begins with its accepted request and is not prolonged.
+
+    State is the time of the last accepted request of a key, and goes once the
+    watermark has passed its window. Within a batch requests are taken in order
+    of time; one that comes after a batch of later ones is judged by these.
+    """
+
+    def run(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        since = state.get[0] if state.exists else None
+        for pdf in [pd.concat(list(pdfs))]:
+            pdf = pdf.sort_values(["ts", "event_id"])
+            out = []
+            for t in pdf["ts"].astype("datetime64[us]").astype("int64"):
+                fresh = since is None or t - since >= ttl_s * 1_000_000
+                since = t if fresh else since
+                out.append(not fresh)
+            yield pd.DataFrame({"device_id": key[0], "request_id": key[1], "event_id": pdf["event_id"], "replayed": out})
+        state.update((int(since),))
+        state.setTimeoutTimestamp(max(since // 1000 + ttl_s * 1000, state.getCurrentWatermarkMs() + 1))
+
+    types = {f.name: f.dataType.simpleString() for f in requests.schema}
+    out = f"device_id {types['device_id']}, request_id {types['request_id']}, event_id {types['event_id']}, replayed boolean"
+    return requests.withWatermark("ts", f"{late_s} seconds").groupBy("device_id", "request_id").applyInPandasWithState(run, out, "since long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def online_devices(beats: DataFrame, ttl_s: int = 90) -> DataFrame:
     """Heartbeats by device in sessions that a silence of ttl ends."""
     return beats.withWatermark("ts", f"{ttl_s} seconds").groupBy("device_id", F.session_window("ts", f"{ttl_s} seconds")).agg(F.count("*").alias("beats"), F.max("ts").alias("last_seen"))
