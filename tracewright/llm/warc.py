@@ -66,7 +66,9 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     body = F.coalesce(F.col(payload_col), F.lit(""))
     url = F.regexp_replace(F.regexp_replace(F.coalesce(F.col(url_col), F.lit("")), "\r", "%0D"), "\n", "%0A")
     rows = pages.select(F.col(id_col).alias("id"), url.alias("url"), body.alias("body"), base32_sha1(body.cast("binary")).alias("digest"), F.octet_length(body).alias("n"))
-    again = pages.select(F.col(id_col).alias("id"), F.sha1(body.cast("binary")).alias("hex"), F.octet_length(body).alias("n")).where(F.col("n") >= min_bytes)
+    # what the payloads are is stored once: which of them repeat and which size classes there are follows without their bytes
+    slim = stored(pages.select(F.col(id_col).alias("id"), F.sha1(body.cast("binary")).alias("hex"), F.octet_length(body).alias("n")), f"{path}-payloads")
+    again = slim.where(F.col("n") >= min_bytes)
     # only payloads met more than once need a look-up; stored, so that its size is known when the join is planned
     again = stored(again.groupBy("hex").agg(F.count("*").alias("c"), F.max("id").alias("first")).where("c > 1").select("hex", "first"), f"{path}-again")
     rows = rows.withColumn("hex", F.sha1(F.col("body").cast("binary"))).join(again, "hex", "left")
@@ -82,13 +84,16 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     fields = F.concat(F.lit("captureId: "), F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit(CRLF))
     first = F.when(F.col("revisit"), _record("revisit", F.col("rs"), [target, digest, ("WARC-Profile", F.lit(PROFILE))], http, "application/http; msgtype=response")).otherwise(_record("response", F.col("rs"), [target, digest], F.concat(http, F.col("body")), "application/http; msgtype=response"))
     records = F.concat_ws(CRLF + CRLF, _record("request", F.col("rq"), [target, tied], asked, "application/http; msgtype=request"), first, _record("metadata", F.col("md"), [target, tied], fields, "application/warc-fields"))
-    largest = pages.agg(F.max(F.octet_length(body))).first()[0] or 0
-    low, high = -1, small_bytes
-    while low < largest:
+    largest = slim.agg(F.max("n")).first()[0] or 0
+    classes = [(-1, small_bytes)]
+    while classes[-1][1] < largest:
+        classes.append((classes[-1][1], classes[-1][1] * STEP))
+    counts = slim.agg(*[F.count_if((F.col("n") > low) & (F.col("n") <= high)) for low, high in classes]).first()
+    # the pages are read once more for each class that has any; the first is written also where it has none
+    for low, high in [c for c, n in zip(classes, counts, strict=True) if n or c[0] < 0]:
         # ids are drawn after the filter, which would not get past them to the scan
         some = rows.where((F.col("n") > low) & (F.col("n") <= high)).withColumns({c: F.expr("uuid()") for c in ("rq", "rs", "md")})
         some.select(records.alias("value")).write.option("lineSep", CRLF + CRLF).option("compression", "gzip").option("maxRecordsPerFile", max(1, captures_per_file * small_bytes // high)).text(f"{path}/to-{high}")
-        low, high = high, high * STEP
 
 
 def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], int, int]]:
