@@ -102,7 +102,8 @@ def assemble(chunks: DataFrame, size: str = "file_size", chunk: str = "chunk_siz
     # the place that data of the right length takes: all but the last are whole chunks
     fits = F.octet_length("data") == F.least(F.col("c"), F.col("s") - F.col("number") * F.col("c"))
     whole = one.where(fits).groupBy("session").agg(F.max("s").alias("s"), F.sort_array(F.collect_list(F.struct("number", "data"))).alias("x"))
-    data = F.aggregate("x", F.lit(b"").cast("binary"), lambda a, x: F.concat(a, x["data"]))
+    # joined as hex in one go: a fold of concatenations copies what it has with each chunk
+    data = F.unhex(F.array_join(F.transform("x", lambda x: F.hex(x["data"])), ""))
     return whole.withColumn("content", data).where(F.octet_length("content") == F.col("s")).select("session", F.octet_length("content").cast("long").alias("length"), F.sha2("content", 256).alias("sha256"), "content")
 
 

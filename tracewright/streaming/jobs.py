@@ -24,7 +24,8 @@ def index_stream(docs: DataFrame, root: str, checkpoint: str, text: str = "text"
     """
 
     def write(batch: DataFrame, epoch: int) -> None:
-        postings(batch, text, key).repartitionByRange("term").sortWithinPartitions("term", key).write.mode("overwrite").option("parquet.bloom.filter.enabled#term", "true").parquet(f"{root}/postings/batch_id={epoch}")
+        # dealt by hash: a range would take a sample, and so split the texts once more
+        postings(batch, text, key).repartition("term").sortWithinPartitions("term", key).write.mode("overwrite").option("parquet.bloom.filter.enabled#term", "true").parquet(f"{root}/postings/batch_id={epoch}")
         # a pass over the keys alone: cheaper than holding the texts
         batch.select(key).write.mode("overwrite").parquet(f"{root}/documents/batch_id={epoch}")
 
