@@ -484,4 +484,4 @@ def _is_dir(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()
 
 
-from . import index_queries, record_queries  # noqa: E402, F401  register further queries
+from . import index_queries, record_queries, request_queries  # noqa: E402, F401  register further queries
