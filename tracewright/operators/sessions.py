@@ -164,6 +164,26 @@ def heartbeats(events: DataFrame, now: Column, ttl: int = HEARTBEAT_TTL_S) -> Da
     return last.select("device_id", "h.*", (F.col("h.ts") >= now - F.make_interval(secs=F.lit(ttl))).alias("online"))
 
 
+def device_transitions(beats: DataFrame, ttl: int = HEARTBEAT_TTL_S) -> DataFrame:
+    """(device_id, state, at) of all heartbeats (device_id, ts): ONLINE at the first after a silence of more than ttl seconds, OFFLINE ttl after the last before one or before the end."""
+    order = W.partitionBy("device_id").orderBy("ts")
+    life = F.make_interval(secs=F.lit(ttl))
+    rows = beats.select("device_id", "ts", (F.lag("ts").over(order) + life).alias("before"), F.lead("ts").over(order).alias("after"))
+    on = F.when(F.col("before").isNull() | (F.col("ts") > F.col("before")), F.struct(F.lit("ONLINE").alias("state"), F.col("ts").alias("at")))
+    off = F.when(F.col("after").isNull() | (F.col("after") > F.col("ts") + life), F.struct(F.lit("OFFLINE").alias("state"), (F.col("ts") + life).alias("at")))
+    return rows.select("device_id", F.explode(F.array_compact(F.array(on, off))).alias("e")).select("device_id", "e.state", "e.at")
+
+
+def seal_events(scans: DataFrame, stable: int = 2) -> DataFrame:
+    """(path, scan_no, event) of folder scans: SEALED at the scan that makes a file stable, CHANGED at the one that finds a sealed file to be another."""
+    run = sealed(scans.withColumns({"has_marker": F.lit(False), "has_sidecar": F.lit(True)}), "STABLE_WINDOW", stable)
+    before = F.lag("stable_count").over(W.partitionBy("path").orderBy("scan_no"))
+    run = run.withColumn("before", before)
+    changed = F.when((F.col("stable_count") == 1) & (F.col("before") >= stable), "CHANGED")
+    done = F.when(F.col("stable_count") == stable, "SEALED")
+    return run.select("path", "scan_no", F.explode(F.array_compact(F.array(changed, done))).alias("event"))
+
+
 def heartbeat_ok(status: Column, work_order: Column) -> Column:
     """A known status, and a missing work order only while idle."""
     return F.coalesce(status.isin("RUNNING", "IDLE", "ALARM"), F.lit(False)) & (work_order.isNotNull() | (status == "IDLE"))

@@ -340,6 +340,23 @@ def heartbeat_online(spark, sf):
     return sessions.heartbeats(e, F.lit(now)).select("device_id", "online")
 
 
+@entry("""WITH e AS (SELECT user_id % 40 AS d, ts::TIMESTAMP AS ts FROM events), w AS (SELECT d, ts, lag(ts) OVER x AS b, lead(ts) OVER x AS a FROM e WINDOW x AS (PARTITION BY d ORDER BY ts))
+SELECT d AS device_id, 'ONLINE' AS state, epoch_us(ts) AS at FROM w WHERE b IS NULL OR ts > b + INTERVAL 6 HOUR UNION ALL SELECT d, 'OFFLINE', epoch_us(ts + INTERVAL 6 HOUR) FROM w WHERE a IS NULL OR a > ts + INTERVAL 6 HOUR""")
+def device_transitions(spark, sf):
+    """When devices turn online and offline, with a lifetime of six hours."""
+    e = table(spark, sf, "events").select((F.col("user_id") % 40).alias("device_id"), F.col("ts").cast("timestamp").alias("ts"))
+    return sessions.device_transitions(e, 21_600).select("device_id", "state", F.unix_micros("at").alias("at"))
+
+
+@entry("""WITH e AS (SELECT user_id AS p, event_id AS n, event_type AS s, event_type IS DISTINCT FROM lag(event_type) OVER w AS c FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)), g AS (SELECT *, sum(c::INT) OVER (PARTITION BY p ORDER BY n) AS k FROM e),
+r AS (SELECT p, n, row_number() OVER (PARTITION BY p, k ORDER BY n) AS i FROM g), b AS (SELECT *, lag(i) OVER (PARTITION BY p ORDER BY n) AS before FROM r)
+SELECT p AS path, n AS scan_no, 'SEALED' AS event FROM b WHERE i = 2 UNION ALL SELECT p, n, 'CHANGED' FROM b WHERE i = 1 AND before >= 2""")
+def seal_events(spark, sf):
+    """Users' event types as sizes of a file: sealed by two equal ones, changed by another after that."""
+    s = table(spark, sf, "events").select(F.col("user_id").alias("path"), F.col("event_id").alias("scan_no"), F.col("event_type").alias("size"), F.lit(0).alias("mtime"))
+    return sessions.seal_events(s)
+
+
 @entry("SELECT event_id, NOT first AS replayed FROM (SELECT event_id, row_number() OVER (PARTITION BY user_id, event_type, date_trunc('day', ts) ORDER BY ts, event_id) = 1 AS first FROM events)")
 def replay_dedup(spark, sf):
     """The window of one day makes request ids; a lifetime beyond it leaves the first of each."""
