@@ -7,7 +7,7 @@ readers may see, so a batch appears as a whole or not at all.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -16,6 +16,8 @@ from ..functions.scalars import doc_id, tokens
 from ..sources.files import utf8
 from . import blocks
 
+#: Row groups of documents: what a lookup reads at least.
+ROW_GROUP_BYTES = 16 << 20
 TABLES = ("documents", "files", "postings", "terms", "stats", "blocks")
 
 
@@ -74,12 +76,34 @@ def verify_originals(files: DataFrame, on_disk: DataFrame) -> DataFrame:
     return j.withColumn("failure_code", code).where("failure_code IS NOT NULL").select("archive_id", "failure_code")
 
 
+def curve(columns: list[Column], bits: int = 10) -> Column:
+    """Position on a space-filling curve: the bits of several numbers below 2^bits, interleaved."""
+    out = F.lit(0).cast("long")
+    for b in range(bits):
+        for i, c in enumerate(columns):
+            out = out.bitwiseOR(F.shiftleft(F.getbit(c, F.lit(b)).cast("long"), b * len(columns) + i))
+    return out
+
+
+def write_documents(docs: DataFrame, path: str, block_bytes: int = ROW_GROUP_BYTES) -> None:
+    """Documents along a curve over time, device and work order, in small row groups: a filter by any of them reads few, by their bounds of time or bloom filters, and a document is found by the filter of its id."""
+    low, high = docs.agg(F.min("occurred_at_ms"), F.max("occurred_at_ms")).first()
+    span = max(1, (high or 0) - (low or 0) + 1)
+    when = F.floor((F.col("occurred_at_ms") - F.lit(low or 0)) * 1024 / span).cast("long")
+    placed = lambda c: F.pmod(F.xxhash64(F.coalesce(F.col(c), F.lit(""))), F.lit(1024).cast("long"))
+    at = docs.withColumn("__at", curve([when, placed("device_id"), placed("work_order")])).repartitionByRange("__at").sortWithinPartitions("__at", "occurred_at_ms").drop("__at")
+    writer = at.write.mode("overwrite").option("parquet.block.size", str(block_bytes))
+    for c in ("doc_id", "device_id", "work_order"):
+        writer = writer.option(f"parquet.bloom.filter.enabled#{c}", "true")
+    writer.parquet(path)
+
+
 def build_segment(docs: DataFrame, outcomes: DataFrame, batch_id: int, root: str) -> None:
     """Writes one batch's partitions; docs are parsed documents with their raw bytes. Refuses a batch that exists."""
     spark = docs.sparkSession
     d = assign_ids(docs, batch_id)
     where = lambda t: f"{root}/{t}/batch_id={batch_id}"
-    d.drop("raw", "batch_id").repartitionByRange("occurred_at_ms").sortWithinPartitions("occurred_at_ms").write.mode("error").parquet(where("documents"))
+    write_documents(d.drop("raw", "batch_id"), where("documents"))
     posts = postings(d.withColumn("text", utf8(F.col("raw"))), with_length=True)
     posts.repartitionByRange("term").sortWithinPartitions("term", "doc_id").write.mode("error").option("parquet.bloom.filter.enabled#term", "true").parquet(where("postings"))
     written = spark.read.parquet(where("postings"))
@@ -120,7 +144,7 @@ def merge_segments(spark: SparkSession, root: str, names: list[str], target: str
     if without is not None:
         t = {n: df.where(F.col("batch_id") != without) if n in ("documents", "files", "postings") else df for n, df in t.items()}
     where = lambda n: f"{root}/{n}/{target}"
-    t["documents"].repartitionByRange("occurred_at_ms").sortWithinPartitions("occurred_at_ms").write.mode("overwrite").parquet(where("documents"))
+    write_documents(t["documents"], where("documents"))
     t["postings"].repartitionByRange("term").sortWithinPartitions("term", "doc_id").write.mode("overwrite").option("parquet.bloom.filter.enabled#term", "true").parquet(where("postings"))
     docs, posts = (spark.read.parquet(where(n)) for n in ("documents", "postings"))
     last = F.lit(docs.agg(F.max("batch_id")).first()[0]).cast("long").alias("batch_id")
