@@ -40,19 +40,18 @@ def rows(seed, n=150):
     return [(rng.choice(["en", "en", "en", "fr", "xx", None]), rng.choice(["s0"] * 6 + ["s1", "S1", "é", "s2", None]), rng.choice([" ", ", ", "\n", "1"]).join(word() for _ in range(rng.randrange(14)))) for _ in range(n)]
 
 
-def test_against_brute_force(spark, monkeypatch):
+def test_against_brute_force(spark):
     data = rows(1)
     df = spark.createDataFrame(data, "lang string, source string, text string").repartition(3)
     assert got(sd.divergence(df, min_docs=6)) == brute(data, 6)
     assert got(sd.divergence(df, min_docs=2, top=3)) == brute(data, 2, 3)
 
 
-def scans(batches, **bounds):
-    """The two scans on sorted rows, without Spark."""
+def counted(batches):
+    """The first scan on sorted rows, without Spark."""
     import pyarrow as pa
 
-    counted = list(sd._count_runs(2)(iter(batches)))
-    return pa.Table.from_batches(counted, schema=counted[0].schema) if counted else None
+    return pa.Table.from_batches(sd._count_runs(2)(iter(batches)))
 
 
 def test_scans_with_any_batches(monkeypatch):
@@ -65,7 +64,7 @@ def test_scans_with_any_batches(monkeypatch):
         want[g, w, s] += n
     whole = pa.Table.from_pylist([dict(zip(("lang", "term", "source", "block", "df", "n"), r, strict=True)) for r in data])
     for size in (1, 3, 50, 200):
-        t = scans(whole.to_batches(max_chunksize=size))
+        t = counted(whole.to_batches(max_chunksize=size))
         assert {(r["lang"], r["term"], r["source"]): r["n"] for r in t.to_pylist()} == want and t.num_rows == len(want)
     # bounds of what the second scan holds change what it emits, not the sums
     t = t.append_column("among", pa.array([100 + (r["source"] == "s") for r in t.to_pylist()])).append_column("among_lang", pa.array([300] * t.num_rows))
@@ -84,7 +83,7 @@ def test_scans_with_any_batches(monkeypatch):
     assert results[0] == results[1] == results[2]
 
 
-def test_pieces_and_blocks(spark, monkeypatch):
+def test_pieces(monkeypatch):
     text = ("alpha BETA, gamma " * 50).encode()
     monkeypatch.setattr(sd, "PIECE", 7)
     assert [w for x in sd._words(text) for w in x] == [b"alpha", b"beta", b"gamma"] * 50

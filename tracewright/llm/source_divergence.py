@@ -90,12 +90,14 @@ def _starts(columns: list[pa.Array]) -> np.ndarray:
 
 
 def _chunk(b: pa.RecordBatch, carry: pa.Table | None) -> pa.Table:
+    """What was carried over and a batch, as one chunk."""
     t = pa.Table.from_batches([b])
-    return (t if carry is None else pa.concat_tables([carry, t])).combine_chunks()
+    return t if carry is None else pa.concat_tables([carry, t]).combine_chunks()
 
 
 def _columns(t: pa.Table, *names: str) -> list[pa.Array]:
-    return [t.column(n).combine_chunks() if t.column(n).num_chunks != 1 else t.column(n).chunk(0) for n in names]
+    """Columns of a table whose rows are one chunk."""
+    return [t.column(n).chunk(0) for n in names]
 
 
 def _by_term(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
