@@ -17,7 +17,7 @@ from .roles import log, table, texts
 _MADE: dict[tuple, object] = {}
 #: A term has bitmaps if one in so many documents holds it.
 BITMAP_SHARE = 64
-MAX_FILES = 20
+MAX_FILES = 25
 
 
 def shared_dir(spark: SparkSession) -> str:
