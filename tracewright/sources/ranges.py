@@ -158,7 +158,8 @@ class LineScan:
     def lines(self) -> DataFrame:
         """(relative_path, line_no, byte_offset, byte_length, raw): as files.lines gives them, raw as ISO-8859-1 text without one CR at its end."""
         rows = self.stored.where("i IS NOT NULL").select("relative_path", "start", "i", "at", "raw")
-        rows = rows.join(self.summaries().select("relative_path", "start", "lines_before", "bytes_before", "mark"), ["relative_path", "start"])
+        # a row for each range, whatever the compressed lines seem to be
+        rows = rows.join(F.broadcast(self.summaries().select("relative_path", "start", "lines_before", "bytes_before", "mark")), ["relative_path", "start"])
         first = (F.col("start") == 0) & (F.col("i") == 0)
         data = F.when(first & (F.col("mark") > 0), F.concat(F.lit(MARK), F.col("raw"))).otherwise(F.col("raw"))
         raw = F.regexp_replace(F.decode(data, "ISO-8859-1"), r"\r\z", "")
@@ -170,14 +171,14 @@ class LineScan:
         return self.spark.createDataFrame(list(self.listed.items()), "relative_path string, length long")
 
     def _bare(self) -> DataFrame:
-        """Files of a mark alone, of which the text source gives no line."""
-        return self._listed().where(F.col("length") == len(MARK)).join(self.stored.select("relative_path"), "relative_path", "left_anti")
+        """Files of a mark alone, of which the text source gives no line, so no range."""
+        return self._listed().where(F.col("length") == len(MARK)).join(self.stored.where("i IS NULL").select("relative_path"), "relative_path", "left_anti")
 
     def digests(self) -> DataFrame:
         """(relative_path, length, sha256) of every listed file."""
         whole = self.stored.where("sha256 IS NOT NULL").select("relative_path", "sha256")
         parts = self.stored.where("i IS NULL AND sha256 IS NULL").select("relative_path", "size").distinct()
-        cut = self.stored.where("i IS NOT NULL").select("relative_path", "start", "i", "raw").join(parts, "relative_path")
+        cut = self.stored.where("i IS NOT NULL").select("relative_path", "start", "i", "raw").join(F.broadcast(parts), "relative_path")
         ordered = cut.repartition("relative_path").sortWithinPartitions("relative_path", "start", "i").select("relative_path", "size", "raw")
         found = whole.union(ordered.mapInArrow(_digests, "path string, sha256 string")).union(self._bare().select("relative_path", F.lit(hashlib.sha256(MARK).hexdigest())))
         return self._listed().join(found, "relative_path", "left").withColumn("sha256", F.when(F.col("length") == 0, EMPTY_SHA256).otherwise(F.col("sha256")))
