@@ -5,6 +5,7 @@ import hashlib
 import pytest
 from pyspark.sql import functions as F
 
+from tracewright.operators import index
 from tracewright.sources import files as source
 
 LINES, FILES = 400, 3
@@ -49,3 +50,17 @@ def test_line_scan(spark, tmp_path):
     assert scan.lines().count() == FILES * LINES + 1
     assert broadcast_rows(scan.digests()) <= FILES + 1
     assert broadcast_rows(scan.lines()) <= FILES + 1
+
+
+def _documents(spark, path):
+    n = F.col("id")
+    fixed = {c: F.lit("x") for c in ("line_id", "station_id", "device_id", "level", "module_name")}
+    d = spark.range(LINES * FILES).select((n % FILES).alias("archive_id"), n.alias("line_no"), F.lit(0).cast("long").alias("byte_offset"), F.lit(1).cast("long").alias("byte_length"), n.alias("occurred_at_ms"), F.lit(1).cast("long").alias("term_count"), *[v.alias(c) for c, v in fixed.items()])
+    d.write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def test_ids_of_a_batch(spark, tmp_path):
+    out = index.assign_ids(_documents(spark, f"{tmp_path}/d"), 7)
+    assert sorted(r["local_id"] for r in out.collect()) == list(range(LINES * FILES))
+    assert broadcast_rows(out) <= FILES

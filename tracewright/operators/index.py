@@ -36,7 +36,8 @@ def assign_ids(docs: DataFrame, batch_id: int) -> DataFrame:
     local = F.coalesce(F.sum("__n").over(W.partitionBy("__r").orderBy("archive_id").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     before = counts.withColumn("__in", local).join(F.broadcast(heads), "__r").select("archive_id", (F.col("__head") + F.col("__in")).alias("__before"))
     inside = F.row_number().over(W.partitionBy("archive_id").orderBy("line_no")) - 1
-    out = docs.join(before, "archive_id").withColumns({"batch_id": F.lit(batch_id).cast("long"), "local_id": (F.col("__before") + inside).cast("long")}).drop("__before")
+    # a row for each archive of the batch; the documents may seem smaller than they are, as their files are compressed
+    out = docs.join(F.broadcast(before), "archive_id").withColumns({"batch_id": F.lit(batch_id).cast("long"), "local_id": (F.col("__before") + inside).cast("long")}).drop("__before")
     return out.withColumn("doc_id", doc_id(F.col("batch_id"), F.col("local_id")))
 
 
