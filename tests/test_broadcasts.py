@@ -5,6 +5,7 @@ import hashlib
 import pytest
 from pyspark.sql import functions as F
 
+from tracewright.functions.scalars import doc_id
 from tracewright.operators import index
 from tracewright.sources import files as source
 
@@ -64,3 +65,15 @@ def test_ids_of_a_batch(spark, tmp_path):
     out = index.assign_ids(_documents(spark, f"{tmp_path}/d"), 7)
     assert sorted(r["local_id"] for r in out.collect()) == list(range(LINES * FILES))
     assert broadcast_rows(out) <= FILES
+
+
+def test_rules_of_a_segment(spark, tmp_path):
+    d = index.assign_ids(_documents(spark, f"{tmp_path}/d"), 7)
+    d.write.parquet(f"{tmp_path}/documents")
+    docs = spark.read.parquet(f"{tmp_path}/documents")
+    docs.select(F.lit("w").alias("term"), "doc_id", F.lit(1).cast("long").alias("tf")).union(spark.range(1).select(F.lit("w"), doc_id(F.lit(9).cast("long"), F.col("id")), F.lit(1).cast("long"))).write.parquet(f"{tmp_path}/postings")
+    posts = spark.read.parquet(f"{tmp_path}/postings")
+    files = spark.range(FILES).select(F.col("id").alias("archive_id"), F.lit(9).cast("long").alias("file_size"))
+    rules = index.violations(docs, files, posts, index.term_dictionary(posts))
+    assert [tuple(r) for r in rules.collect()] == [("posting_without_document", 1)]
+    assert broadcast_rows(rules) <= FILES

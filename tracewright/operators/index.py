@@ -157,20 +157,24 @@ def merge_segments(spark: SparkSession, root: str, names: list[str], target: str
 
 
 def violations(docs: DataFrame, files: DataFrame, posts: DataFrame, terms: DataFrame, stats: DataFrame | None = None, merged: bool = False) -> DataFrame:
-    """(rule, n) of the broken invariants of one batch, or of a merged segment, whose local ids are those of several; empty for a sound one."""
+    """(rule, n) of the broken invariants of one batch, or of a merged segment, whose local ids are those of several; empty for a sound one.
+
+    Documents meet postings by sorted joins: the ids of either are too many to
+    be broadcast, however small their files.
+    """
     checks = [] if merged else [
         ("local_id_not_contiguous", docs.agg(((F.count("*") != F.count_distinct("local_id")) | (F.min("local_id") != 0) | (F.max("local_id") != F.count("*") - 1)).cast("long").alias("n"))),
     ]
     checks += [
         ("doc_id_formula", docs.agg(F.count_if(~F.col("doc_id").eqNullSafe(doc_id(F.col("batch_id"), F.col("local_id")))).alias("n"))),
-        ("unknown_file", docs.join(files, "archive_id", "left_anti").agg(F.count("*").alias("n"))),
-        ("range_outside_file", docs.join(files, "archive_id").agg(F.count_if((F.col("byte_offset") < 0) | (F.col("byte_offset") + F.col("byte_length") > F.col("file_size"))).alias("n"))),
+        ("unknown_file", docs.join(F.broadcast(files), "archive_id", "left_anti").agg(F.count("*").alias("n"))),
+        ("range_outside_file", docs.join(F.broadcast(files), "archive_id").agg(F.count_if((F.col("byte_offset") < 0) | (F.col("byte_offset") + F.col("byte_length") > F.col("file_size"))).alias("n"))),
         ("empty_field", docs.agg(F.count_if(F.expr("coalesce(line_id, '') = '' OR coalesce(station_id, '') = '' OR coalesce(device_id, '') = '' OR coalesce(level, '') = '' OR coalesce(module_name, '') = ''")).alias("n"))),
         ("term_frequency", posts.agg(F.count_if(F.col("tf") <= 0).alias("n"))),
         ("repeated_posting", posts.groupBy("term", "doc_id").count().agg(F.count_if(F.col("count") > 1).alias("n"))),
-        ("posting_without_document", posts.join(docs, "doc_id", "left_anti").agg(F.count("*").alias("n"))),
+        ("posting_without_document", posts.join(docs.hint("merge"), "doc_id", "left_anti").agg(F.count("*").alias("n"))),
         ("df_differs", posts.groupBy("term").agg(F.count("*").alias("c")).join(terms, "term", "full").agg(F.count_if(~F.col("c").eqNullSafe(F.col("df")) | ~F.col("df").eqNullSafe(F.col("posting_count"))).alias("n"))),
-        ("length_differs", posts.groupBy("doc_id").agg(F.sum("tf").alias("s")).join(docs, "doc_id", "right").agg(F.count_if(F.coalesce("s", F.lit(0)) != F.col("term_count")).alias("n"))),
+        ("length_differs", posts.groupBy("doc_id").agg(F.sum("tf").alias("s")).join(docs.hint("merge"), "doc_id", "right").agg(F.count_if(F.coalesce("s", F.lit(0)) != F.col("term_count")).alias("n"))),
         ("postings_not_contiguous", terms.agg((F.coalesce(F.sum("posting_count"), F.lit(0)) != F.coalesce(F.max(F.col("posting_begin") + F.col("posting_count")), F.lit(0))).cast("long").alias("n"))),
         ("repeated_begin", terms.groupBy("posting_begin").count().agg(F.count_if(F.col("count") > 1).alias("n"))),
     ]
