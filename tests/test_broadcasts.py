@@ -5,8 +5,10 @@ import hashlib
 import pytest
 from pyspark.sql import functions as F
 
+from helpers import SF
 from tracewright.functions.scalars import doc_id
 from tracewright.operators import index
+from tracewright.plans.record_queries import report_outcomes
 from tracewright.sources import files as source
 
 LINES, FILES = 400, 3
@@ -53,6 +55,12 @@ def test_line_scan(spark, tmp_path):
     assert broadcast_rows(scan.lines()) <= FILES + 1
 
 
+def test_reports(spark):
+    out = report_outcomes(spark, SF)
+    assert out.count() > 100
+    assert broadcast_rows(out) <= 1
+
+
 def _documents(spark, path):
     n = F.col("id")
     fixed = {c: F.lit("x") for c in ("line_id", "station_id", "device_id", "level", "module_name")}

@@ -5,7 +5,8 @@ their archive's row, into checked lines. The first failure of a file wins and
 drops its documents; failures of the whole file (path, size, hash) override it.
 ``admit``, ``parse_lines``, ``outcomes_of`` and ``documents_of`` are the steps;
 what a step gives is stored by the caller before the next, so that a line is
-read and parsed once.
+read and parsed once. Spark takes compressed tables and their lines for smaller
+than they are, so tables with a row for each file or line are joined by sorting.
 """
 
 from __future__ import annotations
@@ -136,7 +137,7 @@ CHECKED = ("archive_id", "line_no", "byte_offset", "byte_length", "occurred_at_m
 def admit(archives: DataFrame, digests: DataFrame, profiles: DataFrame) -> DataFrame:
     """archives with their profile and file_failure: no profile, an unsafe path, an unknown parser, a missing file, another size or hash, in this order."""
     a = archives.join(profiles, ["device_id", "file_type"], "left")
-    a = a.join(digests.select("relative_path", F.col("length").alias("__len"), F.col("sha256").alias("__sha")), "relative_path", "left")
+    a = a.join(digests.select("relative_path", F.col("length").alias("__len"), F.col("sha256").alias("__sha")).hint("merge"), "relative_path", "left")
     whole = (
         F.when(F.col("profile_name").isNull(), "PARSER_PROFILE_NOT_FOUND")
         .when(~safe(F.col("relative_path")), "ARCHIVE_PATH_INVALID")
@@ -173,7 +174,7 @@ def outcomes_of(admitted: DataFrame, checked: DataFrame) -> DataFrame:
     """One row per archive with its profile, failure code and line, and document count: the file's failure, else its first failed line, else that it has no document."""
     first = checked.groupBy("archive_id").agg(F.min(F.when(F.col("failure").isNotNull(), F.struct("line_no", "failure"))).alias("f"), F.count_if("is_document").alias("n"))
     empty = F.element_at(F.create_map(*[F.lit(x) for k, (_, e) in PARSERS.items() for x in (k, e)]), F.col("profile_name"))
-    out = admitted.join(first, "archive_id", "left").withColumn("failure_code", F.coalesce("file_failure", "f.failure", F.when(F.coalesce("n", F.lit(0)) == 0, empty)))
+    out = admitted.join(first.hint("merge"), "archive_id", "left").withColumn("failure_code", F.coalesce("file_failure", "f.failure", F.when(F.coalesce("n", F.lit(0)) == 0, empty)))
     out = out.withColumns({"failure_line": F.when(F.col("file_failure").isNull(), F.col("f.line_no")), "document_count": F.when(F.col("failure_code").isNull(), F.col("n")).otherwise(0)})
     return out.select("archive_id", "relative_path", "file_size", "file_sha256", "profile_name", "failure_code", "failure_line", "document_count")
 
@@ -185,9 +186,9 @@ def documents_of(checked: DataFrame, outcomes: DataFrame) -> DataFrame:
 
 
 def parse_archives(archives: DataFrame, files: DataFrame, profiles: DataFrame, max_line_bytes: int = MAX_LINE_BYTES) -> tuple[DataFrame, DataFrame]:
-    """(documents, outcomes) of files given as rows (relative_path, length, sha256, content): the same steps, without storing what lies between them."""
+    """(documents, outcomes) of files given as rows (relative_path, length, sha256, content), however many: the same steps, without storing what lies between them."""
     admitted = admit(archives, files, profiles)
-    checked = parse_lines(admitted, lines(files.select("relative_path", "content")), max_line_bytes)
+    checked = parse_lines(admitted, lines(files.select("relative_path", "content")).hint("merge"), max_line_bytes)
     outcomes = outcomes_of(admitted, checked)
     return documents_of(checked, outcomes), outcomes
 
