@@ -81,3 +81,14 @@ def test_engine_with_and_without_blocks(corpus):
         a, c = plain.search(q, guarded=False), fast.search(q, guarded=False)
         assert a.total_hits == c.total_hits
         assert [(r["doc_id"], round(r["score"], 9)) for r in a.items.collect()] == [(r["doc_id"], round(r["score"], 9)) for r in c.items.collect()]
+
+
+def test_texts_are_exchanged_once(spark):
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("of the"), F.col("id") % 7, F.col("id") % 7).alias("text"))
+    b = blocks.build(docs, part_bytes=1000)
+    assert b._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
+    assert b.groupBy("term", "block").count().where("count > 1").isEmpty()
+    rows = {(r["term"], r["block"]): (r["ids"], r["tfs"], r["lens"]) for r in b.collect()}
+    ids = {t: [i for (w, _), (x, _, _) in sorted(rows.items(), key=lambda r: r[0][1]) for i in x if w == t] for t in ("of", "3")}
+    assert ids == {"of": list(range(3000)), "3": [i for i in range(3000) if i % 7 == 3]}
+    assert {x for (w, _), (_, tfs, lens) in rows.items() if w == "3" for x in zip(tfs, lens, strict=True)} == {(2, 4)}

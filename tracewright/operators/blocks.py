@@ -23,6 +23,8 @@ K1, B = 1.2, 0.75
 BLOCK_BITS = 8
 #: Ranges that are scored first, at least.
 FIRST_BLOCKS = 16
+#: Bytes of text whose words one task counts.
+PART_BYTES = 16 << 20
 
 
 def idf(n: int, df: int) -> float:
@@ -33,22 +35,34 @@ def term_score(tf: Column, length: Column, weight: Column | float, average: Colu
     return weight * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / average))
 
 
-def build(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Blocks of documents: counted with a map-side combine, then gathered by range, at most 256 entries a row."""
-    words = docs.select(F.col(key).alias("id"), tokens(F.col(text)).alias("w")).select("id", F.size("w").alias("len"), F.explode("w").alias("term"))
-    return of_postings(words.groupBy("term", "id", "len").agg(F.count("*").alias("tf")))
+def build(docs: DataFrame, text: str = "text", key: str = "doc_id", part_bytes: int = PART_BYTES) -> DataFrame:
+    """Blocks of documents, at most 256 entries a row.
+
+    Texts are exchanged once, by ranges of ids and in parts of bounded bytes, so
+    that a block lies in one part: words are counted and gathered there, and no
+    posting is exchanged, which would take several times the texts' room.
+    """
+    some = docs.select(F.col(key).alias("id"), F.shiftright(F.col(key), BLOCK_BITS).alias("block"), F.col(text).alias("text"))
+    size = some.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    dealt = some.repartitionByRange(max(docs.sparkSession.sparkContext.defaultParallelism, -(-size // part_bytes)), "block")
+    words = dealt.select("id", "block", tokens(F.col("text")).alias("w")).select("id", "block", F.size("w").alias("len"), F.explode("w").alias("term"))
+    return _gathered(words.groupBy("block", "term", "id", "len").agg(F.count("*").alias("tf")))
 
 
 def of_postings(posts: DataFrame) -> DataFrame:
     """Blocks of rows (term, id, tf, len)."""
+    return _gathered(posts.withColumn("block", F.shiftright("id", BLOCK_BITS)))
+
+
+def _gathered(posts: DataFrame) -> DataFrame:
     one = F.struct("id", F.col("tf").cast("int").alias("tf"), F.col("len").cast("int").alias("len"))
-    rows = posts.groupBy("term", F.shiftright("id", BLOCK_BITS).alias("block")).agg(F.sort_array(F.collect_list(one)).alias("p"))
+    rows = posts.groupBy("term", "block").agg(F.sort_array(F.collect_list(one)).alias("p"))
     return rows.select("term", "block", F.col("p.id").alias("ids"), F.col("p.tf").alias("tfs"), F.col("p.len").alias("lens"), F.size("p").alias("n"), F.array_max("p.tf").alias("max_tf"), F.array_min("p.len").alias("min_len"))
 
 
-def write(blocks: DataFrame, path: str) -> None:
-    """Sorted by term, so that a query reads its terms' row groups, which a bloom filter names."""
-    blocks.repartitionByRange("term").sortWithinPartitions("term", "block").write.mode("error").option("parquet.bloom.filter.enabled#term", "true").parquet(path)
+def write(blocks: DataFrame, path: str, by_term: bool = True) -> None:
+    """Sorted by term, so that a query reads its terms' row groups, which a bloom filter names; not by_term: in each part as it lies, where a query reads its terms' pages of every file."""
+    (blocks.repartitionByRange("term") if by_term else blocks).sortWithinPartitions("term", "block").write.mode("error").option("parquet.bloom.filter.enabled#term", "true").parquet(path)
 
 
 def frequencies(blocks: DataFrame, terms: list[str]) -> dict[str, int]:

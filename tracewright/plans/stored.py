@@ -67,7 +67,7 @@ def text_index(spark: SparkSession, sf: str) -> TextIndex:
 
 def _text_index(spark: SparkSession, sf: str) -> TextIndex:
     root = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
-    blocks.write(blocks.build(table(spark, sf, "documents").select("doc_id", "text")), f"{root}/blocks")
+    blocks.write(blocks.build(table(spark, sf, "documents").select("doc_id", "text")), f"{root}/blocks", by_term=False)
     rows = spark.read.parquet(f"{root}/blocks")
     # a document's length stands in each of its postings; documents without a term are counted by their ids alone
     lengths = rows.select(F.explode(F.arrays_zip("ids", "lens")).alias("p")).select(F.col("p.ids").alias("doc_id"), F.col("p.lens").cast("long").alias("term_count")).distinct()
