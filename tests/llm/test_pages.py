@@ -176,6 +176,62 @@ def test_frames_of_open_pages(spark):
     assert sum(len(want[h, tuple(p)].split()) < len(" ".join(p).split()) for h, p in pages) > 50
 
 
+def repeated_articles():
+    """Pages of hosts whose article elements are teasers, or near copies of one text, and what their text is."""
+    words = lambda key, n: " ".join(f"{key}x{k}" for k in range(n))
+    foot = words("foot", 12)
+    rows, want = [], []
+    for i in range(9):
+        cards = "".join(f"<article class='card'><h2>{words(f'card{c}', 10)}</h2></article>" for c in range(3))
+        prose = words(f"prose{i}", 50)
+        rows.append(("cards.org", f"{cards}<div>{prose}</div><div>{foot}</div>"))
+        want.append(prose)
+        rows.append(("main.org", f"<main><p>{prose}</p>{cards}</main><div>{foot}</div>"))
+        want.append(prose)
+        # fewer words of its own than the repeated article has: a date, a counter
+        rows.append(("copies.org", f"<article><p>{words('copy', 60)}</p></article><div>{words(f'seen{i}', 9)}</div>"))
+        want.append(words("copy", 60))
+        rows.append(("news.org", f"<article><p>{words('lead', 30)}</p><p>{prose}</p><p>{foot}</p></article><div>{words(f'aside{i}', 200)}</div>"))
+        want.append(f"{words('lead', 30)} {prose} {foot}")
+    return rows, want
+
+
+def test_the_array_decides_which_article_is_the_pages_own(spark):
+    """Article elements that half of a host's pages repeat are not the text of pages with more of their own beside them, however pages are dealt."""
+    rows, want = repeated_articles()
+    df = spark.createDataFrame([(i, f"http://{h}/{i}", p) for i, (h, p) in enumerate(rows)], "page_id long, url string, html string")
+    for chunk in (2000, 10**9):
+        got = {r["page_id"]: r["text"] for r in he.extract(df, chunk_bytes=chunk).collect()}
+        assert [got[i] for i in range(len(rows))] == want
+
+
+def test_frames_of_all_pages(spark, tmp_path):
+    """The array counts the runs of every page, those with an article too, over each host's distinct pages of a template."""
+    rows = [*repeated_articles()[0], *[("news.org", f"<div>{' '.join(f'menu{k}' for k in range(9))}</div><p>{' '.join(f'open{i}x{k}' for k in range(30))}</p>") for i in range(4)]]
+    rows += rows[:1] * 30
+    want = set()
+    for host in {h for h, _ in rows}:
+        for kind in ("main", "open"):
+            blocks = {tuple(b for b in he.blocks_of(p) if b[0] not in ("drop", "off")) for h, p in rows if h == host}
+            pages = [" ".join(t for _, t in b).split() for b in blocks if any(z in ("article", "main") for z, _ in b) == (kind == "main")]
+            grams = [{tuple(w[i : i + 8]) for i in range(len(w) - 7)} for w in pages]
+            for g in set().union(*grams):
+                if sum(g in other for other in grams) >= max(2, len(pages) / 2):
+                    want.add((host, kind, int(he.run_hashes(he.word_hashes(g), 8)[0])))
+    df = spark.createDataFrame([(str(i), "u", h, p) for i, (h, p) in enumerate(rows)], "id string, url string, host string, html string")
+    for chunk in (2000, 10**9):
+        base = f"file://{tmp_path}/frames-{chunk}"
+        got = he.site_frames(he._dealt(df, base, chunk), base, copy_share=1.0).select("host", "kind", "run").collect()
+        assert {tuple(r) for r in got} == want and len(got) == len(want) and {k for _, k, _ in want} == {"main", "open"}
+
+
+def test_large_ids_beside_nulls(spark):
+    rows = [(2**53 + 1, "u", "<p>a</p>"), (None, "u", "<p>b</p>"), (-(2**62) - 1, None, None)]
+    got = he.extract(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1))
+    assert got.schema["page_id"].dataType.simpleString() == "bigint"
+    assert {tuple(r) for r in got.collect()} == {(2**53 + 1, "u", "a"), (None, "u", "b"), (-(2**62) - 1, None, "")}
+
+
 def test_extract_against_the_tables_markup(spark):
     rows = he.query(spark, SF).join(spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "html"), "page_id").collect()
     for r in rows:

@@ -1,31 +1,40 @@
-"""HTML extraction: structural zones, and a suffix array over each host's pages.
-
-Pages are parsed into text blocks with a zone: ``main`` (inside article or
-main), ``drop`` (menus, headers, footers, sidebars, notices, adverts, forms,
-comments; ``off`` where only a class name says so) or ``open``. A page with an
-article or main element gives the blocks of that and loses none of them.
-
-Pages without one give their open blocks less the site's frame. The blocks of
-a host's distinct pages are concatenated as token streams, and a suffix array
-with the lengths of common prefixes finds the runs of ``run`` tokens or more
-that pages repeat. A run belongs to the frame if half of all the host's
-distinct pages have it, two at least. What goes are whole blocks, from the top
-of a page down and from its end up, as long as runs of the frame cover most of
-them: a passage that pages share stays where it has words of the page's own on
-both sides, however many pages have it and however large the host is. A large
-host is dealt into chunks of bounded bytes: each chunk's array counts the
-pages of its runs, the counts meet by the hash of the run, and the frame, which
-is at most as long as a few pages, goes back to the chunks. So the result does
-not depend on how pages are dealt. Pages that are mostly frame are likely near
-copies: they prove no frame, but lose one that the others prove; a page that is
-nothing else keeps its text.
+"""HTML extraction: a suffix array over each host's pages, and structural zones.
+
+Pages are parsed into text blocks with a zone: ``article`` or ``main`` (inside
+such an element), ``drop`` (menus, headers, footers, sidebars, notices, adverts,
+forms, comments; ``off`` where only a class name says so) or ``open``.
+
+All blocks but the dropped ones, of every page, are concatenated by host as
+token streams, and a suffix array with the lengths of common prefixes finds the
+runs of ``run`` tokens or more that the host's distinct pages repeat. Pages with
+an article or main element and pages without are two templates, counted apart.
+A run belongs to the frame if half of all the host's distinct pages of the
+template have it, two at least; a block is frame if such runs cover most of its
+words. Then each page's text is what its host's array leaves it:
+
+* A page with an article (else main) element that has a block of its own gives
+  that element whole: markup, where it speaks, says exactly where the text ends.
+* Where the array finds all blocks of that element on half of the pages, it is a
+  teaser or a notice, and the text is what lies outside of it, if the page has
+  more words of its own there than the element has in all.
+* Other pages, and these, give their open blocks less the frame at both ends. A
+  passage that pages share stays where it has words of the page's own on both
+  sides, however many pages have it and however large the host is.
+
+A host's pages are dealt into chunks of bounded bytes, copies included, and the
+texts stay in the files that they are dealt to. A run that half of a host's
+pages have is on half of the pages of some chunk, so the chunks' arrays find
+all candidates, which every chunk then counts; of equal pages one counts. So the
+result does not depend on how pages are dealt. Pages that are mostly frame are
+likely near copies: they prove no frame, but lose one that the others prove; a
+page that is nothing else keeps its text.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -35,11 +44,13 @@ from pyspark.sql import functions as F
 
 from .common import host_of, read_table, scratch, stored
 
-#: Bytes of text in a chunk, about; repeated runs have at least RUN tokens.
+#: Bytes of html in a chunk, about; repeated runs have at least RUN tokens.
 CHUNK_BYTES, RUN = 4_000_000, 8
-#: In pages without a main zone a run is frame on this share and number of the host's distinct such pages.
-OPEN_SHARE, OPEN_PAGES = 0.5, 2
-#: A block at a page's edge is frame if runs of the frame cover this share of its words.
+#: Bytes of html in a bucket of chunks, about, beyond the session's number of shuffle partitions, and the most buckets.
+BUCKET_BYTES, BUCKETS = 256_000_000, 1024
+#: A run is frame on this share and number of the host's distinct pages of a template.
+FRAME_SHARE, FRAME_PAGES = 0.5, 2
+#: A block is frame if runs of the frame cover this share of its words.
 EDGE_SHARE = 0.8
 #: A page with a larger share of frame may be a near copy of others: it proves none.
 COPY_SHARE = 0.8
@@ -188,26 +199,37 @@ def main_blocks(blocks: list[tuple[str, str]]) -> tuple[str, list[str]]:
 def suffix_array(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(order, common): the suffixes in order, and the length of the prefix that each shares with the one before it.
 
-    Ranks are doubled in depth until all differ; the ranks of all depths then
-    give the common lengths, from the deepest down.
+    Ranks are doubled in depth until all differ, of those suffixes alone that
+    still equal another; the ranks of all depths then give the common lengths,
+    from the deepest down.
     """
     n = len(tokens)
-    rank = np.unique(tokens, return_inverse=True)[1].astype(np.int64) + 1
-    levels, step = [rank], 1
-    while n and rank.max() < n:
-        pair = rank * (n + 2)
-        pair[: n - step] += rank[step:]
-        rank = np.unique(pair, return_inverse=True)[1].astype(np.int64) + 1
-        levels.append(rank)
+    order, common = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
+    if not n:
+        return order, common
+    left, levels, step = np.argsort(tokens, kind="stable"), [], 1
+    rank, outer, inner = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64), tokens[left]
+    while True:
+        at = np.arange(len(left))
+        group = np.r_[True, outer[1:] != outer[:-1]]
+        part = group | np.r_[True, inner[1:] != inner[:-1]]
+        rank[left] = outer + np.maximum.accumulate(np.where(part, at, 0)) - np.maximum.accumulate(np.where(group, at, 0))
+        levels.append(rank.copy())
+        left = left[~(part & np.r_[part[1:], True])]
+        if not len(left):
+            break
+        outer = rank[left]
+        inner = np.where(left + step < n, rank[np.minimum(left + step, n - 1)] + 1, 0)
+        by = np.argsort(outer * (n + 1) + inner)
+        left, outer, inner = left[by], outer[by], inner[by]
         step *= 2
-    order = np.argsort(rank)
+    order[rank] = np.arange(n)
     before, here = order[:-1], order[1:]
-    common = np.zeros(n, dtype=np.int64)
     off = common[1:]
     for depth in range(len(levels) - 1, -1, -1):
-        inside = np.maximum(before, here) + off < n
-        at = np.where(inside, off, 0)
-        off += np.where(inside & (levels[depth][before + at] == levels[depth][here + at]), 1 << depth, 0)
+        inside = np.flatnonzero(np.maximum(before, here) + off < n)
+        equal = levels[depth][before[inside] + off[inside]] == levels[depth][here[inside] + off[inside]]
+        off[inside[equal]] += 1 << depth
     return order, common
 
 
@@ -233,9 +255,12 @@ def repeated_runs(tokens: np.ndarray, page: np.ndarray, run: int = RUN) -> np.nd
     return np.where(whole, out, 0)
 
 
-def run_hashes(words: list[str], run: int) -> np.ndarray:
-    """A hash of the run of tokens at each position; empty where there are fewer."""
-    h = np.fromiter((xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words), dtype=np.uint64, count=len(words))
+def word_hashes(words: Iterable[str]) -> np.ndarray:
+    return np.array([xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words], dtype=np.uint64)
+
+
+def run_hashes(h: np.ndarray, run: int) -> np.ndarray:
+    """A hash of the run of tokens at each position, by the hashes of the tokens; empty where there are fewer."""
     if len(h) < run:
         return np.zeros(0, dtype=np.int64)
     out = np.full(len(h) - run + 1, run, dtype=np.uint64)
@@ -248,100 +273,185 @@ def run_hashes(words: list[str], run: int) -> np.ndarray:
     return out.view(np.int64)
 
 
-def _words(blocks: list[str]) -> list[str]:
+def _words(blocks: Iterable[str]) -> list[str]:
     return [w for b in blocks for w in b.split(" ")]
 
 
-def covered(hashes: np.ndarray, frame: np.ndarray, n: int, run: int) -> np.ndarray:
-    """Which of a page's n tokens lie inside a run of the frame."""
-    edge = np.zeros(n + run + 1, dtype=np.int64)
-    starts = np.flatnonzero(np.isin(hashes, frame))
-    np.add.at(edge, starts, 1)
-    np.add.at(edge, starts + run, -1)
-    return np.cumsum(edge)[:n] > 0
+def covered(words: list[str], frame: np.ndarray, run: int) -> np.ndarray:
+    """Which of a page's words lie inside a run of the frame."""
+    edge = np.zeros(len(words) + run + 1, dtype=np.int64)
+    if len(frame):
+        starts = np.flatnonzero(np.isin(run_hashes(word_hashes(words), run), frame))
+        np.add.at(edge, starts, 1)
+        np.add.at(edge, starts + run, -1)
+    return np.cumsum(edge)[: len(words)] > 0
+
 
+def page_text(zones: str, blocks: list[str], gone: np.ndarray) -> list[str]:
+    """The blocks of a page's text, by the zones of its blocks (a, m or o) and which of its words are frame."""
+    sizes = [b.count(" ") + 1 for b in blocks]
+    ends = np.cumsum([0, *sizes])
+    frame = [gone[i:j].mean() >= EDGE_SHARE for i, j in zip(ends[:-1], ends[1:], strict=True)]
+    kinds = [z for z in "amo" if z in zones]
+    size = lambda kind, own: sum(n for z, n, f in zip(zones, sizes, frame, strict=True) if z == kind and not (own and f))
+    kind = kinds[0] if kinds else "o"
+    if kinds and not size(kind, True):
+        kind = next((k for k in kinds[1:] if size(k, True) > size(kind, False)), kind)
+    found = [(b, f) for z, b, f in zip(zones, blocks, frame, strict=True) if z == kind]
+    own = [i for i, (_, f) in enumerate(found) if not f]
+    if kind == "o" and own:
+        found = found[own[0] : own[-1] + 1]
+    return [b for b, _ in found]
+
+
+#: The result of counting a chunk.
+COUNTS = "host string, chunks long, kind string, run long, pages long"
+
+
+def _counts(pdf: pd.DataFrame, found: list[tuple[str, np.ndarray, np.ndarray]]) -> pd.DataFrame:
+    """(host, chunks, kind, run, pages) of a chunk's counts (kind, runs, pages)."""
+    runs, pages = [np.concatenate([np.zeros(0, dtype=np.int64), *(f[i] for f in found)]) for i in (1, 2)]
+    kinds = np.array([kind for kind, r, _ in found for _ in range(len(r))], dtype=object)
+    at = [0] * len(runs)
+    return pd.DataFrame({"host": pdf["host"].iloc[at].to_numpy(), "chunks": pdf["chunks"].iloc[at].to_numpy(), "kind": kinds, "run": runs, "pages": pages})
+
+
+def _candidates(run: int, share: float):
+    """The runs that a share of a chunk's distinct pages have, of those pages that own (digest) names."""
+
+    def count(pdf: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        for kind, group in pdf[pdf["digest"].isin(own["digest"])].drop_duplicates("digest").groupby("kind"):
+            pages = [_words(b) for b in group["blocks"]]
+            tokens, names = pd.factorize(np.array([w for p in pages for w in p], dtype=object))
+            counts = repeated_runs(tokens, np.repeat(np.arange(len(pages)), [len(p) for p in pages]), run)
+            # a run that one page has is no candidate where the chunk is its whole host
+            at = np.flatnonzero(counts >= max(2 if group["chunks"].iloc[0] == 1 else 1, share * len(pages)))
+            if len(at):
+                runs, first = np.unique(run_hashes(word_hashes(names)[tokens], run)[at], return_index=True)
+                found.append((kind, runs, counts[at][first]))
+        return _counts(pdf, found)
+
+    return count
 
-def _counter(run: int, least: int):
-    """(host, run, pages) of the runs of one chunk: all of them, or those that can count where the chunk is its whole host."""
 
-    def count(pdf: pd.DataFrame) -> pd.DataFrame:
-        pages = [_words(list(b)) for b in pdf["blocks"]]
-        hashes = [run_hashes(w, run) for w in pages]
-        tokens = pd.factorize(np.array([w for p in pages for w in p], dtype=object))[0]
-        counts = repeated_runs(tokens, np.repeat(np.arange(len(pages)), [len(p) for p in pages]), run)
-        found, at = {}, 0
-        for p, h in zip(pages, hashes, strict=True):
-            found.update(zip(h.tolist(), counts[at : at + len(h)].tolist(), strict=True))
-            at += len(p)
-        one = int(pdf["chunks"].iloc[0]) == 1
-        rows = [(k, n) for k, n in found.items() if not one or n >= least]
-        return pd.DataFrame({"host": pdf["host"].iloc[0], "run": np.array([k for k, _ in rows], dtype=np.int64), "pages": np.array([n for _, n in rows], dtype=np.int64)})
+def _recounter(run: int):
+    """In how many of a chunk's own distinct pages each candidate is; notes name both, pages (digest) and candidates (kind, run)."""
+
+    def count(pdf: pd.DataFrame, notes: pd.DataFrame) -> pd.DataFrame:
+        pages = pdf[pdf["digest"].isin(notes["digest"].dropna())].drop_duplicates("digest")
+        found = []
+        for kind, group in notes.dropna(subset=["kind"]).groupby("kind"):
+            runs = np.unique(np.array([int(r) for r in group["run"]], dtype=np.int64))
+            counts = np.zeros(len(runs), dtype=np.int64)
+            for blocks in pages["blocks"][pages["kind"] == kind]:
+                counts += np.isin(runs, run_hashes(word_hashes(_words(blocks)), run))
+            found.append((kind, runs[counts > 0], counts[counts > 0]))
+        return _counts(pdf, found)
 
     return count
 
 
-def edge_blocks(blocks: list[str], gone: np.ndarray) -> list[str]:
-    """The blocks between those at both ends whose words are mostly gone; all of them if none is left."""
-    ends = np.cumsum([0] + [b.count(" ") + 1 for b in blocks])
-    frame = [gone[i:j].mean() >= EDGE_SHARE for i, j in zip(ends[:-1], ends[1:], strict=True)]
-    low, high = 0, len(blocks)
-    while low < high and frame[low]:
-        low += 1
-    while low < high and frame[high - 1]:
-        high -= 1
-    return blocks[low:high] or blocks
-
-
-def _trimmer(run: int):
-    """(host, digest, share, text): the share of frame in each page, and its text without it."""
-
-    def trim(pdf: pd.DataFrame, frame: pd.DataFrame) -> pd.DataFrame:
-        runs, out = frame["run"].to_numpy(), []
-        for host, digest, blocks in zip(pdf["host"], pdf["digest"], pdf["blocks"], strict=True):
-            flat = _words(blocks)
-            gone = covered(run_hashes(flat, run), runs, len(flat), run)
-            out.append((host, digest, float(gone.mean()) if flat else 0.0, " ".join(edge_blocks(list(blocks), gone))))
-        return pd.DataFrame(out, columns=["host", "digest", "share", "text"])
-
-    return trim
-
-
-def _frames(pages: DataFrame, run: int, share: float, least: int) -> DataFrame:
-    """(host, run) of the frame, by the distinct pages (host, digest, blocks, chunks, chunk) that count."""
-    counts = pages.groupBy("host", "chunk").applyInPandas(_counter(run, least), "host string, run long, pages long")
-    hosts = pages.groupBy("host").agg(F.count("*").alias("n"))
-    all_ = counts.groupBy("host", "run").agg(F.sum("pages").alias("pages")).where(F.col("pages") >= least)
-    return all_.join(hosts, "host").where(F.col("pages") >= F.ceil(F.lit(share) * F.col("n"))).select("host", "run")
-
-
-def trim_frames(pages: DataFrame, base: str, chunk_bytes: int = CHUNK_BYTES, run: int = RUN, share: float = OPEN_SHARE, least: int = OPEN_PAGES, copy_share: float = COPY_SHARE) -> DataFrame:
-    """(host, digest, text) of pages (host, digest, blocks), distinct by host and digest."""
-    sized = pages.withColumn("bytes", F.octet_length(F.array_join("blocks", " ")))
-    hosts = sized.groupBy("host").agg(F.greatest(F.lit(1), F.ceil(F.sum("bytes") / chunk_bytes)).cast("long").alias("chunks"))
-    hosts = stored(hosts, f"{base}/hosts")
-    dealt = stored(pages.join(hosts, "host").withColumn("chunk", F.pmod(F.xxhash64("digest"), F.col("chunks"))), f"{base}/dealt")
-
-    def trimmed(frames: DataFrame) -> DataFrame:
-        # a frame is at most as long as 1 / share pages, so its copies for the chunks are few
-        spread = frames.join(hosts, "host").select("host", "run", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"))
-        return dealt.groupBy("host", "chunk").cogroup(spread.groupBy("host", "chunk")).applyInPandas(_trimmer(run), "host string, digest string, share double, text string")
-
-    frames = stored(_frames(dealt, run, share, least), f"{base}/frames")
-    first = stored(trimmed(frames), f"{base}/first")
-    near = first.where(F.col("share") > copy_share).select("host", "digest")
+def _by_kind(frame: pd.DataFrame) -> dict[str, np.ndarray]:
+    return {kind: runs.to_numpy() for kind, runs in frame.groupby("kind")["run"]}
+
+
+def _copies(run: int, copy_share: float):
+    """(host, digest) of the pages that are mostly frame."""
+
+    def find(pdf: pd.DataFrame, frame: pd.DataFrame) -> pd.DataFrame:
+        runs, out = _by_kind(frame), []
+        for kind, group in pdf.drop_duplicates("digest").groupby("kind"):
+            if kind in runs:
+                out += [(h, d) for h, d, b in zip(group["host"], group["digest"], group["blocks"], strict=True) if len(b) and covered(_words(b), runs[kind], run).mean() > copy_share]
+        return pd.DataFrame(out, columns=["host", "digest"])
+
+    return find
+
+
+def _writer(run: int):
+    """(id, url, text) of a chunk's pages."""
+    none = np.zeros(0, dtype=np.int64)
+
+    def write(pdf: pd.DataFrame, frame: pd.DataFrame) -> pd.DataFrame:
+        runs = _by_kind(frame)
+        texts = [" ".join(page_text(z, list(b), covered(_words(b), runs.get(k, none), run))) for k, z, b in zip(pdf["kind"], pdf["zones"], pdf["blocks"], strict=True)]
+        return pd.DataFrame({"id": pdf["id"], "url": pdf["url"], "text": np.array(texts, dtype=object)})
+
+    return write
+
+
+def _meet(table: DataFrame, side: DataFrame, *columns: str):
+    """Each chunk of the table, by these columns, beside its rows of the side."""
+    return table.select("host", "chunk", *columns).groupBy("host", "chunk").cogroup(side.groupBy("host", "chunk"))
+
+
+def _spread(runs: DataFrame) -> DataFrame:
+    """Runs (host, chunks, kind, run) for each chunk of their host; a frame is at most as long as 1 / share pages, so copies are few."""
+    return runs.select("host", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), "kind", "run")
+
+
+def _frames(table: DataFrame, own: DataFrame, base: str, run: int, share: float, least: int) -> DataFrame:
+    """(host, chunks, kind, run) of the frame, by the distinct pages (host, chunks, kind, digest, chunk) that count."""
+    found = _meet(table, own.select("host", "chunk", "digest"), "chunks", "kind", "digest", "blocks").applyInPandas(_candidates(run, share), COUNTS)
+    found = stored(found, f"{base}-found")
+    counts = found.where("chunks = 1").select("host", "kind", "run", "pages")
+    dealt = found.where("chunks > 1")
+    if not dealt.isEmpty():
+        # runs as text, since longs beside nulls would be rounded in tasks
+        none = F.lit(None).cast("string")
+        notes = _spread(dealt.select("host", "chunks", "kind", "run").distinct()).select("host", "chunk", "kind", F.col("run").cast("string").alias("run"), none.alias("digest"))
+        mine = own.where("chunks > 1").select("host", "chunk", none.alias("kind"), none.alias("run"), "digest")
+        each = _meet(table.where("chunks > 1"), notes.union(mine), "chunks", "kind", "digest", "blocks").applyInPandas(_recounter(run), COUNTS)
+        counts = counts.union(each.groupBy("host", "kind", "run").agg(F.sum("pages").alias("pages")))
+    sizes = own.groupBy("host", "chunks", "kind").agg(F.count("*").alias("n"))
+    frame = counts.join(sizes, ["host", "kind"]).where(F.col("pages") >= F.greatest(F.lit(least), F.ceil(F.lit(share) * F.col("n"))))
+    return stored(frame.select("host", "chunks", "kind", "run"), base)
+
+
+def site_frames(table: DataFrame, base: str, run: int = RUN, share: float = FRAME_SHARE, least: int = FRAME_PAGES, copy_share: float = COPY_SHARE) -> DataFrame:
+    """(host, chunks, kind, run) of the frames of all hosts, near copies left out of the counts."""
+    own = table.where("zones <> ''").groupBy("host", "chunks", "kind", "digest").agg(F.min("chunk").alias("chunk"))
+    own = stored(own, f"{base}/own")
+    frames = _frames(table, own, f"{base}/frames", run, share, least)
+    if frames.isEmpty():
+        return frames
+    near = _meet(table, _spread(frames), "kind", "digest", "blocks").applyInPandas(_copies(run, copy_share), "host string, digest string")
+    near = stored(near.distinct(), f"{base}/near")
     if near.isEmpty():
-        return first.drop("share")
+        return frames
     # hosts with near copies are counted again without them
     again = near.select("host").distinct()
-    counted = dealt.join(again, "host", "left_semi").join(near, ["host", "digest"], "left_anti")
-    frames = frames.join(again, "host", "left_anti").union(_frames(counted, run, share, least))
-    return trimmed(stored(frames, f"{base}/frames2")).drop("share")
+    counted = stored(own.join(again, "host", "left_semi").join(near, ["host", "digest"], "left_anti"), f"{base}/counted")
+    return stored(frames.join(again, "host", "left_anti").union(_frames(table, counted, f"{base}/frames2", run, share, least)), f"{base}/last")
 
 
 def _parser(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        got = [main_blocks(blocks_of(h)) if h else ("open", []) for h in pdf["html"]]
-        yield pd.DataFrame({"id": pdf["id"], "url": pdf["url"], "host": pdf["host"], "kind": [k for k, _ in got], "blocks": [b for _, b in got]})
+        got = [[(z[0], t) for z, t in blocks_of(h) if z in ("article", "main", "open")] for h in pdf["html"]]
+        zones = ["".join(z for z, _ in b) for b in got]
+        yield pdf.drop(columns="html").assign(kind=["open" if set(z) <= {"o"} else "main" for z in zones], zones=zones, blocks=[[t for _, t in b] for b in got])
+
+
+def _dealt(rows: DataFrame, base: str, chunk_bytes: int) -> DataFrame:
+    """rows (id, url, host, html) parsed, with chunk and chunks, the number of their host's chunks: a table bucketed by host and chunk, so that its texts are not exchanged again."""
+    spark = rows.sparkSession
+    hosts = stored(rows.groupBy("host").agg(F.sum(F.octet_length("html")).alias("bytes"), F.count("*").alias("n")), f"{base}/hosts")
+    total = hosts.agg(F.sum("bytes")).first()[0] or 0
+    # Spark exchanges a table of fewer buckets than shuffle partitions
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(BUCKETS, -(-total // BUCKET_BYTES)))
+    big = stored(hosts.where(F.col("bytes") > chunk_bytes).select("host", F.least(F.ceil(F.col("bytes") / chunk_bytes), "n").cast("long").alias("chunks")), f"{base}/big")
+    many = F.coalesce("chunks", F.lit(1).cast("long"))
+    # equal rows are dealt apart too; the texts do not depend on the chunk
+    dealt = rows.join(big, "host", "left").select("id", "url", "host", many.alias("chunks"), F.pmod(F.xxhash64(F.monotonically_increasing_id()), many).alias("chunk"), "html")
+    parsed = dealt.mapInPandas(_parser, "id string, url string, host string, chunks long, chunk long, kind string, zones string, blocks array<string>")
+    parsed = parsed.withColumn("digest", F.sha2(F.concat_ws("\n", "zones", F.array_join("blocks", "\n")), 256))
+    name = base.rpartition("/")[2].replace("-", "_")
+    parsed.write.bucketBy(buckets, "host", "chunk").option("path", f"{base}/parsed").format("parquet").saveAsTable(name)
+    table = spark.table(name)
+    # forgets the name and leaves the files
+    spark.sql(f"DROP TABLE {name}")
+    return table
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
@@ -352,16 +462,12 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     each. An empty table gives no rows. Whole texts are kept; nothing is capped.
     """
     base = scratch(pages.sparkSession)
-    h = F.coalesce(F.col(html_col), F.lit(""))
-    rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), host_of(F.col(url_col)).alias("host"), h.alias("html"))
-    parsed = stored(rows.mapInPandas(_parser, "id long, url string, host string, kind string, blocks array<string>"), f"{base}/parsed")
-    framed = (F.col("kind") == "open") & (F.size("blocks") > 0)
-    whole = parsed.where(~framed).select("id", "url", F.array_join("blocks", " ").alias("text"))
-    loose = parsed.where(framed).withColumn("digest", F.sha2(F.array_join("blocks", "\n"), 256))
-    if not loose.isEmpty():
-        texts = trim_frames(loose.select("host", "digest", "blocks").dropDuplicates(["host", "digest"]), base, chunk_bytes)
-        whole = whole.union(loose.select("id", "url", "host", "digest").join(texts, ["host", "digest"]).select("id", "url", "text"))
-    return whole.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text")
+    # ids as text, since longs beside nulls would be rounded in tasks
+    rows = pages.select(F.col(id_col).cast("string").alias("id"), F.col(url_col).alias("url"), host_of(F.col(url_col)).alias("host"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
+    table = _dealt(rows, base, chunk_bytes)
+    frames = site_frames(table, base)
+    texts = _meet(table, _spread(frames), "id", "url", "kind", "zones", "blocks").applyInPandas(_writer(RUN), "id string, url string, text string")
+    return texts.select(F.col("id").cast(pages.schema[id_col].dataType).alias(id_col), F.col("url").alias(url_col), "text")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
