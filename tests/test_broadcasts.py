@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from helpers import SF
 from tracewright.functions.scalars import doc_id
 from tracewright.operators import index
+from tracewright.plans.catalogue import doc_ids
 from tracewright.plans.record_queries import report_outcomes
 from tracewright.sources import files as source
 
@@ -75,6 +76,14 @@ def test_ids_of_a_batch(spark, tmp_path):
     assert broadcast_rows(out) <= FILES
 
 
+def test_ids_of_many_archives(spark, tmp_path):
+    docs = _documents(spark, f"{tmp_path}/d").withColumn("archive_id", F.col("line_no") * 1000)
+    out = index.assign_ids(docs, 7)
+    assert {r["archive_id"]: r["local_id"] for r in out.collect()} == {i * 1000: i for i in range(LINES * FILES)}
+    assert broadcast_rows(out) <= 1
+    assert broadcast_rows(doc_ids(spark, SF)) <= 1
+
+
 def test_rules_of_a_segment(spark, tmp_path):
     d = index.assign_ids(_documents(spark, f"{tmp_path}/d"), 7)
     d.write.parquet(f"{tmp_path}/documents")

@@ -18,29 +18,45 @@ from . import blocks
 
 #: Row groups of documents: what a lookup reads at least.
 ROW_GROUP_BYTES = 16 << 20
+#: Neighbouring keys of a block whose counts are summed by one window, as a power of two.
+BLOCK_BITS = 12
 TABLES = ("documents", "files", "postings", "terms", "stats", "blocks")
 
 
 def assign_ids(docs: DataFrame, batch_id: int) -> DataFrame:
-    """local_id from 0 in archive and line order, and doc_id.
+    """local_id from 0 in archive and line order, nulls last, and doc_id.
 
     Positions are a sum over earlier archives plus the rank inside the archive,
-    so no task sorts the whole batch.
+    so no task sorts the whole batch. Both meet by sorting: there may be millions of archives.
     """
-    counts = docs.groupBy("archive_id").agg(F.count("*").alias("__n"))
-    # prefix sums in two levels: at most 4096 ranges of ids, then inside each range
-    ends = counts.agg(F.min("archive_id").alias("a"), F.max("archive_id").alias("b")).first()
-    width = max(1, -(-((ends["b"] or 0) - (ends["a"] or 0) + 1) // 4096))
-    counts = counts.withColumn("__r", F.floor(F.col("archive_id") / width))
-    heads = counts.groupBy("__r").agg(F.sum("__n").alias("__s")).withColumn("__head", F.coalesce(F.sum("__s").over(W.orderBy("__r").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("__r", "__head")
-    local = F.coalesce(F.sum("__n").over(W.partitionBy("__r").orderBy("archive_id").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    before = counts.withColumn("__in", local).join(F.broadcast(heads), "__r").select("archive_id", (F.col("__head") + F.col("__in")).alias("__before"))
-    inside = F.row_number().over(W.partitionBy("archive_id").orderBy("line_no")) - 1
-    # a row for each archive of the batch; the documents may seem smaller than they are, as their files are compressed
-    out = docs.join(F.broadcast(before), "archive_id").withColumns({"batch_id": F.lit(batch_id).cast("long"), "local_id": (F.col("__before") + inside).cast("long")}).drop("__before")
+    # documents without an archive come after the largest id
+    keyed = docs.withColumn("__a", F.coalesce(F.col("archive_id").cast("long"), F.lit((1 << 63) - 1)))
+    counts = keyed.groupBy("__a").agg(F.count("*").alias("__n"))
+    low, high = keyed.agg(F.min("__a"), F.max("__a")).first()
+    before = _sums_before(counts, low or 0, high or 0)
+    inside = F.row_number().over(W.partitionBy("__a").orderBy(F.col("archive_id").asc_nulls_last(), F.col("line_no").asc_nulls_last())) - 1
+    out = keyed.withColumn("__in", inside).join(before.hint("merge"), "__a").withColumns({"batch_id": F.lit(batch_id).cast("long"), "local_id": (F.col("__before") + F.col("__in")).cast("long")}).drop("__a", "__in", "__before")
     return out.withColumn("doc_id", doc_id(F.col("batch_id"), F.col("local_id")))
 
 
+def _sums_before(counts: DataFrame, low: int, high: int) -> DataFrame:
+    """(__a, __before): __n over all smaller keys of (__a, __n), whose keys lie from low to high.
+
+    Sums inside blocks of neighbouring keys, of these blocks inside larger ones and so on up to one block,
+    so a window has at most 4096 rows whatever gaps the keys have.
+    """
+    inside = F.coalesce(F.sum("__n").over(W.partitionBy("__up").orderBy("__a").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    first, last = low >> BLOCK_BITS, high >> BLOCK_BITS
+    # numbered from the first, or blocks on both sides of zero would never become one
+    counts = counts.withColumn("__up", F.shiftright("__a", BLOCK_BITS) - first)
+    sums = counts.withColumn("__before", inside).select("__a", "__up", "__before")
+    if first == last:
+        return sums.select("__a", "__before")
+    heads = _sums_before(counts.groupBy(F.col("__up").alias("__a")).agg(F.sum("__n").alias("__n")), 0, last - first)
+    heads = heads.select(F.col("__a").alias("__up"), F.col("__before").alias("__head"))
+    return sums.join(heads.hint("merge"), "__up").select("__a", (F.col("__head") + F.col("__before")).alias("__before"))
+
+
 def postings(docs: DataFrame, text: str = "text", key: str = "doc_id", with_length: bool = False) -> DataFrame:
     """(term, key, tf), and the document's length if wanted: counted with a map-side combine, as terms repeat in a document."""
     if with_length:

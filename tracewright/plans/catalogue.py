@@ -289,8 +289,9 @@ def batch_cutoff(spark, sf):
 
 @entry("SELECT l_orderkey AS archive_id, l_linenumber::BIGINT AS line_no, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) - 1 AS local_id, (7::BIGINT << 32) | (row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) - 1) AS doc_id FROM lineitem")
 def doc_ids(spark, sf):
-    """Positions in archive and line order; lines of an equal number are ordered by part and supplier."""
-    d = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("archive_id"), F.col("l_linenumber").cast("long").alias("n"), F.struct("l_linenumber", "l_partkey", "l_suppkey").alias("line_no"))
+    """Positions in archive and line order, nulls last; lines of an equal number are ordered by part and supplier."""
+    n = F.col("l_linenumber").cast("long")
+    d = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("archive_id"), n.alias("n"), F.struct(F.coalesce(n, F.lit(1 << 31)).alias("n"), "l_partkey", "l_suppkey").alias("line_no"))
     return index.assign_ids(d, 7).select("archive_id", F.col("n").alias("line_no"), "local_id", "doc_id")
 
 
